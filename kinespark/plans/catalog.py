@@ -1,15 +1,334 @@
-"""Named queries over the given tables, and the same in SQL where SQL can say it."""
+"""Named queries over the given tables. Each is one operator of the library or a direct
+composition; plans/oracles.py has the same in SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinespark.functions import vectors as V
+from kinespark.operators import boxes as B
+from kinespark.operators import evaluate as E
+from kinespark.operators import fit, fuse, select, temporal
+from kinespark.plans import oracles
+from kinespark.sources import records as R
+from kinespark.streaming import labels
+
+KEYS = fuse.KEYS
+SERIES = ["sequence_id", "hand"]
+
+
+def r6(*names: str) -> list[Column]:
+    return [(F.round(n, 6) + 0.0).alias(n) for n in names]
+
+
+def long_hands(s: SparkSession, d: str) -> DataFrame:
+    return R.joint_rows(fuse.root_relative(R.hands(s, d)))
+
+
+def frames_filter_range(s, d):
+    return R.frame_filter(R.hands(s, d), "3-20,24,30-44", ("C0", "C2")).select("pos", "group_id", "camera_id", "hand")
+
+
+def stride_sample(s, d):
+    h = R.hands(s, d).select("pos", "group_id", "camera_id")
+    a = select.stride_by_group(h, 5).withColumn("kind", F.lit("group"))
+    b = select.stride_by_rank(h, ["camera_id"], ["group_id", "pos"], 7, 2).withColumn("kind", F.lit("rank"))
+    return a.unionByName(b).unionByName(select.parity(h, True).withColumn("kind", F.lit("odd")))
+
+
+def view_argmax(s, d):
+    h = R.hands(s, d).withColumn("camera_id", F.concat(F.lit("C"), (F.col("pos") % 2).cast("string"))).withColumn("quality", F.floor(F.col("quality") * 4) / 4)
+    return select.best_view(h.drop("joints"), ["group_id", "hand", "camera_id"], "quality", "pos").select("group_id", "hand", "camera_id", "pos", "quality")
+
+
+def fuse_mean(s, d):
+    return fuse.mean_views(long_hands(s, d)).select(*KEYS, "joint", *r6("x", "y", "z", "spread"), "views")
+
+
+def fuse_quality_weighted(s, d):
+    return fuse.weighted_views(long_hands(s, d)).select(*KEYS, "joint", *r6("x", "y", "z"), "views")
+
+
+def fuse_medoid(s, d):
+    return fuse.medoid_views(long_hands(s, d)).select(*KEYS, "camera_id", *r6("cost"))
+
+
+def fuse_mean_smoothed(s, d):
+    fused = fuse.mean_views(long_hands(s, d)).drop("spread", "views")
+    return temporal.gaussian(fused, [*SERIES, "joint"], "group_id", ["x", "y", "z"]).select(*KEYS, "joint", *r6("x", "y", "z"))
+
+
+def bone_median_of_medians(s, d):
+    return fuse.static_bones(R.hands(s, d)).select("hand", "bone", *r6("length"), "cameras")
+
+
+def palm_local(s, d):
+    h = R.hands(s, d)
+    return R.joint_rows(h.withColumn("joints", V.palm_local(F.col("joints"))).where("joints is not null")).select("pos", "joint", *r6("x", "y", "z"))
+
+
+def _errors(s, d) -> DataFrame:
+    rows = long_hands(s, d)
+    truth = rows.where("camera_id = 'C3'")
+    return E.joint_errors(fuse.mean_views(rows.where("camera_id <> 'C3'")), truth, KEYS)
+
+
+def eval_grouping_sets(s, d):
+    return E.summary(_errors(s, d)).select("level", "hand", "finger", "joint", "n", *r6("mean", "median", "rmse", "p90", "p95", "max"))
+
+
+def _gate(s, d) -> tuple[DataFrame, DataFrame]:
+    rows = long_hands(s, d)
+    truth = rows.where("camera_id = 'C3'")
+    quality = R.hands(s, d).where("camera_id = 'C0'").select(*KEYS, F.floor(F.col("quality") * 4).alias("bucket"))
+
+    def error(pred: DataFrame) -> DataFrame:
+        return E.joint_errors(pred, truth, KEYS).groupBy(*KEYS).agg(F.avg("error").alias("error"))
+
+    base = error(rows.where("camera_id = 'C0'")).join(quality, KEYS)
+    return base, error(fuse.mean_views(rows.where("camera_id in ('C0', 'C1')")))
+
+
+def gate_diagnostics_3way(s, d):
+    return E.gain_by_bucket(*_gate(s, d), KEYS).select("bucket", "n", *r6("mean", "median", "positive"))
+
+
+def prefer_gated(s, d):
+    base, gated = _gate(s, d)
+    return select.prefer(base, gated.where("group_id % 3 <> 1"), KEYS, "error", F.col("error") < 1.2).select(*KEYS, *r6("error"), "replaced")
+
+
+def gap_fill(s, d):
+    h = R.hands(s, d).where("camera_id = 'C0'")
+    filled = temporal.fill_gaps(h, SERIES, "group_id", 2, 1.2, 3.0, fuse.BONES)
+    return R.joint_rows(filled).select(*KEYS, "joint", *r6("x", "y", "z"))
+
+
+def causal_ema(s, d):
+    x = R.joint_rows(R.hands(s, d).where("camera_id = 'C0'")).where("joint = 8").select(*SERIES, "group_id", "x")
+    return temporal.ema(x, SERIES, "group_id", "x", 0.6).select(*SERIES, "group_id", *r6("x"))
+
+
+def bidirectional_ema(s, d):
+    return temporal.bidirectional_ema(R.series(s, d).select("user_id", "seq", "x"), ["user_id"], "seq", "x", 0.5).select("user_id", "seq", *r6("x"))
+
+
+def hampel(s, d):
+    found = temporal.hampel(R.series(s, d).select("user_id", "seq", "x"), ["user_id"], "seq", "x", 3, 5.0, 2.0)
+    return found.select("user_id", "seq", *r6("x"), "replaced")
+
+
+def velocity_feature(s, d):
+    return temporal.velocity(R.series(s, d), ["user_id"], "seq", "x").select("user_id", "seq", *r6("velocity"))
+
+
+def depth_carry_forward(s, d):
+    x = R.series(s, d).withColumn("x", F.when(F.col("event_id") % 3 == 0, F.col("x")))
+    return temporal.carried_forward(x, ["user_id"], "seq", "x").select("user_id", "seq", "carried")
+
+
+def frame_rate(s, d):
+    x = R.table(s, d, "events").select((F.col("user_id") % 10).alias("camera"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e8).alias("sec"))
+    return temporal.frame_rate(x, ["camera"], "sec").select("camera", *r6("fps"))
+
+
+def _asof(s, d, nearest: bool) -> DataFrame:
+    n = R.table(s, d, "events").select(F.floor(F.col("event_id") * 25 / 60).alias("g")).distinct()
+    hands = F.explode(F.array(F.lit("Left"), F.lit("Right"))).alias("hand")
+    marks = n.select(F.col("g").alias("group_id"), (7 + F.col("g") * F.lit(60.0) / 25.0).alias("mark"), hands)
+    return temporal.asof(marks, R.sensor(s, d), "mark", "frame_no", "hand", "x", nearest).where("x is not null").select("group_id", "hand", *r6("x"))
+
+
+def asof_linear(s, d):
+    return _asof(s, d, False)
+
+
+def asof_nearest(s, d):
+    return _asof(s, d, True)
+
+
+def bbox_features(s, d):
+    b = R.boxes(s, d)
+    c = V.clamp_box(F.col("box"), 1200, 900)
+    b = b.withColumn("c", c)
+    return b.select("group_id", "camera_id", "n", *[F.round(v, 6).alias(k) for k, v in {"area": V.area(F.col("c")), "area_score": V.area_score(F.col("c"), 1200, 900), "edge_score": V.edge_score(F.col("c"), 1200, 900), "weight": V.robust_weight(F.col("score") - 0.5, 0.2)}.items()])
+
+
+def bbox_best_overlap(s, d):
+    b = R.boxes(s, d)
+    return B.best_overlap(b.where("origin = 'mediapipe'"), b.where("origin = 'sam3'")).select("group_id", "camera_id", "n", "match", *r6("iou"))
+
+
+def bbox_greedy_match(s, d):
+    return B.greedy_in_order(R.boxes(s, d))
+
+
+def bbox_global_match(s, d):
+    return B.greedy_global(R.boxes(s, d)).select("group_id", "camera_id", "first", "second", *r6("iou"))
+
+
+def bbox_optimal_match(s, d):
+    return B.optimal(R.boxes(s, d)).select("group_id", "camera_id", "first", "second", *r6("iou"))
+
+
+def bbox_suppress(s, d):
+    return B.suppress(R.boxes(s, d)).select("group_id", "camera_id", "n", *r6("score"))
+
+
+def match_recall(s, d):
+    b = R.boxes(s, d)
+    return E.recall(B.best_overlap(b.where("origin = 'mediapipe'"), b.where("origin = 'sam3'"), 0.05), ["camera_id"], 0.5).select("camera_id", "n", *r6("recall", "mean", "median", "p10"))
+
+
+def _labelled(s, d) -> DataFrame:
+    o = R.table(s, d, "orders").select(F.floor(F.col("o_orderkey") / 4).alias("group_id"), (F.col("o_orderkey") % 2).alias("camera"), F.col("o_orderkey").alias("pos"), (F.col("o_custkey") % 10 / 10.0).alias("score"), F.when(F.col("o_custkey") % 3 == 0, "Left").otherwise("Right").alias("label"))
+    return o
+
+
+def duplicate_label_repair(s, d):
+    return select.repair_pair_labels(_labelled(s, d), ["group_id", "camera"], "label", "score", "pos")
+
+
+def spatial_handedness(s, d):
+    return select.spatial_labels(_labelled(s, d).drop("label"), ["group_id", "camera"], "score", "pos").select("pos", "label")
+
+
+def majority_vote(s, d):
+    return select.majority(_labelled(s, d).withColumn("track", F.floor(F.col("group_id") / 16)), ["track"], "label", "score").select("track", "label", *r6("weight"))
+
+
+def vote_automaton(s, d):
+    v = _labelled(s, d).select(F.concat(F.lit("C"), F.col("camera").cast("string")).alias("camera_id"), F.floor(F.col("group_id") / 64).alias("track_id"), F.col("pos").alias("t"), F.col("label").alias("vote"), (F.col("score") * 3).alias("weight"))
+    return labels.locked_labels(v)
+
+
+def anchor_hysteresis(s, d):
+    return select.anchor_with_margin(R.hands(s, d).drop("joints"), KEYS, "quality", "C0", 0.25).select(*KEYS, "camera_id", "quality")
+
+
+def weighted_median(s, d):
+    h = R.joint_rows(R.hands(s, d)).where("joint in (4, 8, 12)").withColumn("w", F.greatest("quality", F.lit(0.05)))
+    return fuse.weighted_median(h, ["group_id", "hand", "joint"], "x", "w").select("group_id", "hand", "joint", *r6("x"))
+
+
+def chunk_groups(s, d):
+    return select.chunks(R.hands(s, d), ["camera_id"], 16)
+
+
+def _shards(s, d) -> list[DataFrame]:
+    t = R.table(s, d, "documents").select("doc_id", "source", "n_chars")
+    parts = [t.where(F.col("doc_id") % 3 == i) for i in range(3)]
+    again = t.where("doc_id % 10 = 0").withColumn("n_chars", F.col("n_chars") + F.when(F.col("doc_id") % 20 == 0, 1).otherwise(0))
+    return [*parts, again]
+
+
+def merge_first_wins(s, d):
+    return R.merge_shards(_shards(s, d), ["doc_id"])
+
+
+def merge_conflicts(s, d):
+    return R.shard_conflicts(_shards(s, d), ["doc_id"]).where("n_rows > 1")
+
+
+def merge_last_wins(s, d):
+    rows = R.table(s, d, "events").select("user_id", "event_type", "event_id", "value")
+    return R.last_wins(rows, ["user_id", "event_type"], "event_id")
+
+
+def workload_report(s, d):
+    li = R.table(s, d, "lineitem")
+    jobs = li.groupBy((F.col("l_linenumber") % 4).alias("camera"), "l_orderkey").agg(F.count("*").alias("jobs"))
+    return jobs.groupBy("camera").agg(F.count("*").alias("frames"), F.sum("jobs").alias("jobs"), F.sum(F.ceil(F.col("jobs") / 2)).alias("batches"), F.max("jobs").alias("most"))
+
+
+def _vectors(s, d) -> DataFrame:
+    return R.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def knn_loo(s, d):
+    v = _vectors(s, d).where("id % 4 = 0")
+    return fit.knn(v, v, "embedding", "label", 8).select("id", *r6("predicted", "nearest"))
+
+
+def ood_gate(s, d):
+    v = _vectors(s, d)
+    train, ask = v.where("id % 4 = 0"), v.where("id % 8 = 1")
+    own = fit.knn(train, train, "embedding", "label", 4).select("nearest")
+    return fit.ood_gate(fit.knn(ask, train, "embedding", "label", 4), "nearest", own).select("id", *r6("gate"))
+
+
+def _pairs(s, d) -> DataFrame:
+    rows = long_hands(s, d)
+    truth = rows.where("camera_id = 'C3'").select(*KEYS, "joint", *[F.col(c).alias(f"t{c}") for c in "xyz"])
+    return rows.where("camera_id = 'C0'").join(truth, [*KEYS, "joint"])
+
+
+def joint_offsets_shrunk(s, d):
+    return fit.joint_offsets(_pairs(s, d).where("group_id % 2 = 0"), 20.0, 0.05).select("joint", "n", *r6("x", "y", "z"))
+
+
+def bone_scales(s, d):
+    bones = fuse.bone_rows(R.hands(s, d))
+    truth = bones.where("camera_id = 'C3'").select(*KEYS, "bone", F.col("length").alias("true_length"))
+    return fit.bone_scales(bones.where("camera_id = 'C0'").join(truth, [*KEYS, "bone"])).select("bone", "n", *r6("scale"))
+
+
+def similarity_moments(s, d):
+    m = fit.similarity_moments(_pairs(s, d), ["hand"])
+    return m.select("hand", "n", *r6(*[c for c in m.columns if c not in ("hand", "n")]))
+
+
+def similarity_fit(s, d):
+    return fit.similarity_error(_pairs(s, d), KEYS).select(*KEYS, "n", *r6("before", "after"))
+
+
+def ridge_residual(s, d):
+    v = _vectors(s, d)
+    model = fit.ridge(v.where("id % 2 = 0"), "embedding", "label", 64, 1.0)
+    return v.where("id % 2 = 1").select("id", F.round(fit.predict("embedding", model), 6).alias("predicted"))
+
+
+def huber_shift(s, d):
+    p = _pairs(s, d).where("joint in (0, 5, 17)").select("hand", "joint", "x", "y", "tx", "ty")
+    return fit.huber_shift(p, ["hand", "joint"]).select("hand", "joint", *r6("sx", "sy"))
+
+
+def triangulate_rays(s, d):
+    h = R.joint_rows(R.hands(s, d)).where("joint between 1 and 6")
+    size = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    eye = F.substring("camera_id", 2, 1).cast("double")
+    rays = h.select("group_id", "hand", "joint", (eye * 0.1).alias("ox"), (eye * eye * 0.05).alias("oy"), F.lit(0.0).alias("oz"), *[(F.col(c) / size).alias(f"d{c}") for c in "xyz"])
+    return fit.triangulate(rays, ["group_id", "hand", "joint"]).select("group_id", "hand", "joint", "views", *[(F.round(c, 4) + 0.0).alias(c) for c in ("x", "y", "z", "error")])
+
+
+def one_euro(s, d):
+    x = R.joint_rows(R.hands(s, d).where("camera_id = 'C0'")).where("joint = 8")
+    return temporal.one_euro(x, SERIES, "group_id", ["x", "y", "z"]).select(*SERIES, "group_id", *r6("x", "y", "z"))
+
+
+def view_pivot(s, d):
+    """group → camera → quality as a map, cameras in order."""
+    h = R.hands(s, d)
+    entries = F.array_sort(F.collect_list(F.struct("camera_id", "quality")))
+    return h.groupBy("group_id", "hand").agg(F.to_json(F.map_from_entries(entries)).alias("views"))
+
+
+ALL = (
+    frames_filter_range, stride_sample, view_argmax, fuse_mean, fuse_quality_weighted, fuse_medoid, fuse_mean_smoothed, bone_median_of_medians, palm_local,
+    eval_grouping_sets, gate_diagnostics_3way, prefer_gated, gap_fill, causal_ema, bidirectional_ema, hampel, velocity_feature, depth_carry_forward, frame_rate,
+    asof_linear, asof_nearest, bbox_features, bbox_best_overlap, bbox_greedy_match, bbox_global_match, bbox_optimal_match, bbox_suppress, match_recall,
+    duplicate_label_repair, spatial_handedness, majority_vote, vote_automaton, anchor_hysteresis, weighted_median, chunk_groups, merge_first_wins, merge_conflicts,
+    merge_last_wins, workload_report, knn_loo, ood_gate, joint_offsets_shrunk, bone_scales, similarity_moments, similarity_fit, ridge_residual, huber_shift,
+    triangulate_rays, one_euro, view_pivot,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
