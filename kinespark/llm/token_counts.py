@@ -10,9 +10,9 @@ are encoded once, joined back to the frequencies and summed by document.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
-import sys
 import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -49,16 +49,19 @@ def _tokenizer(path: str):
     return found
 
 
+@functools.cache
 def _specials(path: str) -> list[str]:
     return [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
 
 
+@functools.cache
 def _encoded(path: str) -> Callable[[list[str]], list[int]]:
     tokenizer = _tokenizer(path)
     tokenizer.encode_special_tokens = True
     return lambda pieces: [len(e) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
+@functools.cache
 def _known(path: str) -> dict[str, int]:
     """Pieces of each vocabulary entry that is one whole pre-token; as many as the vocabulary."""
     tokenizer = _tokenizer(path)
@@ -68,26 +71,47 @@ def _known(path: str) -> dict[str, int]:
     return dict(zip(whole, _encoded(path)(whole), strict=True))
 
 
-def _splitter(path: str) -> Callable[[str], list[str]]:
-    """Pre-tokens of a text. Libraries disagree on characters that are newer than their Unicode
-    tables, so a text with a character unknown to Python's table is split by the tokenizer."""
-    find, split = regex.compile(PRE_TOKEN).findall, _tokenizer(path).pre_tokenizer.pre_tokenize_str
+def _ranges(ok: Callable[[str], bool], stop: int) -> str:
+    """The characters below `stop` that are ok, as the inside of a character class."""
     spans, start = [], None
-    for c in range(sys.maxunicode + 2):
-        new = c <= sys.maxunicode and not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn"
-        if new and start is None:
+    for c in range(stop + 1):
+        here = c < stop and not 0xD800 <= c < 0xE000 and ok(chr(c))
+        if here and start is None:
             start = c
-        elif not new and start is not None:
+        elif not here and start is not None:
             spans.append(f"\\U{start:08x}-\\U{c - 1:08x}")
             start = None
-    newer = re.compile(f"[{''.join(spans)}]").search
-    return lambda text: find(text) if text.isascii() or not newer(text) else [text[a:b] for _, (a, b) in split(text)]
+    return "".join(spans)
+
+
+@functools.cache
+def _splitter(path: str) -> Callable[[str], list[str]]:
+    """Pre-tokens of a text. The pattern is PRE_TOKEN with its classes spelled out below
+    U+10000, which the standard library matches fastest; texts with characters above it take
+    PRE_TOKEN itself. Libraries disagree on characters newer than their Unicode tables, so a
+    text with a character unknown to Python's table is split by the tokenizer."""
+    kind = unicodedata.category
+    letter, digit, space = (_ranges(ok, 0x10000) for ok in (lambda c: kind(c)[0] == "L", lambda c: kind(c)[0] == "N", lambda c: c.isspace() and c not in "\x1c\x1d\x1e\x1f"))
+    fast = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+    odd = re.compile(f"[{_ranges(lambda c: kind(c) == 'Cn', 0x10000)}\U00010000-\U0010ffff]").search
+    high = regex.compile(PRE_TOKEN).findall
+    split = _tokenizer(path).pre_tokenizer.pre_tokenize_str
+
+    def pieces(text: str) -> list[str]:
+        if text.isascii() or not odd(text):
+            return fast(text)
+        if any(kind(c) == "Cn" for c in set(text)):
+            return [text[a:b] for _, (a, b) in split(text)]
+        return high(text)
+
+    return pieces
 
 
 def _frequencies(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _splitter(path)
-        special = regex.compile("|".join(map(regex.escape, sorted(_specials(path), key=len, reverse=True)))) if _specials(path) else None
+        specials = _specials(path)
+        special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         known = _known(path)
         task, made = TaskContext.get().partitionId(), 0
         number: defaultdict[str, int] = defaultdict()
@@ -133,7 +157,7 @@ def _frequencies(path: str):
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py() or ""
-                parts = special.split(text) if special else [text]
+                parts = special.split(text) if any(s in text for s in specials) else [text]
                 ids.append(doc_id)
                 n_bytes.append(len(text.encode()))
                 at_once.append(len(parts) - 1)
