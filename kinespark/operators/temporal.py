@@ -149,9 +149,9 @@ def asof(marks: DataFrame, stream: DataFrame, mark: str, frame: str, hand: str,
         .withColumn("s", F.floor(F.col("f") / span))
     )
     up = Window.partitionBy("s").orderBy("f", "is_mark").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("s").orderBy("f", "is_mark").rowsBetween(1, Window.unboundedFollowing)
+    down = Window.partitionBy("s").orderBy(F.desc("f"), F.desc("is_mark")).rowsBetween(Window.unboundedPreceding, 0)
     frame_only = F.when(F.col("is_mark") == 0, F.col("f"))
-    both = both.withColumn("lower", F.last(frame_only, True).over(up)).withColumn("upper", F.first(frame_only, True).over(down)).where("is_mark = 1")
+    both = both.withColumn("lower", F.last(frame_only, True).over(up)).withColumn("upper", F.last(frame_only, True).over(down)).where("is_mark = 1")
     # one row for each span of the clock
     extent = frames.groupBy(F.floor(F.col("f") / span).alias("s")).agg(F.min("f").alias("lo"), F.max("f").alias("hi"))
     known = Window.orderBy("s")
