@@ -55,7 +55,7 @@ def _targets(sized: DataFrame, weights: tuple[float, ...], most: float) -> DataF
     rising = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     every = Window.partitionBy()
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    sharing = F.sum("weight").over(rising.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    sharing = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     table = table.withColumn("level", left / sharing).withColumn("full", F.col("cap") <= F.col("level") * F.col("weight"))
     table = table.withColumn("open_level", F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source", "level"))).over(every)["level"])
     table = table.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("open_level") * F.col("weight")))

@@ -110,7 +110,7 @@ def communication_matrix(sizes: DataFrame, partitions: int, shards: int, total:
         depth += 1
     spark = sizes.sparkSession
     even = [total // shards + (j < total % shards) for j in range(shards)]
-    level = spark.range(1).select(F.lit(0).cast("long").alias("node"), F.array(*[F.lit(x).cast("long") for x in even]).alias("row"))
+    level = spark.range(1).select(F.col("id").alias("node"), F.array(*[F.lit(x).cast("long") for x in even]).alias("row"))
     for down in range(depth - 1, -1, -1):
         child = F.floor(F.col("p") / FAN**down)
         wide = sizes.groupBy(F.floor(child / FAN).alias("node"), (child % FAN).alias("c")).agg(F.sum("n").alias("n"))
