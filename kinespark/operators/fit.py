@@ -172,3 +172,50 @@ def triangulate(rays: DataFrame, keys: list[str]) -> DataFrame:
     along = sum((o * F.col(f"d{n}") for o, n in zip(off, "xyz", strict=True)), F.lit(0.0))
     away = F.sqrt(sum(((o - along * F.col(f"d{n}")) * (o - along * F.col(f"d{n}")) for o, n in zip(off, "xyz", strict=True)), F.lit(0.0)))
     return joined.groupBy(*keys, "views", "x", "y", "z").agg(F.avg(away).alias("error"))
+
+
+def axis_affine(pairs: DataFrame, keys: list[str], scale: float = 2.0, slope: float = 0.5, shift: float = 1.0, rounds: int = 3) -> DataFrame:
+    """(keys, ax, bx, ay, by): tx = ax * x + bx and ty = ay * y + by by reweighted least squares.
+    A point whose residual is over `scale` weighs scale / residual in the next round; slopes
+    stay within `slope` of 1, shifts within `shift` of 0. Each round is one aggregation."""
+    found = pairs.select(*keys).distinct().withColumns({"ax": F.lit(1.0), "bx": F.lit(0.0), "ay": F.lit(1.0), "by": F.lit(0.0)})
+    for i in range(rounds):
+        rest = F.sqrt(sum((((F.col(f"a{c}") * F.col(c) + F.col(f"b{c}") - F.col(f"t{c}")) * (F.col(f"a{c}") * F.col(c) + F.col(f"b{c}") - F.col(f"t{c}"))) for c in "xy"), F.lit(0.0)))
+        rows = pairs.join(found, keys).withColumn("w", 1 / F.greatest(F.lit(1.0), rest / scale) if i else F.lit(1.0))
+        w = F.col("w")
+        sums = rows.groupBy(*keys).agg(F.sum(w).alias("n"), *[F.sum(w * v).alias(f"{name}{c}") for c in "xy" for name, v in (("s", F.col(c)), ("t", F.col(f"t{c}")), ("q", F.col(c) * F.col(c)), ("p", F.col(c) * F.col(f"t{c}")))])
+        lines = {}
+        for c in "xy":
+            spread = F.col("n") * F.col(f"q{c}") - F.col(f"s{c}") * F.col(f"s{c}")
+            a = F.when(F.abs(spread) > 1e-12, (F.col("n") * F.col(f"p{c}") - F.col(f"s{c}") * F.col(f"t{c}")) / spread).otherwise(1.0)
+            lines[f"a{c}"] = F.greatest(F.lit(1 - slope), F.least(F.lit(1 + slope), a))
+            lines[f"b{c}"] = F.greatest(F.lit(-shift), F.least(F.lit(shift), (F.col(f"t{c}") - a * F.col(f"s{c}")) / F.col("n")))
+        found = sums.select(*keys, *[v.alias(k) for k, v in lines.items()])
+    return found
+
+
+def triangulate_best(rays: DataFrame, keys: list[str], cameras: list[str], primary: str | None = None, least: int = 2, mean: float = 0.05, most: float = 0.08, near: float = 0.0, far: float = 10.0) -> DataFrame:
+    """The best of all camera subsets of a key: with `least` views or more and, where the key
+    has it, the primary camera. A subset is valid if every depth along its rays lies in [near,
+    far] and its mean and greatest distance from the rays are within `mean` and `most`. Valid
+    ones come first, then more views, then smaller errors; without a valid one, that of least
+    mean error. The subsets of the few cameras of a rig are a fixed list."""
+    from itertools import combinations
+
+    subsets = [list(s) for n in range(least, len(cameras) + 1) for s in combinations(cameras, n)]
+    options = F.array(*[F.struct(F.lit(i).alias("subset"), F.lit(len(s)).alias("wanted"), F.lit(primary in s).alias("has")) for i, s in enumerate(subsets)])
+    members = F.element_at(F.array(*[F.array(*map(F.lit, s)) for s in subsets]), F.col("subset") + 1)
+    every = rays.withColumn("o", F.explode(options)).select(*rays.columns, "o.*").where(F.array_contains(members, F.col("camera_id")))
+    whole = Window.partitionBy(*keys, "subset")
+    seen = rays.groupBy(*keys).agg(F.max((F.col("camera_id") == F.lit(primary)).cast("int")).alias("seen")) if primary else rays.select(*keys).distinct().withColumn("seen", F.lit(0))
+    every = every.withColumn("got", F.count("*").over(whole)).where("got = wanted").join(seen, keys).where(F.col("has") | (F.col("seen") == 0))
+    points = triangulate(every, [*keys, "subset"]).drop("error")
+    joined = every.join(points, [*keys, "subset"])
+    off = {n: F.col(n) - F.col(f"o{n}") for n in "xyz"}
+    along = sum((off[n] * F.col(f"d{n}") for n in "xyz"), F.lit(0.0))
+    away = F.sqrt(sum(((off[n] - along * F.col(f"d{n}")) * (off[n] - along * F.col(f"d{n}")) for n in "xyz"), F.lit(0.0)))
+    scored = joined.groupBy(*keys, "subset", "views", "x", "y", "z").agg(F.avg(away).alias("error"), F.max(away).alias("worst"), F.min(along).alias("low"), F.max(along).alias("high"))
+    valid = (F.col("low") >= near) & (F.col("high") <= far) & (F.col("error") <= mean) & (F.col("worst") <= most)
+    scored = scored.where("x is not null").withColumn("valid", valid)
+    order = Window.partitionBy(*keys).orderBy(F.desc("valid"), F.desc(F.when(F.col("valid"), F.col("views")).otherwise(0)), F.round("error", 9), F.round("worst", 9), "subset")
+    return scored.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r", "low", "high")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinespark.functions import scores
 from kinespark.functions import vectors as V
 from kinespark.operators import boxes as B
 from kinespark.operators import evaluate as E
@@ -296,12 +297,16 @@ def huber_shift(s, d):
     return fit.huber_shift(p, ["hand", "joint"]).select("hand", "joint", *r6("sx", "sy"))
 
 
-def triangulate_rays(s, d):
+def _rays(s, d) -> DataFrame:
     h = R.joint_rows(R.hands(s, d)).where("joint between 1 and 6")
     size = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
     eye = F.substring("camera_id", 2, 1).cast("double")
-    rays = h.select("group_id", "hand", "joint", (eye * 0.1).alias("ox"), (eye * eye * 0.05).alias("oy"), F.lit(0.0).alias("oz"), *[(F.col(c) / size).alias(f"d{c}") for c in "xyz"])
-    return fit.triangulate(rays, ["group_id", "hand", "joint"]).select("group_id", "hand", "joint", "views", *[(F.round(c, 4) + 0.0).alias(c) for c in ("x", "y", "z", "error")])
+    return h.select("group_id", "hand", "joint", "camera_id", (eye * 0.1).alias("ox"), (eye * eye * 0.05).alias("oy"), F.lit(0.0).alias("oz"), *[(F.col(c) / size).alias(f"d{c}") for c in "xyz"])
+
+
+def triangulate_rays(s, d):
+    found = fit.triangulate(_rays(s, d), ["group_id", "hand", "joint"])
+    return found.select("group_id", "hand", "joint", "views", *[(F.round(c, 4) + 0.0).alias(c) for c in ("x", "y", "z", "error")])
 
 
 def one_euro(s, d):
@@ -309,6 +314,32 @@ def one_euro(s, d):
     return temporal.one_euro(x, SERIES, "group_id", ["x", "y", "z"]).select(*SERIES, "group_id", *r6("x", "y", "z"))
 
 
+def view_quality(s, d):
+    b, c = R.boxes(s, d), F.col
+    mask = F.when(c("n") % 3 == 0, c("score"))
+    score = scores.quality(mask, F.when(c("n") % 3 == 1, c("score")), c("n") % 2 == 0, c("box"), c("origin"), c("n") % 4 == 0, 1 + c("n") / 10.0, 1200, 900)
+    return b.select("group_id", "camera_id", "n", F.round(score, 6).alias("quality"))
+
+
+def axis_affine(s, d):
+    p = _pairs(s, d).where("joint in (4, 8, 12, 16, 20)").select("hand", "joint", "x", "y", "tx", "ty")
+    return fit.axis_affine(p, ["hand", "joint"], 0.3).select("hand", "joint", *r6("ax", "bx", "ay", "by"))
+
+
+def triangulate_subsets(s, d):
+    rays = _rays(s, d)
+    best = fit.triangulate_best(rays, ["group_id", "hand", "joint"], ["C0", "C1", "C2", "C3"], "C0", 2, 0.12, 0.15)
+    return best.select("group_id", "hand", "joint", "views", "valid", *[(F.round(c, 4) + 0.0).alias(c) for c in ("x", "y", "z", "error", "worst")])
+
+
+def chunk_overlap(s, d):
+    """Each chunk of 16 ids with up to two ids of the same camera on either side."""
+    h = R.hands(s, d).select("camera_id", "group_id").distinct()
+    spans = select.chunks(h, ["camera_id"], 16)
+    near = h.join(spans, "camera_id").where(F.col("group_id").between(F.col("low") - 2, F.col("high") + 2))
+    return near.groupBy("camera_id", "chunk").agg(F.min("group_id").alias("low"), F.max("group_id").alias("high"), F.count("*").alias("n"))
+
+
 def view_pivot(s, d):
     """group → camera → quality as a map, cameras in order."""
     h = R.hands(s, d)
@@ -322,7 +353,7 @@ ALL = (
     asof_linear, asof_nearest, bbox_features, bbox_best_overlap, bbox_greedy_match, bbox_global_match, bbox_optimal_match, bbox_suppress, match_recall,
     duplicate_label_repair, spatial_handedness, majority_vote, vote_automaton, anchor_hysteresis, weighted_median, chunk_groups, merge_first_wins, merge_conflicts,
     merge_last_wins, workload_report, knn_loo, ood_gate, joint_offsets_shrunk, bone_scales, similarity_moments, similarity_fit, ridge_residual, huber_shift,
-    triangulate_rays, one_euro, view_pivot,
+    triangulate_rays, one_euro, view_pivot, view_quality, axis_affine, triangulate_subsets, chunk_overlap,
 )
 
 

@@ -248,6 +248,15 @@ SELECT group_id, camera_id, n, round(area, 6) AS area, round(CASE WHEN share < 0
         "joint_offsets_shrunk": f"WITH {_PAIRS}, m AS (SELECT joint, count(*) AS n, avg(tx - x) * count(*) / (count(*) + 20.0) AS x, avg(ty - y) * count(*) / (count(*) + 20.0) AS y, avg(tz - z) * count(*) / (count(*) + 20.0) AS z FROM pairs WHERE group_id % 2 = 0 GROUP BY joint), c AS (SELECT *, least(1, 0.05 / greatest(sqrt(x * x + y * y + z * z), 1e-12)) AS s FROM m) SELECT joint, n, round(x * s, 6) + 0.0 AS x, round(y * s, 6) + 0.0 AS y, round(z * s, 6) + 0.0 AS z FROM c",
         "bone_scales": f"WITH {_BONES}, m AS (SELECT p.bone, count(*) AS n, median(t.length / p.length) AS m FROM lengths p JOIN lengths t ON t.camera_id = 'C3' AND t.sequence_id = p.sequence_id AND t.group_id = p.group_id AND t.hand = p.hand AND t.bone = p.bone WHERE p.camera_id = 'C0' AND p.length > 1e-8 GROUP BY p.bone) SELECT bone, n, round(greatest(0.7, least(1.4, 1 + n / (n + 20.0) * (m - 1))), 6) + 0.0 AS scale FROM m",
         "similarity_moments": f"WITH {_PAIRS}, m AS (SELECT hand, count(*) AS n, {means}, {cov}, var_pop(x) + var_pop(y) + var_pop(z) AS variance FROM pairs GROUP BY hand) SELECT hand, n, {_r(*moment_names)} FROM m",
+        "bidirectional_ema": f"""WITH RECURSIVE {_SERIES}, s AS (SELECT user_id, seq, x, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS i, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS k FROM series),
+f AS (SELECT user_id, i, x AS v FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.i, 0.5 * s.x + 0.5 * f.v FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1),
+b AS (SELECT user_id, k, x AS v FROM s WHERE k = 1 UNION ALL SELECT s.user_id, s.k, 0.5 * s.x + 0.5 * b.v FROM b JOIN s ON s.user_id = b.user_id AND s.k = b.k + 1)
+SELECT s.user_id, s.seq, round((f.v + b.v) / 2, 6) + 0.0 AS x FROM s JOIN f ON f.user_id = s.user_id AND f.i = s.i JOIN b ON b.user_id = s.user_id AND b.k = s.k""",
+        "view_quality": f"""WITH {_BOXES}, a AS (SELECT *, (x2 - x1) * (y2 - y1) / 1080000.0::DOUBLE AS share, least(x1, y1, 1200 - x2, 900 - y2) AS margin FROM boxes)
+SELECT group_id, camera_id, n, round(0.55 * CASE WHEN n % 3 IN (0, 1) THEN least(1, greatest(0, score)) WHEN n % 2 = 0 THEN 0 ELSE 0.28 END
+  + 0.15 * CASE WHEN share < 0.003 THEN share / 0.003 WHEN share <= 0.12 THEN 1.0 ELSE 0.12 / share END + 0.12 * least(1, greatest(0, (margin + 20) / 80))
+  + 0.08 * 0.5 + CASE WHEN n % 4 = 0 THEN 0.04 ELSE 0 END - 0.04 * (n / 10.0), 6) AS quality FROM a""",
+        "chunk_overlap": f"WITH {_HANDS}, g AS (SELECT DISTINCT camera_id, group_id FROM hands), r AS (SELECT *, (row_number() OVER (PARTITION BY camera_id ORDER BY group_id) - 1) // 16 AS chunk FROM g), c AS (SELECT camera_id, chunk, min(group_id) AS low, max(group_id) AS high FROM r GROUP BY ALL) SELECT g.camera_id, chunk, min(group_id) AS low, max(group_id) AS high, count(*) AS n FROM g JOIN c ON g.camera_id = c.camera_id AND g.group_id BETWEEN c.low - 2 AND c.high + 2 GROUP BY g.camera_id, chunk",
         "huber_shift": _huber(),
         "triangulate_rays": _triangulate(),
     }

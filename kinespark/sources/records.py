@@ -58,6 +58,20 @@ def explode_hands(records: DataFrame) -> DataFrame:
     return records.select("group_id", "camera_id", F.explode("hands").alias("h")).select("group_id", "camera_id", "h.*")
 
 
+def read_sensor_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A sensor CSV with a header, before which a line with the number of rows may stand; all
+    columns are doubles, and what isn't a number is null."""
+    lines = spark.read.text(path)
+    first = [r["value"] for r in lines.limit(2).collect()]
+    counted = bool(first) and first[0].strip().isdigit()
+    header = first[int(counted)]
+    schema = ", ".join(f"`{name.strip()}` double" for name in header.split(","))
+    rows = lines.where((F.trim("value") != "") & (F.col("value") != header))
+    if counted:
+        rows = rows.where(F.col("value") != first[0])
+    return rows.select(F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+
+
 def merge_shards(shards: list[DataFrame], keys: list[str]) -> DataFrame:
     """All rows, the first of each key: by shard, then by the row's other columns in order."""
     parts = [s.withColumn("__shard", F.lit(i)) for i, s in enumerate(shards)]

@@ -136,3 +136,30 @@ def test_medoid_is_a_view(spark):
     rows = catalog.fuse_medoid(spark, SF).collect()
     assert rows and all(r["camera_id"] in ("C0", "C1", "C2", "C3") for r in rows)
     assert len(fuse.BONES) == 20
+
+
+def test_sensor_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("2\nframe,x\n1,0.5\n2,bad\n")
+    (tmp_path / "b.csv").write_text("frame,x\n1,0.5\n")
+    assert [tuple(r) for r in records.read_sensor_csv(spark, str(tmp_path / "a.csv")).orderBy("frame").collect()] == [(1.0, 0.5), (2.0, None)]
+    assert [tuple(r) for r in records.read_sensor_csv(spark, str(tmp_path / "b.csv")).collect()] == [(1.0, 0.5)]
+
+
+def test_axis_affine(spark):
+    r = np.random.default_rng(1)
+    x, y = r.normal(size=60), r.normal(size=60)
+    tx, ty = 1.2 * x + 0.3, 0.9 * y - 0.2
+    df = spark.createDataFrame([(1, *map(float, v)) for v in zip(x, y, tx, ty)], "k int, x double, y double, tx double, ty double")
+    row = fit.axis_affine(df, ["k"]).first()
+    assert np.allclose([row["ax"], row["bx"], row["ay"], row["by"]], [1.2, 0.3, 0.9, -0.2])
+
+
+def test_triangulate_subsets(spark):
+    """Three rays through one point and one that misses it: the subset of three wins."""
+    point, rows = np.array([0.1, 0.2, 2.0]), []
+    for i, o in enumerate([(0, 0, 0), (1, 0, 0), (0, 1, 0), (1, 1, 0)]):
+        d = point - o + (np.array([0.5, 0, 0]) if i == 3 else 0)
+        rows.append((1, f"C{i}", *map(float, o), *map(float, d / np.linalg.norm(d))))
+    rays = spark.createDataFrame(rows, "k int, camera_id string, ox double, oy double, oz double, dx double, dy double, dz double")
+    best = fit.triangulate_best(rays, ["k"], ["C0", "C1", "C2", "C3"], "C0").first()
+    assert best["views"] == 3 and best["valid"] and np.allclose([best["x"], best["y"], best["z"]], point)
