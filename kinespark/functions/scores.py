@@ -9,7 +9,7 @@ from . import vectors as V
 
 #: Weights of the mask, area and edge scores, bonuses of the detectors and of a
 #: known label, the mask's score where there is none, and the cost of a scale other than 1.
-MASK, AREA, EDGE, DETECTORS, KNOWN = 0.55, 0.15, 0.12, 0.08, 0.04
+MASK, AREA, EDGE, DETECTORS, KNOWN = 0.55, 0.15, 0.12, 0.06, 0.05
 NO_MASK, SCALE_COST = 0.28, 0.04
 
 

@@ -255,7 +255,7 @@ SELECT s.user_id, s.seq, round((f.v + b.v) / 2, 6) + 0.0 AS x FROM s JOIN f ON f
         "view_quality": f"""WITH {_BOXES}, a AS (SELECT *, (x2 - x1) * (y2 - y1) / 1080000.0::DOUBLE AS share, least(x1, y1, 1200 - x2, 900 - y2) AS margin FROM boxes)
 SELECT group_id, camera_id, n, round(0.55 * CASE WHEN n % 3 IN (0, 1) THEN least(1, greatest(0, score)) WHEN n % 2 = 0 THEN 0 ELSE 0.28 END
   + 0.15 * CASE WHEN share < 0.003 THEN share / 0.003 WHEN share <= 0.12 THEN 1.0 ELSE 0.12 / share END + 0.12 * least(1, greatest(0, (margin + 20) / 80))
-  + 0.08 * 0.5 + CASE WHEN n % 4 = 0 THEN 0.04 ELSE 0 END - 0.04 * (n / 10.0), 6) AS quality FROM a""",
+  + 0.06 * 0.5 + CASE WHEN n % 4 = 0 THEN 0.05 ELSE 0 END - 0.04 * (n / 10.0), 6) AS quality FROM a""",
         "chunk_overlap": f"WITH {_HANDS}, g AS (SELECT DISTINCT camera_id, group_id FROM hands), r AS (SELECT *, (row_number() OVER (PARTITION BY camera_id ORDER BY group_id) - 1) // 16 AS chunk FROM g), c AS (SELECT camera_id, chunk, min(group_id) AS low, max(group_id) AS high FROM r GROUP BY ALL) SELECT g.camera_id, chunk, min(group_id) AS low, max(group_id) AS high, count(*) AS n FROM g JOIN c ON g.camera_id = c.camera_id AND g.group_id BETWEEN c.low - 2 AND c.high + 2 GROUP BY g.camera_id, chunk",
         "huber_shift": _huber(),
         "triangulate_rays": _triangulate(),
