@@ -78,7 +78,7 @@ def _errors(s, d) -> DataFrame:
 
 
 def eval_grouping_sets(s, d):
-    return E.summary(_errors(s, d)).select("level", "hand", "finger", "joint", "n", *r6("mean", "median", "rmse", "p90", "p95", "max"))
+    return E.summary(_errors(s, d)).select("level", "hand", "finger", F.coalesce("joint", F.lit(-1)).alias("joint"), "n", *r6("mean", "median", "rmse", "p90", "p95", "max"))
 
 
 def _gate(s, d) -> tuple[DataFrame, DataFrame]:
@@ -160,7 +160,7 @@ def bbox_features(s, d):
 
 def bbox_best_overlap(s, d):
     b = R.boxes(s, d)
-    return B.best_overlap(b.where("origin = 'mediapipe'"), b.where("origin = 'sam3'")).select("group_id", "camera_id", "n", "match", *r6("iou"))
+    return B.best_overlap(b.where("origin = 'mediapipe'"), b.where("origin = 'sam3'")).select("group_id", "camera_id", "n", F.coalesce("match", F.lit(0)).alias("match"), *r6("iou"))
 
 
 def bbox_greedy_match(s, d):

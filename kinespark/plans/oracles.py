@@ -215,7 +215,7 @@ SELECT {_K}, camera_id, {_r('cost')} FROM (SELECT *, row_number() OVER (PARTITIO
         "fuse_mean_smoothed": _gaussian(),
         "bone_median_of_medians": f"WITH {_BONES}, m AS (SELECT hand, camera_id, bone, median(length) AS m FROM lengths GROUP BY ALL HAVING count(*) >= 3) SELECT hand, bone, round(median(m), 6) + 0.0 AS length, count(*) AS cameras FROM m GROUP BY hand, bone",
         "palm_local": _palm(),
-        "eval_grouping_sets": f"WITH {errors}, o AS (SELECT concat_ws('_', CASE WHEN grouping(hand) = 0 THEN 'hand' END, CASE WHEN grouping(finger) = 0 THEN 'finger' END, CASE WHEN grouping(joint) = 0 THEN 'joint' END) AS level, hand, finger, joint, {stats} FROM errors GROUP BY GROUPING SETS ((), (hand), (finger), (joint), (hand, finger))) SELECT CASE WHEN level = '' THEN 'overall' ELSE level END AS level, hand, finger, joint, n, {_r('mean', 'median', 'rmse', 'p90', 'p95', 'max')} FROM o",
+        "eval_grouping_sets": f"WITH {errors}, o AS (SELECT concat_ws('_', CASE WHEN grouping(hand) = 0 THEN 'hand' END, CASE WHEN grouping(finger) = 0 THEN 'finger' END, CASE WHEN grouping(joint) = 0 THEN 'joint' END) AS level, hand, finger, joint, {stats} FROM errors GROUP BY GROUPING SETS ((), (hand), (finger), (joint), (hand, finger))) SELECT CASE WHEN level = '' THEN 'overall' ELSE level END AS level, hand, finger, coalesce(joint, -1) AS joint, n, {_r('mean', 'median', 'rmse', 'p90', 'p95', 'max')} FROM o",
         "gate_diagnostics_3way": f"WITH {_GATE}, g AS (SELECT bucket, base.error - gated.error AS gain FROM base JOIN gated USING ({_K})) SELECT bucket, count(*) AS n, round(avg(gain), 6) + 0.0 AS mean, round(median(gain), 6) + 0.0 AS median, round(avg((gain > 1e-9)::DOUBLE), 6) + 0.0 AS positive FROM g GROUP BY bucket",
         "prefer_gated": f"WITH {_GATE}, g AS (SELECT * FROM gated WHERE group_id % 3 <> 1), o AS (SELECT {_K}, coalesce(g.error < 1.2, false) AS replaced, CASE WHEN g.error < 1.2 THEN g.error ELSE base.error END AS error FROM base LEFT JOIN g USING ({_K})) SELECT {_K}, {_r('error')}, replaced FROM o",
         "gap_fill": _fill(),
@@ -231,7 +231,7 @@ d AS (SELECT *, greatest(5.0, 2.0 * 1.4826 * list_median(list_transform(w, lambd
 a AS (SELECT *, {area} AS area, {area} / 1080000.0::DOUBLE AS share, least(c1, c2, 1200 - c3, 900 - c4) AS margin FROM c)
 SELECT group_id, camera_id, n, round(area, 6) AS area, round(CASE WHEN share < 0.003 THEN share / 0.003 WHEN share <= 0.12 THEN 1.0 ELSE 0.12 / share END, 6) AS area_score,
   round(least(1, greatest(0, (margin + 20) / 80)), 6) AS edge_score, round(1 / (1 + ((score - 0.5) / 0.2) ** 2), 6) AS weight FROM a""",
-        "bbox_best_overlap": f"WITH {_OVERLAP.format(least=0.25)} SELECT group_id, camera_id, n, match, {_r('iou')} FROM found",
+        "bbox_best_overlap": f"WITH {_OVERLAP.format(least=0.25)} SELECT group_id, camera_id, n, coalesce(match, 0) AS match, {_r('iou')} FROM found",
         "match_recall": f"WITH {_OVERLAP.format(least=0.05)}, v AS (SELECT camera_id, coalesce(iou, 0) AS v FROM found) SELECT camera_id, count(*) AS n, round(avg((v >= 0.5)::DOUBLE), 6) + 0.0 AS recall, round(avg(v), 6) + 0.0 AS mean, round(median(v), 6) + 0.0 AS median, round(quantile_cont(v, 0.1), 6) + 0.0 AS p10 FROM v GROUP BY camera_id",
         "duplicate_label_repair": f"WITH {_LABELLED}, m AS (SELECT *, count(*) OVER k = 2 AND min(label) OVER k = max(label) OVER k AS twins, row_number() OVER (PARTITION BY group_id, camera ORDER BY score DESC, pos) AS r FROM labelled WINDOW k AS (PARTITION BY group_id, camera)) SELECT group_id, camera, pos, score, CASE WHEN twins AND r = 2 THEN CASE label WHEN 'Left' THEN 'Right' ELSE 'Left' END ELSE label END AS label FROM m",
         "spatial_handedness": f"WITH {_LABELLED} SELECT pos, CASE WHEN count(*) OVER (PARTITION BY group_id, camera) = 2 THEN CASE WHEN row_number() OVER (PARTITION BY group_id, camera ORDER BY score, pos) = 1 THEN 'Left' ELSE 'Right' END END AS label FROM labelled",
