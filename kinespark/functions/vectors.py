@@ -125,3 +125,77 @@ def palm_local(joints: Column) -> Column:
         return F.when(s.axes.isNotNull(), F.transform(s.j, lambda p: let(sub(p, at(s.j, 0)), lambda q: F.transform(s.axes, lambda a: dot(q, a)))))
 
     return let(F.struct(palm_axes(joints).alias("axes"), joints.alias("j")), moved)
+
+
+def expand_box(b: Column, pad: float, width: float, height: float) -> Column:
+    """The square around the box's centre whose side is its longer one (2 at least) times pad,
+    within the image."""
+    half = F.greatest(at(b, 2) - at(b, 0), at(b, 3) - at(b, 1), F.lit(2.0)) * (pad / 2)
+    x, y = (at(b, 0) + at(b, 2)) / 2, (at(b, 1) + at(b, 3)) / 2
+    return clamp_box(vec(x - half, y - half, x + half, y + half), width, height)
+
+
+def scaled_box(b: Column, scale: float, width: int, height: int) -> Column:
+    """The box, each side 2 at least, grown by scale about its centre, within the pixels."""
+    low, high = F.lit(0.0), {0: F.lit(float(width - 1)), 1: F.lit(float(height - 1))}
+
+    def edge(axis: int, sign: int) -> Column:
+        half = F.greatest(at(b, axis + 2) - at(b, axis), F.lit(2.0)) * (scale / 2)
+        return F.least(high[axis], F.greatest(low, (at(b, axis) + at(b, axis + 2)) / 2 + sign * half))
+
+    return vec(edge(0, -1), edge(1, -1), edge(0, 1), edge(1, 1))
+
+
+def box_xywh(b: Column) -> Column:
+    return vec(at(b, 0), at(b, 1), at(b, 2) - at(b, 0), at(b, 3) - at(b, 1))
+
+
+def unit(v: Column) -> Column:
+    """v at length 1; zeros where it is shorter than 1e-9."""
+    return let(v, lambda u: F.when(norm(u) > 1e-9, scaled(u, 1 / norm(u))).otherwise(scaled(u, F.lit(0.0))))
+
+
+def knuckle_axes(joints: Column) -> Column:
+    """Rows x, y, z of the frame of the knuckles: x from the little finger's base to the index
+    base, z normal to it and the way from the wrist to their middle, y = z cross x; null where
+    one of these has no length."""
+    index, little, wrist = at(joints, 5), at(joints, 17), at(joints, 0)
+    middle = F.zip_with(index, little, lambda a, b: (a + b) / 2)
+    return let(
+        F.struct(unit(sub(index, little)).alias("x"), unit(sub(middle, wrist)).alias("u")),
+        lambda s: let(
+            F.struct(s.x.alias("x"), unit(cross(s.x, s.u)).alias("z")),
+            lambda t: F.when((norm(t.x) > 0.5) & (norm(t.z) > 0.5), F.array(t.x, unit(cross(t.z, t.x)), t.z)),
+        ),
+    )
+
+
+def rotation_degrees(a: Column, b: Column) -> Column:
+    """Angle between two rotation matrices given as rows."""
+    trace = dot(at(a, 0), at(b, 0)) + dot(at(a, 1), at(b, 1)) + dot(at(a, 2), at(b, 2))
+    return F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (trace - 1) / 2))))
+
+
+def project(p: Column, fx: float, fy: float, cx: float, cy: float) -> Column:
+    """Pixel of a point before a pinhole camera; null at or behind it."""
+    return F.when(at(p, 2) > 1e-6, vec(at(p, 0) / at(p, 2) * fx + cx, at(p, 1) / at(p, 2) * fy + cy))
+
+
+def affine(q: Column, m: list[list[float]]) -> Column:
+    """A pixel under a 2 x 3 matrix."""
+    return vec(*[at(q, 0) * r[0] + at(q, 1) * r[1] + r[2] for r in m])
+
+
+def inverse_affine(q: Column, m: list[list[float]]) -> Column:
+    """affine() undone; the pixel itself where the matrix has no inverse."""
+    (a, b, c), (d, e, f) = m
+    full = a * e - b * d
+    if abs(full) < 1e-10:
+        return q
+    x, y = at(q, 0) - c, at(q, 1) - f
+    return vec((x * e - y * b) / full, (y * a - x * d) / full)
+
+
+def from_crop(q: Column, x: Column, y: Column, size: Column, mirrored: Column) -> Column:
+    """A point of a square crop (from its centre, in its sides) as a pixel of the image."""
+    return vec(F.when(mirrored, -at(q, 0)).otherwise(at(q, 0)) * size + x, at(q, 1) * size + y)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: The 20 bones of a hand as (parent, child) of its 21 points.
 BONES = [
@@ -69,3 +72,60 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) ->
     run = F.sum(weight).over(w.orderBy(value, weight).rowsBetween(Window.unboundedPreceding, 0))
     marked = df.withColumn("__run", run).withColumn("__all", F.sum(weight).over(w))
     return marked.where(F.col("__run") >= 0.5 * F.col("__all")).groupBy(*keys).agg(F.min(value).alias(value))
+
+
+def with_static_bones(h: DataFrame, lengths: DataFrame, blend: float) -> DataFrame:
+    """h (joints from the wrist) with its bones drawn towards `lengths` (hand, bone, length)
+    by blend, from the wrist outwards; a bone without length stays where it was, and so do
+    hands without lengths. The lengths are twenty rows a hand."""
+    table = lengths.groupBy("hand").agg(F.map_from_entries(F.collect_list(F.struct("bone", "length"))).alias("__length"))
+    parents = F.array(*[F.lit(a) for a, _ in BONES])
+
+    def placed(out: Column, bone: Column) -> Column:
+        parent = F.get(parents, bone)
+        a, b = F.get("joints", parent), F.get("joints", bone + 1)
+        size = F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (y - x) * (y - x)), F.lit(0.0), lambda s, v: s + v))
+        grow = 1 - blend + blend * F.try_element_at("__length", bone) / size
+        moved = F.zip_with(F.get(out, parent), F.zip_with(a, b, lambda x, y: (y - x) * grow), lambda x, y: x + y)
+        return F.concat(out, F.array(F.when(size > 1e-8, moved).otherwise(b)))
+
+    # bone i ends in joint i + 1, so joints come in order
+    start = F.array(F.transform(F.get("joints", F.lit(0)), lambda x: x * 0.0))
+    drawn = F.aggregate(F.sequence(F.lit(0), F.lit(len(BONES) - 1)), start, placed)
+    return h.join(F.broadcast(table), "hand", "left").withColumn("joints", F.when(F.size("__length") == len(BONES), drawn).otherwise(F.col("joints"))).drop("__length")
+
+
+@F.pandas_udf(DoubleType())
+def aligned_error(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Mean distance of the points of two hands after the best rotation and shift of a to b."""
+    if not len(a):
+        return pd.Series([], dtype=float)
+    p, q = (np.stack([np.stack(list(v)) for v in side]).astype(float) for side in (a, b))
+    p, q = p - p.mean(axis=1, keepdims=True), q - q.mean(axis=1, keepdims=True)
+    u, _, vt = np.linalg.svd(np.einsum("nki,nkj->nij", p, q))
+    flip = np.ones((len(p), 3))
+    flip[:, 2] = np.sign(np.linalg.det(u) * np.linalg.det(vt))
+    turned = np.einsum("nki,nij->nkj", p, (u * flip[:, None, :]) @ vt)
+    return pd.Series(np.linalg.norm(turned - q, axis=2).mean(axis=1))
+
+
+def consensus_errors(h: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, camera_id, error): the median of a camera's aligned errors to the key's other
+    cameras; null for one that is alone. Pairs within a key are bounded by the cameras."""
+    one = h.select(*keys, "camera_id", "joints")
+    other = one.select(*keys, F.col("camera_id").alias("other"), F.col("joints").alias("__joints"))
+    pairs = one.join(other, keys).where("camera_id < other").select(*keys, "camera_id", "other", aligned_error("joints", "__joints").alias("error"))
+    ends = pairs.select(*keys, F.explode(F.array("camera_id", "other")).alias("camera_id"), "error")
+    return one.drop("joints").join(ends.groupBy(*keys, "camera_id").agg(F.median("error").alias("error")), [*keys, "camera_id"], "left")
+
+
+def camera_report(rows: DataFrame, most: float, keys: list[str] = KEYS) -> DataFrame:
+    """One row a camera: its hands, those whose mean distance to the fused hand is at most
+    `most` (accepted) and the rest, and the mean, median and greatest distance."""
+    fused = mean_views(rows, keys).select(*keys, "joint", *[F.col(c).alias(f"f{c}") for c in "xyz"])
+    apart = F.sqrt(sum(((F.col(c) - F.col(f"f{c}")) * (F.col(c) - F.col(f"f{c}")) for c in "xyz"), F.lit(0.0)))
+    each = rows.join(fused, [*keys, "joint"]).groupBy(*keys, "camera_id").agg(F.avg(apart).alias("error"))
+    accepted = F.count_if(F.col("error") <= most)
+    return each.groupBy("camera_id").agg(
+        F.count("*").alias("hands"), accepted.alias("accepted"), (F.count("*") - accepted).alias("rejected"), F.avg("error").alias("mean"), F.median("error").alias("median"), F.max("error").alias("max")
+    )

@@ -169,29 +169,78 @@ def asof(marks: DataFrame, stream: DataFrame, mark: str, frame: str, hand: str,
     return out.withColumn(value, pick).drop("a", "b")
 
 
-def one_euro(df: DataFrame, keys: list[str], clock: str, values: list[str], fps: float = 25.0, min_cutoff: float = 1.5, beta: float = 0.3, derivative_cutoff: float = 1.0) -> DataFrame:
-    """Adaptive low-pass over the vector of `values`: its speed, itself smoothed, raises the
-    cutoff; starts anew after each gap. Streams in clock order, one state a series."""
+def one_euro_step(state: tuple | None, t: int, x: np.ndarray, identity: str | None, fps: float = 25.0, min_cutoff: float = 1.5, beta: float = 0.3, derivative_cutoff: float = 1.0) -> tuple:
+    """(t, identity, raw, filtered, slope) after one frame. The filter starts anew after a gap
+    in t, and where both frames have an identity and these differ."""
 
     def rate(cutoff: float) -> float:
         return 1 / (1 + fps / (2 * math.pi * cutoff))
 
+    if state is None or state[0] != t - 1 or (identity and state[1] and identity != state[1]):
+        return t, identity, x, x.copy(), np.zeros(len(x))
+    _, _, raw, out, slope = state
+    a = rate(derivative_cutoff)
+    slope = a * (x - raw) * fps + (1 - a) * slope
+    a = rate(min_cutoff + beta * float(np.linalg.norm(slope)))
+    return t, identity, x, a * x + (1 - a) * out, slope
+
+
+def one_euro(df: DataFrame, keys: list[str], clock: str, values: list[str], identity: str | None = None, **how: float) -> DataFrame:
+    """Adaptive low-pass over the vector of `values`: its speed, itself smoothed, raises the
+    cutoff; see one_euro_step(). Streams in clock order, one state a series."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, raw, out, slope = None, None, None, None
+        now, state = None, None
         for frame in frames:
             x = frame[values].to_numpy(float)
             y = np.empty_like(x)
-            for i, row in enumerate(frame[[*keys, clock]].itertuples(index=False)):
+            names = frame[identity] if identity else [None] * len(frame)
+            for i, (row, name) in enumerate(zip(frame[[*keys, clock]].itertuples(index=False), names, strict=True)):
                 key, t = tuple(row[:-1]), row[-1]
-                if at == (key, t - 1):
-                    a = rate(derivative_cutoff)
-                    slope = a * (x[i] - raw) * fps + (1 - a) * slope
-                    a = rate(min_cutoff + beta * float(np.linalg.norm(slope)))
-                    out = a * x[i] + (1 - a) * out
-                else:
-                    out, slope = x[i].copy(), np.zeros(len(values))
-                at, raw, y[i] = (key, t), x[i], out
+                state = one_euro_step(state if key == now else None, t, x[i], name, **how)
+                now, y[i] = key, state[3]
             yield frame.assign(**{v: y[:, j] for j, v in enumerate(values)})
 
-    rows = df.select(*keys, clock, *values).repartition(*keys).sortWithinPartitions(*keys, clock)
+    extra = [identity] if identity else []
+    rows = df.select(*keys, clock, *extra, *values).repartition(*keys).sortWithinPartitions(*keys, clock)
+    return rows.mapInPandas(run, rows.schema)
+
+
+def propagated(df: DataFrame, keys: list[str], clock: str, keyframe: Column, score: str, decay: float = 0.98) -> DataFrame:
+    """df with `age`, the frames since the series' last keyframe, and `carried`, that one's
+    score times decay to the power of age; both null before the first keyframe."""
+    w = Window.partitionBy(*keys).orderBy(clock).rowsBetween(Window.unboundedPreceding, 0)
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(clock))
+    last = F.last(F.when(F.col("__key"), F.struct("__n", score)), ignorenulls=True).over(w)
+    marked = df.withColumn("__key", keyframe).withColumn("__n", n).withColumn("__last", last)
+    age = (F.col("__n") - F.col("__last.__n")).cast("long")
+    return marked.withColumn("age", age).withColumn("carried", F.col("__last")[score] * F.pow(F.lit(decay), age)).drop("__key", "__n", "__last")
+
+
+def smooth_rotations(df: DataFrame, keys: list[str], clock: str, axes: str, alpha: float) -> DataFrame:
+    """df with the rotation matrix `axes` (rows of three doubles, whose first two span it)
+    blended with the one before: alpha of its two leading axes and 1 - alpha of the smoothed
+    ones before, made orthonormal. Streams in clock order; the first of a series stays."""
+
+    def orthonormal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a = a / max(float(np.linalg.norm(a)), 1e-8)
+        b = b - (a @ b) * a
+        b = b / max(float(np.linalg.norm(b)), 1e-8)
+        return np.stack([a, b, np.cross(a, b)])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, None
+        for frame in frames:
+            out = []
+            for row, given in zip(frame[keys].itertuples(index=False), frame[axes], strict=True):
+                r = np.stack([np.asarray(v, float) for v in given])
+                if tuple(row) == now:
+                    mixed = alpha * r[:2] + (1 - alpha) * held[:2]
+                    r = orthonormal(mixed[0], mixed[1])
+                now, held = tuple(row), r
+                out.append(r.tolist())
+            frame[axes] = out
+            yield frame
+
+    rows = df.select(*keys, clock, axes).repartition(*keys).sortWithinPartitions(*keys, clock)
     return rows.mapInPandas(run, rows.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinespark.functions import scores
@@ -15,7 +15,7 @@ from kinespark.operators import evaluate as E
 from kinespark.operators import fit, fuse, select, temporal
 from kinespark.plans import oracles
 from kinespark.sources import records as R
-from kinespark.streaming import labels
+from kinespark.streaming import labels, online
 
 KEYS = fuse.KEYS
 SERIES = ["sequence_id", "hand"]
@@ -347,7 +347,117 @@ def view_pivot(s, d):
     return h.groupBy("group_id", "hand").agg(F.to_json(F.map_from_entries(entries)).alias("views"))
 
 
+#: A pinhole camera and a correction of its pixels, for the queries on projection.
+CAMERA = (600.0, 580.0, 320.0, 240.0)
+CORRECTION = [[1.02, 0.01, -3.0], [-0.005, 0.98, 2.0]]
+
+
+def static_bones_applied(s, d):
+    h = fuse.root_relative(R.hands(s, d))
+    return R.joint_rows(fuse.with_static_bones(h, fuse.static_bones(h), 0.7)).select("pos", "joint", *r6("x", "y", "z"))
+
+
+def consensus_choice(s, d):
+    """Each view's role, agreement with the others and score by both."""
+    h = fuse.root_relative(R.hands(s, d))
+    e = fuse.consensus_errors(h).withColumn("role", scores.role(F.col("camera_id"), "C0", "C1"))
+    bonus = F.when(F.col("role") == "primary", 0.2).when(F.col("role") == "backup_primary", 0.1).otherwise(0.0)
+    return e.withColumn("score", scores.consensus(F.col("error"), 0.5, 0.4) + bonus).select(*KEYS, "camera_id", "role", *r6("error", "score"))
+
+
+def backup_gate(s, d):
+    h = R.hands(s, d).where("camera_id = 'C1'")
+    c = F.col
+    known = F.when(c("pos") % 11 != 0, c("pos") % 5 != 0)
+    reason = scores.backup_reason(known, F.when(c("pos") % 3 != 0, c("quality")), 1 - c("quality"), F.when(c("pos") % 4 != 1, c("quality") * 0.1), 0.4, 0.5, 0.06)
+    return h.select(*KEYS, reason.alias("reason"))
+
+
+def camera_report(s, d):
+    found = fuse.camera_report(long_hands(s, d), 0.25)
+    return found.select("camera_id", "hands", "accepted", "rejected", *r6("mean", "median", "max"))
+
+
+def reprojection(s, d):
+    """Pixels of C0's and C3's hands four units before one camera: the mean distance of the
+    corrected ones weighted by quality, and how far the correction undone is off."""
+    moved = F.transform("joints", lambda p: V.vec(V.at(p, 0), V.at(p, 1), F.abs(V.at(p, 2)) + 4.0))
+    h = R.hands(s, d).where("camera_id in ('C0', 'C3')").select(*KEYS, "camera_id", "quality", F.posexplode(moved).alias("joint", "p"))
+    h = h.withColumn("q", V.project(F.col("p"), *CAMERA)).withColumn("c", V.affine(F.col("q"), CORRECTION))
+    h = h.withColumn("u", V.inverse_affine(F.col("c"), CORRECTION))
+
+    def apart(a: Column, b: Column) -> Column:
+        return F.hypot(V.at(a, 0) - V.at(b, 0), V.at(a, 1) - V.at(b, 1))
+
+    truth = h.where("camera_id = 'C3'").select(*KEYS, "joint", F.col("c").alias("t"))
+    pairs = h.where("camera_id = 'C0' and quality > 1e-4").join(truth, [*KEYS, "joint"])
+    both = pairs.groupBy(*KEYS).agg((F.sum(F.col("quality") * apart(F.col("c"), F.col("t"))) / F.sum("quality")).alias("error"), F.max(apart(F.col("q"), F.col("u"))).alias("undone"))
+    return both.select(*KEYS, *r6("error", "undone"))
+
+
+def rotation_step(s, d):
+    """Angle of the palm to that of the frame before, by camera."""
+    h = R.hands(s, d).withColumn("axes", V.palm_axes(F.col("joints"))).where("axes is not null")
+    before = F.lag("axes").over(Window.partitionBy(*SERIES, "camera_id").orderBy("group_id"))
+    found = h.withColumn("before", before).where("before is not null").withColumn("degrees", V.rotation_degrees(F.col("axes"), F.col("before")))
+    return found.select("pos", *[(F.round("degrees", 4) + 0.0).alias("degrees")])
+
+
+def rotation_smooth(s, d):
+    h = R.hands(s, d).where("camera_id = 'C0'").withColumn("axes", V.palm_axes(F.col("joints"))).where("axes is not null")
+    found = temporal.smooth_rotations(h, SERIES, "group_id", "axes", 0.4)
+    return found.select(*SERIES, "group_id", F.posexplode("axes").alias("axis", "v")).select(*SERIES, "group_id", "axis", *[(F.round(V.at(F.col("v"), i), 6) + 0.0).alias("xyz"[i]) for i in range(3)])
+
+
+def knuckle_frame(s, d):
+    h = R.hands(s, d).withColumn("axes", V.knuckle_axes(F.col("joints"))).where("axes is not null")
+    return h.select("pos", F.posexplode("axes").alias("axis", "v")).select("pos", "axis", *[(F.round(V.at(F.col("v"), i), 6) + 0.0).alias("xyz"[i]) for i in range(3)])
+
+
+def keyframe_decay(s, d):
+    x = R.hands(s, d).select("camera_id", "hand", "sequence_id", "group_id", "pos", "quality")
+    found = temporal.propagated(x, [*SERIES, "camera_id"], "group_id", F.col("group_id") % 5 == 0, "quality")
+    return found.where("age is not null").select("pos", "age", *r6("carried"))
+
+
+def box_transforms(s, d):
+    b = F.col("box")
+    shapes = {"expanded": V.expand_box(b, 1.3, 1200, 900), "scaled": V.scaled_box(b, 1.5, 1200, 900), "xywh": V.box_xywh(b), "joined": V.union_box(b, V.vec(*[F.lit(float(v)) for v in (300, 200, 500, 400)]))}
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in shapes.items()])).alias("s")
+    return R.boxes(s, d).select("group_id", "camera_id", "n", kinds).select("group_id", "camera_id", "n", "s.kind", *[(F.round(V.at(F.col("s.v"), i), 6) + 0.0).alias(f"v{i}") for i in range(4)])
+
+
+def crop_keypoints(s, d):
+    """Hands as points of a crop, put into the image (Left mirrored), and their confidence."""
+    h = R.joint_rows(R.hands(s, d)).where("joint in (0, 4, 8)")
+    c = F.col
+    box = V.vec(c("group_id") % 700 + 0.0, c("pos") % 500 + 0.0, c("group_id") % 700 + 200.0, c("pos") % 500 + 200.0)
+    pixel = V.from_crop(V.vec(c("x"), c("y")), c("group_id") % 700 + 100.0, c("pos") % 500 + 100.0, F.lit(200.0), c("hand") == "Left")
+    h = h.withColumn("pixel", pixel)
+    confidence = scores.joint_confidence(c("pixel"), box, F.when(c("pos") % 3 != 0, c("quality")), F.when(c("pos") % 2 == 0, c("joint") != 4), 1200.0, 900.0)
+    return h.select("pos", "joint", F.round(V.at(c("pixel"), 0), 6).alias("px"), F.round(V.at(c("pixel"), 1), 6).alias("py"), F.round(confidence, 6).alias("confidence"))
+
+
+def fingertip_summary(s, d):
+    """Distances of the fingers' tips and bases from the wrist."""
+    h = long_hands(s, d).where("joint in (2, 4, 5, 8, 9, 12, 13, 16, 17, 20)")
+    size = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    tip = F.when(F.col("joint") % 4 == 0, "tip").otherwise("base")
+    return h.select("pos", "joint", tip.alias("part"), F.round(size, 6).alias("length"))
+
+
+def online_labels(s, d):
+    c = F.col
+    jobs = _labelled(s, d).select(
+        F.concat(F.lit("C"), (F.floor(c("group_id") / 64)).cast("string"), F.lit("-"), c("camera").cast("string")).alias("camera_id"),
+        "group_id", c("pos").alias("job"), F.when(c("pos") % 7 != 3, c("pos") % 4).alias("track_id"), F.when(c("pos") % 5 != 2, c("label")).alias("observed"), "score", (c("group_id") % 2 == 0).alias("keyframe"),
+    )
+    return online.online_labels(jobs)
+
+
 ALL = (
+    static_bones_applied, consensus_choice, backup_gate, camera_report, reprojection, rotation_step, rotation_smooth, knuckle_frame, keyframe_decay, box_transforms, crop_keypoints,
+    fingertip_summary, online_labels,
     frames_filter_range, stride_sample, view_argmax, fuse_mean, fuse_quality_weighted, fuse_medoid, fuse_mean_smoothed, bone_median_of_medians, palm_local,
     eval_grouping_sets, gate_diagnostics_3way, prefer_gated, gap_fill, causal_ema, bidirectional_ema, hampel, velocity_feature, depth_carry_forward, frame_rate,
     asof_linear, asof_nearest, bbox_features, bbox_best_overlap, bbox_greedy_match, bbox_global_match, bbox_optimal_match, bbox_suppress, match_recall,

@@ -139,20 +139,102 @@ def _huber() -> str:
     return f"WITH {_PAIRS}, p AS (SELECT * FROM pairs WHERE joint IN (0, 5, 17)), {', '.join(rounds)}, done AS ({before}) SELECT hand, joint, {_r('sx', 'sy')} FROM done"
 
 
-def _palm() -> str:
-    return f"""WITH {_RAW}, p AS (SELECT pos, max(x) FILTER (WHERE joint = 0) AS wx, max(y) FILTER (WHERE joint = 0) AS wy, max(z) FILTER (WHERE joint = 0) AS wz,
+#: The palm frame of each hand: rows x, y and z.
+_AXES = """p AS (SELECT pos, max(x) FILTER (WHERE joint = 0) AS wx, max(y) FILTER (WHERE joint = 0) AS wy, max(z) FILTER (WHERE joint = 0) AS wz,
   max(x) FILTER (WHERE joint = 5) AS ix, max(y) FILTER (WHERE joint = 5) AS iy, max(z) FILTER (WHERE joint = 5) AS iz,
   max(x) FILTER (WHERE joint = 17) AS px, max(y) FILTER (WHERE joint = 17) AS py, max(z) FILTER (WHERE joint = 17) AS pz FROM raw GROUP BY pos),
 a AS (SELECT pos, wx, wy, wz, ix - wx AS a1, iy - wy AS a2, iz - wz AS a3, px - wx AS b1, py - wy AS b2, pz - wz AS b3 FROM p),
 b AS (SELECT *, sqrt(a1 * a1 + a2 * a2 + a3 * a3) AS na, a2 * b3 - a3 * b2 AS c1, a3 * b1 - a1 * b3 AS c2, a1 * b2 - a2 * b1 AS c3 FROM a),
 c AS (SELECT *, sqrt(c1 * c1 + c2 * c2 + c3 * c3) AS nc FROM b),
 f AS (SELECT pos, wx, wy, wz, a1 / na AS x1, a2 / na AS x2, a3 / na AS x3, c1 / nc AS z1, c2 / nc AS z2, c3 / nc AS z3 FROM c WHERE na > 1e-6 AND nc > 1e-6),
-g AS (SELECT *, z2 * x3 - z3 * x2 AS y1, z3 * x1 - z1 * x3 AS y2, z1 * x2 - z2 * x1 AS y3 FROM f),
+g AS (SELECT *, z2 * x3 - z3 * x2 AS y1, z3 * x1 - z1 * x3 AS y2, z1 * x2 - z2 * x1 AS y3 FROM f)"""
+
+
+def _palm() -> str:
+    return f"""WITH {_RAW}, {_AXES},
 o AS (SELECT r.pos, r.joint, (r.x - wx) * x1 + (r.y - wy) * x2 + (r.z - wz) * x3 AS x, (r.x - wx) * y1 + (r.y - wy) * y2 + (r.z - wz) * y3 AS y,
   (r.x - wx) * z1 + (r.y - wy) * z2 + (r.z - wz) * z3 AS z FROM raw r JOIN g USING (pos))
 SELECT pos, joint, {_r("x", "y", "z")} FROM o"""
 
 
+def _static() -> str:
+    drawn = ", ".join(f"sum(CASE WHEN norm > 1e-8 THEN d{c} * (0.3 + 0.7 * t / norm) ELSE d{c} END) OVER w AS {c}" for c in "xyz")
+    return f"""WITH {_BONES}, m AS (SELECT hand, camera_id, bone, median(length) AS m FROM lengths GROUP BY ALL HAVING count(*) >= 3), target AS (SELECT hand, bone, median(m) AS t FROM m GROUP BY ALL),
+step AS (SELECT q.pos, q.hand, bone, b AS joint, q.x - p.x AS dx, q.y - p.y AS dy, q.z - p.z AS dz, sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2 + (q.z - p.z) ** 2) AS norm
+  FROM bones JOIN raw p ON p.joint = a JOIN raw q ON q.joint = b AND q.pos = p.pos),
+o AS (SELECT pos, joint, {drawn} FROM step JOIN target USING (hand, bone) WINDOW w AS (PARTITION BY pos, bone // 4 ORDER BY joint) UNION ALL SELECT pos, 0, 0, 0, 0 FROM hands)
+SELECT pos, CAST(joint AS INTEGER) AS joint, {_r("x", "y", "z")} FROM o"""
+
+
+def _reprojection() -> str:
+    return f"""WITH {_RAW}, q AS (SELECT {_K}, camera_id, quality, joint, x / (abs(z) + 4) * 600 + 320 AS u, y / (abs(z) + 4) * 580 + 240 AS v FROM raw WHERE camera_id IN ('C0', 'C3')),
+c AS (SELECT *, 1.02 * u + 0.01 * v - 3 AS cu, -0.005 * u + 0.98 * v + 2 AS cv FROM q),
+o AS (SELECT {_K}, sum(p.quality * sqrt((p.cu - t.cu) ** 2 + (p.cv - t.cv) ** 2)) / sum(p.quality) AS error FROM c p JOIN c t USING ({_K}, joint)
+  WHERE p.camera_id = 'C0' AND t.camera_id = 'C3' AND p.quality > 1e-4 GROUP BY ALL)
+SELECT {_K}, {_r("error")}, 0.0::DOUBLE AS undone FROM o"""
+
+
+def _knuckles() -> str:
+    points = ", ".join(f"max({c}) FILTER (WHERE joint = {j}) AS {n}{c}" for n, j in (("w", 0), ("i", 5), ("l", 17)) for c in "xyz")
+    a = ", ".join(f"i{c} - l{c} AS a{c}, (i{c} + l{c}) / 2 - w{c} AS h{c}" for c in "xyz")
+
+    def cross(p: str, q: str, out: str) -> str:
+        return ", ".join(f"{p}{m} * {q}{n} - {p}{n} * {q}{m} AS {out}{c}" for c, m, n in ("xyz", "yzx", "zxy"))
+
+    def unit(p: str, out: str) -> str:
+        return ", ".join(f"{p}{c} / sqrt({p}x ** 2 + {p}y ** 2 + {p}z ** 2) AS {out}{c}" for c in "xyz")
+
+    rows = " UNION ALL ".join(f"SELECT pos, {i} AS axis, {', '.join(f'round({n}{c}, 6) + 0.0 AS {c}' for c in 'xyz')} FROM f" for i, n in enumerate("pqr"))
+    return f"""WITH {_RAW}, k AS (SELECT pos, {points} FROM raw GROUP BY pos), a AS (SELECT pos, {a} FROM k), b AS (SELECT pos, {unit("a", "p")}, {unit("h", "u")} FROM a),
+c AS (SELECT *, {cross("p", "u", "n")} FROM b), d AS (SELECT *, {unit("n", "r")} FROM c), e AS (SELECT *, {cross("r", "p", "q")} FROM d), f AS (SELECT * FROM e) {rows}"""
+
+
+def _transforms() -> str:
+    rows = {
+        "expanded": "least(1200, greatest(0, cx - s * 0.65)), least(900, greatest(0, cy - s * 0.65)), least(1200, greatest(0, cx + s * 0.65)), least(900, greatest(0, cy + s * 0.65))",
+        "scaled": "least(1199, greatest(0, cx - w * 0.75)), least(899, greatest(0, cy - h * 0.75)), least(1199, greatest(0, cx + w * 0.75)), least(899, greatest(0, cy + h * 0.75))",
+        "xywh": "x1, y1, x2 - x1, y2 - y1",
+        "joined": "least(x1, 300), least(y1, 200), greatest(x2, 500), greatest(y2, 400)",
+    }
+    every = " UNION ALL ".join(f"SELECT group_id, camera_id, n, '{k}', {v} FROM c" for k, v in rows.items())
+    return f"""WITH {_BOXES}, c AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, greatest(x2 - x1, 2) AS w, greatest(y2 - y1, 2) AS h, greatest(x2 - x1, y2 - y1, 2) AS s FROM boxes),
+t(group_id, camera_id, n, kind, v0, v1, v2, v3) AS ({every}) SELECT group_id, camera_id, n, kind, {_r("v0", "v1", "v2", "v3")} FROM t"""
+
+
+def _crop() -> str:
+    return f"""WITH {_RAW}, p AS (SELECT pos, joint, quality, CASE WHEN hand = 'Left' THEN -x ELSE x END * 200 + group_id % 700 + 100 AS px, y * 200 + pos % 500 + 100 AS py,
+  least(group_id % 700, pos % 500, 1000 - group_id % 700, 700 - pos % 500) AS margin FROM raw WHERE joint IN (0, 4, 8)),
+b AS (SELECT *, 0.20 + 0.35 * 1.0 + 0.20 * least(1, greatest(0, (margin + 20) / 80)) + 0.25 * CASE WHEN pos % 3 <> 0 THEN quality ELSE 0.35 END AS base FROM p)
+SELECT pos, joint, round(px, 6) AS px, round(py, 6) AS py,
+  round(CASE WHEN px >= 0 AND px < 1200 AND py >= 0 AND py < 900 THEN least(1, base * CASE WHEN pos % 2 = 0 AND joint = 4 THEN 0.45 ELSE 1 END) ELSE 0 END, 6) AS confidence FROM b"""
+
+
+def _report() -> str:
+    return f"""WITH {_FUSED.format(where="")}, e AS (SELECT {_K}, r.camera_id, avg(sqrt((r.x - f.x) ** 2 + (r.y - f.y) ** 2 + (r.z - f.z) ** 2)) AS error FROM root r JOIN fused f USING ({_K}, joint) GROUP BY ALL),
+o AS (SELECT camera_id, count(*) AS hands, count(*) FILTER (WHERE error <= 0.25) AS accepted, count(*) FILTER (WHERE error > 0.25) AS rejected, avg(error) AS mean, median(error) AS median, max(error) AS max FROM e GROUP BY camera_id)
+SELECT camera_id, hands, accepted, rejected, {_r("mean", "median", "max")} FROM o"""
+
+
+def _gate_reason() -> str:
+    return f"""WITH {_HANDS}, c AS (SELECT *, CASE WHEN pos % 3 <> 0 THEN quality ELSE 0 END AS mask FROM hands WHERE camera_id = 'C1')
+SELECT {_K}, CASE WHEN pos % 11 = 0 THEN 'missing_candidate' WHEN pos % 5 = 0 THEN 'not_known_hypothesis' WHEN mask < 0.4 AND 1 - quality < 0.5 THEN 'low_mask_score'
+  WHEN pos % 4 <> 1 AND quality * 0.1 > 0.06 THEN 'temporal_discontinuity' WHEN mask >= 0.4 THEN 'passed' ELSE 'passed_by_view_quality' END AS reason FROM c"""
+
+
+def _turns() -> str:
+    names = [f"{a}{i}" for a in "xyz" for i in (1, 2, 3)]
+    lags = ", ".join(f"lag({n}) OVER w AS l{n}" for n in names)
+    trace = " + ".join(f"{n} * l{n}" for n in names)
+    return f"""WITH {_RAW}, {_AXES}, l AS (SELECT pos, {", ".join(names)}, {lags} FROM g JOIN hands USING (pos) WINDOW w AS (PARTITION BY sequence_id, hand, camera_id ORDER BY group_id))
+SELECT pos, round(degrees(acos(least(1, greatest(-1, ({trace} - 1) / 2)))), 4) + 0.0 AS degrees FROM l WHERE lx1 IS NOT NULL"""
+
+
+def _decay() -> str:
+    return f"""WITH {_HANDS}, n AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, hand, camera_id ORDER BY group_id) AS n FROM hands),
+k AS (SELECT *, max(CASE WHEN group_id % 5 = 0 THEN n END) OVER (PARTITION BY sequence_id, hand, camera_id ORDER BY group_id) AS last FROM n)
+SELECT a.pos, a.n - a.last AS age, round(b.quality * 0.98 ** (a.n - a.last), 6) + 0.0 AS carried FROM k a JOIN n b ON a.sequence_id = b.sequence_id AND a.hand = b.hand AND a.camera_id = b.camera_id AND b.n = a.last"""
+
+
 def _triangulate() -> str:
     def det(m: list[list[str]]) -> str:
         return f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
@@ -257,6 +339,16 @@ SELECT group_id, camera_id, n, round(0.55 * CASE WHEN n % 3 IN (0, 1) THEN least
   + 0.15 * CASE WHEN share < 0.003 THEN share / 0.003 WHEN share <= 0.12 THEN 1.0 ELSE 0.12 / share END + 0.12 * least(1, greatest(0, (margin + 20) / 80))
   + 0.06 * 0.5 + CASE WHEN n % 4 = 0 THEN 0.05 ELSE 0 END - 0.04 * (n / 10.0), 6) AS quality FROM a""",
         "chunk_overlap": f"WITH {_HANDS}, g AS (SELECT DISTINCT camera_id, group_id FROM hands), r AS (SELECT *, (row_number() OVER (PARTITION BY camera_id ORDER BY group_id) - 1) // 16 AS chunk FROM g), c AS (SELECT camera_id, chunk, min(group_id) AS low, max(group_id) AS high FROM r GROUP BY ALL) SELECT g.camera_id, chunk, min(group_id) AS low, max(group_id) AS high, count(*) AS n FROM g JOIN c ON g.camera_id = c.camera_id AND g.group_id BETWEEN c.low - 2 AND c.high + 2 GROUP BY g.camera_id, chunk",
+        "static_bones_applied": _static(),
+        "backup_gate": _gate_reason(),
+        "camera_report": _report(),
+        "reprojection": _reprojection(),
+        "rotation_step": _turns(),
+        "knuckle_frame": _knuckles(),
+        "keyframe_decay": _decay(),
+        "box_transforms": _transforms(),
+        "crop_keypoints": _crop(),
+        "fingertip_summary": f"WITH {_ROOT} SELECT pos, joint, CASE WHEN joint % 4 = 0 THEN 'tip' ELSE 'base' END AS part, round(sqrt(x ** 2 + y ** 2 + z ** 2), 6) AS length FROM root WHERE joint IN (2, 4, 5, 8, 9, 12, 13, 16, 17, 20)",
         "huber_shift": _huber(),
         "triangulate_rays": _triangulate(),
     }

@@ -8,7 +8,7 @@ from tests.conftest import SF
 from kinespark.operators import boxes, fit, fuse, temporal
 from kinespark.plans import catalog
 from kinespark.sources import records
-from kinespark.streaming import labels
+from kinespark.streaming import filters, labels, online
 
 
 def test_ranges():
@@ -163,3 +163,98 @@ def test_triangulate_subsets(spark):
     rays = spark.createDataFrame(rows, "k int, camera_id string, ox double, oy double, oz double, dx double, dy double, dz double")
     best = fit.triangulate_best(rays, ["k"], ["C0", "C1", "C2", "C3"], "C0").first()
     assert best["views"] == 3 and best["valid"] and np.allclose([best["x"], best["y"], best["z"]], point)
+
+
+def test_aligned_error(spark):
+    r = np.random.default_rng(2)
+    a = r.normal(size=(21, 3))
+    turn, _ = np.linalg.qr(r.normal(size=(3, 3)))
+    turn[:, 0] *= np.linalg.det(turn)
+    rows = [(a.tolist(), (a @ turn + [1.0, 2.0, 3.0]).tolist()), (a.tolist(), (a * [1, 1, -1]).tolist())]
+    got = [x[0] for x in spark.createDataFrame(rows, "a array<array<double>>, b array<array<double>>").select(fuse.aligned_error("a", "b")).collect()]
+    assert got[0] < 1e-9 and got[1] > 0.1  # a reflection is no rotation
+
+
+def test_consensus_errors(spark):
+    r = np.random.default_rng(3)
+    views = {c: r.normal(size=(21, 3)) for c in ("C0", "C1", "C2")}
+    rows = [(0, 1, "Left", c, v.tolist()) for c, v in views.items()] + [(0, 2, "Left", "C0", views["C0"].tolist())]
+    h = spark.createDataFrame(rows, "sequence_id long, group_id long, hand string, camera_id string, joints array<array<double>>")
+    got = {(x["group_id"], x["camera_id"]): x["error"] for x in fuse.consensus_errors(h).collect()}
+
+    def error(a, b):
+        p, q = a - a.mean(0), b - b.mean(0)
+        u, _, vt = np.linalg.svd(p.T @ q)
+        turn = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt
+        return np.linalg.norm(p @ turn - q, axis=1).mean()
+
+    want = {c: np.median([error(views[c], v) for o, v in views.items() if o != c]) for c in views}
+    assert got.pop((2, "C0")) is None
+    assert all(abs(got[1, c] - want[c]) < 1e-9 for c in views)
+
+
+def test_smooth_rotations(spark):
+    r = np.random.default_rng(4)
+    given = [np.linalg.qr(r.normal(size=(3, 3)))[0] for _ in range(12)]
+    given = [np.stack([g[0], g[1], np.cross(g[0], g[1])]) for g in given]
+    df = spark.createDataFrame([(1, i, g.tolist()) for i, g in enumerate(given)], "k int, t int, axes array<array<double>>")
+    got = [np.array(x["axes"]) for x in temporal.smooth_rotations(df, ["k"], "t", "axes", 0.4).orderBy("t").collect()]
+    held = given[0]
+    assert np.allclose(got[0], held)
+    for g, w in zip(got[1:], given[1:]):
+        a, b = 0.4 * w[0] + 0.6 * held[0], 0.4 * w[1] + 0.6 * held[1]
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        held = np.stack([a, b / np.linalg.norm(b), np.cross(a, b / np.linalg.norm(b))])
+        assert np.allclose(g, held) and np.allclose(g @ g.T, np.eye(3))
+
+
+def _streamed(spark, tmp_path, df, split, query, name):
+    for i in range(3):
+        df.where(split.format(i=i)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = query(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
+def test_one_euro_stream(spark, tmp_path):
+    rows = [(k, t, f"T{t // 13}", math.sin(t + k), math.cos(t)) for k in range(2) for t in range(30) if t not in (7, 8)]
+    df = spark.createDataFrame(rows, "k long, t long, track string, x double, y double")
+    got = _streamed(spark, tmp_path, df, "t div 10 = {i}", lambda s: filters.one_euro_stream(s, ["k"], "t", ["x", "y"], "track"), "euro")
+    want = temporal.one_euro(df, ["k"], "t", ["x", "y"], "track")
+    got, want = (sorted(map(tuple, f.select("k", "t", "x", "y").collect())) for f in (got, want))
+    assert len(want) == len(rows) and np.allclose(got, want)
+    fresh = {(k, t): (x, y) for k, t, x, y in want}
+    assert fresh[0, 13] == (math.sin(13), math.cos(13)) and fresh[1, 9] == (math.sin(10), math.cos(9))
+
+
+def test_online_labels(spark, tmp_path):
+    tracks = {}
+    job = lambda g, n, track, label, score=0.5, key=True: ("C0", g, n, track, label, score, key)
+    assert [r[4:] for r in online.step(tracks, [job(0, 0, 1, "Left", 0.4), job(0, 1, 2, "Left", 0.9)])] == [("Left", "hypothesis"), ("Right", "hypothesis"), ("Left", "observed")]
+    assert [r[4:] for r in online.step(tracks, [job(1, 0, 2, "Right")])] == [("Left", "held")]
+    assert [r[4:] for r in online.step(tracks, [job(2, 0, 2, "Right", key=False)])] == [("Left", "held")]
+    assert [r[4:] for r in online.step(tracks, [job(3, 0, 2, None)])] == [("Left", "inherited")]
+    assert [r[4:] for r in online.step(tracks, [job(4, 0, 2, "Right")])] == [("Right", "observed")]
+    rows = [(f"C{c}", g, n, (g + n) % 3 if (g * 5 + n) % 7 else None, ("Left", "Right", None)[(g * 3 + n * 2 + c) % 3], (g * 7 + n) % 10 / 10.0, g % 2 == 0) for c in range(2) for g in range(30) for n in range(3)]
+    df = spark.createDataFrame(rows, "camera_id string, group_id long, job long, track_id long, observed string, score double, keyframe boolean")
+    got = _streamed(spark, tmp_path, df, "group_id div 10 = {i}", online.online_labels_stream, "online")
+    assert sorted(map(str, got.collect())) == sorted(map(str, online.online_labels(df).collect()))
+
+
+def test_knuckles_and_corrections(spark):
+    from pyspark.sql import functions as F
+
+    from kinespark.functions import scores
+    from kinespark.functions import vectors as V
+
+    flat = [[0.0, 0.0, 0.0]] * 21
+    one = spark.createDataFrame([(flat, [3.0, 4.0])], "joints array<array<double>>, q array<double>")
+    got = one.select(
+        V.knuckle_axes(F.col("joints")).alias("axes"), V.inverse_affine(F.col("q"), [[1, 2, 0], [2, 4, 0]]).alias("same"), V.project(F.array(F.lit(1.0), F.lit(1.0), F.lit(0.0)), 1, 1, 0, 0).alias("behind"),
+        scores.overlap_score(F.lit(1.0), F.lit(2.0), F.lit(4.0)).alias("overlap"), scores.overlap_score(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("none"),
+    ).first()
+    assert got["axes"] is None and got["same"] == [3.0, 4.0] and got["behind"] is None
+    assert abs(got["overlap"] - (0.45 / 5 + 0.45 / 2 + 0.1 / 4)) < 1e-12 and got["none"] == 0.0
