@@ -320,3 +320,36 @@ def test_pipeline(spark, documents):
     bins = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
     assert bins.groupby("bin_id").n_words.sum().max() <= 2048
     assert rows(corpus_pipeline.run(spark, SF).toPandas()) == rows(bins)
+
+
+@pytest.mark.parametrize("stage", ["quality_rules", "line_dedup", "near_duplicates", "mix_sources", "best_fit_packing"])
+def test_stages_on_hard_tables(spark, hard, empty, stage):
+    """Nulls, empty and long texts, repeated rows and clashing names in; defined rows out."""
+    import corpus_pipeline
+
+    run = dict(corpus_pipeline.STAGES)[stage]
+    out, none = run(spark, hard, SF), run(spark, empty, SF)
+    assert none.count() == 0 and none.columns == out.columns
+    if stage != "best_fit_packing":
+        assert out.columns == hard.columns and none.schema == empty.schema
+    got = [(r["doc_id"], r["text"], r["source"]) for r in out.collect()] if stage != "best_fit_packing" else out.toPandas()
+    given = [(i, t, s) for i, t, s in HARD]
+    if stage == "quality_rules":
+        kept = [r["kept"] for r in quality.quality(hard).collect()]
+        assert len(got) == sum(kept) and set(got) <= set(given) and (None, PROSE, "s") in got and (1, None, "s") not in got
+    elif stage == "line_dedup":
+        assert Counter(map(str, got)) == Counter(map(str, given))  # no line stands on five sites
+    elif stage == "near_duplicates":
+        assert Counter(i for i, _, _ in got) == Counter([1, 2, 3, 4, 6, 8, None, 10, 11, 12, 13])  # of 4, 5, 5; of 6, 7; of 8, 9, null
+    elif stage == "mix_sources":
+        taken = {}
+        for r in mixing.mixed(hard, weights=(1, 2, 3), most=3).collect():
+            taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["taken"]
+        found = Counter()
+        for i, t, _ in got:
+            found[i] += len(words(t))
+        assert dict(found) == {i: n for i, n in taken.items() if n}
+    else:
+        assert got.n_words.sum() == sum(len(words(t)) for _, t, _ in given)
+        assert got.groupby("bin_id").n_words.sum().max() <= 2048
+        assert got.bin_id.isna().sum() == sum(not words(t) for _, t, _ in given)
