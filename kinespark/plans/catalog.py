@@ -12,7 +12,7 @@ from kinespark.functions import scores
 from kinespark.functions import vectors as V
 from kinespark.operators import boxes as B
 from kinespark.operators import evaluate as E
-from kinespark.operators import fit, fuse, select, temporal
+from kinespark.operators import fit, fuse, hypotheses, select, temporal
 from kinespark.plans import oracles
 from kinespark.sources import records as R
 from kinespark.streaming import labels, online
@@ -347,6 +347,25 @@ def view_pivot(s, d):
     return h.groupBy("group_id", "hand").agg(F.to_json(F.map_from_entries(entries)).alias("views"))
 
 
+def frame_bounds(s, d):
+    """The sensor's frames by hand, as ids of a 25 Hz camera that began 7 frames later."""
+    b = R.frame_bounds(R.sensor(s, d), "frame_no", ["hand"])
+    first, last = F.ceil((F.col("low") - 7) * 25 / 60), F.floor((F.col("high") - 7) * 25 / 60)
+    return b.select("hand", "low", "high", "n", F.greatest(F.lit(0), first).cast("long").alias("first_group"), last.cast("long").alias("last_group"))
+
+
+def ambiguous_hands(s, d):
+    """Every fifth hand of unknown side: it comes as Left and, mirrored, as Right."""
+    h = fuse.root_relative(R.hands(s, d))
+    mirrored = F.transform("joints", lambda p: V.vec(-V.at(p, 0), V.at(p, 1), V.at(p, 2)))
+    known = h.where("pos % 5 <> 0").select("group_id", "camera_id", "hand", F.lit(None).cast("string").alias("hypothesis"), "quality", "joints")
+    open_ = h.where("pos % 5 = 0").withColumn("hypothesis", F.concat_ws(":", "camera_id", "group_id", "pos"))
+    both = [open_.withColumn("hand", F.lit(side)).withColumn("joints", j).select(*known.columns) for side, j in (("Left", F.col("joints")), ("Right", mirrored))]
+    before = h.where("camera_id = 'C3'").select((F.col("group_id") + 1).alias("group_id"), "hand", F.col("joints").alias("history"))
+    found = hypotheses.resolve(known.unionByName(both[0]).unionByName(both[1]).join(before, ["group_id", "hand"], "left"))
+    return found.select("group_id", "hypothesis", "hand", "camera_id", *r6("cost"), "resolved")
+
+
 #: A pinhole camera and a correction of its pixels, for the queries on projection.
 CAMERA = (600.0, 580.0, 320.0, 240.0)
 CORRECTION = [[1.02, 0.01, -3.0], [-0.005, 0.98, 2.0]]
@@ -457,7 +476,7 @@ def online_labels(s, d):
 
 ALL = (
     static_bones_applied, consensus_choice, backup_gate, camera_report, reprojection, rotation_step, rotation_smooth, knuckle_frame, keyframe_decay, box_transforms, crop_keypoints,
-    fingertip_summary, online_labels,
+    fingertip_summary, online_labels, ambiguous_hands, frame_bounds,
     frames_filter_range, stride_sample, view_argmax, fuse_mean, fuse_quality_weighted, fuse_medoid, fuse_mean_smoothed, bone_median_of_medians, palm_local,
     eval_grouping_sets, gate_diagnostics_3way, prefer_gated, gap_fill, causal_ema, bidirectional_ema, hampel, velocity_feature, depth_carry_forward, frame_rate,
     asof_linear, asof_nearest, bbox_features, bbox_best_overlap, bbox_greedy_match, bbox_global_match, bbox_optimal_match, bbox_suppress, match_recall,

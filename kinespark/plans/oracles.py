@@ -340,6 +340,7 @@ SELECT group_id, camera_id, n, round(0.55 * CASE WHEN n % 3 IN (0, 1) THEN least
   + 0.06 * 0.5 + CASE WHEN n % 4 = 0 THEN 0.05 ELSE 0 END - 0.04 * (n / 10.0), 6) AS quality FROM a""",
         "chunk_overlap": f"WITH {_HANDS}, g AS (SELECT DISTINCT camera_id, group_id FROM hands), r AS (SELECT *, (row_number() OVER (PARTITION BY camera_id ORDER BY group_id) - 1) // 16 AS chunk FROM g), c AS (SELECT camera_id, chunk, min(group_id) AS low, max(group_id) AS high FROM r GROUP BY ALL) SELECT g.camera_id, chunk, min(group_id) AS low, max(group_id) AS high, count(*) AS n FROM g JOIN c ON g.camera_id = c.camera_id AND g.group_id BETWEEN c.low - 2 AND c.high + 2 GROUP BY g.camera_id, chunk",
         "static_bones_applied": _static(),
+        "frame_bounds": "WITH b AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'Left' ELSE 'Right' END AS hand, min(event_id) AS low, max(event_id) AS high, count(*) AS n FROM events WHERE event_id % 13 <> 4 GROUP BY 1) SELECT hand, low, high, n, greatest(0, ceil((low - 7) * 25 / 60))::BIGINT AS first_group, floor((high - 7) * 25 / 60)::BIGINT AS last_group FROM b",
         "backup_gate": _gate_reason(),
         "camera_report": _report(),
         "reprojection": _reprojection(),

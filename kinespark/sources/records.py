@@ -28,6 +28,16 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; nulls are empty."""
+    df.write.option("header", True).option("emptyValue", "").csv(path)
+
+
+def frame_bounds(df: DataFrame, frame: str, keys: list[str]) -> DataFrame:
+    """(keys, low, high, n): the range of frames of each key and their number."""
+    return df.where(F.col(frame).isNotNull()).groupBy(*keys).agg(F.min(frame).alias("low"), F.max(frame).alias("high"), F.count("*").alias("n"))
+
+
 def parse_ranges(text: str) -> list[tuple[int, int]]:
     """"3-9,12" as inclusive ranges; a descending range is an error, an empty text no filter."""
     out = []

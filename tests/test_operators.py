@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from tests.conftest import SF
 
-from kinespark.operators import boxes, fit, fuse, temporal
+from kinespark.operators import boxes, fit, fuse, hypotheses, temporal
 from kinespark.plans import catalog
 from kinespark.sources import records
 from kinespark.streaming import filters, labels, online
@@ -145,6 +146,12 @@ def test_sensor_csv(spark, tmp_path):
     assert [tuple(r) for r in records.read_sensor_csv(spark, str(tmp_path / "b.csv")).collect()] == [(1.0, 0.5)]
 
 
+def test_csv_sink(spark, tmp_path):
+    records.write_csv(spark.createDataFrame([(1, 0.5, "a,b"), (2, None, None)], "frame long, x double, name string").coalesce(1), str(tmp_path / "out"))
+    back = spark.read.csv(str(tmp_path / "out"), header=True, schema="frame long, x double, name string")
+    assert sorted(map(tuple, back.collect())) == [(1, 0.5, "a,b"), (2, None, None)]
+
+
 def test_axis_affine(spark):
     r = np.random.default_rng(1)
     x, y = r.normal(size=60), r.normal(size=60)
@@ -258,3 +265,37 @@ def test_knuckles_and_corrections(spark):
     ).first()
     assert got["axes"] is None and got["same"] == [3.0, 4.0] and got["behind"] is None
     assert abs(got["overlap"] - (0.45 / 5 + 0.45 / 2 + 0.1 / 4)) < 1e-12 and got["none"] == 0.0
+
+
+def test_hypotheses():
+    r = np.random.default_rng(6)
+    for trial in range(40):
+        cameras = [f"C{i}" for i in range(3)]
+        row = lambda c, hand, name: {"camera_id": c, "hand": hand, "hypothesis": name, "quality": r.random(), "joints": r.normal(size=(21, 3)), "history": None}
+        rows = [row(c, h, None) for c in cameras for h in ("Left", "Right") if r.random() < 0.3]
+        names = [(f"h{i}", cameras[r.integers(3)]) for i in range(1 + trial % 4)]
+        rows += [row(c, h, n) for n, c in names for h in ("Left", "Right")]
+        if trial % 2:
+            past = r.normal(size=(21, 3))
+            rows = [x | {"history": past if x["hand"] == "Left" else None} for x in rows]
+        past = {x["hand"]: x["history"] for x in rows if x["history"] is not None}
+        held = [x for x in rows if x["hypothesis"] is None]
+        best = None
+        for sides in itertools.product(("Right", "Left"), repeat=len(names)):
+            own = [next(x for x in rows if x["hypothesis"] == n and x["hand"] == s) for (n, _), s in zip(names, sides)]
+            places = [(x["hand"], x["camera_id"]) for x in held + own]
+            if len(set(places)) == len(places):
+                cost = hypotheses.frame_cost({h: [x["joints"] for x in held + own if x["hand"] == h] for h in ("Left", "Right")}, past)
+                best = min(best, (cost, sides), key=lambda b: b[0]) if best else (cost, sides)
+        got = hypotheses.choose(rows)
+        assert [g[0] for g in got] == [n for n, _ in names]
+        if best:
+            assert tuple(g[1] for g in got) == best[1] and all(g[4] and abs(g[3] - best[0][0]) < 1e-12 for g in got)
+        else:
+            assert all(g[1:] == ("Right", c, None, False) for g, (_, c) in zip(got, names))
+
+
+def test_ambiguous_hands(spark):
+    got = catalog.ambiguous_hands(spark, SF).collect()
+    open_ = records.hands(spark, SF).where("pos % 5 = 0").count()
+    assert len(got) == open_ and all(r["hand"] in ("Left", "Right") and (r["cost"] is not None) == r["resolved"] for r in got)
