@@ -1,5 +1,6 @@
 """Named queries over the given tables. Each is one operator of the library or a direct
-composition; plans/oracles.py has the same in SQL where SQL can say it."""
+composition; plans/oracles.py has the same in SQL where SQL can say it. Where that SQL takes
+a part of the rows, a query named ..._all is the same operator over all of them."""
 
 from __future__ import annotations
 
@@ -151,39 +152,60 @@ def asof_nearest(s, d):
     return _asof(s, d, True)
 
 
-def bbox_features(s, d):
-    b = R.boxes(s, d)
+def _bbox_features(b):
     c = V.clamp_box(F.col("box"), 1200, 900)
     b = b.withColumn("c", c)
     return b.select("group_id", "camera_id", "n", *[F.round(v, 6).alias(k) for k, v in {"area": V.area(F.col("c")), "area_score": V.area_score(F.col("c"), 1200, 900), "edge_score": V.edge_score(F.col("c"), 1200, 900), "weight": V.robust_weight(F.col("score") - 0.5, 0.2)}.items()])
 
 
-def bbox_best_overlap(s, d):
-    b = R.boxes(s, d)
+def bbox_features(s, d):
+    return _bbox_features(R.boxes(s, d))
+
+
+def bbox_features_all(s, d):
+    return _bbox_features(R.detections(s, d))
+
+
+def _bbox_best_overlap(b):
     return B.best_overlap(b.where("origin = 'mediapipe'"), b.where("origin = 'sam3'")).select("group_id", "camera_id", "n", F.coalesce("match", F.lit(0)).alias("match"), *r6("iou"))
 
 
+def bbox_best_overlap(s, d):
+    return _bbox_best_overlap(R.boxes(s, d))
+
+
+def bbox_best_overlap_all(s, d):
+    return _bbox_best_overlap(R.detections(s, d))
+
+
 def bbox_greedy_match(s, d):
-    return B.greedy_in_order(R.boxes(s, d))
+    return B.greedy_in_order(R.detections(s, d))
 
 
 def bbox_global_match(s, d):
-    return B.greedy_global(R.boxes(s, d)).select("group_id", "camera_id", "first", "second", *r6("iou"))
+    return B.greedy_global(R.detections(s, d)).select("group_id", "camera_id", "first", "second", *r6("iou"))
 
 
 def bbox_optimal_match(s, d):
-    return B.optimal(R.boxes(s, d)).select("group_id", "camera_id", "first", "second", *r6("iou"))
+    return B.optimal(R.detections(s, d)).select("group_id", "camera_id", "first", "second", *r6("iou"))
 
 
 def bbox_suppress(s, d):
-    return B.suppress(R.boxes(s, d)).select("group_id", "camera_id", "n", *r6("score"))
+    return B.suppress(R.detections(s, d)).select("group_id", "camera_id", "n", *r6("score"))
 
 
-def match_recall(s, d):
-    b = R.boxes(s, d)
+def _match_recall(b):
     return E.recall(B.best_overlap(b.where("origin = 'mediapipe'"), b.where("origin = 'sam3'"), 0.05), ["camera_id"], 0.5).select("camera_id", "n", *r6("recall", "mean", "median", "p10"))
 
 
+def match_recall(s, d):
+    return _match_recall(R.boxes(s, d))
+
+
+def match_recall_all(s, d):
+    return _match_recall(R.detections(s, d))
+
+
 def _labelled(s, d) -> DataFrame:
     o = R.table(s, d, "orders").select(F.floor(F.col("o_orderkey") / 4).alias("group_id"), (F.col("o_orderkey") % 2).alias("camera"), F.col("o_orderkey").alias("pos"), (F.col("o_custkey") % 10 / 10.0).alias("score"), F.when(F.col("o_custkey") % 3 == 0, "Left").otherwise("Right").alias("label"))
     return o
@@ -314,13 +336,21 @@ def one_euro(s, d):
     return temporal.one_euro(x, SERIES, "group_id", ["x", "y", "z"]).select(*SERIES, "group_id", *r6("x", "y", "z"))
 
 
-def view_quality(s, d):
-    b, c = R.boxes(s, d), F.col
+def _view_quality(b):
+    c = F.col
     mask = F.when(c("n") % 3 == 0, c("score"))
     score = scores.quality(mask, F.when(c("n") % 3 == 1, c("score")), c("n") % 2 == 0, c("box"), c("origin"), c("n") % 4 == 0, 1 + c("n") / 10.0, 1200, 900)
     return b.select("group_id", "camera_id", "n", F.round(score, 6).alias("quality"))
 
 
+def view_quality(s, d):
+    return _view_quality(R.boxes(s, d))
+
+
+def view_quality_all(s, d):
+    return _view_quality(R.detections(s, d))
+
+
 def axis_affine(s, d):
     p = _pairs(s, d).where("joint in (4, 8, 12, 16, 20)").select("hand", "joint", "x", "y", "tx", "ty")
     return fit.axis_affine(p, ["hand", "joint"], 0.3).select("hand", "joint", *r6("ax", "bx", "ay", "by"))
@@ -439,11 +469,19 @@ def keyframe_decay(s, d):
     return found.where("age is not null").select("pos", "age", *r6("carried"))
 
 
-def box_transforms(s, d):
+def _box_transforms(boxes):
     b = F.col("box")
     shapes = {"expanded": V.expand_box(b, 1.3, 1200, 900), "scaled": V.scaled_box(b, 1.5, 1200, 900), "xywh": V.box_xywh(b), "joined": V.union_box(b, V.vec(*[F.lit(float(v)) for v in (300, 200, 500, 400)]))}
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in shapes.items()])).alias("s")
-    return R.boxes(s, d).select("group_id", "camera_id", "n", kinds).select("group_id", "camera_id", "n", "s.kind", *[(F.round(V.at(F.col("s.v"), i), 6) + 0.0).alias(f"v{i}") for i in range(4)])
+    return boxes.select("group_id", "camera_id", "n", kinds).select("group_id", "camera_id", "n", "s.kind", *[(F.round(V.at(F.col("s.v"), i), 6) + 0.0).alias(f"v{i}") for i in range(4)])
+
+
+def box_transforms(s, d):
+    return _box_transforms(R.boxes(s, d))
+
+
+def box_transforms_all(s, d):
+    return _box_transforms(R.detections(s, d))
 
 
 def crop_keypoints(s, d):
@@ -483,6 +521,7 @@ ALL = (
     duplicate_label_repair, spatial_handedness, majority_vote, vote_automaton, anchor_hysteresis, weighted_median, chunk_groups, merge_first_wins, merge_conflicts,
     merge_last_wins, workload_report, knn_loo, ood_gate, joint_offsets_shrunk, bone_scales, similarity_moments, similarity_fit, ridge_residual, huber_shift,
     triangulate_rays, one_euro, view_pivot, view_quality, axis_affine, triangulate_subsets, chunk_overlap,
+    bbox_features_all, bbox_best_overlap_all, match_recall_all, view_quality_all, box_transforms_all,
 )
 
 
