@@ -3,6 +3,8 @@ small system and applies it as an expression."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -111,20 +113,97 @@ def predict(features: str, model: tuple[np.ndarray, np.ndarray, np.ndarray, floa
     return F.aggregate(F.zip_with(F.col(features).cast("array<double>"), weights, lambda a, c: a * c), F.lit(float(b - mean @ slope)), lambda s, v: s + v)
 
 
-def knn(queries: DataFrame, prototypes: DataFrame, features: str, value: str, k: int, bandwidth: float = 1.0, splits: int = 8) -> DataFrame:
+#: Prototypes of a block and queries of a group of knn().
+KNOWN, ASKED = 8192, 4096
+
+
+def _nearest(k: int, bandwidth: float, kind: type):
+    """Mean of each query's k nearest. The rows of a group come in order of `part`: its queries
+    first (one row for each length of features), then every block of prototypes, of which a
+    query keeps the best k so far."""
+
+    def meet(held: tuple, ids: np.ndarray, x: np.ndarray, values: np.ndarray) -> None:
+        q_ids, q, d_best, p_best, v_best = held
+        norms, dims, most = (x * x).sum(axis=1), x.shape[1], min(k, len(ids)) - 1
+        for at in range(0, len(q), 64):
+            part = q[at : at + 64]
+            own = (part * part).sum(axis=1)
+            rough = own[:, None] + norms[None, :] - 2 * (part @ x.T)
+            rough[q_ids[at : at + 64, None] == ids[None, :]] = np.inf
+            slack = 1e-12 * (own + norms.max())
+            last = np.sqrt(np.maximum(np.partition(rough, most, axis=1)[:, most], 0) + slack)
+            # what can still be among the k once distances are exact and rounded
+            last = np.minimum(last, d_best[at : at + 64, -1] * np.sqrt(dims)) + 2e-12 * np.sqrt(dims)
+            able = (rough <= (last**2 + slack)[:, None]) & np.isfinite(rough)
+            for i in np.flatnonzero(able.any(axis=1)):
+                near, z = np.flatnonzero(able[i]), at + i
+                d = np.r_[d_best[z], np.round(np.sqrt(((x[near] - part[i]) ** 2).sum(axis=1) / dims), 12)]
+                p, v = np.r_[p_best[z], ids[near]], np.r_[v_best[z], values[near]]
+                best = np.lexsort((p, d))[:k]
+                d_best[z], p_best[z], v_best[z] = d[best], p[best], v[best]
+
+    def means(held: dict) -> Iterator[pa.RecordBatch]:
+        for q_ids, _, d, _, v in held.values():
+            found = np.isfinite(d)
+            h = np.maximum(np.where(found, d, 0).max(axis=1) * bandwidth, 1e-8)[:, None]
+            w = np.where(found, np.exp(-0.5 * (np.where(found, d, 0) / h) ** 2), 0)
+            some, valued = found[:, 0], (found & ~np.isnan(v)).any(axis=1)
+            predicted = np.where(np.isnan(v), 0, w * v).sum(axis=1) / np.maximum(w.sum(axis=1), 1e-300)
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[some]), pa.array(predicted[some], mask=~valued[some]), pa.array(d[some, 0])], ["id", "predicted", "nearest"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if group != row["g"]:
+                    yield from means(held)
+                    group, held = row["g"], {}
+                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["x"], kind).reshape(-1, row["dims"]).astype(float)
+                if row["part"] == 0:
+                    held[row["dims"]] = ids, x, np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64), np.full((len(ids), k), np.nan)
+                elif row["dims"] in held:
+                    meet(held[row["dims"]], ids, x, np.frombuffer(row["v"], np.float64))
+        yield from means(held)
+
+    return run
+
+
+def _block(kind: type):
+    def pack(key, table):
+        """Rows (id, x, v) of one block and length of features as one packed row."""
+        number, dims = (v.as_py() for v in key)
+        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
+        ids, v = (table.column(c).to_numpy().astype(t) for c, t in (("id", np.int64), ("v", np.float64)))
+        return pa.table({"b": pa.array([number], pa.int32()), "dims": pa.array([dims], pa.int32()), "ids": [ids.tobytes()], "x": [x.tobytes()], "v": [v.tobytes()]})
+
+    return pack
+
+
+def knn(queries: DataFrame, prototypes: DataFrame, features: str, value: str, k: int, bandwidth: float = 1.0) -> DataFrame:
     """(id, predicted, nearest): mean of the k nearest prototypes' values under a Gaussian of
     their RMS distance, with the k-th distance times `bandwidth` as its width; a row isn't its
-    own neighbour. A query meets every split of the prototypes and keeps k of each, so a task
-    holds one split's pairs and the final choice sees k * splits rows."""
-    asked = queries.select(F.col("id").alias("q"), F.col(features).alias("qx")).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    known = prototypes.select(F.col("id").alias("p"), F.col(features).alias("px"), F.col(value).cast("double").alias("v"), F.pmod(F.xxhash64("id"), F.lit(splits)).cast("int").alias("split"))
-    square = F.aggregate(F.zip_with("qx", "px", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    pairs = asked.join(known, "split").where("q <> p").select("q", "p", "v", "split", F.round(F.sqrt(square / F.size("qx")), 12).alias("d"))
-    few = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q", "split").orderBy("d", "p"))).where(F.col("r") <= k)
-    near = few.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "p"))).where(F.col("r") <= k)
-    near = near.withColumn("h", F.greatest(F.max("d").over(Window.partitionBy("q")) * bandwidth, F.lit(1e-8)))
-    w = F.exp(-0.5 * (F.col("d") / F.col("h")) * (F.col("d") / F.col("h")))
-    return near.groupBy(F.col("q").alias("id")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("predicted"), F.min("d").alias("nearest"))
+    own neighbour. The numbers of groups of queries and of blocks of prototypes follow the
+    rows; a task streams every block past a group and returns one row a query, never pairs.
+    Features that are null, empty or not finite take no part, and only those of equal length
+    are compared."""
+    kind = np.float32 if all(df.schema[features].dataType.simpleString() == "array<float>" for df in (queries, prototypes)) else np.float64
+
+    def rows(df: DataFrame, v: Column) -> DataFrame:
+        fine = F.col(features).isNotNull() & (F.size(features) > 0) & F.forall(features, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+        return df.where(fine).select("id", F.col(features).alias("x"), v.cast("double").alias("v"))
+
+    def blocks(df: DataFrame, n: int) -> DataFrame:
+        at = F.pmod(F.xxhash64("id", "x"), F.lit(n)).cast("int")
+        return df.groupBy(at.alias("b"), F.size("x").alias("dims")).applyInArrow(_block(kind), "b int, dims int, ids binary, x binary, v binary")
+
+    asked, known = rows(queries, F.lit(0)), rows(prototypes, F.col(value))
+    groups, lots = max(1, -(-asked.count() // ASKED)), max(1, -(-known.count() // KNOWN))
+    payload = ["dims", "ids", "x", "v"]
+    first = blocks(asked, groups).select(F.col("b").alias("g"), F.lit(0).alias("part"), *payload)
+    rest = blocks(known, lots).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("part"), *payload)
+    tasks = max(groups, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    work = first.unionByName(rest).repartition(tasks, "g").sortWithinPartitions("g", "part")
+    return work.mapInArrow(_nearest(k, bandwidth, kind), "id long, predicted double, nearest double")
 
 
 def ood_gate(df: DataFrame, nearest: str, train: DataFrame, full: float = 0.5, zero: float = 0.95) -> DataFrame:

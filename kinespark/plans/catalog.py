@@ -271,18 +271,34 @@ def _vectors(s, d) -> DataFrame:
     return R.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def knn_loo(s, d):
-    v = _vectors(s, d).where("id % 4 = 0")
+def _knn_loo(v):
     return fit.knn(v, v, "embedding", "label", 8).select("id", *r6("predicted", "nearest"))
 
 
-def ood_gate(s, d):
-    v = _vectors(s, d)
-    train, ask = v.where("id % 4 = 0"), v.where("id % 8 = 1")
+def knn_loo(s, d):
+    return _knn_loo(_vectors(s, d).where("id % 4 = 0"))
+
+
+def knn_loo_all(s, d):
+    return _knn_loo(_vectors(s, d))
+
+
+def _ood_gate(train, ask):
     own = fit.knn(train, train, "embedding", "label", 4).select("nearest")
     return fit.ood_gate(fit.knn(ask, train, "embedding", "label", 4), "nearest", own).select("id", *r6("gate"))
 
 
+def ood_gate(s, d):
+    v = _vectors(s, d)
+    return _ood_gate(v.where("id % 4 = 0"), v.where("id % 8 = 1"))
+
+
+def ood_gate_all(s, d):
+    """Even ids train, odd ones ask."""
+    v = _vectors(s, d)
+    return _ood_gate(v.where("id % 2 = 0"), v.where("id % 2 <> 0"))
+
+
 def _pairs(s, d) -> DataFrame:
     rows = long_hands(s, d)
     truth = rows.where("camera_id = 'C3'").select(*KEYS, "joint", *[F.col(c).alias(f"t{c}") for c in "xyz"])
@@ -521,7 +537,7 @@ ALL = (
     duplicate_label_repair, spatial_handedness, majority_vote, vote_automaton, anchor_hysteresis, weighted_median, chunk_groups, merge_first_wins, merge_conflicts,
     merge_last_wins, workload_report, knn_loo, ood_gate, joint_offsets_shrunk, bone_scales, similarity_moments, similarity_fit, ridge_residual, huber_shift,
     triangulate_rays, one_euro, view_pivot, view_quality, axis_affine, triangulate_subsets, chunk_overlap,
-    bbox_features_all, bbox_best_overlap_all, match_recall_all, view_quality_all, box_transforms_all,
+    bbox_features_all, bbox_best_overlap_all, match_recall_all, view_quality_all, box_transforms_all, knn_loo_all, ood_gate_all,
 )
 
 

@@ -1,9 +1,11 @@
 """The queries over all rows: against the SQL of the same operator without its cut, or against
 brute force."""
 
+import numpy as np
 import pytest
 from tests.conftest import SF
 
+from kinespark.operators import fit
 from kinespark.plans import catalog
 from kinespark.sources import records
 from tests.compare import rows
@@ -33,3 +35,32 @@ def test_every_line_is_a_detection(spark):
     assert records.detections(spark, SF).count() == n == catalog.bbox_features_all(spark, SF).count()
     kept = {(r["group_id"], r["n"]) for r in catalog.bbox_suppress(spark, SF).collect()}
     assert {g for g, _ in kept} == {r[0] for r in lines.select("l_orderkey").distinct().collect()}
+
+
+@pytest.mark.parametrize(
+    ("name", "cuts"),
+    [("knn_loo", (("vec_id % 4 = 0", "vec_id IS NOT NULL"),)), ("ood_gate", (("vec_id % 4 = 0", "vec_id % 2 = 0"), ("vec_id % 8 = 1", "vec_id % 2 = 1")))],
+)
+def test_all_embeddings(spark, duck, name, cuts):
+    got, want = catalog.queries()[name + "_all"](spark, SF).toPandas(), duck.sql(widened(name, cuts)).df()
+    assert rows(got) == rows(want)
+    n = records.table(spark, SF, "embeddings").count()
+    assert len(got) == (n if name == "knn_loo" else n // 2)
+
+
+def test_knn_across_blocks(spark, monkeypatch):
+    """Many blocks, a third of the vectors equal (ties go to the smaller id), odd rows left out."""
+    monkeypatch.setattr(fit, "KNOWN", 40)
+    monkeypatch.setattr(fit, "ASKED", 30)
+    r = np.random.default_rng(3)
+    x = [[1.0, 2.0, 3.0] if i % 3 == 0 else r.normal(size=3).tolist() for i in range(200)]
+    odd = [(1000, None, 1), (1001, [float("nan"), 0.0, 0.0], 1), (1002, [], 1)]
+    v = spark.createDataFrame([(i, e, i % 7) for i, e in enumerate(x)] + odd, "id long, f array<double>, y int")
+    got = {q["id"]: (q["predicted"], q["nearest"]) for q in fit.knn(v, v, "f", "y", 5).collect()}
+    assert set(got) == set(range(200))
+    a = np.array(x)
+    for i in range(200):
+        d = np.round(np.sqrt(((a - a[i]) ** 2).mean(axis=1)), 12)
+        best = [j for j in np.lexsort((np.arange(200), d)) if j != i][:5]
+        w = np.exp(-0.5 * (d[best] / max(d[best].max(), 1e-8)) ** 2)
+        assert np.allclose(got[i], (w @ (np.array(best) % 7) / w.sum(), d[best].min()))
