@@ -4,8 +4,8 @@ one image, so its work is small; keys are what Spark spreads."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import permutations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,7 +54,7 @@ def _by_key(df: DataFrame, found: Callable[[list[dict]], list[tuple]], columns:
 def greedy_in_order(df: DataFrame, least: float = 0.2, most: int = 4) -> DataFrame:
     """Detections of two origins joined one to one: each "mediapipe" box in order takes the
     unused "sam3" box that overlaps it most, at least `least`; matched boxes are merged, the
-    rest follow by score and area, `most` rows in all."""
+    rest follow by score and area, `most` rows in all, or all "mediapipe" ones if they are more."""
 
     def found(rows: list[dict]) -> list[tuple]:
         left, right = ([r for r in rows if r["origin"] == o] for o in ("mediapipe", "sam3"))
@@ -70,7 +70,7 @@ def greedy_in_order(df: DataFrame, least: float = 0.2, most: int = 4) -> DataFra
             else:
                 out.append((a["n"], None, a["box"], a["score"]))
         rest = sorted((b for b in right if b["n"] not in used), key=lambda b: (-b["score"], -_area(b["box"]), b["n"]))
-        return [*out, *((None, b["n"], b["box"], b["score"]) for b in rest)][:most]
+        return [*out, *((None, b["n"], b["box"], b["score"]) for b in rest)][: max(most, len(left))]
 
     return _by_key(df, found, "first double, second double, box array<double>, score double")
 
@@ -92,16 +92,49 @@ def greedy_global(df: DataFrame, least: float = 0.05) -> DataFrame:
     return _by_key(df, found, "first long, second long, iou double")
 
 
-def optimal(df: DataFrame, most: int = 5) -> DataFrame:
-    """The one-to-one matching of the first `most` boxes of either origin with the greatest sum
-    of overlaps, by trying all."""
+def _assigned(gain: np.ndarray) -> np.ndarray:
+    """For each row of `gain` (no more rows than columns) its column in a one-to-one choice of
+    the greatest sum: the Hungarian method by shortest augmenting paths."""
+    n, m = gain.shape
+    u, v, row_of = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)  # row, column 0 stand for none
+    cost = -gain
+    for i in range(1, n + 1):
+        row_of[0], at = i, 0
+        least, before, done = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        while row_of[at]:
+            done[at] = True
+            r = row_of[at]
+            slack = cost[r - 1] - u[r] - v[1:]
+            better = ~done[1:] & (slack < least[1:])
+            least[1:][better], before[1:][better] = slack[better], at
+            to = 1 + int(np.argmin(np.where(done[1:], np.inf, least[1:])))
+            step = least[to]
+            u[row_of[done]] += step
+            v[done] -= step
+            least[~done] -= step
+            at = to
+        while at:
+            row_of[at] = row_of[before[at]]
+            at = before[at]
+    out = np.zeros(n, int)
+    for j in range(1, m + 1):
+        if row_of[j]:
+            out[row_of[j] - 1] = j - 1
+    return out
+
+
+def optimal(df: DataFrame) -> DataFrame:
+    """The one-to-one matching of all boxes of the two origins with the greatest sum of
+    overlaps; pairs that don't overlap are left out. Equal keys have equal matchings, ties too."""
 
     def found(rows: list[dict]) -> list[tuple]:
-        left, right = ([r for r in rows if r["origin"] == o][:most] for o in ("mediapipe", "sam3"))
+        left, right = ([r for r in rows if r["origin"] == o] for o in ("mediapipe", "sam3"))
         flip = len(left) > len(right)
         a, b = (right, left) if flip else (left, right)
-        best = max(permutations(range(len(b)), len(a)), key=lambda p: (sum(_iou(x["box"], b[j]["box"]) for x, j in zip(a, p, strict=True)), [-j for j in p]))
-        pairs = [(x["n"], b[j]["n"], _iou(x["box"], b[j]["box"])) for x, j in zip(a, best, strict=True)]
+        if not a:
+            return []
+        gain = np.array([[_iou(x["box"], y["box"]) for y in b] for x in a])
+        pairs = [(a[i]["n"], b[j]["n"], float(gain[i, j])) for i, j in enumerate(_assigned(gain))]
         return [(y, x, v) if flip else (x, y, v) for x, y, v in pairs if v > 0]
 
     return _by_key(df, found, "first long, second long, iou double")

@@ -1,11 +1,13 @@
 """The queries over all rows: against the SQL of the same operator without its cut, or against
 brute force."""
 
+import itertools
+
 import numpy as np
 import pytest
 from tests.conftest import SF
 
-from kinespark.operators import fit
+from kinespark.operators import boxes, fit
 from kinespark.plans import catalog
 from kinespark.sources import records
 from tests.compare import rows
@@ -64,3 +66,26 @@ def test_knn_across_blocks(spark, monkeypatch):
         best = [j for j in np.lexsort((np.arange(200), d)) if j != i][:5]
         w = np.exp(-0.5 * (d[best] / max(d[best].max(), 1e-8)) ** 2)
         assert np.allclose(got[i], (w @ (np.array(best) % 7) / w.sum(), d[best].min()))
+
+
+BOX_ROWS = "group_id long, camera_id string, n int, box array<double>, score double, origin string"
+
+
+def test_matches_beyond_the_fifth(spark):
+    """The sixth and seventh box of either origin match; all first boxes stay."""
+    at = lambda i: [100.0 * i, 0.0, 100.0 * i + 10, 10.0]
+    df = spark.createDataFrame([(0, "C0", i + 7 * k, at(i), 0.5, o) for i in range(1, 8) for k, o in enumerate(("mediapipe", "sam3"))], BOX_ROWS)
+    assert {(r["first"], r["second"]) for r in boxes.optimal(df).collect()} == {(i, i + 7) for i in range(1, 8)}
+    assert {(r["first"], r["second"]) for r in boxes.greedy_in_order(df).collect()} == {(i, i + 7) for i in range(1, 8)}
+
+
+def test_assignment_is_the_best_of_all():
+    r = np.random.default_rng(5)
+    for case in range(300):
+        n = int(r.integers(1, 5))
+        gain = r.random((n, int(r.integers(n, 7)))) * (r.random() < 0.5 or r.integers(0, 2, 1))
+        gain = np.round(gain, 1) if case % 3 == 0 else gain
+        found = boxes._assigned(gain)
+        assert len(set(found)) == n
+        best = max(sum(gain[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(gain.shape[1]), n))
+        assert abs(gain[range(n), found].sum() - best) < 1e-9
