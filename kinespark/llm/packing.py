@@ -20,6 +20,8 @@ from .common import WORD, cut, n_words
 
 #: Pieces that a packing group holds on average.
 GROUP_PIECES = 4096
+#: Copies of one row that a task makes in a run.
+COPIES = 4096
 
 
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[tuple[int, int]]:
@@ -103,26 +105,32 @@ def pack(docs: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECES
     source is a source of its own. Repeated rows are packed each. Equal inputs give equal
     bins; ties go to the bin opened first. Other columns are ignored. The number of groups
     follows the number of pieces, so a group's memory doesn't grow with the table, and neither
-    a hot source nor a large cluster gathers in one group.
+    a hot source nor a large cluster nor rows repeated exactly gather in one group.
     """
-    sized = docs.select(
+    rows = docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),
         n_words(F.col("text")).alias("n"),
         F.xxhash64("text").alias("cluster"),
     )
+    # Equal rows are counted and made again with their number, in runs that different tasks make.
+    kinds = rows.groupBy("doc_id", "source", "n", "cluster").agg(F.count("*").alias("copies"))
+    runs = kinds.withColumn("copy_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    last = F.least(F.col("copies"), (F.col("copy_run") + 1) * COPIES) - 1
+    sized = runs.repartition("doc_id", "cluster", "source", "copy_run").select("doc_id", "source", "n", "cluster", F.explode(F.sequence(F.col("copy_run") * COPIES, last)).alias("copy"))
     pieces = cut(
         sized.select(
             "doc_id",
             "source",
             "cluster",
             "n",
+            "copy",
             F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / capacity)))).alias("piece"),
         ).withColumn("size", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("long"))
     )
     full = pieces.where("size > 0")
     groups = max(1, -(-full.count() // group_pieces))
-    lot = F.xxhash64("doc_id", "piece", "cluster", "source")
+    lot = F.when(F.col("copy") == 0, F.xxhash64("doc_id", "piece", "cluster", "source")).otherwise(F.xxhash64("doc_id", "piece", "cluster", "source", "copy"))
     dealt = full.select(F.pmod(lot, F.lit(groups)).alias("g"), "doc_id", "piece", "source", "cluster", "size", lot.alias("lot"))
     slices = min(groups, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups // 16))
     packed = (

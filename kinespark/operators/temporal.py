@@ -11,8 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def islands(df: DataFrame, keys: list[str], clock: str) -> DataFrame:
@@ -36,13 +39,6 @@ def gaussian(df: DataFrame, keys: list[str], clock: str, values: list[str], radi
     return rows.select(*[c for c in df.columns if c not in values], *[smooth(v).alias(v) for v in values])
 
 
-def _fold(values: Column, alpha: float) -> Column:
-    """Exponential means of an array, in order."""
-    rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
-    start = F.slice(values, 1, 1)
-    return F.aggregate(rest, start, lambda a, x: F.concat(a, F.array(alpha * x + (1 - alpha) * F.element_at(a, -1))))
-
-
 def ema(df: DataFrame, keys: list[str], clock: str, value: str, alpha: float) -> DataFrame:
     """Causal exponential mean, starting anew after each gap. Streams through each partition in
     clock order, so a long series costs linear time and constant memory."""
@@ -63,12 +59,37 @@ def ema(df: DataFrame, keys: list[str], clock: str, value: str, alpha: float) ->
 
 
 def bidirectional_ema(df: DataFrame, keys: list[str], clock: str, value: str, alpha: float) -> DataFrame:
-    """Mean of the exponential means forwards and backwards; gaps don't matter. A key's series
-    is one array, so keys should name series of bounded length."""
-    arrays = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(clock).alias("t"), F.col(value).alias("v")))).alias("s"))
-    arrays = arrays.withColumn("f", _fold(F.col("s.v"), alpha)).withColumn("b", F.reverse(_fold(F.reverse(F.col("s.v")), alpha)))
-    both = F.arrays_zip(F.col("s.t").alias("t"), F.zip_with("f", "b", lambda a, b: (a + b) / 2).alias("v"))
-    return arrays.select(*keys, F.explode(both).alias("e")).select(*keys, F.col("e.t").alias(clock), F.col("e.v").alias(value))
+    """Mean of the exponential means forwards and backwards; gaps don't matter. Both stream
+    through the partition, the second in the order of the first turned round, so a long series
+    costs linear time and constant memory."""
+    size = len(keys)
+
+    def run(back: bool):
+        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, y, n = None, None, 0
+            for batch in batches:
+                out = []
+                for key, x in zip(zip(*(batch.column(i).to_pylist() for i in range(size)), strict=True), batch.column(size + 1).to_pylist(), strict=True):
+                    if key != at:
+                        at, y = key, x
+                    else:
+                        y = None if x is None or y is None else alpha * x + (1 - alpha) * y
+                    out.append(y)
+                columns, y_column = batch.columns[: size + 1], pa.array(out, pa.float64())
+                if back:
+                    columns += [pc.divide(pc.add(batch.column(size + 2), y_column), 2.0)]
+                else:
+                    columns += [batch.column(size + 1), y_column, pa.array(range(n, n + len(out)), pa.int64())]
+                    n += len(out)
+                yield pa.RecordBatch.from_arrays(columns, names[: len(columns)] if not back else [*names[: size + 1], value])
+
+        return mean
+
+    names = [*keys, clock, value, "__f", "__n"]
+    rows = df.select(*keys, clock, F.col(value).cast("double").alias(value))
+    schema = T.StructType([*rows.schema.fields, T.StructField("__f", T.DoubleType()), T.StructField("__n", T.LongType())])
+    there = rows.repartition(*keys).sortWithinPartitions(*keys, clock, value).mapInArrow(run(False), schema)
+    return there.sortWithinPartitions(*keys, F.desc("__n")).mapInArrow(run(True), rows.schema)
 
 
 def _median(a: Column) -> Column:

@@ -2,12 +2,14 @@
 brute force."""
 
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
 from tests.conftest import SF
 
-from kinespark.operators import boxes, fit
+from kinespark.llm import packing
+from kinespark.operators import boxes, fit, temporal
 from kinespark.plans import catalog
 from kinespark.sources import records
 from tests.compare import rows
@@ -89,3 +91,33 @@ def test_assignment_is_the_best_of_all():
         assert len(set(found)) == n
         best = max(sum(gain[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(gain.shape[1]), n))
         assert abs(gain[range(n), found].sum() - best) < 1e-9
+
+
+def test_long_series_streams(spark):
+    """No array of a series; a null key is a key, equal times go by value, a null value stays null."""
+    r = np.random.default_rng(2)
+    x = r.random(5000).tolist()
+    data = [(None, i // 2, v) for i, v in enumerate(x)] + [(1, 0, 1.0), (1, 1, None), (1, 2, 3.0)]
+    found = temporal.bidirectional_ema(spark.createDataFrame(data, "k int, t int, x double"), ["k"], "t", "x", 0.3)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    got = found.collect()
+    assert len(got) == len(data) and [g["x"] for g in got if g["k"] == 1] == [None] * 3
+    v = [p[1] for p in sorted((i // 2, u) for i, u in enumerate(x))]
+
+    def ema(a):
+        out = [a[0]]
+        for y in a[1:]:
+            out.append(0.3 * y + 0.7 * out[-1])
+        return out
+
+    want = sorted((i // 2, (a + b) / 2) for i, (a, b) in enumerate(zip(ema(v), ema(v[::-1])[::-1], strict=True)))
+    assert np.allclose(sorted((g["t"], g["x"]) for g in got if g["k"] is None), want)
+
+
+def test_repeated_rows_spread(spark):
+    """Equal rows go to many packing groups, each with a bin of its own."""
+    docs = [(7, "a b c", "s")] * 3000 + [(100 + i, f"w{i} x", f"t{i % 5}") for i in range(1000)]
+    found = packing.pack(spark.createDataFrame(docs, "doc_id long, text string, source string"), 16, 100).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(d[0] for d in docs)
+    assert len({r["bin_id"] for r in found if r["doc_id"] == 7}) == 3000
+    assert max(Counter(r["bin_id"].split("-")[0] for r in found).values()) < 250
