@@ -114,6 +114,15 @@ def causal_ema(s, d):
     return temporal.ema(x, SERIES, "group_id", "x", 0.6).select(*SERIES, "group_id", *r6("x"))
 
 
+def causal_ema_all(s, d):
+    """Every coordinate of every point of every camera."""
+    h = R.joint_rows(R.hands(s, d))
+    values = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("x")) for a in "xyz"])).alias("v")
+    keys = [*SERIES, "camera_id", "joint", "axis"]
+    x = h.select(*SERIES, "camera_id", "joint", "group_id", values).select(*SERIES, "camera_id", "joint", "group_id", "v.axis", "v.x")
+    return temporal.ema(x, keys, "group_id", "x", 0.6).select(*keys, "group_id", *r6("x"))
+
+
 def bidirectional_ema(s, d):
     return temporal.bidirectional_ema(R.series(s, d).select("user_id", "seq", "x"), ["user_id"], "seq", "x", 0.5).select("user_id", "seq", *r6("x"))
 
@@ -232,11 +241,19 @@ def anchor_hysteresis(s, d):
     return select.anchor_with_margin(R.hands(s, d).drop("joints"), KEYS, "quality", "C0", 0.25).select(*KEYS, "camera_id", "quality")
 
 
-def weighted_median(s, d):
-    h = R.joint_rows(R.hands(s, d)).where("joint in (4, 8, 12)").withColumn("w", F.greatest("quality", F.lit(0.05)))
+def _weighted_median(h):
+    h = h.withColumn("w", F.greatest("quality", F.lit(0.05)))
     return fuse.weighted_median(h, ["group_id", "hand", "joint"], "x", "w").select("group_id", "hand", "joint", *r6("x"))
 
 
+def weighted_median(s, d):
+    return _weighted_median(R.joint_rows(R.hands(s, d)).where("joint in (4, 8, 12)"))
+
+
+def weighted_median_all(s, d):
+    return _weighted_median(R.joint_rows(R.hands(s, d)))
+
+
 def chunk_groups(s, d):
     return select.chunks(R.hands(s, d), ["camera_id"], 16)
 
@@ -299,10 +316,15 @@ def ood_gate_all(s, d):
     return _ood_gate(v.where("id % 2 = 0"), v.where("id % 2 <> 0"))
 
 
-def _pairs(s, d) -> DataFrame:
+def _pairs_all(s, d) -> DataFrame:
+    """Every point of C0 to C2 with the true one of C3."""
     rows = long_hands(s, d)
     truth = rows.where("camera_id = 'C3'").select(*KEYS, "joint", *[F.col(c).alias(f"t{c}") for c in "xyz"])
-    return rows.where("camera_id = 'C0'").join(truth, [*KEYS, "joint"])
+    return rows.where("camera_id <> 'C3'").join(truth, [*KEYS, "joint"])
+
+
+def _pairs(s, d) -> DataFrame:
+    return _pairs_all(s, d).where("camera_id = 'C0'")
 
 
 def joint_offsets_shrunk(s, d):
@@ -335,21 +357,34 @@ def huber_shift(s, d):
     return fit.huber_shift(p, ["hand", "joint"]).select("hand", "joint", *r6("sx", "sy"))
 
 
+def huber_shift_all(s, d):
+    p = _pairs_all(s, d).select("camera_id", "hand", "joint", "x", "y", "tx", "ty")
+    return fit.huber_shift(p, ["camera_id", "hand", "joint"]).select("camera_id", "hand", "joint", *r6("sx", "sy"))
+
+
 def _rays(s, d) -> DataFrame:
-    h = R.joint_rows(R.hands(s, d)).where("joint between 1 and 6")
+    h = R.joint_rows(R.hands(s, d))
     size = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
     eye = F.substring("camera_id", 2, 1).cast("double")
     return h.select("group_id", "hand", "joint", "camera_id", (eye * 0.1).alias("ox"), (eye * eye * 0.05).alias("oy"), F.lit(0.0).alias("oz"), *[(F.col(c) / size).alias(f"d{c}") for c in "xyz"])
 
 
-def triangulate_rays(s, d):
-    found = fit.triangulate(_rays(s, d), ["group_id", "hand", "joint"])
+def _triangulate_rays(rays):
+    found = fit.triangulate(rays, ["group_id", "hand", "joint"])
     return found.select("group_id", "hand", "joint", "views", *[(F.round(c, 4) + 0.0).alias(c) for c in ("x", "y", "z", "error")])
 
 
+def triangulate_rays(s, d):
+    return _triangulate_rays(_rays(s, d).where("joint between 1 and 6"))
+
+
+def triangulate_rays_all(s, d):
+    return _triangulate_rays(_rays(s, d))
+
+
 def one_euro(s, d):
-    x = R.joint_rows(R.hands(s, d).where("camera_id = 'C0'")).where("joint = 8")
-    return temporal.one_euro(x, SERIES, "group_id", ["x", "y", "z"]).select(*SERIES, "group_id", *r6("x", "y", "z"))
+    keys = [*SERIES, "camera_id", "joint"]
+    return temporal.one_euro(R.joint_rows(R.hands(s, d)), keys, "group_id", ["x", "y", "z"]).select(*keys, "group_id", *r6("x", "y", "z"))
 
 
 def _view_quality(b):
@@ -368,8 +403,8 @@ def view_quality_all(s, d):
 
 
 def axis_affine(s, d):
-    p = _pairs(s, d).where("joint in (4, 8, 12, 16, 20)").select("hand", "joint", "x", "y", "tx", "ty")
-    return fit.axis_affine(p, ["hand", "joint"], 0.3).select("hand", "joint", *r6("ax", "bx", "ay", "by"))
+    p = _pairs_all(s, d).select("camera_id", "hand", "joint", "x", "y", "tx", "ty")
+    return fit.axis_affine(p, ["camera_id", "hand", "joint"], 0.3).select("camera_id", "hand", "joint", *r6("ax", "bx", "ay", "by"))
 
 
 def triangulate_subsets(s, d):
@@ -500,9 +535,8 @@ def box_transforms_all(s, d):
     return _box_transforms(R.detections(s, d))
 
 
-def crop_keypoints(s, d):
+def _crop_keypoints(h):
     """Hands as points of a crop, put into the image (Left mirrored), and their confidence."""
-    h = R.joint_rows(R.hands(s, d)).where("joint in (0, 4, 8)")
     c = F.col
     box = V.vec(c("group_id") % 700 + 0.0, c("pos") % 500 + 0.0, c("group_id") % 700 + 200.0, c("pos") % 500 + 200.0)
     pixel = V.from_crop(V.vec(c("x"), c("y")), c("group_id") % 700 + 100.0, c("pos") % 500 + 100.0, F.lit(200.0), c("hand") == "Left")
@@ -511,6 +545,14 @@ def crop_keypoints(s, d):
     return h.select("pos", "joint", F.round(V.at(c("pixel"), 0), 6).alias("px"), F.round(V.at(c("pixel"), 1), 6).alias("py"), F.round(confidence, 6).alias("confidence"))
 
 
+def crop_keypoints(s, d):
+    return _crop_keypoints(R.joint_rows(R.hands(s, d)).where("joint in (0, 4, 8)"))
+
+
+def crop_keypoints_all(s, d):
+    return _crop_keypoints(R.joint_rows(R.hands(s, d)))
+
+
 def fingertip_summary(s, d):
     """Distances of the fingers' tips and bases from the wrist."""
     h = long_hands(s, d).where("joint in (2, 4, 5, 8, 9, 12, 13, 16, 17, 20)")
@@ -538,6 +580,7 @@ ALL = (
     merge_last_wins, workload_report, knn_loo, ood_gate, joint_offsets_shrunk, bone_scales, similarity_moments, similarity_fit, ridge_residual, huber_shift,
     triangulate_rays, one_euro, view_pivot, view_quality, axis_affine, triangulate_subsets, chunk_overlap,
     bbox_features_all, bbox_best_overlap_all, match_recall_all, view_quality_all, box_transforms_all, knn_loo_all, ood_gate_all,
+    causal_ema_all, weighted_median_all, huber_shift_all, triangulate_rays_all, crop_keypoints_all,
 )
 
 

@@ -121,3 +121,47 @@ def test_repeated_rows_spread(spark):
     assert Counter(r["doc_id"] for r in found) == Counter(d[0] for d in docs)
     assert len({r["bin_id"] for r in found if r["doc_id"] == 7}) == 3000
     assert max(Counter(r["bin_id"].split("-")[0] for r in found).values()) < 250
+
+
+@pytest.mark.parametrize(
+    ("name", "cut"),
+    [("weighted_median", " WHERE joint IN (4, 8, 12)"), ("triangulate_rays", " WHERE joint BETWEEN 1 AND 6"), ("crop_keypoints", " WHERE joint IN (0, 4, 8)"), ("huber_shift", " WHERE joint IN (0, 5, 17)")],
+)
+def test_all_points(spark, duck, name, cut):
+    got, want = catalog.queries()[name + "_all"](spark, SF).toPandas(), duck.sql(widened(name, ((cut, ""),))).df()
+    assert set(got["joint"]) == set(range(21))
+    if "camera_id" in got and "camera_id" not in want:
+        assert set(got["camera_id"]) == {"C0", "C1", "C2"}
+        got = got[got["camera_id"] == "C0"].drop(columns="camera_id")
+    assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["causal_ema_all", "one_euro"])
+def test_all_series(spark, name):
+    """A row for each point of each hand; each series as the operator has it alone."""
+    n = records.hands(spark, SF).count() * 21
+    got = catalog.queries()[name](spark, SF).toPandas()
+    assert len(got) == n * (3 if name == "causal_ema_all" else 1)
+    assert set(got["joint"]) == set(range(21)) and set(got["camera_id"]) == {"C0", "C1", "C2", "C3"}
+    h = records.joint_rows(records.hands(spark, SF)).where("camera_id = 'C2' and joint = 13").toPandas()
+    for (sequence, hand), one in h.sort_values("group_id").groupby(["sequence_id", "hand"]):
+        mine = got[(got["sequence_id"] == sequence) & (got["hand"] == hand) & (got["camera_id"] == "C2") & (got["joint"] == 13)].sort_values("group_id")
+        if name == "causal_ema_all":
+            want, last = [], None
+            for t, y in zip(one["group_id"], one["y"], strict=True):
+                want.append(0.6 * y + 0.4 * want[-1] if last == t - 1 else y)
+                last = t
+            assert np.allclose(mine[mine["axis"] == "y"]["x"], want, atol=1e-6)
+        else:
+            state, want = None, []
+            for t, *x in one[["group_id", "x", "y", "z"]].itertuples(index=False):
+                state = temporal.one_euro_step(state, t, np.array(x), None)
+                want.append(state[3])
+            assert np.allclose(mine[["x", "y", "z"]], want, atol=1e-6)
+
+
+def test_all_fits(spark):
+    found = catalog.axis_affine(spark, SF).toPandas()
+    assert len(found) == 3 * 2 * 21 == len(found[["camera_id", "hand", "joint"]].drop_duplicates())
+    n = records.hands(spark, SF).select("group_id", "hand").distinct().count()
+    assert catalog.triangulate_subsets(spark, SF).select("group_id", "hand", "joint").distinct().count() == n * 21
