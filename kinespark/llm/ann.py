@@ -94,8 +94,17 @@ def _scored(books: np.ndarray, top: int, again: int):
     m, k, d = books.shape
 
     def block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, scale: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
-        double = x.astype(np.float64)
-        n = len(ids)
+        # Equal vectors are one candidate, in order of their least id; `of` has each row's.
+        same = np.ascontiguousarray(x + np.float32(0)).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
+        _, first, of = np.unique(same, return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        first, of = first[order], place[of.ravel()]
+        members = np.split(ids[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of))[:-1])
+        codes, scale, double, least = codes[first], scale[first], x[first].astype(np.float64), ids[first]
+        n = len(first)
+        low, high = np.searchsorted(ids, q_ids), np.searchsorted(ids, q_ids, "right")
         for at in range(0, len(q), 64):
             part = q[at : at + 64]
             table = np.einsum("qd,mkd->mqk", part.astype(np.float32), books, optimize=True)
@@ -103,15 +112,20 @@ def _scored(books: np.ndarray, top: int, again: int):
             for j in range(m):
                 near += table[j][:, codes[:, j]]
             near *= scale
-            near[q_ids[at : at + 64, None] == ids[None, :]] = -np.inf
+            own: list[dict] = []
+            for i in range(len(part)):
+                own.append({c: members[c][members[c] != q_ids[at + i]] for c in set(of[low[at + i] : high[at + i]].tolist())})
+                near[i, [c for c, others in own[i].items() if not len(others)]] = -np.inf
             edge = np.partition(near, max(0, n - again), axis=1)[:, max(0, n - again)]
             for i in range(len(part)):
                 over = np.flatnonzero(near[i] > edge[i])
                 level = np.flatnonzero((near[i] == edge[i]) & np.isfinite(near[i]))[: max(0, again - len(over))]
-                keep = np.sort(np.concatenate([over, level]))  # ids are in order, so ties keep the smaller
+                keep = np.sort(np.concatenate([over, level]))  # candidates are in order, so ties keep the smaller id
                 exact = double[keep] @ part[i].astype(np.float64)
-                for z in np.lexsort((ids[keep], -exact))[:top]:
-                    yield int(q_ids[at + i]), int(ids[keep[z]]), float(exact[z])
+                smallest = np.array([own[i][c][0] if c in own[i] else least[c] for c in keep.tolist()], np.int64)
+                rows = [(-exact[z], int(v)) for z in np.lexsort((smallest, -exact))[:top] for v in own[i].get(int(keep[z]), members[keep[z]])[:top]]
+                for score, v in sorted(rows)[:top]:
+                    yield int(q_ids[at + i]), v, float(-score)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,9 +159,9 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, again: int = A
     to the smaller vec_id. Vectors that are null, zero, of an odd length or not finite take no
     part. Every vector is coded; only the codebooks come from a sample, of SAMPLE vectors at
     most. Blocks of queries meet blocks of candidates; the best `again` of each block are scored
-    exactly. Rows that repeat a vec_id are candidates of their own. Equal vectors have equal
-    codes, and among equal scores the smaller ids are kept, so a large group of copies loses
-    nothing. Other columns are ignored; without usable vectors there are no rows.
+    exactly. Equal vectors of a block are one of these, and their smallest ids come back, so a
+    large group of copies takes one place. Rows that repeat a vec_id are candidates of their
+    own. Other columns are ignored; without usable vectors there are no rows.
     """
     base = stored(usable(vectors))
     total = base.count()

@@ -5,10 +5,11 @@ import itertools
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.conftest import SF
 
-from kinespark.llm import packing
+from kinespark.llm import ann, packing
 from kinespark.operators import boxes, fit, temporal
 from kinespark.plans import catalog
 from kinespark.sources import records
@@ -165,3 +166,26 @@ def test_all_fits(spark):
     assert len(found) == 3 * 2 * 21 == len(found[["camera_id", "hand", "joint"]].drop_duplicates())
     n = records.hands(spark, SF).select("group_id", "hand").distinct().count()
     assert catalog.triangulate_subsets(spark, SF).select("group_id", "hand", "joint").distinct().count() == n * 21
+
+
+def test_copies_take_one_place(spark):
+    """More copies than reranks, whose approximate score beats that of better vectors."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(600, 16)).astype(np.float32)
+    x[:300] = x[0]
+    q = (x[0] + 0.4 * r.normal(size=16)).astype(np.float32)
+    x[300:600] = (x[300:600] * 0.2 + q * 1.3).astype(np.float32)
+    schema = "vec_id long, embedding array<float>"
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], schema)
+    asked = spark.createDataFrame([(10_000, q.tolist()), (3, x[3].tolist())], schema)
+    got = {(row["query_id"], row["rank"]): row["vec_id"] for row in ann.search(v, asked, 8, 301).collect()}
+    for name, y in ((10_000, q), (3, x[3])):
+        exact = x.astype(float) @ y.astype(float)
+        want = [i for i in np.lexsort((np.arange(600), -exact)) if i != name][:8]
+        assert [got[name, k] for k in range(1, 9)] == want
+    # the codes of a block are all alike, the copies first: only distinct vectors get all places
+    books, ids = np.zeros((1, 1, 16), np.float32), np.arange(600, dtype=np.int64)
+    batch = pa.RecordBatch.from_pylist([{"q_ids": np.array([10_000]).tobytes(), "q_x": q.tobytes(), "ids": ids.tobytes(), "codes": bytes(600), "scale": np.ones(600, np.float32).tobytes(), "x": x.tobytes()}])
+    (found,) = ann._scored(books, 8, 301)(iter([batch]))
+    exact = x.astype(float) @ q.astype(float)
+    assert found["vec_id"].to_pylist() == np.lexsort((np.arange(600), -exact))[:8].tolist()
