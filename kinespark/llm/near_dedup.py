@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -196,19 +196,13 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = 20, rows: int = 5) -> DataFrame:
-    """Rows (doc_id, k1, k2, n_shingles, component_id, kept), one for each row of `docs`.
+def _order() -> Column:
+    """The total order of rows by which a component has one first: doc_id, null last, then content."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "k1", "k2")
 
-    Two documents are linked if 100 * intersection >= percent * union of their shingle sets;
-    component_id is the smallest doc_id reachable. A pair at the threshold meets in no band
-    with probability (1 - (percent / 100) ** rows) ** bands: 8e-6 at the defaults, less for
-    closer pairs. Links among the members of a bucket are decided on full sets, without caps.
 
-    Null or blank text: an empty set, linked with nothing, its own component, kept. Rows that
-    repeat a doc_id keep a row each. A null doc_id takes part; it gets the component_id of its
-    group (null if the group has no other id) and kept false, or true where it stands alone.
-    Other columns are ignored. k1 and k2 are hashes of (doc_id, text).
-    """
+def _verdicts(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = 20, rows: int = 5) -> DataFrame:
+    """near_duplicates() with `first`: whether the row is the first of its component."""
     from .common import row_keys
 
     signed = stored(
@@ -219,7 +213,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     classes = stored(
         signed.where("class is not null")
         .groupBy("class")
-        .agg(F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.first("keys").alias("keys"), F.min_by(F.struct("k1", "k2"), F.struct("k1", "k2")).alias("at"))
+        .agg(F.min("doc_id").alias("least_id"), F.min("n_shingles").alias("n"), F.first("keys").alias("keys"), F.min_by(F.struct("k1", "k2"), F.struct("k1", "k2")).alias("at"), F.min(_order()).alias("first"))
     )
     keyed = classes.select("class", "n", F.explode("keys").alias("bucket"))
     shape = keyed.groupBy("bucket").agg(
@@ -240,31 +234,52 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     work = pairs.join(sets, "class").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "class")
     edges = work.select("bucket", "lo", "hi", "class", "block", "shingles").mapInArrow(_confirm(percent), "a binary, b binary")
     labels = connected_components(edges)
-    least = classes.select("class", "least_id")
+    least = classes.select("class", "least_id", "first")
     joined = labels.join(least, F.col("node") == F.col("class"))
-    roots = joined.groupBy("label").agg(F.min("least_id").alias("root_id"))
-    moved = joined.join(roots, "label").select(F.col("node").alias("class"), "root_id", F.lit(True).alias("linked"))
-    final = least.join(moved, "class", "left").select("class", F.when(F.col("linked"), F.col("root_id")).otherwise(F.col("least_id")).alias("root_id"))
-    alone = F.col("doc_id").isNull() & F.col("root_id").isNull()
+    roots = joined.groupBy("label").agg(F.min("least_id").alias("root_id"), F.min("first").alias("root_first"))
+    moved = joined.join(roots, "label").select(F.col("node").alias("class"), "root_id", "root_first", F.lit(True).alias("linked"))
+    final = least.join(moved, "class", "left").select(
+        "class", F.when(F.col("linked"), F.col("root_id")).otherwise(F.col("least_id")).alias("root_id"), F.coalesce("root_first", "first").alias("first")
+    )
+    # an empty set is the first of its own component
+    is_first = F.coalesce(_order() == F.col("first"), F.lit(True))
+    alone = F.col("doc_id").isNull() & F.col("root_id").isNull() & F.col("first")
     return (
         signed.drop("keys")
         .join(final, "class", "left")
-        .select("doc_id", "k1", "k2", "n_shingles", F.coalesce("root_id", "doc_id").alias("component_id"))
+        .select("doc_id", "k1", "k2", "n_shingles", F.coalesce("root_id", "doc_id").alias("component_id"), is_first.alias("first"))
         .withColumn("root_id", F.col("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), alone))
         .drop("root_id")
     )
 
 
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = 20, rows: int = 5) -> DataFrame:
+    """Rows (doc_id, k1, k2, n_shingles, component_id, kept), one for each row of `docs`.
+
+    Two documents are linked if 100 * intersection >= percent * union of their shingle sets;
+    component_id is the smallest doc_id reachable. A pair at the threshold meets in no band
+    with probability (1 - (percent / 100) ** rows) ** bands: 8e-6 at the defaults, less for
+    closer pairs. Links among the members of a bucket are decided on full sets, without caps.
+
+    Null or blank text: an empty set, linked with nothing, its own component, kept. Rows that
+    repeat a doc_id keep a row each. A null doc_id takes part; it gets the component_id of its
+    group (null if the group has no other id) and kept false; in a group without ids the first by
+    k1 and k2 is kept.
+    Other columns are ignored. k1 and k2 are hashes of (doc_id, text).
+    """
+    return _verdicts(docs, width, percent, bands, rows).drop("first")
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
     """The rows of `docs` with one document left of each group of near duplicates, that with
-    the smallest doc_id. Rows alike in doc_id and text count as one group and leave one row.
+    the smallest doc_id (null last, then by content). Rows alike in doc_id and text count as one group and leave one row.
     All columns are returned as they came, whatever their names."""
     from pyspark.sql import Window
 
     from .common import row_keys
 
-    verdict = near_duplicates(docs, width, percent, bands, rows).where("kept").groupBy("k1", "k2").agg(F.lit(1).alias("one"))
+    verdict = _verdicts(docs, width, percent, bands, rows).where("first").groupBy("k1", "k2").agg(F.lit(1).alias("one"))
     keys = dict(zip(("__k1", "__k2"), row_keys("doc_id", "text"), strict=True))
     rank = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy("__k1"))
     kept = docs.withColumns(keys).join(verdict.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), ["__k1", "__k2"])

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from tests.conftest import SF
 
-from kinespark.llm import ann, packing
+from kinespark.llm import ann, near_dedup, packing
 from kinespark.operators import boxes, fit, temporal
 from kinespark.plans import catalog
 from kinespark.sources import records
@@ -189,3 +189,17 @@ def test_copies_take_one_place(spark):
     (found,) = ann._scored(books, 8, 301)(iter([batch]))
     exact = x.astype(float) @ q.astype(float)
     assert found["vec_id"].to_pylist() == np.lexsort((np.arange(600), -exact))[:8].tolist()
+
+
+def test_one_of_each_group_is_left(spark):
+    """Near copies without ids, and near copies that share one id, leave one row."""
+    base = [f"w{i}" for i in range(120)]
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (0, 119)]
+    for ids in ([None, None, None], [5, 5, 5], [None, 4, 4]):
+        docs = spark.createDataFrame([*zip(ids, [" ".join(base), *near], strict=True), (None, "alone " * 9), (9, None), (None, " ")], "doc_id long, text string")
+        left = near_dedup.drop_near_duplicates(docs).collect()
+        group = [r for r in left if r["text"] and "w60" in r["text"]]
+        assert len(group) == 1 and len(left) == 4
+        assert group[0]["doc_id"] == min((i for i in ids if i is not None), default=None)
+        kept = [r["kept"] for r in near_dedup.near_duplicates(docs).collect() if r["n_shingles"] > 50]
+        assert len(kept) == 3 and (kept.count(True) == 1 if ids[1] is None else any(kept))
