@@ -1,16 +1,16 @@
-"""License scan: an exact set-similarity join of text blocks with license templates.
-
-A block meets a template if it holds at least `percent` percent of the template's distinct
-words. Words are ordered by how often the corpus has them, rarest first. With o words to share,
-the first |T| - o + 1 words of the template and the first |B| - o + 1 of the block must have one
-in common (prefix filter), |B| must reach o (length filter), and what follows the common word on
-either side must suffice for the rest (positional filter). What passes is confirmed on full sets.
+"""License scan: an exact set-similarity join of text blocks with license texts.
+
+The tokens of a text are its runs of WIDTH words. A block meets a template if it holds at least
+`percent` percent of the template's distinct tokens. Tokens are ordered by how often the corpus
+has them, rarest first. With o tokens to share, the first |T| - o + 1 tokens of the template and
+the first |B| - o + 1 of the block must have one in common (prefix filter), |B| must reach o
+(length filter), and what follows the common token on either side must suffice for the rest
+(positional filter). What passes is confirmed on full sets.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,90 +18,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import row_keys, stored
+from .license_texts import PHRASES, TEMPLATES
 
-#: License statements in their own words, lower case, and the label of each.
-TEMPLATES = [
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0"),
-    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-]
-#: Phrases that give a label by themselves.
-PHRASES = [
-    ("gpl", "gnu general public license"),
-    ("apache", "apache license"),
-    ("cc-by", "cc by"),
-    ("mit", "mit license"),
-]
+#: Words of a token: in order and next to each other, so that words which merely stand near
+#: one another don't make a license.
+WIDTH = 5
 #: After A-Z became a-z: ASCII letters and digits and all that isn't ASCII.
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+").findall
 
-
-def _words(text: bytes | None) -> list[bytes]:
-    return _WORDS(text.lower()) if text else []
-
-
-def _tally(vocabulary: frozenset[bytes]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch.column("text").cast(pa.binary()):
-                total.update(filter(vocabulary.__contains__, _words(text.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in total], pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
-
-    return run
+SCANNED = "doc_id long, k1 long, k2 long, n_words long, n_base long, first_word long, last_word long, base array<string>, hits array<struct<at:int,token:int>>"
 
 
-def _places(words: list[bytes], phrases: dict[bytes, list[tuple[str, list[bytes]]]]) -> list[tuple[int, str]]:
-    if phrases.keys().isdisjoint(words):
-        return []
-    return [(i, label) for i, w in enumerate(words) for label, phrase in phrases.get(w, ()) if words[i : i + len(phrase)] == phrase]
+def words(text: bytes | None) -> list[bytes]:
+    return _WORDS(text.lower()) if text else []
 
 
-SCANNED = "doc_id long, k1 long, k2 long, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<struct<block:int,words:array<int>>>"
+def tokens(found: list[bytes]) -> list[tuple[bytes, ...]]:
+    """Runs of WIDTH words by their first word."""
+    return [tuple(found[i : i + WIDTH]) for i in range(len(found) - WIDTH + 1)]
 
 
-def _scan(rank: dict[bytes, int], anchors: frozenset[bytes], step: int, least: int):
-    """Base phrases of each document, and its blocks, each 2 * step words from a multiple of
-    step on, as sorted ranks of their template words: those with an anchor and `least` words."""
+def _scan(vocabulary: dict[tuple[bytes, ...], int]):
+    """Base phrases of each document, and where it has tokens of the vocabulary."""
     phrases: dict[bytes, list[tuple[str, list[bytes]]]] = {}
     for label, phrase in PHRASES:
         phrases.setdefault(phrase.encode().split()[0], []).append((label, phrase.encode().split()))
+    pairs = {t[:2] for t in vocabulary}
 
-    def blocks(words: list[bytes]) -> list[dict]:
-        if anchors.isdisjoint(words):
+    def places(found: list[bytes]) -> list[tuple[int, str]]:
+        if phrases.keys().isdisjoint(found):
             return []
-        near = {b for i, w in enumerate(words) if w in anchors for b in (i // step - 1, i // step) if b >= 0}
-        out = []
-        for b in sorted(near):
-            own = sorted({rank[w] for w in words[b * step : (b + 2) * step] if w in rank})
-            if len(own) >= least:
-                out.append({"block": b, "words": own})
-        return out
+        return [(i, label) for i, w in enumerate(found) for label, phrase in phrases.get(w, ()) if found[i : i + len(phrase)] == phrase]
+
+    def hits(found: list[bytes]) -> list[dict]:
+        near = [i for i, pair in enumerate(zip(found, found[1:])) if pair in pairs]
+        known = ((i, vocabulary.get(tuple(found[i : i + WIDTH]))) for i in near)
+        return [{"at": i, "token": t} for i, t in known if t is not None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.string()), pa.list_(pa.struct([("at", pa.int32()), ("token", pa.int32())]))]
         for batch in batches:
             rows: list[tuple] = []
             for text in batch.column("text").cast(pa.binary()):
-                words = _words(text.as_py())
-                base = _places(words, phrases)
+                found = words(text.as_py())
+                base = places(found)
                 at = [i for i, _ in base]
-                rows.append((len(words), len(base), min(at, default=None), max(at, default=None), sorted({x for _, x in base}), blocks(words)))
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.string()), pa.list_(pa.struct([("block", pa.int32()), ("words", pa.list_(pa.int32()))]))]
+                rows.append((len(found), len(base), min(at, default=None), max(at, default=None), sorted({x for _, x in base}), hits(found)))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k1", "k2")), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in SCANNED.split(", ")])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "k1", "k2")), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in SCANNED.split(", ")]
+            )
 
     return run
 
@@ -113,51 +79,55 @@ def license_scan(docs: DataFrame, percent: int = 80, templates: list[tuple[str,
     Blocks are runs of 2 m words of the whole text at every m-th word, m being the length of the
     longest template, so that any m consecutive words lie in one block. labels are those of the
     base phrases and of every template that some block meets, unless another template met there
-    has all the shared words and more of its own (a longer license name). score is the greatest containment
-    of a template met, 1 if a base phrase is there, else 0.
+    shares all that it shares and more (the words that two licenses have in common count for the
+    one whose own words are there too). score is the greatest containment of a template that
+    gave a label, 1 if a base phrase is there, else 0.
 
     Null or empty text: no words, no labels (empty strings), score 0. Repeated rows keep a row
-    each. Only words of the templates are counted and ordered, and only their counts, as many
-    as the templates have words, come to the driver. Ties in the order go by word. Other
-    columns are ignored.
+    each. The texts are read once; only the tokens of the templates are counted, and only their
+    counts, as many as the templates have tokens, come to the driver. Ties in the order go by
+    token. A template has WIDTH words at least. Other columns are ignored.
     """
-    sets = [(label, frozenset(t.encode().split())) for label, t in templates]
-    vocabulary = frozenset().union(*(s for _, s in sets))
-    texts = docs.select("doc_id", *row_keys("doc_id", "source", "text"), "text")
-    tally = texts.select("text").mapInArrow(_tally(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    n = {r["word"].encode(): r["n"] for r in tally.collect()}
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (n.get(w, 0), w)))}
-    index, anchors, smallest = [], set(), len(vocabulary)
-    by_rank = {i: w for w, i in rank.items()}
+    lists = [(label, words(text.encode())) for label, text in templates]
+    if any(len(own) < WIDTH for _, own in lists):
+        raise ValueError(f"a template has fewer than {WIDTH} words")
+    sets = [(label, frozenset(tokens(own))) for label, own in lists]
+    vocabulary = {t: i for i, t in enumerate(sorted(frozenset().union(*(s for _, s in sets))))}
+    texts = docs.select("doc_id", *row_keys("doc_id", "text"), "text")
+    scanned = stored(texts.mapInArrow(_scan(vocabulary), SCANNED))
+    hits = scanned.where(F.size("hits") > 0).select("k1", "k2", F.explode("hits").alias("h")).select("k1", "k2", "h.at", "h.token")
+    n = {r["token"]: r["n"] for r in hits.groupBy("token").agg(F.count("*").alias("n")).collect()}
+    rank = {t: i for i, t in enumerate(sorted(vocabulary.values(), key=lambda t: (n.get(t, 0), t)))}
+    index = []
     for number, (label, own) in enumerate(sets):
-        ordered = sorted(rank[w] for w in own)
+        ordered = sorted(rank[vocabulary[t]] for t in own)
         share = -(-percent * len(ordered) // 100)
-        smallest = min(smallest, share)
-        for i, r in enumerate(ordered[: len(ordered) - share + 1]):
-            index.append((r, number, label, i, len(ordered), share, ordered))
-            anchors.add(by_rank[r])
-    step = max(len(t.split()) for _, t in templates)
-    scanned = stored(texts.mapInArrow(_scan(rank, frozenset(anchors), step, smallest), SCANNED))
-    table = docs.sparkSession.createDataFrame(index, "rank int, template int, label string, i int, m int, share int, words array<int>")
-    blocks = scanned.where(F.size("blocks") > 0).select("k1", "k2", F.explode("blocks").alias("b")).select("k1", "k2", "b.block", F.col("b.words").alias("own"), F.size("b.words").alias("n"))
+        index += [(r, number, label, i, len(ordered), share, ordered) for i, r in enumerate(ordered[: len(ordered) - share + 1])]
+    spark = docs.sparkSession
+    table = spark.createDataFrame(index, "rank int, template int, label string, i int, m int, share int, words array<int>")
+    ranks = spark.createDataFrame(list(rank.items()), "token int, rank int")
+    m = max(len(own) for _, own in lists)
+    # the blocks b with b m <= at and at + WIDTH <= (b + 2) m
+    last, first = F.floor(F.col("at") / m), F.greatest(F.lit(0), F.ceil((F.col("at") + WIDTH) / m) - 2)
+    placed = hits.join(F.broadcast(ranks), "token").select("k1", "k2", "rank", F.explode(F.sequence(first, last)).alias("block"))
+    # a block has at most the templates' tokens, however often it repeats them
+    blocks = placed.groupBy("k1", "k2", "block").agg(F.array_sort(F.collect_set("rank")).alias("own")).withColumn("n", F.size("own"))
     probe = blocks.select("*", F.posexplode("own").alias("j", "rank"))
     passes = (F.col("n") >= F.col("share")) & (F.col("j") <= F.col("n") - F.col("share")) & (F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= F.col("share"))
-    # the index has at most as many rows as the templates have words
+    # the index has at most as many rows as the templates have tokens
     met = probe.join(F.broadcast(table), "rank").where(passes)
-    shared = F.array_sort(F.array_intersect("own", "words"))
-    met = met.withColumn("shared", shared).where(F.size("shared") >= F.col("share"))
-    one = F.struct("label", "m", (F.size("shared") / F.col("m")).alias("part"), "shared")
+    met = met.withColumn("shared", F.array_sort(F.array_intersect("own", "words"))).where(F.size("shared") >= F.col("share"))
+    one = F.struct("label", (F.size("shared") / F.col("m")).alias("part"), "shared")
     # a block meets each template once at most, so this gathers no more than there are templates
     by_block = met.groupBy("k1", "k2", "block").agg(F.collect_set(one).alias("met"))
 
     def outdone(x: Column, y: Column) -> Column:
-        closer = (y.part > x.part) | ((y.part == x.part) & (y.m > x.m))
-        return closer & (F.size(F.array_except(x.shared, y.shared)) == 0)
+        return (F.size(y.shared) > F.size(x.shared)) & (F.size(F.array_except(x.shared, y.shared)) == 0)
 
     best = F.filter("met", lambda x: ~F.exists("met", lambda y: outdone(x, y)))
     found = by_block.select("k1", "k2", F.explode(best).alias("x")).groupBy("k1", "k2").agg(F.collect_set("x.label").alias("found"), F.max("x.part").alias("met"))
     both = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("found", F.array().cast("array<string>")))))
-    return scanned.drop("blocks").join(found, ["k1", "k2"], "left").select(
+    return scanned.drop("hits").join(found, ["k1", "k2"], "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join("base", ",").alias("base_labels"), F.array_join(both, ",").alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("met", F.lit(0.0))).alias("score"),

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, n_words, stored
+from .common import WORD, cut, n_words, row_keys, stored
 
 #: 1 / golden ratio, the step of the schedule's points.
 STEP = 0.6180339887498949
@@ -73,7 +73,7 @@ def _targets(sized: DataFrame, weights: tuple[float, ...], most: float) -> DataF
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, block_words: int = BLOCK_WORDS, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(pieces, slots): the documents cut by block, and the schedule.
 
-    pieces: doc_id, key (of the row's content), size, source_size, target, id (of its source),
+    pieces: doc_id, k1 and k2 (of the row's content), size, source_size, target, id (of its source),
     run and at (its place in the source), block, words. slots: slot, id, rank, block, epoch. A document's word belongs to one block;
     a block comes in once for each of its slots, at most `most` times. A document without words
     has one piece with block null. A null source is a source of its own; the other columns
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     seed and doc_id, then by id, size and content.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("digest"), F.xxhash64("doc_id", "source", "text").alias("key")))
+    sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("digest"), *row_keys("doc_id", "source", "text")))
     table = _targets(sized, weights, most)
     total = table.agg(F.max("total"), F.sum("source_size")).first()
     rows = sized.count()
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
         hexes += 1
     known = sized.join(F.broadcast(table.select("id", F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     known = known.withColumn("run", F.substring("digest", 1, hexes))
-    placed = _prefix(known, ["id"], "run", [F.col("digest"), F.col("doc_id"), F.col("size"), F.col("key")], "size", "start")
+    placed = _prefix(known, ["id"], "run", [F.col("digest"), F.col("doc_id"), F.col("size"), F.col("k1"), F.col("k2")], "size", "start")
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     span = F.when(F.col("size") > 0, F.sequence(first, last))
     pieces = placed.withColumn("block", F.explode_outer(span)).withColumn(
@@ -110,16 +110,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     slots = points.join(F.broadcast(bounds), here).select("slot", "id", "blocks", F.floor(F.col("slot") / SLOTS).alias("run"), F.lit(1).alias("one"))
     ranked = _prefix(slots, ["id"], "run", [F.col("slot")], "one", "rank").where(F.col("rank") < F.col("blocks") * most)
     schedule = ranked.select("slot", "id", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("epoch"))
-    return pieces.select("doc_id", "key", "size", "source_size", "target", "id", "run", "at", "block", "words"), schedule
+    return pieces.select("doc_id", "k1", "k2", "size", "source_size", "target", "id", "run", "at", "block", "words"), schedule
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """Rows (doc_id, key, size, source_size, target, taken), one for each row of `docs`: how
-    many of its words the mix takes, repeats counted. See mix() for nulls, ties and repeats."""
+    """Rows (doc_id, k1, k2, size, source_size, target, taken), one for each row of `docs`: how
+    many of its words the mix takes, repeats counted. k1 and k2 are hashes of doc_id, source and
+    text. See mix() for nulls, ties and repeats."""
     pieces, slots = mix(docs, **how)
     times = slots.groupBy("id", "block").agg(F.count("*").alias("times"))
     joined = pieces.join(times, ["id", "block"], "left").withColumn("took", F.col("words") * F.coalesce("times", F.lit(0)))
-    by = ["doc_id", "key", "size", "source_size", "target", "id", "run", "at"]
+    by = ["doc_id", "k1", "k2", "size", "source_size", "target", "id", "run", "at"]
     return joined.groupBy(*by).agg(F.sum("took").alias("taken")).drop("id", "run", "at")
 
 
@@ -127,11 +128,15 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: each row of `docs` as often as the mix takes all its words, and
     the one document of a source at which the schedule ends with its first words, single
     spaces between them. Documents that the mix doesn't take, or without words, are left out.
-    All columns are returned as they came; n_chars, where there is one, follows a cut text."""
-    key = F.xxhash64("doc_id", "source", "text")
-    taken = mixed(docs, **how).groupBy("key").agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size")).where("__taken > 0")
-    first = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    here = docs.withColumn("__key", key).join(taken.withColumnRenamed("key", "__key"), "__key").withColumn("__first", first).where("__first = 1")
+    Rows alike in doc_id, source and text come as often as the mix takes them together; rows
+    that differ in any of these, nulls included, are documents of their own. All columns are
+    returned as they came; n_chars, where there is one, follows a cut text. The rows of a table
+    have no order, so the order of the schedule's slots isn't kept: it decides what is taken.
+    A training run's order comes from sharding the packed bins."""
+    keys = ["__k1", "__k2"]
+    taken = mixed(docs, **how).groupBy("k1", "k2").agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size")).where("__taken > 0")
+    named = docs.withColumns(dict(zip(keys, row_keys("doc_id", "source", "text"), strict=True)))
+    here = named.dropDuplicates(keys).join(taken.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), keys)
     rest = (F.col("__taken") % F.col("__size")).cast("int")
     copies = here.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__taken") / F.col("__size")))))
     is_cut = (rest > 0) & (F.col("__copy") * F.col("__size") > F.col("__taken"))

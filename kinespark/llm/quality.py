@@ -58,39 +58,40 @@ def text_rules(docs: DataFrame, min_words: int = 10, most_repeated: int = 20) ->
     return measured.withColumn("base_failed", failed)
 
 
-def removed_words(docs: DataFrame, max_docs: int) -> DataFrame:
-    """(k1, k2, removed): words of the lines that a document loses because more than `max_docs`
-    documents of its host (source) have them. The first document of the host (by doc_id, then
-    row hash) keeps such a line, so nothing vanishes altogether."""
+def removed_words(docs: DataFrame, min_docs: int, percent: int) -> DataFrame:
+    """(k1, k2, removed): words of the lines that a document loses because more than `min_docs`
+    documents of its host (source), and more than `percent` percent of those with any line, have them. The
+    first document of the host (by doc_id, then row hash) keeps such a line, so nothing vanishes
+    altogether."""
     even = F.trim(F.regexp_replace(F.regexp_replace("line", r"[0-9]+", "0"), r"[\x20\x09-\x0D]+", " "))
+    host = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
+    keyed = docs.select("doc_id", *row_keys("doc_id", "source", "text"), host.alias("host"), "text")
     lines = stored(
-        docs.select("doc_id", "source", *row_keys("doc_id", "source", "text"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        keyed.select("doc_id", "k1", "k2", "host", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .withColumn("even", even)
         .where("even <> ''")
-        .select(
-            "doc_id", "k1", "k2", "pos",
-            F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))).alias("host"),
-            F.xxhash64("even").alias("h"),
-            n_words(F.col("line")).alias("n"),
-        )
+        .select("doc_id", "k1", "k2", "pos", "host", F.xxhash64("even").alias("h"), n_words(F.col("line")).alias("n"))
     )
+    hosts = lines.groupBy("host", "k1", "k2").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
     per_doc = lines.groupBy("host", "h", "doc_id", "k1", "k2").agg(F.count("*").alias("n"))
-    common = per_doc.groupBy("host", "h").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "k1")).alias("first")).where(F.col("docs") > max_docs)
+    often = per_doc.groupBy("host", "h").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "k1")).alias("first")).where(F.col("docs") > min_docs)
+    common = often.join(hosts, "host").where(100 * F.col("docs") > percent * F.col("host_docs")).select("host", "h", "first")
     gone = lines.join(common, ["host", "h"]).where(F.col("k1") != F.col("first.k1"))
     once = gone.groupBy("k1", "k2", "pos").agg(F.max("n").alias("n"))  # rows that repeat a document are one
     return once.groupBy("k1", "k2").agg(F.sum("n").alias("removed"))
 
 
-def quality(docs: DataFrame, max_docs: int = 100, min_left: int = 10, least_share: int = 20) -> DataFrame:
+def quality(docs: DataFrame, min_docs: int = 5, percent: int = 10, min_left: int = 10, least_share: int = 20) -> DataFrame:
     """text_rules() with `removed` (long) and `kept`: false if base_failed, or if the lines that
-    more than `max_docs` documents of the host share leave fewer than `min_left` words or less
-    than `least_share` percent of the words. One row for each row of `docs`.
+    more than `min_docs` documents and `percent` percent of the documents of the host share leave
+    fewer than `min_left` words or less than `least_share` percent of the words. One row for each
+    row of `docs`.
 
     Lines are compared with numbers as 0 and white space evened out; blank ones don't count. A
     null source is a host of its own. A null or empty text has no words, so base_failed holds.
     Rows alike in doc_id, source and text are one document. Other columns are ignored.
     """
-    gone = removed_words(docs, max_docs)
+    gone = removed_words(docs, min_docs, percent)
     joined = text_rules(docs).join(gone, ["k1", "k2"], "left").withColumn("removed", F.coalesce("removed", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("removed")
     depleted = (F.col("removed") > 0) & ((left < min_left) | (100 * left < least_share * F.col("n_words")))

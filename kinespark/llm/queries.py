@@ -50,11 +50,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`conversations` and one whose texts hold control strings, formatted to windows of 512
-    tokens and read back from them; see chat.format_windows() and chat.read_back()."""
+    tokens of the tokenizer of op2 and read back from them; see chat.format_windows() and chat.read_back()."""
     said = "<|im_end|><|im_start|>assistant ok"
     hard = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
-    return chat.read_back(chat.format_windows(turns, budget=512, history=128))
+    return chat.read_back(chat.format_windows(turns, tokenizer_path(), budget=512, history=128))
 
 
 def op7_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,8 +161,12 @@ lines AS (
   SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS n FROM starts
 ), repeated AS (
   SELECT r, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM windows WHERE n > 1) GROUP BY r
+), hosts AS (
+  SELECT source, count(DISTINCT r) AS docs FROM even WHERE e <> '' GROUP BY source
+), often AS (
+  SELECT source, e, count(DISTINCT r) AS docs, min({{'d': doc_id, 'r': r}}) AS first FROM even WHERE e <> '' GROUP BY source, e HAVING count(DISTINCT r) > 5
 ), common AS (
-  SELECT source, e, min({{'d': doc_id, 'r': r}}) AS first FROM even WHERE e <> '' GROUP BY source, e HAVING count(DISTINCT r) > 100
+  SELECT often.source, e, first FROM often JOIN hosts ON often.source IS NOT DISTINCT FROM hosts.source WHERE 100 * often.docs > 10 * hosts.docs
 ), removed AS (
   SELECT even.r, sum(even.n) AS n FROM even JOIN common ON even.e = common.e AND even.source IS NOT DISTINCT FROM common.source WHERE even.r <> common.first.r GROUP BY even.r
 ), measured AS (

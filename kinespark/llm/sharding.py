@@ -1,6 +1,6 @@
 """A uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-Rows lie in partitions (by a hash of their content). How many rows of each partition go to each
+Rows lie in partitions (by a hash of their content and their number among equal rows). How many rows of each partition go to each
 shard has, in a uniform shuffle with given shard sizes, a multivariate hypergeometric law with
 the partitions' and the shards' sizes as margins. The matrix is drawn first, top down over a
 tree of partition ranges; then each partition permutes its rows and deals them out by its row
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, row_keys, stored, unit
+from .common import cut, numbered_copies, row_keys, stored, unit
 
 #: Rows of a partition on average, children of a node of the tree of partitions.
 PARTITION_ROWS, FAN = 8192, 16
@@ -157,27 +157,27 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
     most (law `rows`); slots run from 0 without gaps. size is the text's UTF-8 bytes plus 16.
 
     A null text counts as empty: size 16 and checksum 0. Null ids take part; repeated rows keep
-    a row each. grown_shard is null: the law `rows` gives no promise on another shard count.
+    a row each and go their own ways, however many they are. grown_shard is null: the law `rows` gives no promise on another shard count.
     The result depends on the rows and the seed alone, not on how they are stored. Other
     columns are ignored. No rows give no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = stored(
-        docs.select(
-            "doc_id",
-            (F.octet_length(text) + 16).cast("long").alias("size"),
-            F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-            *row_keys("doc_id", "text"),
-        )
+    sized = docs.select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        *row_keys("doc_id", "text"),
     )
-    total = sized.count()
+    # a row's name is its content and its number among the rows equal to it, so all names differ
+    named = stored(numbered_copies(sized).withColumn("name", F.xxhash64("k1", "k2", "copy")))
+    total = named.count()
     partitions = max(1, -(-total // PARTITION_ROWS))
     salt = F.lit(seed)
-    here = sized.withColumn("p", F.pmod(F.xxhash64(salt, "k1"), F.lit(partitions).cast("long")))
+    here = named.withColumn("p", F.pmod(F.xxhash64(salt, "name"), F.lit(partitions).cast("long")))
     counts = cut(here.groupBy("p").agg(F.count("*").alias("n")))
     matrix = communication_matrix(counts, partitions, shards, total, seed)
     # permute locally and deal out: the first row[0] rows go to shard 0, the next row[1] to 1 ...
-    local = Window.partitionBy("p").orderBy(F.xxhash64(salt, F.lit(1), "k2", "k1"), "k1", "doc_id")
+    local = Window.partitionBy("p").orderBy(F.xxhash64(salt, F.lit(1), "name", "copy"), "name", "k1", "copy")
     ends = F.aggregate("row", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
     dealt = (
         here.withColumn("rank", F.row_number().over(local))
@@ -188,12 +188,12 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
     runs = 1
     while runs * PARTITION_ROWS * 4 < total // shards:
         runs *= 2
-    again = F.xxhash64(salt, F.lit(2), "k1", "k2")
-    dealt = dealt.select("doc_id", "size", "text_crc32", "k1", "shard", again.alias("again"), F.shiftrightunsigned(again, 33).alias("run"))
+    again = F.xxhash64(salt, F.lit(2), "name", "copy")
+    dealt = dealt.select("doc_id", "size", "text_crc32", "k1", "copy", "shard", again.alias("again"), F.shiftrightunsigned(again, 33).alias("run"))
     dealt = dealt.withColumn("run", F.floor(F.col("run") * runs / F.lit(float(1 << 31))))
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("shard", "run").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    own = Window.partitionBy("shard", "run").orderBy(F.shiftrightunsigned("again", 1), "k1", "doc_id")
+    own = Window.partitionBy("shard", "run").orderBy(F.shiftrightunsigned("again", 1), "k1", "copy")
     return dealt.withColumn("own", F.row_number().over(own) - 1).join(offsets, ["shard", "run"]).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("before") + F.col("own")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

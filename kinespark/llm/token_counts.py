@@ -1,11 +1,10 @@
 """Token counts without token ids: a tokenizer splits a text into pre-tokens and encodes each
 by itself, so a document's count is the sum of its pre-tokens' piece counts.
 
-One pass over the texts turns a block of documents into its pre-token frequencies, kept as one
-row for each distinct pre-token of the block with its documents packed, once per occurrence. Pre-tokens
-that are entries of the tokenizer's own vocabulary, a list of fixed size, are looked up there.
-The open-ended rest is shuffled by pre-token; the distinct pre-tokens of that same exchange
-are encoded once, joined back to the frequencies and summed by document.
+One pass over the texts turns a block of documents into its pre-token frequencies: one row for
+each distinct pre-token of the block with packed pairs (document, frequency). The rows are
+shuffled by pre-token; the distinct pre-tokens of that same exchange are encoded, each once,
+joined back to the frequencies and summed by document.
 """
 
 from __future__ import annotations
@@ -31,10 +30,12 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Text bytes and documents of one block of frequencies.
 BLOCK_BYTES, BLOCK_DOCS = 48_000_000, 60_000
 #: A pre-token that more documents of a block hold is dealt over SALTS tasks.
-COMMON, SALTS = 2_000, 64
-#: Occurrences that a task holds before it passes their sums on.
+COMMON, SALTS = 2_000, 256
+#: Pairs that a task holds before it passes their sums on.
 HELD = 8_000_000
-#: Packed rows: what a block knows of each document at once, and sums by document.
+#: Packed rows: frequencies of a pre-token (greater ones in several pairs), what a block knows
+#: of each document at once, and sums by document.
+PAIRS, MOST = [("doc", "<u2"), ("n", "u1")], 255
 BASE = [("sum", "<i8"), ("bytes", "<i8"), ("id", "<i8"), ("null", "<i8")]
 SUMS = [("doc", "<u2"), ("n", "<i8")]
 
@@ -61,16 +62,6 @@ def _encoded(path: str) -> Callable[[list[str]], list[int]]:
     return lambda pieces: [len(e) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
-@functools.cache
-def _known(path: str) -> dict[str, int]:
-    """Pieces of each vocabulary entry that is one whole pre-token; as many as the vocabulary."""
-    tokenizer = _tokenizer(path)
-    entries = [x for x in (tokenizer.decode([i], skip_special_tokens=False) for i in range(tokenizer.get_vocab_size(with_added_tokens=False))) if "�" not in x]
-    pattern = regex.compile(PRE_TOKEN)
-    whole = [x for x in entries if x and pattern.fullmatch(x) and pattern.match(x).end() == len(x)]
-    return dict(zip(whole, _encoded(path)(whole), strict=True))
-
-
 def _ranges(ok: Callable[[str], bool], stop: int) -> str:
     """The characters below `stop` that are ok, as the inside of a character class."""
     spans, start = [], None
@@ -112,7 +103,6 @@ def _frequencies(path: str):
         find = _splitter(path)
         specials = _specials(path)
         special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
-        known = _known(path)
         task, made = TaskContext.get().partitionId(), 0
         number: defaultdict[str, int] = defaultdict()
 
@@ -128,25 +118,27 @@ def _frequencies(path: str):
             key = (task << 24) + made
             made += 1
             texts = list(number)
-            pieces = np.fromiter((known.get(t, 0) for t in texts), np.int64, len(texts))
             length = np.array([len(x) for x in found], np.int64)
             doc = np.repeat(np.arange(len(found), dtype=np.int64), length)
-            token = np.concatenate([*found, np.empty(0, np.int64)])
-            sums = np.bincount(doc, weights=pieces[token], minlength=len(found)).astype(np.int64) + np.array(at_once, np.int64)
-            open_ended = pieces[token] == 0
-            pair = np.sort(token[open_ended] * max(1, len(found)) + doc[open_ended])
-            token, doc = pair // max(1, len(found)), (pair % max(1, len(found))).astype("<u2")
+            pair, n = np.unique(np.concatenate([*found, np.empty(0, np.int64)]) * max(1, len(found)) + doc, return_counts=True)
+            times = -(-n // MOST)  # 1 for all but the greatest frequencies
+            last = np.cumsum(times) - 1
+            pair = np.repeat(pair, times)
+            packed = np.full(len(pair), MOST, PAIRS)
+            packed["doc"] = pair % max(1, len(found))
+            packed["n"][last] = n - (times - 1) * MOST
+            token = pair // max(1, len(found))
             starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
             ends = np.r_[starts[1:], len(token)][: len(starts)]
-            offsets = pa.array(np.r_[starts, len(token)] * 2, pa.int32()).buffers()[1]
-            pairs = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(doc.tobytes())])
+            offsets = pa.array(np.r_[starts, len(token)] * packed.itemsize, pa.int32()).buffers()[1]
+            pairs = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(packed.tobytes())])
             base = np.empty(len(found), BASE)
-            base["sum"], base["bytes"], base["id"], base["null"] = sums, n_bytes, [i or 0 for i in ids], [i is None for i in ids]
+            base["sum"], base["bytes"], base["id"], base["null"] = at_once, n_bytes, [i or 0 for i in ids], [i is None for i in ids]
             salt = np.where(ends - starts > COMMON, 1 + key % SALTS, 0)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(["", *(texts[i] for i in token[starts])], pa.string()),
-                    pa.array(np.r_[key % SALTS, salt], pa.int32()),
+                    pa.array(np.r_[1 + key % SALTS, salt], pa.int32()),
                     pa.array(np.full(1 + len(starts), key), pa.int64()),
                     pa.concat_arrays([pa.array([base.tobytes()], pa.binary()), pairs]),
                 ],
@@ -179,11 +171,31 @@ def _pieces(path: str):
         count = _encoded(path)
         for batch in batches:
             n = pa.array(count(batch.column("piece").to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("salt"), n], ["piece", "salt", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("salted"), n], ["piece", "salted", "n"])
 
     return run
 
 
+def counter(path: str) -> Callable[[str], int]:
+    """Tokens of one text after another, for use inside a task; pre-tokens seen before are
+    remembered, up to a bound."""
+    find, encode, specials = _splitter(path), _encoded(path), _specials(path)
+    special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
+    known: dict[str, int] = {}
+
+    def count(text: str) -> int:
+        parts = special.split(text) if any(s in text for s in specials) else [text]
+        pieces = [x for p in parts for x in find(p)]
+        if len(known) > 500_000:
+            known.clear()
+        fresh = list(set(pieces).difference(known))
+        if fresh:
+            known.update(zip(fresh, encode(fresh), strict=True))
+        return len(parts) - 1 + sum(map(known.__getitem__, pieces))
+
+    return count
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, base, sums) from joined frequencies: the packed sums of a block's documents, and
     its base row as it came. Memory is bounded by HELD."""
@@ -193,9 +205,10 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         packed = []
         for parts, pieces in held.values():
-            doc, at = np.unique(np.concatenate(parts), return_inverse=True)
+            pair = np.concatenate(parts)
+            doc, at = np.unique(pair["doc"], return_inverse=True)
             one = np.empty(len(doc), SUMS)
-            one["doc"], one["n"] = doc, np.bincount(at, weights=np.repeat(pieces, [len(x) for x in parts]))
+            one["doc"], one["n"] = doc, np.bincount(at, weights=pair["n"] * np.repeat(pieces, [len(x) for x in parts]))
             packed.append(one.tobytes())
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([False] * len(held)), pa.array(packed, pa.binary())], ["block", "base", "sums"])
 
@@ -206,7 +219,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([block[i]], pa.int64()), pa.array([True]), pa.array([docs.as_py()], pa.binary())], ["block", "base", "sums"])
                 continue
             parts, pieces = held.setdefault(block[i], ([], []))
-            parts.append(np.frombuffer(docs.as_py(), "<u2"))
+            parts.append(np.frombuffer(docs.as_py(), PAIRS))
             pieces.append(n[i])
             n_held += len(parts[-1])
         if n_held >= HELD:
@@ -244,9 +257,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     )
     spread = docs.select("doc_id", "text").mapInArrow(_frequencies(path), whole).repartition(n, "piece", "salt")
     # `mass` makes this branch use every column, so both branches read one exchange of the texts' pass
-    distinct = spread.groupBy("piece", "salt").agg(F.sum(F.octet_length("docs") + F.col("block") % 2).alias("mass"))
-    counts = T.StructType([*whole.fields[:2], T.StructField("n", T.LongType(), False)])
-    counted = distinct.select("piece", "salt", "mass").mapInArrow(_pieces(path), counts)
+    distinct = spread.groupBy("piece").agg(F.max(F.col("salt") > 0).alias("salted"), F.sum(F.octet_length("docs") + F.col("block") % 2).alias("mass"))
+    counts = T.StructType([whole["piece"], T.StructField("salted", T.BooleanType(), False), T.StructField("n", T.LongType(), False)])
+    counted = distinct.select("piece", "salted", "mass").mapInArrow(_pieces(path), counts)
+    # only counts of common pre-tokens meet their frequencies in several tasks
+    salts = F.when(F.col("salted"), F.sequence(F.lit(0), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
+    counted = counted.select("piece", F.explode(salts).alias("salt"), "n")
     sums = spread.join(counted.hint("merge"), ["piece", "salt"]).select("piece", "block", "docs", "n").mapInArrow(_summed, "block long, base boolean, sums binary")
     rows = sums.groupBy("block").applyInArrow(_documents, "doc_id long, n_bytes long, n_tokens long")
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)

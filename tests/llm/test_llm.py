@@ -1,7 +1,9 @@
 """Each operator against a brute-force version, on the given tables and on hard small ones."""
 
 import hashlib
+import os
 import re
+import tempfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -88,18 +90,58 @@ def test_packing(documents, hard, empty):
     assert packing.pack(empty).count() == 0
 
 
+def naive_best_fit(pieces, capacity):
+    """(bin, offset) of (size, source, cluster) pieces: of all open bins without the piece's source
+    and cluster, that with the least room that suffices, the first opened among equals."""
+    bins, placed = [], []
+    for size, source, cluster in pieces:
+        free = [(capacity - b["used"], i) for i, b in enumerate(bins) if capacity - b["used"] >= size and source not in b["sources"] and cluster not in b["clusters"]]
+        if free:
+            i = min(free)[1]
+        else:
+            i = len(bins)
+            bins.append({"used": 0, "sources": set(), "clusters": set()})
+        placed.append((i, bins[i]["used"]))
+        bins[i]["used"] += size
+        bins[i]["sources"].add(source)
+        bins[i]["clusters"].add(cluster)
+    return placed
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_best_fit_is_the_naive_scan(seed):
+    r = np.random.default_rng(seed)
+    pieces = [(int(r.integers(1, 101)), f"s{int(r.integers(3 + 9 * seed))}", int(r.integers(4 + 20 * seed))) for _ in range(400)]
+    pieces.sort(key=lambda p: -p[0])
+    assert packing.best_fit(*map(list, zip(*pieces)), 100) == naive_best_fit(pieces, 100)
+
+
 def test_best_fit_takes_tightest_compatible():
     assert packing.best_fit([6, 5, 4, 4], ["a", "b", "a", "c"], [1, 2, 3, 4], 10) == [(0, 0), (1, 0), (1, 5), (0, 6)]
-    placed = packing.best_fit([3] * 20, ["s"] * 20, list(range(20)), 10)
-    assert len({b for b, _ in placed}) == 20  # one source: a bin each
-    assert len({b for b, _ in packing.best_fit([3] * 6, list(range(6)), [7] * 6, 10)}) == 6
 
 
-def test_packed_texts(spark, documents):
-    docs = documents.where("doc_id < 40")
-    packed = packing.pack(docs, 256)
-    texts = packing.packed_texts(docs, packed, 256).collect()
-    assert sum(len(t["text"].split()) for t in texts) == sum(len(words(r[0])) for r in docs.select("text").collect())
+def test_packing_is_the_naive_scan_of_each_group(spark, documents, hard):
+    groups = near_dedup.near_duplicates(documents).select("doc_id", "component_id").dropDuplicates(["doc_id"])
+    clustered = documents.join(groups, "doc_id")
+    for docs, capacity, cluster in ((documents, 512, None), (hard, 64, None), (clustered, 300, "component_id")):
+        pieces, _ = packing.dealt_pieces(docs, capacity, 60, cluster)
+        lots = defaultdict(list)
+        for r in pieces.where("size > 0").collect():
+            lots[r["g"]].append(r)
+        want = set()
+        for g, own in lots.items():
+            own.sort(key=lambda r: (-r["size"], r["lot"]))
+            for r, (b, o) in zip(own, naive_best_fit([(r["size"], r["source"], r["cluster"]) for r in own], capacity)):
+                want.add((r["k1"], r["copy"], r["piece"], f"{g:x}-{b:x}", o, r["size"]))
+        got = packing.pack(docs, capacity, 60, cluster).where("bin_id is not null").collect()
+        assert len(got) == len(want) and {(r["k1"], r["copy"], r["piece"], r["bin_id"], r["bin_offset"], r["n_words"]) for r in got} == want
+
+
+def test_packed_texts(spark, documents, hard):
+    for docs in (documents.where("doc_id < 40"), hard, hard.union(hard)):
+        texts = packing.packed_texts(docs, packing.pack(docs, 256), 256).collect()
+        assert Counter(w for t in texts for w in words(t["text"])) == Counter(w for r in docs.select("text").collect() for w in words(r[0]))
+        assert all(t["n_words"] == len(words(t["text"])) <= 256 for t in texts)
 
 
 def test_token_counts(documents, hard, empty):
@@ -135,6 +177,39 @@ def test_targets_stop_at_three_times(spark):
     assert got[1]["taken"] == 300 and abs(got[0]["taken"] - 8600) < 20
 
 
+def test_mixed_documents_keep_rows_that_differ_in_nulls(spark):
+    docs = spark.createDataFrame([(5, None, "one two three"), (5, "one two three", None), (5, "one two three", "s"), (5, "one two three", "s")], "doc_id long, text string, source string")
+    taken = Counter()
+    for r in mixing.mixed(docs, block_words=1).collect():
+        taken[r["size"]] += r["taken"]
+    out = mixing.mixed_documents(docs, block_words=1).collect()
+    assert all(r["text"] for r in out) and {r["source"] for r in out} == {None, "s"} and sum(len(words(r["text"])) for r in out) == taken[3]
+
+
+def test_sharding_is_uniform(spark):
+    """Over many seeds each row, one of forty copies included, is equally often in every shard and
+    slot, and neighbours are equal as often as chance has it."""
+    table = spark.createDataFrame([(i, "same" if i < 40 else f"t{i}") for i in [*range(40), *range(40, 80)]], "doc_id long, text string").selectExpr("if(doc_id < 40, 0, doc_id) as doc_id", "text")
+    shards, same, equal, places = 4, Counter(), 0, Counter()
+    was, sharding.PARTITION_ROWS = sharding.PARTITION_ROWS, 10
+    try:
+        seeds = 60
+        for seed in range(seeds):
+            got = sorted(sharding.shard(table, shards, seed).select("shard", "slot", "doc_id").collect())
+            same.update(r["shard"] for r in got if r["doc_id"] == 0)
+            places.update((r["shard"], r["slot"]) for r in got if r["doc_id"] == 0)
+            equal += sum(a["doc_id"] == b["doc_id"] == 0 for a, b in zip(got, got[1:]) if a["shard"] == b["shard"])
+    finally:
+        sharding.PARTITION_ROWS = was
+    # 40 of 80 rows are copies: every place has one with probability 1/2
+    n = seeds * 80 / 2
+    assert all(abs(x - n / shards) < 5 * (n / shards / 4) ** 0.5 for x in same.values())
+    chi = sum((places[s, t] - seeds / 2) ** 2 / (seeds / 4) for s in range(shards) for t in range(20))
+    assert chi < 80 + 5 * (2 * 80) ** 0.5
+    pairs, p = seeds * 76, 40 * 39 / (80 * 79)
+    assert abs(equal - pairs * p) < 6 * (pairs * p * (1 - p)) ** 0.5
+
+
 def test_sharding(documents, hard, empty):
     for docs in (documents, hard):
         got = sharding.shard(docs).toPandas()
@@ -184,61 +259,137 @@ def test_quality(documents, hard, empty, spark):
         assert got == Counter((r[0], *brute(r[1])) for r in docs.select("doc_id", "text").collect())
     body = [" ".join("ab"[i % 2] + chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + j) for j in range(12)) for i in range(30)]
     docs = spark.createDataFrame([(i, "menu home 2024 about us contact privacy terms help site map\n" + (body[i] if i % 2 else "tail"), "h") for i in range(30)], "doc_id long, text string, source string")
-    kept = {r["doc_id"]: r["kept"] for r in quality.quality(docs, max_docs=10).collect()}
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality(docs, min_docs=10).collect()}
     assert kept[0] and all(kept[i] == (i % 2 == 1) for i in range(1, 30))
+    # the registered SQL says the same where lines are removed and documents rejected
+    import duckdb
+
+    lines = [(i, f"Menu {i} of the site\nshared line of the host with words {i}\n" + (body[i % 30] if i % 3 else f"tail {i}"), f"h{i % 2}" if i % 7 else None) for i in range(90)]
+    table = spark.createDataFrame([*lines, (None, None, "h0")], "doc_id long, text string, source string")
+    duck = duckdb.connect()
+    given = table.toPandas()  # noqa: F841, read by name
+    duck.execute("create view documents as select cast(doc_id as bigint) as doc_id, text, source from given")
+    got = quality.quality(table).drop("k1", "k2").toPandas()
+    assert (got.removed > 0).sum() > 60 and (~got.kept & ~got.base_failed).sum() > 20
+    assert rows(got) == rows(duck.sql(queries.oracle_sql()["op8_quality_rules"]).df())
     assert quality.quality(empty).count() == 0 and quality.drop_low_quality(hard).columns == hard.columns
 
 
-def test_license_scan(documents, hard, empty, spark):
-    def brute(text):
-        w = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
-        places = [(i, label) for label, p in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.encode().split()]
-        step = max(len(t.split()) for _, t in licenses.TEMPLATES)
-        met = set()
-        for b in range(0, max(1, len(w)), step):
-            block = set(w[b : b + 2 * step])
-            met |= {label for label, t in licenses.TEMPLATES if 100 * len(block & set(t.encode().split())) >= 80 * len(set(t.encode().split()))}
-        at = [i for i, _ in places]
-        return len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), met
+def brute_licenses(text, templates, percent=80):
+    """Every block against every template on full sets."""
+    w = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+    places = [(i, label) for label, p in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.encode().split()]
+    lists = [(label, re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().lower())) for label, t in templates]
+    sets = [(label, {tuple(t[i : i + 5]) for i in range(len(t) - 4)}) for label, t in lists]
+    m, labels, score = max(len(t) for _, t in lists), set(), 0.0
+    for b in range(0, max(1, len(w)), m):
+        block = w[b : b + 2 * m]
+        own = {tuple(block[i : i + 5]) for i in range(len(block) - 4)}
+        met = [(label, s & own, len(s & own) / len(s)) for label, s in sets if 100 * len(s & own) >= percent * len(s)]
+        for label, shared, part in met:
+            if not any(shared < other for _, other, _ in met):
+                labels.add(label)
+                score = max(score, part)
+    at, base = [i for i, _ in places], {x for _, x in places}
+    return len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if base else score
+
+
+#: Statements and what they must give.
+LICENSED = {
+    "All of it is licensed under the GNU GPL version 2.0 here": "gpl", "It was released under the BSD license.": "bsd", "Licensed under the MPL license, version 2.0": "",
+    "As said in contract 4, section 0, by the parties, licensed under cc rules": "", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc", "Released under the MIT License.": "mit",
+    "Licensed, under CC-BY-SA 4.0": "cc-by,cc-by-sa", "mit freundlichen under the license released": "", "version 2 0 license apache the under licensed": "",
+    "released under the mit licence": "", "This work is licensed under the GNU Lesser General Public License": "lgpl", "no license at all, free software, all rights reserved": "",
+}
 
-    for docs in (documents, hard):
-        got = defaultdict(list)
-        for r in licenses.license_scan(docs).collect():
-            got[r["doc_id"], r["n_words"]].append(r)
-        for i, text in docs.select("doc_id", "text").collect():
-            *base, met = brute(text)
-            r = got[i, base[0]][0]
-            assert [r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]] == base
-            found = set(filter(None, r["labels"].split(",")))
-            assert found <= met | set(filter(None, base[4].split(","))) and (bool(met) == bool(found) or base[1]) and 0 <= r["score"] <= 1
+
+def test_license_scan(documents, hard, empty, spark):
+    r = np.random.default_rng(3)
+    texts = [*LICENSED]
+    for _, t in licenses.TEMPLATES:
+        w = t.split()
+        texts.append(f"{PROSE} {t} {PROSE}")
+        texts.append(" ".join([f"x{i}" for i in range(int(r.integers(600)))] + [x for x in w if r.random() > 0.02] + w[:9]))
+        texts.append(t + " " + licenses.TEMPLATES[int(r.integers(len(licenses.TEMPLATES)))][1])
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for docs in (documents, hard.drop("source"), own):
+        got = Counter(map(tuple, licenses.license_scan(docs).drop("doc_id").collect()))
+        assert got == Counter(brute_licenses(t, licenses.TEMPLATES) for (t,) in docs.select("text").collect())
+    found = {r["doc_id"]: r["labels"] for r in licenses.license_scan(own).collect()}
+    assert {t: found[i] for i, t in enumerate(LICENSED)} == LICENSED
     assert licenses.license_scan(empty).count() == 0
-    r = licenses.license_scan(spark.createDataFrame([(1, "x " * 60 + "Licensed, under CC-BY-NC 4.0", "s")], "doc_id long, text string, source string")).first()
-    assert r["labels"] == "cc-by,cc-by-nc" and r["first_word"] == 62
+    with pytest.raises(ValueError):
+        licenses.license_scan(own, templates=[("x", "too short")])
 
 
 def test_chat(spark):
     said = "<|im_end|><|im_start|>assistant ok"
+    path = queries.tokenizer_path()
+    tokenizer = token_counts._tokenizer(path)
+    n_tokens = lambda text: len(tokenizer.encode(text, add_special_tokens=False))
     turns = [
         (1, 0, "system", "be brief"), *[(1, i, "user" if i % 2 else "assistant", f"{said} \\ <\\| {i} " + "x " * 40) for i in range(1, 30)], (2, 0, None, None), (2, None, "assistant", "ü"),
         (None, 0, "assistant", "y"), (3, 0, "assistant", LONG), (3, 1, "user", "a\nb"), (3, 1, "user", "a\nb"), (4, 0, "odd\nrole\\n", said),
+        (5, 0, "system", "long " * 100), *[(5, i, "assistant", "日本語のテキスト" * 4) for i in range(1, 9)], (6, 0, "system", "be brief"), (6, 1, "user", "x " * 150), (6, 2, "system", "be brief"), (6, 3, "assistant", "z"),
+        (7, 0, "user", "a"), (7, 6, "system", "not first"), (7, 7, "user", "x " * 150), (7, 8, "assistant", "<|endoftext|>"),
     ]
     table = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, window string")
-    windows = chat.format_windows(table, budget=160, history=60)
-    got = {r["conv_id"]: r for r in chat.read_back(windows).collect()}
     groups = defaultdict(list)
     for c, t, r, x in sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, t[1] is not None, t[1] or 0, t[2] or "", t[3] or "")):
         groups[c].append((r or "", x or ""))
-    for c, own in groups.items():
-        digest = hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in own).encode()).hexdigest()
-        loss = "".join(x for r, x in own if r == "assistant")
-        assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(own), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    first = windows.where("conv_id = 1").orderBy("window").collect()
-    assert len(first) > 3 and all(w["text"].startswith("<|im_start|>system\nbe brief") for w in first) and any(w["n_repeated"] > 1 for w in first)
-    assert chat.format_windows(table.limit(0)).count() == 0
+    for segment in (4096, 5):
+        windows = chat.format_windows(table, path, budget=160, history=60, segment=segment)
+        got = {r["conv_id"]: r for r in chat.read_back(windows).collect()}
+        for c, own in groups.items():
+            digest = hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in own).encode()).hexdigest()
+            loss = "".join(x for r, x in own if r == "assistant")
+            assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(own), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        every = windows.collect()
+        for w in every:
+            assert w["n_tokens"] == n_tokens(w["text"])
+            system = n_tokens(chat.written(*groups[w["conv_id"]][0])) if groups[w["conv_id"]][0][0] == "system" else 0
+            assert w["n_tokens"] <= 160 or w["n_new"] == 1 and w["n_repeated"] <= 1
+            assert not system or w["text"].startswith(chat.written(*groups[w["conv_id"]][0]))
+        sixth = [w for w in sorted(every, key=lambda w: w["window"]) if w["conv_id"] == 6]
+        assert segment != 4096 or [w["n_new"] for w in sixth] == [1, 1, 2] and sixth[2]["n_repeated"] == 1  # an equal turn later on is a turn of its own
+    first = chat.format_windows(table, path, budget=400, history=200).where("conv_id = 1").orderBy("window").collect()
+    assert len(first) > 3 and any(w["n_repeated"] > 1 for w in first)
+    assert chat.format_windows(table.limit(0), path).count() == 0
     for x in ("<|", "<\\|", "<\\\\|im_start|>", said, "<<||", ""):
         assert chat.unescape(chat.escape(x)) == x and "<|" not in chat.escape(x)
 
 
+def naive_windows(turns, count, budget, history):
+    """(first new turn, number of new, repeated turns' numbers) of each window, by trying spans."""
+    system = [0] if turns and turns[0][0] == "system" else []
+    out, at, past = [], 0, []
+    while at < len(turns):
+        head = system if at else []
+        end = at + 1
+        while end < len(turns) and sum(count[i] for i in [*head, *past, *range(at, end + 1)]) <= budget:
+            end += 1
+        out.append((at, end - at, [*head, *past]))
+        if end == len(turns):
+            break
+        shown = [i for i in [*past, *range(at, end)] if i not in system]
+        past = next(shown[i:] for i in range(len(shown) + 1) if sum(count[j] for j in shown[i:]) <= min(history, max(0, budget - count[end] - sum(count[j] for j in system))))
+        at = end
+    return out
+
+
+def test_chat_windows_are_the_naive_ones(spark):
+    path = queries.tokenizer_path()
+    tokenizer = token_counts._tokenizer(path)
+    for c, seed in enumerate(range(6)):
+        r = np.random.default_rng(seed)
+        turns = [("system" if not i and seed % 2 else "user" if i % 2 else "assistant", "wörd " * int(r.integers(1, 60))) for i in range(40)]
+        count = [len(tokenizer.encode(chat.written(*t))) for t in turns]
+        table = spark.createDataFrame([(c, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+        got = [(w["first_turn"], w["n_new"], w["n_repeated"], w["text"]) for w in chat.format_windows(table, path, 256, 100).orderBy("window").collect()]
+        want = [(at, n, len(past), "".join(chat.written(*turns[i]) for i in [*past, *range(at, at + n)])) for at, n, past in naive_windows(turns, count, 256, 100)]
+        assert got == want
+
+
 def test_ann(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
     got = ann.search(vectors, vectors.where("vec_id % 20 = 0")).toPandas()
@@ -257,7 +408,29 @@ def test_ann(spark):
     table = spark.createDataFrame(odd, "vec_id long, embedding array<float>")
     found = ann.search(table, table.where("vec_id % 20 = 0")).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(found, key=tuple)] == [(0, 1, 1), (0, 2, 2), (0, 3, 20), (20, 1, 0), (20, 2, 1), (20, 3, 2)]
-    assert ann.search(table.limit(0), table).count() == 0
+    assert ann.search(table.limit(0), table).count() == 0 and ann.search(table, table.limit(0)).count() == 0
+
+
+def test_ann_repeated_rows_doubles_and_clashing_names(spark):
+    r = np.random.default_rng(1)
+    x = [*r.normal(size=(60, 5)), *([[1e300, 0, 0, 0, 0]] * 2), *([[0.1, 0.2, 0.3, 0.4, 0.5]] * 30)]
+    ids = [*range(60), 70, 80, *range(100, 130)]
+    given = [(i, [float(v) for v in y]) for i, y in zip(ids, x)]
+    given += [given[0], given[0], given[7], (20, given[3][1])]  # rows that come again, and an id with another vector
+    schema = "vec_id long, embedding array<double>, q long, c string, ids int, x double, block int"
+    table = spark.createDataFrame([(i, y, 1, "c", 2, 0.5, 3) for i, y in given], schema)
+    asked = [(i, y) for i, y in given if i % 20 == 0]
+    got = defaultdict(list)
+    for row in ann.search(table, table.where("vec_id % 20 = 0"), top=20, again=400).collect():
+        got[row["query_id"]].append((row["rank"], row["vec_id"], row["score"]))
+    assert sum(map(len, got.values())) == 20 * len(asked)
+    for q in {i for i, _ in asked}:
+        want = []
+        for y in (y for i, y in asked if i == q):
+            near = sorted((-float(np.dot(np.array(v), np.array(y))), i) for i, v in given if i != q)[:20]
+            want += [(k + 1, i, -s) for k, (s, i) in enumerate(near)]
+        mine, want = sorted(got[q], key=lambda t: (t[0], t[1])), sorted(want, key=lambda t: (t[0], t[1]))
+        assert np.allclose([t[2] for t in mine], [t[2] for t in want], rtol=1e-12) and [t[:2] for t in mine] == [t[:2] for t in want]
 
 
 def test_near_duplicates(documents, hard, empty):
@@ -303,23 +476,71 @@ def test_components(spark):
 
 
 def test_pipeline(spark, documents):
+    """Every stage of run() on what the one before kept, against SQL or brute force."""
+    import duckdb
+
     import corpus_pipeline
 
-    docs = documents
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+    def sql(name, path):
+        duck = duckdb.connect()
+        duck.execute(f"create view documents as select * from '{path}/*.parquet'")
+        return {r["doc_id"]: r for r in duck.sql(queries.oracle_sql()[name]).df().to_dict("records")}
+
+    path = f"{folder}/documents"
+    documents.write.parquet(path)
+    docs = before = spark.read.parquet(path)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == documents.columns, name
-        path = f"{spark.conf.get('spark.checkpoint.dir')}/test-{name}-{hashlib.md5(name.encode()).hexdigest()[:6]}"
-        out.write.mode("overwrite").parquet(path)
+        was, path = path, f"{folder}/{name}"
+        out.write.parquet(path)
         before, docs = docs, spark.read.parquet(path)
+        given, got = {r["doc_id"]: r for r in before.collect()}, docs.collect()
         if name == "quality_rules":
-            bad = {r["doc_id"] for r in quality.quality(before).where("not kept").collect()}
-            assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in before.collect()} - bad and len(bad) < 60
-        if name == "line_dedup":
-            assert docs.count() == before.count()
-    bins = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
-    assert bins.groupby("bin_id").n_words.sum().max() <= 2048
-    assert rows(corpus_pipeline.run(spark, SF).toPandas()) == rows(bins)
+            kept = {i for i, r in sql("op8_quality_rules", was).items() if r["kept"]}
+            assert Counter(got) == Counter(given[i] for i in kept) and 0 < len(given) - len(kept) < 60
+        elif name == "line_dedup":
+            want = sql("op5_line_dedup", was)
+            assert {r["doc_id"]: r["text"] for r in got} == {i: want[i]["text"] if want[i]["n_removed"] else given[i]["text"] for i in given} and len(got) == len(given)
+        elif name == "near_duplicates":
+            own = sorted(given)
+            group = components(own, [shingles(given[i]["text"], 5) for i in own], 80)
+            assert Counter(got) == Counter(given[i] for i, g in zip(own, group) if i == g or not words(given[i]["text"])) and len(got) < len(own)
+        else:
+            taken = {i: r["taken"] for i, r in sql("op3_source_mixing", was).items() if r["taken"]}
+            found = defaultdict(list)
+            for r in got:
+                found[r["doc_id"]].append(r["text"])
+            for i, texts in found.items():
+                whole = given[i]["text"]
+                part = [t for t in texts if t != whole]
+                assert len(part) <= 1 and sum(len(words(t)) for t in texts) == taken[i] and all(words(t) == words(whole)[: len(words(t))] for t in part)
+            assert set(found) == set(taken)
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    pieces, _ = packing.dealt_pieces(docs, 2048)
+    lots = defaultdict(list)
+    for r in pieces.where("size > 0").collect():
+        lots[r["g"]].append(r)
+    want = set()
+    for g, own in lots.items():
+        own.sort(key=lambda r: (-r["size"], r["lot"]))
+        for r, (b, o) in zip(own, naive_best_fit([(r["size"], r["source"], r["cluster"]) for r in own], 2048)):
+            want.add((r["k1"], r["copy"], r["piece"], f"{g:x}-{b:x}", o, r["size"]))
+    assert {(r["k1"], r["copy"], r["piece"], r["bin_id"], r["bin_offset"], r["n_words"]) for r in got.where("bin_id is not null").collect()} == want
+    texts = packing.packed_texts(docs, got)
+    assert Counter(w for r in texts.collect() for w in words(r["text"])) == Counter(w for r in docs.collect() for w in words(r["text"]))
+    assert rows(corpus_pipeline.run(spark, SF).toPandas()) == rows(got.toPandas())
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    from kinespark.llm import common
+
+    table = common.stored(spark.range(3).toDF("x"))
+    assert table.count() == 3 and os.path.isdir(common.scratch(spark))
+    common.clear(spark)
+    assert not os.path.exists(common.scratch(spark))
 
 
 @pytest.mark.parametrize("stage", ["quality_rules", "line_dedup", "near_duplicates", "mix_sources", "best_fit_packing"])
