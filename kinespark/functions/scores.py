@@ -16,7 +16,7 @@ NO_MASK, SCALE_COST = 0.28, 0.04
 def quality(mask: Column, fallback: Column, blurred: Column, box: Column, origin: Column, known: Column, scale: Column, width: float, height: float) -> Column:
     """mask: its score, else the detector's, else 0 if blurred, else NO_MASK."""
     seen = F.when(mask.isNotNull(), V.clamp01(mask)).when(fallback.isNotNull(), V.clamp01(fallback)).when(F.coalesce(blurred, F.lit(False)), 0.0).otherwise(NO_MASK)
-    share = F.when(origin == "both", 1.0).when(origin.isin("mediapipe", "sam3"), 0.5).otherwise(0.0)
+    share = F.when(origin == "mediapipe+sam3", 1.0).when(origin.isin("mediapipe", "sam3"), 0.5).otherwise(0.0)
     boxed = lambda score: F.when(F.size(F.coalesce(box, F.array().cast("array<double>"))) == 4, score).otherwise(0.0)
     return (
         MASK * seen

@@ -10,8 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinespark.functions import params, sides
 from kinespark.functions import vectors as V
 
+from . import quantiles
+
 KEYS = ["group_id", "camera_id"]
 
 
@@ -37,9 +40,11 @@ def _area(a: list[float]) -> float:
 
 
 def _by_key(df: DataFrame, found: Callable[[list[dict]], list[tuple]], columns: str) -> DataFrame:
-    """found() over the rows of each key, as an array built once per key in partition batches."""
+    """found() over the rows of each key in order of n, as an array built once per key in
+    partition batches."""
     names = [c.split()[0] for c in columns.split(", ")]
-    packed = df.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("n", "box", "score", "origin"))).alias("rows"))
+    rest = [c for c in df.columns if c not in (*KEYS, "n")]
+    packed = df.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("n", *rest))).alias("rows"))
 
     def run(frames):
         for frame in frames:
@@ -51,28 +56,56 @@ def _by_key(df: DataFrame, found: Callable[[list[dict]], list[tuple]], columns:
     return packed.mapInPandas(run, f"group_id long, camera_id string, {columns}")
 
 
-def greedy_in_order(df: DataFrame, least: float = 0.2, most: int = 4) -> DataFrame:
-    """Detections of two origins joined one to one: each "mediapipe" box in order takes the
-    unused "sam3" box that overlaps it most, at least `least`; matched boxes are merged, the
-    rest follow by score and area, `most` rows in all, or all "mediapipe" ones if they are more."""
+def hand_jobs(df: DataFrame, least: float = 0.2, most: int = 2, pad: float = 1.0, width: float = 1200.0, height: float = 900.0, priors: dict[str, str] | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
+    """Detections of two origins joined one to one into jobs: (group_id, camera_id, job, first,
+    second, box, label, label_source, origin, debug_only).
+
+    df: group_id, camera_id, n, box, score, origin, label, label_source. Each "mediapipe" box in
+    order takes the unused "sam3" box that overlaps it most (the first of equals, over 0), if by
+    `least`; the job has the box around both, and the sam3 label where there is one. Unused sam3
+    boxes follow by score and area while there are fewer than `most` jobs that count: with their
+    own label, or the other side of the only side seen, or unknown (for debugging only, if both
+    sides were seen). Boxes are squares grown by `pad`. A camera's prior side fills unknown
+    labels, an override replaces all."""
 
     def found(rows: list[dict]) -> list[tuple]:
         left, right = ([r for r in rows if r["origin"] == o] for o in ("mediapipe", "sam3"))
-        used, out = set(), []
+        free, jobs = list(right), []
         for a in left:
-            options = [(_iou(a["box"], b["box"]), -b["n"], b) for b in right if b["n"] not in used]
-            best = max(options, key=lambda o: o[:2], default=None)
-            if best and best[0] >= least:
-                b = best[2]
-                used.add(b["n"])
-                box = [min(a["box"][0], b["box"][0]), min(a["box"][1], b["box"][1]), max(a["box"][2], b["box"][2]), max(a["box"][3], b["box"][3])]
-                out.append((a["n"], b["n"], box, max(a["score"], b["score"])))
+            best = max(free, key=lambda b: _iou(a["box"], b["box"]), default=None)
+            overlap = _iou(a["box"], best["box"]) if best else 0.0
+            if best and overlap > 0 and overlap >= least:
+                free.remove(best)
+                box = [f(x, y) for f, x, y in zip((min, min, max, max), a["box"], best["box"], strict=True)]
+                own = best if best["label"] in ("Left", "Right") else a
+                jobs.append((a["n"], best["n"], box, own["label"], own["label_source"], "mediapipe+sam3", False))
             else:
-                out.append((a["n"], None, a["box"], a["score"]))
-        rest = sorted((b for b in right if b["n"] not in used), key=lambda b: (-b["score"], -_area(b["box"]), b["n"]))
-        return [*out, *((None, b["n"], b["box"], b["score"]) for b in rest)][: max(most, len(left))]
-
-    return _by_key(df, found, "first double, second double, box array<double>, score double")
+                jobs.append((a["n"], None, a["box"], a["label"], a["label_source"], "mediapipe", False))
+        seen = {a["label"] for a in left}
+        for b in sorted(free, key=lambda b: (-b["score"], -_area(b["box"]), b["n"])):
+            if sum(not j[-1] for j in jobs) >= most:
+                break
+            if b["label"] in ("Left", "Right"):
+                label, source, debug = b["label"], b["label_source"], False
+            elif len(seen) == 1:
+                label, source, debug = {"Left": "Right", "Right": "Left"}.get(*seen, "unknown"), "sam3_opposite_of_single_mediapipe", False
+            elif seen:
+                label, source, debug = "unknown", "sam3_extra_when_mediapipe_has_both", True
+            else:
+                label, source, debug = "unknown", "sam3_only_unknown", False
+            jobs.append((None, b["n"], b["box"], label, source, "sam3", debug))
+        return [(i, *j) for i, j in enumerate(jobs[: max(most, len(left))])]
+
+    jobs = _by_key(df.select(*KEYS, "n", "box", "score", "origin", "label", "label_source"), found, "job long, first double, second double, box array<double>, label string, label_source string, origin string, debug_only boolean")
+    jobs = jobs.withColumn("box", V.expand_box(F.col("box"), pad, width, height))
+    prior, override = (params.from_map(F.col("camera_id"), m or {}) for m in (priors, overrides))
+    by_prior = prior.isNotNull() & sides.takes_prior(F.col("label"), F.col("label_source"))
+    return jobs.withColumns(
+        {
+            "label": F.when(override.isNotNull(), override).when(by_prior, prior).otherwise(F.col("label")),
+            "label_source": F.when(override.isNotNull(), F.concat(F.lit("camera_override:"), "camera_id")).when(by_prior, F.concat(F.lit("camera_prior:"), "camera_id")).otherwise(F.col("label_source")),
+        }
+    )
 
 
 def greedy_global(df: DataFrame, least: float = 0.05) -> DataFrame:
@@ -124,8 +157,9 @@ def _assigned(gain: np.ndarray) -> np.ndarray:
 
 
 def optimal(df: DataFrame) -> DataFrame:
-    """The one-to-one matching of all boxes of the two origins with the greatest sum of
-    overlaps; pairs that don't overlap are left out. Equal keys have equal matchings, ties too."""
+    """(keys, first, second, iou): the one-to-one matching of as many boxes of the two origins as
+    the fewer have, with the greatest sum of overlaps; pairs that don't overlap are in it too.
+    Equal keys have equal matchings, ties too."""
 
     def found(rows: list[dict]) -> list[tuple]:
         left, right = ([r for r in rows if r["origin"] == o] for o in ("mediapipe", "sam3"))
@@ -135,20 +169,47 @@ def optimal(df: DataFrame) -> DataFrame:
             return []
         gain = np.array([[_iou(x["box"], y["box"]) for y in b] for x in a])
         pairs = [(a[i]["n"], b[j]["n"], float(gain[i, j])) for i, j in enumerate(_assigned(gain))]
-        return [(y, x, v) if flip else (x, y, v) for x, y, v in pairs if v > 0]
+        return [(y, x, v) if flip else (x, y, v) for x, y, v in pairs]
 
     return _by_key(df, found, "first long, second long, iou double")
 
 
 def suppress(df: DataFrame, least: float = 0.6) -> DataFrame:
-    """Boxes in order of score (then number); one contained in a kept one by `least` goes."""
+    """(keys, n, label_source, is_right): boxes in their order; one that a kept one contains by
+    `least` of the smaller area goes, unless either is a hypothesis. The first kept box that
+    contains one of trusted label takes that label where its own isn't. An empty box is in none."""
 
     def found(rows: list[dict]) -> list[tuple]:
         kept: list[dict] = []
-        for r in sorted(rows, key=lambda r: (-r["score"], r["n"])):
-            shared = [max(0.0, min(k["box"][2], r["box"][2]) - max(k["box"][0], r["box"][0])) * max(0.0, min(k["box"][3], r["box"][3]) - max(k["box"][1], r["box"][1])) for k in kept]
-            if all(s < least * min(_area(k["box"]), _area(r["box"])) for s, k in zip(shared, kept, strict=True)):
-                kept.append(r)
-        return [(k["n"], k["score"]) for k in kept]
-
-    return _by_key(df, found, "n long, score double")
+        for r in rows:
+            twin = next((k for k in kept if "hypothesis" not in (r["label_source"], k["label_source"]) and _contained(r["box"], k["box"]) >= least), None)
+            if twin is None:
+                kept.append(dict(r))
+            elif r["label_source"] in sides.TRUSTED and twin["label_source"] not in sides.TRUSTED:
+                twin["label_source"], twin["is_right"] = r["label_source"], r["is_right"]
+        return [(k["n"], k["label_source"], k["is_right"]) for k in kept]
+
+    return _by_key(df.select(*KEYS, "n", "box", "label_source", "is_right"), found, "n long, label_source string, is_right double")
+
+
+def _contained(a: list[float], b: list[float]) -> float:
+    least = min(_area(a), _area(b))
+    shared = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    return shared / least if least > 0 else 0.0
+
+
+def replay_metrics(pairs: DataFrame, reference: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row of a replay's overlaps (from optimal(), with `is_keyframe`) against the reference's
+    boxes: their number, matches, share recalled at `threshold`, mean, median and 10 % quantile,
+    and the same off the keyframes."""
+    stats = quantiles.exact(pairs, [], "iou", {"median": 0.5, "p10": 0.1})
+    off = pairs.where("not is_keyframe")
+    both = [("", pairs, reference, stats), ("nonkey_", off, reference.where("not is_keyframe"), quantiles.exact(off, [], "iou", {"median": 0.5, "p10": 0.1}))]
+    out = None
+    for name, p, r, q in both:
+        one = p.agg(F.count("*").alias(f"{name}matched"), F.count_if(F.col("iou") >= threshold).alias("__recalled"), F.avg("iou").alias(f"{name}mean"))
+        total = r.agg(F.count("*").alias(f"{name}reference"))
+        row = one.withColumn("__one", F.lit(1)).join(total.withColumn("__one", F.lit(1)), "__one").join(q.select(F.lit(1).alias("__one"), F.col("median").alias(f"{name}median"), F.col("p10").alias(f"{name}p10")), "__one", "left")
+        row = row.withColumn(f"{name}recall", F.col("__recalled") / F.nullif(F.col(f"{name}reference"), F.lit(0))).drop("__recalled")
+        out = row if out is None else out.join(row, "__one")
+    return out.drop("__one")

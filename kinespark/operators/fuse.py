@@ -6,7 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from kinespark.functions import vectors as V
+
+from . import quantiles
 
 #: The 20 bones of a hand as (parent, child) of its 21 points.
 BONES = [
@@ -62,15 +66,19 @@ def bone_rows(h: DataFrame) -> DataFrame:
 def static_bones(h: DataFrame, least: int = 3) -> DataFrame:
     """Median over the cameras of each camera's median bone length, of cameras with at least
     `least` observations."""
-    own = bone_rows(h).groupBy("hand", "camera_id", "bone").agg(F.median("length").alias("m"), F.count("*").alias("n")).where(F.col("n") >= least)
+    rows, by = bone_rows(h), ["hand", "camera_id", "bone"]
+    seen = rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    own = quantiles.exact(rows, by, "length", {"m": 0.5}).join(seen, by)
+    # a rig has few cameras, so this median holds few values
     return own.groupBy("hand", "bone").agg(F.median("m").alias("length"), F.count("*").alias("cameras"))
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """The least value at which the running weight reaches half of the key's."""
-    w = Window.partitionBy(*keys)
-    run = F.sum(weight).over(w.orderBy(value, weight).rowsBetween(Window.unboundedPreceding, 0))
-    marked = df.withColumn("__run", run).withColumn("__all", F.sum(weight).over(w))
+    """The least value at which the running weight reaches half of the key's; a weight is 1e-8
+    at least."""
+    w, own = Window.partitionBy(*keys), F.greatest(F.col(weight), F.lit(1e-8))
+    run = F.sum(own).over(w.orderBy(value, weight).rowsBetween(Window.unboundedPreceding, 0))
+    marked = df.withColumn("__run", run).withColumn("__all", F.sum(own).over(w))
     return marked.where(F.col("__run") >= 0.5 * F.col("__all")).groupBy(*keys).agg(F.min(value).alias(value))
 
 
@@ -126,6 +134,42 @@ def camera_report(rows: DataFrame, most: float, keys: list[str] = KEYS) -> DataF
     apart = F.sqrt(sum(((F.col(c) - F.col(f"f{c}")) * (F.col(c) - F.col(f"f{c}")) for c in "xyz"), F.lit(0.0)))
     each = rows.join(fused, [*keys, "joint"]).groupBy(*keys, "camera_id").agg(F.avg(apart).alias("error"))
     accepted = F.count_if(F.col("error") <= most)
-    return each.groupBy("camera_id").agg(
-        F.count("*").alias("hands"), accepted.alias("accepted"), (F.count("*") - accepted).alias("rejected"), F.avg("error").alias("mean"), F.median("error").alias("median"), F.max("error").alias("max")
+    report = each.groupBy("camera_id").agg(
+        F.count("*").alias("hands"), accepted.alias("accepted"), (F.count("*") - accepted).alias("rejected"), F.avg("error").alias("mean"), F.max("error").alias("max")
     )
+    return report.join(quantiles.exact(each, ["camera_id"], "error", {"median": 0.5}), "camera_id")
+
+
+def _turned(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    p, q = (np.stack([np.stack(list(v)) for v in side]).astype(float) for side in (a, b))
+    pm, qm = p.mean(axis=1, keepdims=True), q.mean(axis=1, keepdims=True)
+    u, _, vt = np.linalg.svd(np.einsum("nki,nkj->nij", p - pm, q - qm))
+    flip = np.ones((len(p), 3))
+    flip[:, 2] = np.sign(np.linalg.det(u) * np.linalg.det(vt))
+    moved = np.einsum("nki,nij->nkj", p - pm, (u * flip[:, None, :]) @ vt) + qm
+    return moved, np.linalg.norm(moved - q, axis=2).mean(axis=1)
+
+
+@F.pandas_udf(StructType([StructField("points", ArrayType(ArrayType(DoubleType()))), StructField("error", DoubleType())]))
+def aligned(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """a's points turned and shifted onto b's, and the mean distance left."""
+    if not len(a):
+        return pd.DataFrame({"points": pd.Series([], dtype=object), "error": pd.Series([], dtype=float)})
+    moved, error = _turned(a, b)
+    return pd.DataFrame({"points": [m.tolist() for m in moved], "error": error})
+
+
+def build_targets(h: DataFrame, keys: list[str], most: float) -> DataFrame:
+    """(keys, anchor, used, target): each key's view of best quality (ties by camera), and the mean
+    of it and of those views that lie within `most` of it once aligned, weighted by quality (1e-3
+    at least), in the palm frame. Only the anchor meets the other views, never all pairs."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("quality"), "camera_id"))
+    ranked = h.withColumn("__r", rank)
+    anchor = ranked.where("__r = 1").select(*keys, F.col("camera_id").alias("anchor"), F.col("joints").alias("__a"))
+    joined = ranked.join(anchor, keys).withColumn("__m", aligned("joints", "__a"))
+    own = F.col("camera_id") == F.col("anchor")
+    good = joined.where(own | (F.col("__m.error") <= most)).withColumn("__p", V.palm_local(F.when(own, F.col("joints")).otherwise(F.col("__m.points")))).where("__p is not null")
+    w = F.greatest("quality", F.lit(1e-3))
+    points = good.select(*keys, "anchor", w.alias("w"), F.posexplode("__p").alias("joint", "p"))
+    means = points.groupBy(*keys, "anchor", "joint").agg(F.count("*").alias("used"), *[(F.sum(F.col("w") * V.at(F.col("p"), i)) / F.sum("w")).alias(a) for i, a in enumerate("xyz")])
+    return means.groupBy(*keys, "anchor", "used").agg(F.array_sort(F.collect_list(F.struct("joint", F.array("x", "y", "z").alias("p")))).alias("t")).withColumn("target", F.col("t.p")).drop("t")

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import quantiles
+
 
 def islands(df: DataFrame, keys: list[str], clock: str) -> DataFrame:
     """df with `island`, equal for rows of unbroken clock."""
@@ -97,15 +99,41 @@ def _median(a: Column) -> Column:
     return (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor((n + 2) / 2).cast("int"))) / 2
 
 
-def hampel(df: DataFrame, keys: list[str], clock: str, value: str, radius: int = 3, threshold: float = 0.0, k: float = 3.0) -> DataFrame:
-    """A value further from the median of its window than max(threshold, k * 1.4826 * MAD)
-    becomes that median. Windows go by position and are cut at the ends."""
+def hampel(df: DataFrame, keys: list[str], clock: str, values: list[str], radius: int = 3, threshold: float = 0.0, k: float = 3.0) -> DataFrame:
+    """A point (its coordinates in the columns `values`) further from the median point of its
+    window than max(threshold, k * 1.4826 * MAD) becomes that point; MAD is the median deviation
+    of the window's distances from their median. Windows go by position and are cut at the ends."""
     w = Window.partitionBy(*keys).orderBy(clock).rowsBetween(-radius, radius)
-    rows = df.withColumn("__w", F.collect_list(value).over(w)).withColumn("__m", _median(F.col("__w")))
-    mad = _median(F.transform("__w", lambda x: F.abs(x - F.col("__m"))))
-    rows = rows.withColumn("__limit", F.greatest(F.lit(threshold), k * 1.4826 * mad))
-    far = F.abs(F.col(value) - F.col("__m")) > F.col("__limit")
-    return rows.withColumn("replaced", far).withColumn(value, F.when(far, F.col("__m")).otherwise(F.col(value))).drop("__w", "__m", "__limit")
+    rows = df.withColumn("__w", F.collect_list(F.array(*values)).over(w))
+
+    def coordinate(i: int) -> Column:
+        return F.transform("__w", lambda p: F.get(p, F.lit(i)))
+
+    rows = rows.withColumn("__m", F.array(*[_median(coordinate(i)) for i in range(len(values))]))
+
+    def apart(p: Column) -> Column:
+        return F.sqrt(F.aggregate(F.zip_with(p, "__m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+
+    rows = rows.withColumn("__d", F.transform("__w", apart)).withColumn("__c", _median(F.col("__d")))
+    mad = _median(F.transform("__d", lambda d: F.abs(d - F.col("__c"))))
+    far = apart(F.array(*values)) > F.greatest(F.lit(threshold), k * 1.4826 * mad)
+    rows = rows.withColumn("replaced", far)
+    return rows.withColumns({v: F.when(F.col("replaced"), F.get("__m", F.lit(i))).otherwise(F.col(v)) for i, v in enumerate(values)}).drop("__w", "__m", "__d", "__c")
+
+
+def smooth_sequence(df: DataFrame, keys: list[str], clock: str, values: list[str], radius: int = 2, threshold: float = 0.055, k: float = 4.0, alpha: float = 0.72, blend: float = 0.55) -> DataFrame:
+    """(keys, clock, values, replaced, delta): hampel(), then 1 - blend of it and blend of its
+    two-way exponential mean; delta is how far the point moved in all."""
+    names = [*keys, clock]
+    clean = hampel(df.select(*names, *values), keys, clock, values, radius, threshold, k)
+    axes = F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(v).alias("v")) for i, v in enumerate(values)])).alias("a")
+    long = clean.select(*names, axes).select(*names, "a.axis", "a.v")
+    mean = bidirectional_ema(long, [*keys, "axis"], clock, "v", alpha)
+    wide = mean.groupBy(*names).agg(*[F.max(F.when(F.col("axis") == i, F.col("v"))).alias(f"__{v}") for i, v in enumerate(values)])
+    given = df.select(*names, *[F.col(v).alias(f"__was_{v}") for v in values])
+    out = clean.join(wide, names).join(given, names).withColumns({v: (1 - blend) * F.col(v) + blend * F.col(f"__{v}") for v in values})
+    delta = F.sqrt(sum(((F.col(v) - F.col(f"__was_{v}")) * (F.col(v) - F.col(f"__was_{v}")) for v in values), F.lit(0.0)))
+    return out.withColumn("delta", delta).select(*names, *values, "replaced", "delta")
 
 
 def velocity(df: DataFrame, keys: list[str], clock: str, value: str) -> DataFrame:
@@ -125,63 +153,79 @@ def carried_forward(df: DataFrame, keys: list[str], clock: str, value: str) -> D
     return df.withColumn("carried", F.last(value, ignorenulls=True).over(w))
 
 
-def frame_rate(df: DataFrame, keys: list[str], seconds: str, default: float = 25.0) -> DataFrame:
-    """1 / median step between consecutive times, of steps over 0 and up to 1 s."""
-    step = df.withColumn("step", F.col(seconds) - F.lag(seconds).over(Window.partitionBy(*keys).orderBy(seconds)))
-    rate = F.median(F.when((F.col("step") > 0) & (F.col("step") <= 1), F.col("step")))
-    return step.groupBy(*keys).agg(F.coalesce(1 / rate, F.lit(default)).alias("fps"))
+def frame_rate(df: DataFrame, keys: list[str], group: str, seconds: str, default: float = 25.0) -> DataFrame:
+    """1 / median step in time between frames of consecutive groups, of steps over 0 and under
+    1 s; `default` where there is none. A missing group makes no step."""
+    w = Window.partitionBy(*keys).orderBy(group, seconds)
+    steps = df.select(*keys, (F.col(seconds) - F.lag(seconds).over(w)).alias("step"), (F.col(group) - F.lag(group).over(w)).alias("by"))
+    good = steps.where("by = 1 and step > 0 and step < 1")
+    rate = quantiles.exact(good, keys, "step", {"step": 0.5}).select(*keys, (1 / F.col("step")).alias("fps"))
+    return df.select(*keys).distinct().join(rate, keys, "left").withColumn("fps", F.coalesce("fps", F.lit(default)))
 
 
-def fill_gaps(h: DataFrame, keys: list[str], clock: str, most: int, displacement: float, bone_change: float, bones: list[tuple[int, int]]) -> DataFrame:
-    """(keys, clock, joints) of the ticks missing between two rows: linear blends, where at most
-    `most` ticks are missing, no point moves more than `displacement`, and no bone's length
-    changes by more than the share `bone_change`."""
+def fill_gaps(h: DataFrame, keys: list[str], clock: str, most: int, displacement: float, bone_change: float, bones: list[tuple[int, int]], others: tuple[str, ...] = (), allowed: DataFrame | None = None) -> DataFrame:
+    """(keys, clock, joints, others) of the ticks missing between two rows: linear blends, where
+    at most `most` ticks are missing, no point moves more than `displacement`, and no bone's
+    length changes by more than the share `bone_change` of the mean of both lengths. `others`
+    are more arrays of points, blended alike and null where an end has none. `allowed`, with the
+    column `clock`, names the ticks asked for: a gap with another tick stays open."""
     w = Window.partitionBy(*keys).orderBy(clock)
-    pairs = h.select(*keys, F.col(clock).alias("t"), F.col("joints").alias("a"), F.lead(clock).over(w).alias("u"), F.lead("joints").over(w).alias("b"))
-    pairs = pairs.where((F.col("u") - F.col("t")).between(2, most + 1))
+    arrays = ["joints", *others]
+    pairs = h.select(*keys, F.col(clock).alias("__t"), F.lead(clock).over(w).alias("__u"), *arrays, *[F.lead(c).over(w).alias(f"__{c}") for c in arrays])
+    pairs = pairs.where((F.col("__u") - F.col("__t")).between(2, most + 1))
 
     def apart(p: Column, q: Column) -> Column:
         return F.sqrt(F.aggregate(F.zip_with(p, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
-    moved = F.array_max(F.zip_with("a", "b", apart))
+    moved = F.array_max(F.zip_with("joints", "__joints", apart))
 
     def bone(j: str, i: int, k: int) -> Column:
         return apart(F.get(j, F.lit(i)), F.get(j, F.lit(k)))
 
-    change = F.array_max(F.array(*[F.abs(bone("b", i, k) - bone("a", i, k)) / F.greatest(bone("a", i, k), F.lit(1e-8)) for i, k in bones]))
+    was, now = (F.array(*[bone(j, i, k) for i, k in bones]) for j in ("joints", "__joints"))
+    change = F.array_max(F.zip_with(was, now, lambda a, b: F.abs(b - a) / F.greatest(0.5 * (a + b), F.lit(1e-8))))
     kept = pairs.where((moved <= displacement) & (change <= bone_change))
-    ticks = kept.withColumn("tick", F.explode(F.sequence(F.col("t") + 1, F.col("u") - 1)))
-    alpha = (F.col("tick") - F.col("t")) / (F.col("u") - F.col("t"))
-    blend = F.zip_with("a", "b", lambda p, q: F.zip_with(p, q, lambda x, y: (1 - alpha) * x + alpha * y))
-    return ticks.select(*keys, F.col("tick").alias(clock), blend.alias("joints"))
-
-
-def asof(marks: DataFrame, stream: DataFrame, mark: str, frame: str, hand: str, value: str, nearest: bool, span: int = 4096) -> DataFrame:
-    """marks (with a fractional frame in `mark`) times the hands of the stream: the value at the
-    mark, blended between the frames on either side or, if `nearest`, of the nearer one (the
-    upper on a tie). Null where a side is missing or lacks the hand; frames of any hand count
-    as sides. The clock is cut in spans: each mark looks in its own span's rows and carries the
-    nearest frames of the other spans, so no task sees the whole clock.
+    ticks = kept.withColumn("__tick", F.explode(F.sequence(F.col("__t") + 1, F.col("__u") - 1)))
+    if allowed is not None:
+        asked = allowed.select(F.col(clock).alias("__tick")).distinct().withColumn("__asked", F.lit(1))
+        whole = Window.partitionBy(*keys, "__t")
+        ticks = ticks.join(asked, "__tick", "left").withColumn("__all", F.count("__asked").over(whole) == F.count("*").over(whole)).where("__all").drop("__asked", "__all")
+    alpha = (F.col("__tick") - F.col("__t")) / (F.col("__u") - F.col("__t"))
+
+    def blend(c: str) -> Column:
+        return F.zip_with(c, f"__{c}", lambda p, q: F.zip_with(p, q, lambda x, y: (1 - alpha) * x + alpha * y)).alias(c)
+
+    return ticks.select(*keys, F.col("__tick").alias(clock), *[blend(c) for c in arrays])
+
+
+def asof(marks: DataFrame, stream: DataFrame, mark: str, frame: str, hand: str, value: str, nearest: bool, keys: tuple[str, ...] = (), span: int = 4096) -> DataFrame:
+    """marks (with a fractional frame in `mark`) times the hands of the stream, within `keys`
+    (such as the recording, whose clocks are its own): the value at the mark, blended between the
+    frames on either side or, if `nearest`, of the nearer one (the upper on a tie). Null where a
+    side is missing or lacks the hand; frames of any hand count as sides. The clock is cut in
+    spans: each mark looks in its own span's rows and carries the nearest frames of the other
+    spans, so no task sees the whole clock.
     """
-    frames = stream.select(F.col(frame).cast("long").alias("f")).distinct()
+    k = list(keys)
+    frames = stream.select(*k, F.col(frame).cast("long").alias("f")).distinct()
     both = (
         marks.select("*", F.floor(F.col(mark)).cast("long").alias("f"), F.lit(1).alias("is_mark"))
         .unionByName(frames.withColumn("is_mark", F.lit(0)), allowMissingColumns=True)
         .withColumn("s", F.floor(F.col("f") / span))
     )
-    up = Window.partitionBy("s").orderBy("f", "is_mark").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("s").orderBy(F.desc("f"), F.desc("is_mark")).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*k, "s").orderBy("f", "is_mark").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*k, "s").orderBy(F.desc("f"), F.desc("is_mark")).rowsBetween(Window.unboundedPreceding, 0)
     frame_only = F.when(F.col("is_mark") == 0, F.col("f"))
     both = both.withColumn("lower", F.last(frame_only, True).over(up)).withColumn("upper", F.last(frame_only, True).over(down)).where("is_mark = 1")
-    # one row for each span of the clock
-    extent = frames.groupBy(F.floor(F.col("f") / span).alias("s")).agg(F.min("f").alias("lo"), F.max("f").alias("hi"))
-    known = Window.orderBy("s")
-    fill = extent.select("s", "lo", "hi").join(both.select("s").distinct(), "s", "full")
-    fill = fill.select("s", F.max("hi").over(known.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min("lo").over(known.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    sides = both.join(fill, "s").withColumn("lower", F.coalesce("lower", "before")).withColumn("upper", F.coalesce("upper", "after")).drop("before", "after", "s", "is_mark")
+    # one row for each span of a clock
+    extent = frames.groupBy(*k, F.floor(F.col("f") / span).alias("s")).agg(F.min("f").alias("lo"), F.max("f").alias("hi"))
+    known = Window.partitionBy(*k).orderBy("s")
+    fill = extent.join(both.select(*k, "s").distinct(), [*k, "s"], "full")
+    fill = fill.select(*k, "s", F.max("hi").over(known.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.min("lo").over(known.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    sides = both.join(fill, [*k, "s"]).withColumn("lower", F.coalesce("lower", "before")).withColumn("upper", F.coalesce("upper", "after")).drop("before", "after", "s", "is_mark")
     sides = sides.withColumn("upper", F.when(F.col("lower") == F.col(mark), F.col("lower")).otherwise(F.col("upper"))).drop("f")
-    per = stream.groupBy(F.col(frame).cast("long").alias("f"), hand).agg(F.max(value).alias("v"))
-    out = sides.join(per.select(F.col("f").alias("lower"), hand, F.col("v").alias("a")), ["lower", hand]).join(per.select(F.col("f").alias("upper"), hand, F.col("v").alias("b")), ["upper", hand])
+    per = stream.groupBy(*k, F.col(frame).cast("long").alias("f"), hand).agg(F.max(value).alias("v"))
+    out = sides.join(per.select(*k, F.col("f").alias("lower"), hand, F.col("v").alias("a")), [*k, "lower", hand]).join(per.select(*k, F.col("f").alias("upper"), hand, F.col("v").alias("b")), [*k, "upper", hand])
     if nearest:
         pick = F.when((F.col("upper") - F.col(mark)) <= (F.col(mark) - F.col("lower")), F.col("b")).otherwise(F.col("a"))
     else:
@@ -190,25 +234,34 @@ def asof(marks: DataFrame, stream: DataFrame, mark: str, frame: str, hand: str,
     return out.withColumn(value, pick).drop("a", "b")
 
 
-def one_euro_step(state: tuple | None, t: int, x: np.ndarray, identity: str | None, fps: float = 25.0, min_cutoff: float = 1.5, beta: float = 0.3, derivative_cutoff: float = 1.0) -> tuple:
-    """(t, identity, raw, filtered, slope) after one frame. The filter starts anew after a gap
-    in t, and where both frames have an identity and these differ."""
+def one_euro_step(
+    state: tuple | None, t: int, x: np.ndarray, identity: str | None = None, fps: float = 25.0, min_cutoff: float = 1.5, beta: float = 0.3, derivative_cutoff: float = 1.0,
+    min_alpha: float = 0.0, lengths: np.ndarray | None = None,
+) -> tuple:
+    """(t, identity, raw, filtered, slope, lengths) after one frame of points x (n, dimensions).
+    A point's speed, itself smoothed, raises its own cutoff; a weight is `min_alpha` at least.
+    `lengths`, such as a hand's bones, are drawn after at the lowest cutoff's weight, half of
+    min_alpha at least. The filter starts anew after a gap in t, and where both frames have an
+    identity and these differ."""
 
-    def rate(cutoff: float) -> float:
+    def rate(cutoff):
         return 1 / (1 + fps / (2 * math.pi * cutoff))
 
     if state is None or state[0] != t - 1 or (identity and state[1] and identity != state[1]):
-        return t, identity, x, x.copy(), np.zeros(len(x))
-    _, _, raw, out, slope = state
+        return t, identity, x, x.copy(), np.zeros_like(x), lengths
+    _, _, raw, out, slope, held = state
     a = rate(derivative_cutoff)
     slope = a * (x - raw) * fps + (1 - a) * slope
-    a = rate(min_cutoff + beta * float(np.linalg.norm(slope)))
-    return t, identity, x, a * x + (1 - a) * out, slope
+    a = np.maximum(rate(min_cutoff + beta * np.linalg.norm(slope, axis=1, keepdims=True)), min_alpha)
+    if lengths is not None:
+        b = max(rate(min_cutoff), 0.5 * min_alpha)
+        lengths = b * lengths + (1 - b) * held
+    return t, identity, x, a * x + (1 - a) * out, slope, lengths
 
 
 def one_euro(df: DataFrame, keys: list[str], clock: str, values: list[str], identity: str | None = None, **how: float) -> DataFrame:
-    """Adaptive low-pass over the vector of `values`: its speed, itself smoothed, raises the
-    cutoff; see one_euro_step(). Streams in clock order, one state a series."""
+    """Adaptive low-pass over the point in `values`; see one_euro_step(). Streams in clock order,
+    one state a series."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None
@@ -218,8 +271,8 @@ def one_euro(df: DataFrame, keys: list[str], clock: str, values: list[str], iden
             names = frame[identity] if identity else [None] * len(frame)
             for i, (row, name) in enumerate(zip(frame[[*keys, clock]].itertuples(index=False), names, strict=True)):
                 key, t = tuple(row[:-1]), row[-1]
-                state = one_euro_step(state if key == now else None, t, x[i], name, **how)
-                now, y[i] = key, state[3]
+                state = one_euro_step(state if key == now else None, t, x[i : i + 1], name, **how)
+                now, y[i] = key, state[3][0]
             yield frame.assign(**{v: y[:, j] for j, v in enumerate(values)})
 
     extra = [identity] if identity else []
@@ -227,6 +280,34 @@ def one_euro(df: DataFrame, keys: list[str], clock: str, values: list[str], iden
     return rows.mapInPandas(run, rows.schema)
 
 
+def one_euro_bones(df: DataFrame, keys: list[str], clock: str, joints: str, bones: list[tuple[int, int]], **how: float) -> DataFrame:
+    """Adaptive low-pass over hands (array column `joints` of points): the root and the bones as
+    vectors are filtered each by its own speed, the bones' lengths by themselves, and the hand is
+    built from both outwards from the root. A bone whose filtered vector has no length takes the
+    frame's own direction."""
+    parents, children = (np.array(side) for side in zip(*bones, strict=True))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for frame in frames:
+            out = []
+            for row, given in zip(frame[[*keys, clock]].itertuples(index=False), frame[joints], strict=True):
+                key, t = tuple(row[:-1]), row[-1]
+                p = np.stack([np.asarray(v, float) for v in given])
+                x = np.vstack([p[:1], p[children] - p[parents]])
+                state = one_euro_step(state if key == now else None, t, x, lengths=np.linalg.norm(x[1:], axis=1), **how)
+                now, made = key, np.zeros_like(p)
+                made[0] = state[3][0]
+                for i, (parent, child) in enumerate(bones):
+                    way = next((v for v in (state[3][i + 1], x[i + 1]) if np.linalg.norm(v) > 1e-8), None)
+                    made[child] = made[parent] + (0 if way is None else way / np.linalg.norm(way) * state[5][i])
+                out.append(made.tolist())
+            yield frame.assign(**{joints: out})
+
+    rows = df.select(*keys, clock, joints).repartition(*keys).sortWithinPartitions(*keys, clock)
+    return rows.mapInPandas(run, rows.schema)
+
+
 def propagated(df: DataFrame, keys: list[str], clock: str, keyframe: Column, score: str, decay: float = 0.98) -> DataFrame:
     """df with `age`, the frames since the series' last keyframe, and `carried`, that one's
     score times decay to the power of age; both null before the first keyframe."""

@@ -1,6 +1,5 @@
-"""Named queries over the given tables. Each is one operator of the library or a direct
-composition; plans/oracles.py has the same in SQL where SQL can say it. Where that SQL takes
-a part of the rows, a query named ..._all is the same operator over all of them."""
+"""Named queries over the whole given tables. Each is one operator of the library or a direct
+composition; plans/oracles.py has the same in SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -9,17 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinespark.functions import scores
+from kinespark.functions import params, scores, sides
 from kinespark.functions import vectors as V
 from kinespark.operators import boxes as B
 from kinespark.operators import evaluate as E
-from kinespark.operators import fit, fuse, hypotheses, select, temporal
+from kinespark.operators import calibrate, fit, fuse, hypotheses, poses, primary, rays, select, temporal, tracks
+from kinespark.operators import candidates as C
 from kinespark.plans import oracles
+from kinespark.sources import glove
 from kinespark.sources import records as R
 from kinespark.streaming import labels, online
 
 KEYS = fuse.KEYS
 SERIES = ["sequence_id", "hand"]
+#: The camera in front of each hand.
+MAIN = {"Left": "C1", "Right": "C2"}
 
 
 def r6(*names: str) -> list[Column]:
@@ -104,17 +107,12 @@ def prefer_gated(s, d):
 
 
 def gap_fill(s, d):
-    h = R.hands(s, d).where("camera_id = 'C0'")
-    filled = temporal.fill_gaps(h, SERIES, "group_id", 2, 1.2, 3.0, fuse.BONES)
-    return R.joint_rows(filled).select(*KEYS, "joint", *r6("x", "y", "z"))
+    h = R.hands(s, d)
+    filled = temporal.fill_gaps(h, [*SERIES, "camera_id"], "group_id", 2, 1.2, 1.5, fuse.BONES)
+    return R.joint_rows(filled).select(*KEYS, "camera_id", "joint", *r6("x", "y", "z"))
 
 
 def causal_ema(s, d):
-    x = R.joint_rows(R.hands(s, d).where("camera_id = 'C0'")).where("joint = 8").select(*SERIES, "group_id", "x")
-    return temporal.ema(x, SERIES, "group_id", "x", 0.6).select(*SERIES, "group_id", *r6("x"))
-
-
-def causal_ema_all(s, d):
     """Every coordinate of every point of every camera."""
     h = R.joint_rows(R.hands(s, d))
     values = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("x")) for a in "xyz"])).alias("v")
@@ -128,8 +126,16 @@ def bidirectional_ema(s, d):
 
 
 def hampel(s, d):
-    found = temporal.hampel(R.series(s, d).select("user_id", "seq", "x"), ["user_id"], "seq", "x", 3, 5.0, 2.0)
-    return found.select("user_id", "seq", *r6("x"), "replaced")
+    """Points far from the median point of their window, by camera."""
+    keys = [*SERIES, "camera_id", "joint"]
+    found = temporal.hampel(R.joint_rows(R.hands(s, d)).select(*keys, "group_id", "x", "y", "z"), keys, "group_id", ["x", "y", "z"], 3, 0.05, 1.0)
+    return found.select(*keys, "group_id", *r6("x", "y", "z"), "replaced")
+
+
+def smooth_sequence(s, d):
+    keys = [*SERIES, "camera_id", "joint"]
+    found = temporal.smooth_sequence(R.joint_rows(R.hands(s, d)), keys, "group_id", ["x", "y", "z"], 2, 0.05, 1.0)
+    return found.select(*keys, "group_id", *r6("x", "y", "z", "delta"), "replaced")
 
 
 def velocity_feature(s, d):
@@ -142,15 +148,20 @@ def depth_carry_forward(s, d):
 
 
 def frame_rate(s, d):
-    x = R.table(s, d, "events").select((F.col("user_id") % 10).alias("camera"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e8).alias("sec"))
-    return temporal.frame_rate(x, ["camera"], "sec").select("camera", *r6("fps"))
+    """Frame rates of cameras whose events are frames, some of them dropped."""
+    e = R.table(s, d, "events").where("event_id % 13 <> 4")
+    x = e.select((F.col("event_id") % 10).alias("camera"), F.floor(F.col("event_id") / 10).alias("group_id"), (F.floor(F.col("event_id") / 10) * 0.04 + F.col("user_id") % 7 * 0.001).alias("sec"))
+    return temporal.frame_rate(x, ["camera"], "group_id", "sec").select("camera", *r6("fps"))
 
 
 def _asof(s, d, nearest: bool) -> DataFrame:
+    """Marks of a 25 Hz camera in each recording's 60 Hz stream."""
     n = R.table(s, d, "events").select(F.floor(F.col("event_id") * 25 / 60).alias("g")).distinct()
     hands = F.explode(F.array(F.lit("Left"), F.lit("Right"))).alias("hand")
     marks = n.select(F.col("g").alias("group_id"), (7 + F.col("g") * F.lit(60.0) / 25.0).alias("mark"), hands)
-    return temporal.asof(marks, R.sensor(s, d), "mark", "frame_no", "hand", "x", nearest).where("x is not null").select("group_id", "hand", *r6("x"))
+    marks = marks.withColumn("recording", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    found = temporal.asof(marks, R.sensor(s, d), "mark", "frame_no", "hand", "x", nearest, ("recording",))
+    return found.where("x is not null").select("recording", "group_id", "hand", *r6("x"))
 
 
 def asof_linear(s, d):
@@ -161,34 +172,23 @@ def asof_nearest(s, d):
     return _asof(s, d, True)
 
 
-def _bbox_features(b):
+def bbox_features(s, d):
+    b = R.detections(s, d)
     c = V.clamp_box(F.col("box"), 1200, 900)
     b = b.withColumn("c", c)
     return b.select("group_id", "camera_id", "n", *[F.round(v, 6).alias(k) for k, v in {"area": V.area(F.col("c")), "area_score": V.area_score(F.col("c"), 1200, 900), "edge_score": V.edge_score(F.col("c"), 1200, 900), "weight": V.robust_weight(F.col("score") - 0.5, 0.2)}.items()])
 
 
-def bbox_features(s, d):
-    return _bbox_features(R.boxes(s, d))
-
-
-def bbox_features_all(s, d):
-    return _bbox_features(R.detections(s, d))
-
-
-def _bbox_best_overlap(b):
-    return B.best_overlap(b.where("origin = 'mediapipe'"), b.where("origin = 'sam3'")).select("group_id", "camera_id", "n", F.coalesce("match", F.lit(0)).alias("match"), *r6("iou"))
-
-
 def bbox_best_overlap(s, d):
-    return _bbox_best_overlap(R.boxes(s, d))
-
-
-def bbox_best_overlap_all(s, d):
-    return _bbox_best_overlap(R.detections(s, d))
+    b = R.detections(s, d)
+    return B.best_overlap(b.where("origin = 'mediapipe'"), b.where("origin = 'sam3'")).select("group_id", "camera_id", "n", F.coalesce("match", F.lit(0)).alias("match"), *r6("iou"))
 
 
 def bbox_greedy_match(s, d):
-    return B.greedy_in_order(R.detections(s, d))
+    """Jobs of both detectors with the side each camera mostly sees."""
+    found = B.hand_jobs(R.detections(s, d), 0.2, 2, 1.2, 1200, 900, {"C0": "Left", "C3": "Right"}, {"C2": "Right"})
+    kept = ["group_id", "camera_id", "job", F.coalesce("first", F.lit(0.0)).alias("first"), F.coalesce("second", F.lit(0.0)).alias("second"), "label", "label_source", "origin", "debug_only"]
+    return found.select(*kept, *[F.round(V.at(F.col("box"), i), 6).alias(f"b{i}") for i in range(4)])
 
 
 def bbox_global_match(s, d):
@@ -196,23 +196,19 @@ def bbox_global_match(s, d):
 
 
 def bbox_optimal_match(s, d):
-    return B.optimal(R.detections(s, d)).select("group_id", "camera_id", "first", "second", *r6("iou"))
+    """Each image's matching of greatest overlap: its pairs, their overlap in all, and those from 0.5."""
+    iou = F.col("iou")
+    found = B.optimal(R.detections(s, d)).groupBy("group_id", "camera_id").agg(F.count("*").alias("pairs"), F.sum(iou).alias("total"))
+    return found.select("group_id", "camera_id", "pairs", *r6("total"))
 
 
 def bbox_suppress(s, d):
-    return B.suppress(R.detections(s, d)).select("group_id", "camera_id", "n", *r6("score"))
-
-
-def _match_recall(b):
-    return E.recall(B.best_overlap(b.where("origin = 'mediapipe'"), b.where("origin = 'sam3'"), 0.05), ["camera_id"], 0.5).select("camera_id", "n", *r6("recall", "mean", "median", "p10"))
+    return B.suppress(R.detections(s, d)).select("group_id", "camera_id", "n", "label_source", "is_right")
 
 
 def match_recall(s, d):
-    return _match_recall(R.boxes(s, d))
-
-
-def match_recall_all(s, d):
-    return _match_recall(R.detections(s, d))
+    b = R.detections(s, d)
+    return E.recall(B.best_overlap(b.where("origin = 'mediapipe'"), b.where("origin = 'sam3'"), 0.05), ["camera_id"], 0.5).select("camera_id", "n", *r6("recall", "mean", "median", "p10"))
 
 
 def _labelled(s, d) -> DataFrame:
@@ -234,24 +230,16 @@ def majority_vote(s, d):
 
 def vote_automaton(s, d):
     v = _labelled(s, d).select(F.concat(F.lit("C"), F.col("camera").cast("string")).alias("camera_id"), F.floor(F.col("group_id") / 64).alias("track_id"), F.col("pos").alias("t"), F.col("label").alias("vote"), (F.col("score") * 3).alias("weight"))
-    return labels.locked_labels(v)
+    return labels.locked_labels(v).withColumn("confidence", F.round("confidence", 6))
 
 
 def anchor_hysteresis(s, d):
     return select.anchor_with_margin(R.hands(s, d).drop("joints"), KEYS, "quality", "C0", 0.25).select(*KEYS, "camera_id", "quality")
 
 
-def _weighted_median(h):
-    h = h.withColumn("w", F.greatest("quality", F.lit(0.05)))
-    return fuse.weighted_median(h, ["group_id", "hand", "joint"], "x", "w").select("group_id", "hand", "joint", *r6("x"))
-
-
 def weighted_median(s, d):
-    return _weighted_median(R.joint_rows(R.hands(s, d)).where("joint in (4, 8, 12)"))
-
-
-def weighted_median_all(s, d):
-    return _weighted_median(R.joint_rows(R.hands(s, d)))
+    h = R.joint_rows(R.hands(s, d)).withColumn("w", F.greatest("quality", F.lit(0.05)))
+    return fuse.weighted_median(h, ["group_id", "hand", "joint"], "x", "w").select("group_id", "hand", "joint", *r6("x"))
 
 
 def chunk_groups(s, d):
@@ -288,32 +276,18 @@ def _vectors(s, d) -> DataFrame:
     return R.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def _knn_loo(v):
-    return fit.knn(v, v, "embedding", "label", 8).select("id", *r6("predicted", "nearest"))
-
-
 def knn_loo(s, d):
-    return _knn_loo(_vectors(s, d).where("id % 4 = 0"))
-
-
-def knn_loo_all(s, d):
-    return _knn_loo(_vectors(s, d))
-
-
-def _ood_gate(train, ask):
-    own = fit.knn(train, train, "embedding", "label", 4).select("nearest")
-    return fit.ood_gate(fit.knn(ask, train, "embedding", "label", 4), "nearest", own).select("id", *r6("gate"))
-
-
-def ood_gate(s, d):
+    """Every embedding's label from its eight nearest others."""
     v = _vectors(s, d)
-    return _ood_gate(v.where("id % 4 = 0"), v.where("id % 8 = 1"))
+    return fit.knn(v, v, "embedding", "label", 8).select("id", *r6("predicted", "nearest"))
 
 
-def ood_gate_all(s, d):
+def ood_gate(s, d):
     """Even ids train, odd ones ask."""
     v = _vectors(s, d)
-    return _ood_gate(v.where("id % 2 = 0"), v.where("id % 2 <> 0"))
+    train, ask = v.where("id % 2 = 0"), v.where("id % 2 <> 0")
+    own = fit.knn(train, train, "embedding", "label", 1).select("nearest")
+    return fit.ood_gate(fit.knn(ask, train, "embedding", "label", 1), "nearest", own, 0.5, 0.95, 0.1).select("id", *r6("gate"))
 
 
 def _pairs_all(s, d) -> DataFrame:
@@ -353,11 +327,6 @@ def ridge_residual(s, d):
 
 
 def huber_shift(s, d):
-    p = _pairs(s, d).where("joint in (0, 5, 17)").select("hand", "joint", "x", "y", "tx", "ty")
-    return fit.huber_shift(p, ["hand", "joint"]).select("hand", "joint", *r6("sx", "sy"))
-
-
-def huber_shift_all(s, d):
     p = _pairs_all(s, d).select("camera_id", "hand", "joint", "x", "y", "tx", "ty")
     return fit.huber_shift(p, ["camera_id", "hand", "joint"]).select("camera_id", "hand", "joint", *r6("sx", "sy"))
 
@@ -369,17 +338,9 @@ def _rays(s, d) -> DataFrame:
     return h.select("group_id", "hand", "joint", "camera_id", (eye * 0.1).alias("ox"), (eye * eye * 0.05).alias("oy"), F.lit(0.0).alias("oz"), *[(F.col(c) / size).alias(f"d{c}") for c in "xyz"])
 
 
-def _triangulate_rays(rays):
-    found = fit.triangulate(rays, ["group_id", "hand", "joint"])
-    return found.select("group_id", "hand", "joint", "views", *[(F.round(c, 4) + 0.0).alias(c) for c in ("x", "y", "z", "error")])
-
-
 def triangulate_rays(s, d):
-    return _triangulate_rays(_rays(s, d).where("joint between 1 and 6"))
-
-
-def triangulate_rays_all(s, d):
-    return _triangulate_rays(_rays(s, d))
+    found = fit.triangulate(_rays(s, d), ["group_id", "hand", "joint"])
+    return found.select("group_id", "hand", "joint", "views", *[(F.round(c, 4) + 0.0).alias(c) for c in ("x", "y", "z", "error")])
 
 
 def one_euro(s, d):
@@ -387,30 +348,25 @@ def one_euro(s, d):
     return temporal.one_euro(R.joint_rows(R.hands(s, d)), keys, "group_id", ["x", "y", "z"]).select(*keys, "group_id", *r6("x", "y", "z"))
 
 
-def _view_quality(b):
+def view_quality(s, d):
+    b = R.detections(s, d)
     c = F.col
     mask = F.when(c("n") % 3 == 0, c("score"))
     score = scores.quality(mask, F.when(c("n") % 3 == 1, c("score")), c("n") % 2 == 0, c("box"), c("origin"), c("n") % 4 == 0, 1 + c("n") / 10.0, 1200, 900)
     return b.select("group_id", "camera_id", "n", F.round(score, 6).alias("quality"))
 
 
-def view_quality(s, d):
-    return _view_quality(R.boxes(s, d))
-
-
-def view_quality_all(s, d):
-    return _view_quality(R.detections(s, d))
-
-
 def axis_affine(s, d):
     p = _pairs_all(s, d).select("camera_id", "hand", "joint", "x", "y", "tx", "ty")
     return fit.axis_affine(p, ["camera_id", "hand", "joint"], 0.3).select("camera_id", "hand", "joint", *r6("ax", "bx", "ay", "by"))
 
 
 def triangulate_subsets(s, d):
-    rays = _rays(s, d)
-    best = fit.triangulate_best(rays, ["group_id", "hand", "joint"], ["C0", "C1", "C2", "C3"], "C0", 2, 0.12, 0.15)
-    return best.select("group_id", "hand", "joint", "views", "valid", *[(F.round(c, 4) + 0.0).alias(c) for c in ("x", "y", "z", "error", "worst")])
+    """The best subset with the camera in front of the hand: C1 of left hands, C2 of right ones."""
+    main = params.from_map(F.col("hand"), MAIN)
+    best = fit.triangulate_best(_rays(s, d), ["group_id", "hand", "joint"], ["C0", "C1", "C2", "C3"], main, 2, 0.12, 0.15)
+    kept = ["group_id", "hand", "joint", "views", "valid", F.coalesce("reason", F.lit("")).alias("reason")]
+    return best.select(*kept, *[(F.round(c, 4) + 0.0).alias(c) for c in ("x", "y", "z", "error", "worst")])
 
 
 def chunk_overlap(s, d):
@@ -504,9 +460,10 @@ def rotation_step(s, d):
 
 
 def rotation_smooth(s, d):
-    h = R.hands(s, d).where("camera_id = 'C0'").withColumn("axes", V.palm_axes(F.col("joints"))).where("axes is not null")
-    found = temporal.smooth_rotations(h, SERIES, "group_id", "axes", 0.4)
-    return found.select(*SERIES, "group_id", F.posexplode("axes").alias("axis", "v")).select(*SERIES, "group_id", "axis", *[(F.round(V.at(F.col("v"), i), 6) + 0.0).alias("xyz"[i]) for i in range(3)])
+    h = R.hands(s, d).withColumn("axes", V.palm_axes(F.col("joints"))).where("axes is not null")
+    found = temporal.smooth_rotations(h, [*SERIES, "camera_id"], "group_id", "axes", 0.4)
+    each = found.select(*SERIES, "camera_id", "group_id", F.posexplode("axes").alias("axis", "v"))
+    return each.select(*SERIES, "camera_id", "group_id", "axis", *[(F.round(V.at(F.col("v"), i), 5) + 0.0).alias("xyz"[i]) for i in range(3)])
 
 
 def knuckle_frame(s, d):
@@ -520,24 +477,17 @@ def keyframe_decay(s, d):
     return found.where("age is not null").select("pos", "age", *r6("carried"))
 
 
-def _box_transforms(boxes):
+def box_transforms(s, d):
+    boxes = R.detections(s, d)
     b = F.col("box")
     shapes = {"expanded": V.expand_box(b, 1.3, 1200, 900), "scaled": V.scaled_box(b, 1.5, 1200, 900), "xywh": V.box_xywh(b), "joined": V.union_box(b, V.vec(*[F.lit(float(v)) for v in (300, 200, 500, 400)]))}
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in shapes.items()])).alias("s")
     return boxes.select("group_id", "camera_id", "n", kinds).select("group_id", "camera_id", "n", "s.kind", *[(F.round(V.at(F.col("s.v"), i), 6) + 0.0).alias(f"v{i}") for i in range(4)])
 
 
-def box_transforms(s, d):
-    return _box_transforms(R.boxes(s, d))
-
-
-def box_transforms_all(s, d):
-    return _box_transforms(R.detections(s, d))
-
-
-def _crop_keypoints(h):
+def crop_keypoints(s, d):
     """Hands as points of a crop, put into the image (Left mirrored), and their confidence."""
-    c = F.col
+    h, c = R.joint_rows(R.hands(s, d)), F.col
     box = V.vec(c("group_id") % 700 + 0.0, c("pos") % 500 + 0.0, c("group_id") % 700 + 200.0, c("pos") % 500 + 200.0)
     pixel = V.from_crop(V.vec(c("x"), c("y")), c("group_id") % 700 + 100.0, c("pos") % 500 + 100.0, F.lit(200.0), c("hand") == "Left")
     h = h.withColumn("pixel", pixel)
@@ -545,14 +495,6 @@ def _crop_keypoints(h):
     return h.select("pos", "joint", F.round(V.at(c("pixel"), 0), 6).alias("px"), F.round(V.at(c("pixel"), 1), 6).alias("py"), F.round(confidence, 6).alias("confidence"))
 
 
-def crop_keypoints(s, d):
-    return _crop_keypoints(R.joint_rows(R.hands(s, d)).where("joint in (0, 4, 8)"))
-
-
-def crop_keypoints_all(s, d):
-    return _crop_keypoints(R.joint_rows(R.hands(s, d)))
-
-
 def fingertip_summary(s, d):
     """Distances of the fingers' tips and bases from the wrist."""
     h = long_hands(s, d).where("joint in (2, 4, 5, 8, 9, 12, 13, 16, 17, 20)")
@@ -570,17 +512,241 @@ def online_labels(s, d):
     return online.online_labels(jobs)
 
 
+def palm_candidates(s, d):
+    """Predictions that count, in the palm frame, with their quality."""
+    c = F.col
+    rows = C.palm_candidates(C.predictions(R.predictions(s, d), ["hand_prediction", "mesh_prediction"], ["mesh_joints", "own_joints"]))
+    quality = scores.quality(c("mask_score"), c("detector_score"), c("blurred"), c("box"), c("origin"), c("status") == "known", c("scale"), 1200, 900)
+    tip = F.get("joints", F.lit(8))
+    return rows.select("pos", "group_id", "hand", "camera_id", F.round(quality, 6).alias("quality"), *[(F.round(V.at(tip, i), 6) + 0.0).alias(a) for i, a in enumerate("xyz")])
+
+
+def candidate_choice(s, d):
+    """The one candidate of each camera's hand by two orders: for crops and for whole records."""
+    rows = C.predictions(R.predictions(s, d), ["hand_prediction", "mesh_prediction"], ["mesh_joints", "own_joints"])
+    rows = rows.withColumn("camera_id", F.concat(F.lit("C"), (F.col("pos") % 2).cast("string"))).withColumnRenamed("quality", "confidence")
+    keys = ["group_id", "hand", "camera_id"]
+    crop = C.choose_candidate(rows, keys).select(*keys, F.lit("crop").alias("by"), "pos")
+    return crop.unionByName(C.best_record(rows, keys).select(*keys, F.lit("record").alias("by"), "pos"))
+
+
+def job_hypotheses(s, d):
+    """Crops to predict for each detection: its side or both, times three scales."""
+    found = C.hypotheses(R.detections(s, d), [0.9, 1.0, 1.2], 1200, 900)
+    return found.select("group_id", "camera_id", "n", "hand", "status", "is_right", "scale", *[F.round(V.at(F.col("crop"), i), 6).alias(f"c{i}") for i in range(4)])
+
+
+def label_precedence(s, d):
+    """The label that counts of a tracked detection, and whether a camera's usual side applies."""
+    c = F.col
+    best = sides.best_label(F.when(c("n") % 3 == 0, c("label")), F.when(c("n") % 3 == 1, c("label")), c("label_source"), c("is_right").cast("int"), F.when(c("n") % 2 == 0, c("score")), c("score"))
+    rows = R.detections(s, d).withColumn("l", best)
+    prior = sides.takes_prior(c("l.label"), c("l.source"))
+    return rows.select("group_id", "camera_id", "n", F.coalesce("l.label", F.lit("")).alias("label"), F.coalesce("l.source", F.lit("")).alias("source"), F.round(F.coalesce("l.confidence", F.lit(-1.0)), 6).alias("confidence"), prior.alias("prior"))
+
+
+def joint_spaces(s, d):
+    """Points of each group's hands from the field that holds them; the last record counts."""
+    found = C.hands_by_group(R.hand_records(s, d), "glove-calibrated-palm-local")
+    return R.joint_rows(found).select("group_id", "hand", "joint", *r6("x", "y", "z"))
+
+
+def last_hands(s, d):
+    found = C.last_hands(R.hand_records(s, d).where("group_id % 4 <> 1"), "frame")
+    return found.select("group_id", "hand", F.round(F.get(F.get("h.local_joints_m", F.lit(8)), F.lit(0)), 6).alias("x"))
+
+
+def primary_fusion(s, d):
+    """Hands fused around the best view, frame by frame. Lengths are tenths of the points' units."""
+    h = fuse.root_relative(R.hands(s, d)).withColumn("joints", F.transform("joints", lambda p: V.scaled(p, F.lit(0.1))))
+    c = F.col
+    rows = h.select(*SERIES, "group_id", "camera_id", "pos", "quality", F.when(c("pos") % 3 != 0, c("quality")).alias("mask_score"), (c("pos") % 5 != 0).alias("known"), "joints")
+    found = primary.fuse_hands(rows, primary.Rules(consistency=0.013))
+    return found.select(*KEYS, "anchor", "role", "mode", "reason", F.coalesce("gate", F.lit("")).alias("gate"), "used", "rejected", *r6("score"), F.round(F.get(F.get("joints", F.lit(8)), F.lit(0)), 6).alias("x"))
+
+
+def _truth_pairs(s, d) -> DataFrame:
+    """Hands of C0 to C2 with the true ones of C3, both from the wrist."""
+    h = fuse.root_relative(R.hands(s, d))
+    truth = h.where("camera_id = 'C3'").select(*KEYS, F.col("joints").alias("truth"))
+    return h.where("camera_id <> 'C3'").join(truth, KEYS)
+
+
+def calibration(s, d):
+    """A profile fitted on even groups: errors of odd ones before and after."""
+    train, test = calibrate.split_parity(_truth_pairs(s, d))
+    profile = calibrate.fit_profile(train, most_offset=0.3)
+    after = calibrate.errors(calibrate.apply_profile(test, profile)).select("hand", F.lit("after").alias("stage"), "n", *r6("mean", "median", "p95"))
+    return calibrate.errors(test).select("hand", F.lit("before").alias("stage"), "n", *r6("mean", "median", "p95")).unionByName(after)
+
+
+def pose_residual(s, d):
+    """Corrections of odd groups' hands by a residual model of the even ones, for each hand."""
+    pairs = calibrate.features(_truth_pairs(s, d), "fingertip-summary", [*SERIES, "camera_id"], "group_id").withColumnRenamed("pos", "id")
+    rows = pairs.withColumn("residual", F.flatten(F.zip_with("truth", "joints", lambda t, p: F.zip_with(t, p, lambda a, b: a - b))))
+    train, test = calibrate.split_parity(rows)
+    out = None
+    for hand in params.SIDES:
+        own = train.where(F.col("hand") == hand).select("id", "features", "residual")
+        if own.limit(1).count():
+            found = calibrate.residual_correction(test.where(F.col("hand") == hand), *calibrate.fit_residual(own, 10.0), k=4, blend=0.5, most=0.5)
+            part = found.select("id", *r6("gate", "nearest"), F.round(V.norm(F.get("correction", F.lit(8))), 6).alias("moved"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def pixel_correction(s, d):
+    """Shifts of each camera's projected pixels to those seen."""
+    pixel = lambda p, k: F.array(V.at(p, 0) * 300 + 600 + k, V.at(p, 1) * 300 + 450 - k)
+    both = _truth_pairs(s, d).withColumn("v", F.struct(F.transform("joints", lambda p: pixel(p, 0.0)).alias("projected"), F.transform("truth", lambda p: pixel(p, 25.0)).alias("seen")))
+    views = both.select(F.col("pos").alias("id"), F.create_map("camera_id", "v").alias("projections"))
+    found = calibrate.pixel_corrections(calibrate.pixel_pairs(views, 1200, 900, 200.0), "translation", 20, 0.0, delta=20.0, most=80.0)
+    return found.select("camera_id", "points", *r6("bx", "by", "before", "after"), "status")
+
+
+def glove_hands(s, d):
+    found = glove.hands(R.glove_rows(s, d))
+    return R.joint_rows(found.select("group_id", "hand", F.col("local").alias("joints"))).select("group_id", "hand", "joint", *r6("x", "y", "z"))
+
+
+def _frames(s, d) -> DataFrame:
+    """Detections as frames of a camera: an order is a frame."""
+    b = R.detections(s, d).withColumn("camera_id", F.concat(F.lit("C"), (F.floor(F.col("group_id") / 256)).cast("string")))
+    frames = tracks.dense_index(b.select("camera_id", "group_id").distinct(), ["camera_id"], ["group_id"])
+    return b.join(frames, ["camera_id", "group_id"])
+
+
+def dense_frames(s, d):
+    return tracks.dense_index(R.hands(s, d).select("camera_id", "group_id").distinct(), ["camera_id"], ["group_id"]).select("camera_id", "group_id", F.col("video_frame_index").cast("long"))
+
+
+def seed_hands(s, d):
+    """The first frame with good boxes of each camera, and these."""
+    f = _frames(s, d)
+    found = tracks.first_seeds(f.drop("video_frame_index"), f.select("camera_id", "group_id", "video_frame_index").distinct(), 10, 0.8, 2)
+    return found.select("camera_id", "group_id", F.col("video_frame_index").cast("long"), "n", "rank")
+
+
+def linked_tracks(s, d):
+    """Every frame with the tracks that overlap links."""
+    f = _frames(s, d)
+    best = tracks.seeds(f, ["camera_id", "group_id"], 3).withColumn("n", F.col("rank").cast("long"))
+    found = tracks.frame_tracks(f.select("camera_id", F.col("video_frame_index").cast("long")).distinct(), tracks.linked(best))
+    return found.select("camera_id", F.col("video_frame_index").cast("long"), F.size("hands").alias("hands"), F.array_join(F.col("hands.name"), ",").alias("tracks"))
+
+
+def stable_tracks(s, d):
+    """Labels of tracks by the votes of the other detector's boxes."""
+    f = _frames(s, d)
+    own = f.where("origin = 'sam3'")
+    voters = f.where("origin = 'mediapipe'").withColumn("camera", F.col("camera_id"))
+    keys = ["group_id", "camera_id"]
+    best = B.best_overlap(own, voters, 0.05).where("match is not null").join(voters.select(*keys, F.col("n").alias("match"), F.col("label").alias("vote"), tracks.vote_weight(F.col("score")).alias("weight")), [*keys, "match"])
+    rows = own.withColumn("track_id", F.when(F.col("n") % 4 == 0, F.concat(F.lit("given"), (F.col("n") % 3).cast("string")))).join(best.select(*keys, "n", "vote", "weight"), [*keys, "n"], "left")
+    return tracks.stabilised(rows.withColumn("n", F.col("n").cast("long")).withColumn("video_frame_index", F.col("video_frame_index").cast("long"))).withColumn("confidence", F.round("confidence", 6))
+
+
+def _poses(s) -> DataFrame:
+    """The rig of four cameras: origins, and quarter turns about z."""
+    turns = {0: [[1.0, 0, 0], [0, 1, 0], [0, 0, 1]], 1: [[0.0, -1, 0], [1, 0, 0], [0, 0, 1]], 2: [[-1.0, 0, 0], [0, -1, 0], [0, 0, 1]], 3: [[0.0, 1, 0], [-1, 0, 0], [0, 0, 1]]}
+    rows = [(f"C{i}", [i * 0.1, i * i * 0.05, 0.0], [[float(v) for v in r] for r in turns[i]]) for i in range(4)]
+    return s.createDataFrame(rows, "camera_id string, origin array<double>, rotation array<array<double>>")
+
+
+def _rig(s, d) -> DataFrame:
+    h = R.joint_rows(R.hands(s, d)).withColumn("ray", V.vec(F.col("x"), F.col("y"), F.abs(F.col("z")) + 1.0))
+    return rays.to_rig(h.select("sequence_id", "group_id", "hand", "joint", "camera_id", "pos", "ray"), _poses(s))
+
+
+def rig_rays(s, d):
+    return _rig(s, d).select("pos", "joint", *r6("ox", "oy", "oz", "dx", "dy", "dz"))
+
+
+def ray_states(s, d):
+    """Rays gated by a seed or the point before, start points, and what each point is good for."""
+    c = F.col
+    r = _rig(s, d)
+    truth = R.joint_rows(R.hands(s, d)).where("camera_id = 'C3'").select("group_id", "hand", "joint", V.vec(c("x"), c("y"), F.abs(c("z")) + 1.0).alias("p"))
+    seeds = truth.where("joint % 3 = 0").withColumnRenamed("p", "seed")
+    before = truth.withColumn("group_id", c("group_id") + 1).withColumnRenamed("p", "before")
+    wrist = before.where("joint = 0").select("group_id", "hand", c("before").alias("w"))
+    root = before.join(wrist, ["group_id", "hand"]).select("group_id", "hand", "joint", "before", V.sub(c("before"), c("w")).alias("root_before"))
+    by, main = ["group_id", "hand", "joint"], params.from_map(c("hand"), MAIN)
+    gated = rays.gated(r.join(seeds, by, "left").join(root, by, "left"), main, 0.9)
+    points = rays.initial_points(gated, ["group_id", "hand"], main)
+    states = rays.joint_states(points, gated, ["group_id", "hand"], main, 0.5, 0.8)
+    return states.select(*by, "mode", "valid", "metric_valid", "views", "rejected", *[F.coalesce(F.round(v, 5), F.lit(-1.0)).alias(v) for v in ("mean_error", "max_error")])
+
+
+def _palm_poses(s, d) -> DataFrame:
+    return R.hands(s, d).withColumn("rotation", V.palm_axes(F.col("joints"))).where("rotation is not null").withColumn("shift", F.get("joints", F.lit(0)))
+
+
+def pose_delta(s, d):
+    """The robust mean of each camera's palm poses."""
+    found = poses.robust_delta(_palm_poses(s, d), ["camera_id"], 120.0, 0.5, 3)
+    return found.select("camera_id", "n", "inliers", *[F.coalesce(F.round(c, 5), F.lit(0.0)).alias(c) for c in ("rx", "ry", "rz", "tx", "ty", "tz")])
+
+
+def pose_consistency(s, d):
+    """Agreement of each camera's palm poses with C0's, before and after a turn of the camera."""
+    p = _palm_poses(s, d)
+    ref = p.where("camera_id = 'C0'").select(*KEYS, F.lit("C0").alias("reference"), F.col("rotation").alias("ref_rotation"), F.col("shift").alias("ref_shift"))
+    pairs = p.where("camera_id <> 'C0'").join(ref, KEYS)
+    rig = _poses(s)
+    raw = F.array(*[F.array(*[F.lit(float(i == j)) for j in range(3)]) for i in range(3)])
+    fixes = rig.select("camera_id", raw.alias("raw_rotation"), F.array(*[F.lit(0.0)] * 3).alias("raw_shift"), "rotation", F.col("origin").alias("shift"))
+    return poses.consistency(pairs, fixes).select("camera_id", "measure", "stage", "count", *[(F.round(c, 4) + 0.0).alias(c) for c in ("mean", "median", "p95")])
+
+
+def one_euro_bones(s, d):
+    found = temporal.one_euro_bones(fuse.root_relative(R.hands(s, d)), [*SERIES, "camera_id"], "group_id", "joints", fuse.BONES, min_alpha=0.1)
+    return R.joint_rows(found).select(*SERIES, "camera_id", "group_id", "joint", *r6("x", "y", "z"))
+
+
+def first_groups(s, d):
+    """Records of the first groups in the order of the file."""
+    h = R.hands(s, d).select((F.col("pos") * 7919 % 10007).alias("line"), "pos", "group_id", "camera_id")
+    return R.first_groups(h, "line", 20)
+
+
+def box_shapes(s, d):
+    """Boxes around a hand's pixels, padded and clipped."""
+    h = R.hands(s, d)
+    points = F.transform("joints", lambda p: F.struct((V.at(p, 0) * 300 + 600).alias("x"), F.when(V.at(p, 2) > -0.2, V.at(p, 1) * 300 + 450).alias("y")))
+    h = h.withColumn("box", V.points_box(points, 4)).where("box is not null")
+    shapes = {"plain": F.col("box"), "padded": V.expand_box(F.col("box"), 1.25, 1200, 900), "clipped": V.clipped_box(F.col("box"), 1200, 900)}
+    each = h.select("pos", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in shapes.items()])).alias("s")).where("s.v is not null")
+    return each.select("pos", "s.kind", *[(F.round(V.at(F.col("s.v"), i), 6) + 0.0).alias(f"v{i}") for i in range(4)])
+
+
+def byte_account(s, d):
+    t = R.table(s, d, "documents").select(F.col("lang").alias("type"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"), "source", "text")
+    return C.byte_account(t, "en", ["source", "text"]).withColumn("bytes", F.col("bytes").cast("long"))
+
+
+def detection_ratios(s, d):
+    parts = {"labelled": F.col("label").isNotNull(), "strong": F.col("score") >= 0.5}
+    return E.ratios(R.detections(s, d), ["camera_id"], parts).select("camera_id", "n", *r6("labelled", "strong"))
+
+
+def build_targets(s, d):
+    """Views aligned to the key's best one, and their mean by quality in the palm frame."""
+    found = fuse.build_targets(R.hands(s, d), KEYS, 0.6)
+    return R.joint_rows(found.withColumnRenamed("target", "joints")).select(*KEYS, "anchor", "used", "joint", *r6("x", "y", "z"))
+
+
 ALL = (
     static_bones_applied, consensus_choice, backup_gate, camera_report, reprojection, rotation_step, rotation_smooth, knuckle_frame, keyframe_decay, box_transforms, crop_keypoints,
     fingertip_summary, online_labels, ambiguous_hands, frame_bounds,
     frames_filter_range, stride_sample, view_argmax, fuse_mean, fuse_quality_weighted, fuse_medoid, fuse_mean_smoothed, bone_median_of_medians, palm_local,
-    eval_grouping_sets, gate_diagnostics_3way, prefer_gated, gap_fill, causal_ema, bidirectional_ema, hampel, velocity_feature, depth_carry_forward, frame_rate,
+    eval_grouping_sets, gate_diagnostics_3way, prefer_gated, gap_fill, causal_ema, bidirectional_ema, hampel, smooth_sequence, velocity_feature, depth_carry_forward, frame_rate,
     asof_linear, asof_nearest, bbox_features, bbox_best_overlap, bbox_greedy_match, bbox_global_match, bbox_optimal_match, bbox_suppress, match_recall,
     duplicate_label_repair, spatial_handedness, majority_vote, vote_automaton, anchor_hysteresis, weighted_median, chunk_groups, merge_first_wins, merge_conflicts,
     merge_last_wins, workload_report, knn_loo, ood_gate, joint_offsets_shrunk, bone_scales, similarity_moments, similarity_fit, ridge_residual, huber_shift,
-    triangulate_rays, one_euro, view_pivot, view_quality, axis_affine, triangulate_subsets, chunk_overlap,
-    bbox_features_all, bbox_best_overlap_all, match_recall_all, view_quality_all, box_transforms_all, knn_loo_all, ood_gate_all,
-    causal_ema_all, weighted_median_all, huber_shift_all, triangulate_rays_all, crop_keypoints_all,
+    triangulate_rays, one_euro, one_euro_bones, view_pivot, view_quality, axis_affine, triangulate_subsets, chunk_overlap,
+    palm_candidates, candidate_choice, job_hypotheses, label_precedence, joint_spaces, last_hands, primary_fusion, calibration, pose_residual, pixel_correction, glove_hands,
+    dense_frames, seed_hands, linked_tracks, stable_tracks, rig_rays, ray_states, pose_delta, pose_consistency, first_groups, box_shapes, byte_account, detection_ratios, build_targets,
 )
 
 

@@ -3,6 +3,9 @@ the given tables that stand for recorded hands, boxes and sensor streams."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +17,12 @@ HANDS = (
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Strict scan of JSON lines: blank lines are skipped, a malformed line is an error."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Strict scan of JSON lines: blank lines are skipped; a malformed line is an error that names
+    the file and the line's text."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    broken = F.raise_error(F.concat_ws(" ", F.lit("malformed JSON in"), "file", F.lit("at line"), F.substring("value", 1, 200)))
+    whole = F.from_json("value", f"{schema}, __broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"})
+    return lines.withColumn("r", whole).withColumn("r", F.when(F.col("r.__broken").isNull(), F.col("r")).otherwise(broken)).select("r.*").drop("__broken")
 
 
 def read_jsonl_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -68,18 +75,50 @@ def explode_hands(records: DataFrame) -> DataFrame:
     return records.select("group_id", "camera_id", F.explode("hands").alias("h")).select("group_id", "camera_id", "h.*")
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines that aren't blank with their place in the file: 0 and 1 for its first two, 2 for the
+    rest. A scan gives the lines of a split in order, and only one split starts a file."""
+    split, at = None, 0
+    for batch in batches:
+        files, values, places = [], [], []
+        for value, file, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (file, start) != split:
+                split, at = (file, start), 0 if start == 0 else 2
+            if value.strip():
+                files.append(file)
+                values.append(value)
+                places.append(at)
+                at = min(2, at + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(values, pa.string()), pa.array(places, pa.int32())], ["file", "value", "at"])
+
+
 def read_sensor_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A sensor CSV with a header, before which a line with the number of rows may stand; all
-    columns are doubles, and what isn't a number is null."""
-    lines = spark.read.text(path)
-    first = [r["value"] for r in lines.limit(2).collect()]
-    counted = bool(first) and first[0].strip().isdigit()
-    header = first[int(counted)]
-    schema = ", ".join(f"`{name.strip()}` double" for name in header.split(","))
-    rows = lines.where((F.trim("value") != "") & (F.col("value") != header))
-    if counted:
-        rows = rows.where(F.col("value") != first[0])
-    return rows.select(F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    """Sensor CSVs, each with a header before which a line with the number of rows may stand. All
+    columns are doubles, and what isn't a number is null. A file's own header names its columns;
+    columns that only other files have are null. A file with another number of rows than it
+    declares is an error. The first two lines and the number of rows of each file come to the
+    driver."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    placed = lines.mapInArrow(_placed, "file string, value string, at int")
+    heads: dict[str, list[str]] = {}
+    for r in sorted(placed.where("at < 2").collect(), key=lambda r: (r["file"], r["at"])):
+        heads.setdefault(r["file"], []).append(r["value"].strip())
+    declared = {f: int(h[0]) for f, h in heads.items() if h[0].isdigit()}
+    header = {f: h[int(f in declared)] for f, h in heads.items()}
+    kinds = sorted(set(header.values()))
+    table = spark.createDataFrame([(f, kinds.index(h), 1 + int(f in declared)) for f, h in header.items()], "file string, kind int, first int")
+    rows = placed.join(F.broadcast(table), "file").where("at >= first")  # one row a file
+    if declared:
+        found = {r["file"]: r["count"] for r in rows.groupBy("file").count().collect()}
+        if wrong := {f: (n, found.get(f, 0)) for f, n in declared.items() if n != found.get(f, 0)}:
+            raise ValueError(f"rows declared and found differ: {wrong}")
+    out = None
+    for i, text in enumerate(kinds):
+        names = [n.strip() for n in text.split(",")]
+        cells = F.from_csv("value", ", ".join(f"`{n}` string" for n in names))
+        part = rows.where(F.col("kind") == i).select(cells.alias("r")).select(*[F.expr(f"try_cast(trim(r.`{n}`) as double)").alias(n) for n in names])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def merge_shards(shards: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -141,35 +180,27 @@ def joint_rows(h: DataFrame) -> DataFrame:
     return h.select(*others, F.posexplode("joints").alias("joint", "p")).select(*others, "joint", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"), F.get("p", F.lit(2)).alias("z"))
 
 
-def _numbered(spark: SparkSession, sf_dir: str, group: Column, camera: Column) -> DataFrame:
-    """The detections in `lineitem`, numbered within each (group, camera)."""
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """View of `lineitem` as detections, every row one of them: an order is an image, so a key
+    is small by nature and keys grow with the table. Detections are numbered within their key."""
     c = F.col
     base = table(spark, sf_dir, "lineitem").select(
-        group.alias("group_id"), F.concat(F.lit("C"), camera.cast("string")).alias("camera_id"),
+        c("l_orderkey").alias("group_id"), F.concat(F.lit("C"), (c("l_orderkey") % 4).cast("string")).alias("camera_id"),
         (c("l_partkey") % 1200).cast("double").alias("x1"), (c("l_suppkey") * 7 % 900).cast("double").alias("y1"),
         (20 + c("l_quantity") * 6).alias("w"), (20 + c("l_discount") * 1500).alias("h"), (c("l_tax") / 0.08).alias("score"),
         F.when(c("l_returnflag") == "A", "mediapipe").otherwise("sam3").alias("origin"), "l_orderkey",
+        F.when(c("l_partkey") % 3 == 0, "Left").when((c("l_partkey") % 3 == 1) | (c("l_returnflag") == "A"), "Right").alias("label"),
+        F.when(c("l_suppkey") % 5 == 0, "prompt").when(c("l_suppkey") % 5 == 1, "hypothesis").otherwise("tracker").alias("label_source"), (c("l_suppkey") % 2).cast("double").alias("is_right"),
     )
-    order = Window.partitionBy("group_id", "camera_id").orderBy("l_orderkey", "x1", "y1", "w", "h", "score", "origin")
-    return base.withColumn("n", F.row_number().over(order)).select("group_id", "camera_id", "n", F.array("x1", "y1", c("x1") + c("w"), c("y1") + c("h")).alias("box"), "score", "origin")
-
-
-def boxes(spark: SparkSession, sf_dir: str, most: int = 8) -> DataFrame:
-    """View of `lineitem` as detections in 1,600 crowded keys, the first `most` of each (group,
-    camera), as the queries' SQL has it. detections() has every row."""
-    return _numbered(spark, sf_dir, F.col("l_orderkey") % 400, F.col("l_linenumber") % 4).where(F.col("n") <= most)
-
-
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """View of `lineitem` as detections, every row one of them: an order is an image, so a key
-    is small by nature and keys grow with the table."""
-    return _numbered(spark, sf_dir, F.col("l_orderkey"), F.col("l_orderkey") % 4)
+    order = Window.partitionBy("group_id", "camera_id").orderBy("l_orderkey", "x1", "y1", "w", "h", "score", "origin", "label", "label_source")
+    box = F.array("x1", "y1", c("x1") + c("w"), c("y1") + c("h")).alias("box")
+    return base.withColumn("n", F.row_number().over(order)).select("group_id", "camera_id", "n", box, "score", "origin", "label", "label_source", "is_right")
 
 
 def sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """View of `events` as a 60 Hz stream with missing frames."""
+    """View of `events` as the 60 Hz streams of four recordings with missing frames."""
     return table(spark, sf_dir, "events").where("event_id % 13 <> 4").select(
-        F.col("event_id").alias("frame_no"), F.when(F.col("user_id") % 2 == 0, "Left").otherwise("Right").alias("hand"), F.col("value").alias("x")
+        (F.floor(F.col("user_id") / 2) % 4).alias("recording"), F.col("event_id").alias("frame_no"), F.when(F.col("user_id") % 2 == 0, "Left").otherwise("Right").alias("hand"), F.col("value").alias("x")
     )
 
 
@@ -177,3 +208,65 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View of `events` as one series for each user, with gaps in `seq`."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", n.alias("seq"), F.col("value").alias("x")).where("seq % 11 <> 6")
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """View of `embeddings` as prediction records, some of another type, without a side, without
+    points or with too few or broken ones."""
+    v = F.col("vec_id")
+    nan = F.lit(float("nan"))
+    point = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda j: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.get("embedding", j * 3 + k).cast("double")))
+    quality = (v * 37 % 101) / F.lit(100.0)
+    broken = F.transform("__p", lambda p, j: F.when(j == 4, F.array(nan, nan, nan)).otherwise(p))
+    box = F.array((v * 13 % 1100).cast("double"), (v * 17 % 800).cast("double"), (v * 13 % 1100 + 40 + v % 90).cast("double"), (v * 17 % 800 + 30 + v % 70).cast("double"))
+    return table(spark, sf_dir, "embeddings").withColumn("__p", point).select(
+        v.alias("pos"),
+        F.when(v % 19 == 7, "other").when(v % 2 == 0, "hand_prediction").otherwise("mesh_prediction").alias("type"),
+        F.floor(v / 8).alias("group_id"),
+        F.when(v % 41 == 5, "").otherwise(F.concat(F.lit("C"), (v % 4).cast("string"))).alias("camera_id"),
+        F.when(v % 23 == 9, F.lit(None)).when(F.floor(v / 4) % 2 == 0, "Left").otherwise("Right").alias("hand"),
+        F.when(v % 3 == 0, F.col("__p")).when(v % 3 == 1, F.slice("__p", 1, 0)).alias("mesh_joints"),
+        F.when(v % 29 == 3, F.slice("__p", 1, 20)).when(v % 31 == 4, broken).otherwise(F.col("__p")).alias("own_joints"),
+        F.when(v % 5 < 3, F.floor(quality * 4) / 4).alias("mask_score"),
+        F.when(v % 5 == 3, quality).alias("detector_score"),
+        (v % 7 == 0).alias("blurred"),
+        F.when(v % 11 != 6, box).alias("box"),
+        F.when(v % 4 == 0, "mediapipe+sam3").when(v % 4 == 1, "sam3").when(v % 4 == 2, "mediapipe").alias("origin"),
+        F.when(v % 3 != 1, "known").otherwise("unknown_hypothesis").alias("status"),
+        (1 + v % 3 / 10.0).alias("scale"),
+        quality.alias("quality"),
+    )
+
+
+def hand_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """View of hands() as records of a camera's frame with nested hands, some with points of a
+    whole hand, some with joints one by one, some with one joint missing."""
+    h = hands(spark, sf_dir)
+    joints = F.transform("joints", lambda p, i: F.struct(i.alias("index"), p.alias("palm_local_m")))
+    some = F.filter(joints, lambda j: (F.col("pos") % 4 != 0) | (j["index"] != 7))
+    hand = F.struct(F.col("hand").alias("handedness"), F.when(F.col("pos") % 3 != 0, F.col("joints")).alias("palm_local_joints_m"), F.col("joints").alias("local_joints_m"), some.alias("joints"))
+    grouped = h.withColumn("h", hand).groupBy("group_id", "camera_id").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("hs"))
+    return grouped.select("pos", F.lit("frame").alias("type"), "group_id", "camera_id", F.col("hs.h").alias("hands"))
+
+
+def glove_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """View of `embeddings` as rows of a glove's CSV: 20 joints of either hand, now and then one
+    of them missing."""
+    from .glove import JOINTS, column
+
+    joints = [j for finger in JOINTS.values() for j in finger]
+    v = F.col("vec_id")
+    columns = [F.floor(v / 1).cast("double").alias("Frame-No")]
+    for side, flip in (("Left", 1.0), ("Right", -1.0)):
+        for i, joint in enumerate(joints):
+            for k, axis in enumerate("xyz"):
+                value = F.get("embedding", F.lit(3 * i + k)).cast("double") * (flip if axis == "x" else 1.0)
+                gone = (v % 7 == 2) if (side, i) == ("Right", 14) else F.lit(False)
+                columns.append(F.when(~gone, value).alias(column(side, joint, axis)))
+    return table(spark, sf_dir, "embeddings").select(*columns)
+
+
+def first_groups(df: DataFrame, position: str, most: int) -> DataFrame:
+    """The rows of the first `most` groups, by where each group comes first in the file."""
+    first = df.groupBy("group_id").agg(F.min(position).alias("__first")).orderBy("__first").limit(most)
+    return df.join(F.broadcast(first.select("group_id")), "group_id")  # at most `most` rows

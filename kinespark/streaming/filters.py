@@ -21,13 +21,13 @@ def one_euro_stream(df: DataFrame, keys: list[str], clock: str, values: list[str
         state = None
         if held.exists:
             t, name, *parts = held.get
-            state = (t, name, *(np.array(p) for p in parts))
+            state = (t, name, *(np.array([p]) for p in parts), None)
         frame = pd.concat(list(frames)).sort_values(clock)
         out = []
         for t, name, *x in frame[[clock, identity, *values]].itertuples(index=False):
-            state = one_euro_step(state, int(t), np.array(x, float), name, **how)
-            out.append((*key, t, name, *state[3]))
-        held.update((state[0], state[1], *(p.tolist() for p in state[2:])))
+            state = one_euro_step(state, int(t), np.array([x], float), name, **how)
+            out.append((*key, t, name, *state[3][0]))
+        held.update((state[0], state[1], *(p[0].tolist() for p in state[2:5])))
         yield pd.DataFrame(out, columns=columns)
 
     kind = {f.name: f.dataType.simpleString() for f in df.schema}

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.conftest import SF
 
 from kinespark.operators import boxes, fit, fuse, hypotheses, temporal
@@ -81,8 +82,6 @@ def test_matching_rules(spark):
     df = spark.createDataFrame(rows, schema)
     assert {(r["first"], r["second"]) for r in boxes.greedy_global(df).collect()} == {(1, 3), (4, 2)}
     assert {(r["first"], r["second"]) for r in boxes.optimal(df).collect()} == {(1, 3), (4, 2)}
-    assert {(r["first"], r["second"]) for r in boxes.greedy_in_order(df).collect()} == {(1.0, 3.0), (4.0, 2.0)}
-    assert {r["n"] for r in boxes.suppress(df).collect()} == {2}
 
 
 def test_similarity_recovers(spark):
@@ -133,17 +132,35 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("labels").collect())) == sorted(map(tuple, labels.locked_labels(v).collect()))
 
 
-def test_medoid_is_a_view(spark):
-    rows = catalog.fuse_medoid(spark, SF).collect()
-    assert rows and all(r["camera_id"] in ("C0", "C1", "C2", "C3") for r in rows)
-    assert len(fuse.BONES) == 20
+def test_medoid_is_the_least_distant_view(spark):
+    rows = fuse.root_relative(records.hands(spark, SF)).collect()
+    keys = {}
+    for r in rows:
+        keys.setdefault((r["group_id"], r["hand"]), []).append((r["camera_id"], max(r["quality"], 0.05), np.array(r["joints"])))
+    for r in catalog.fuse_medoid(spark, SF).collect():
+        views = keys[r["group_id"], r["hand"]]
+        cost = {c: sum(w * np.linalg.norm(p - q, axis=1).mean() for _, w, q in views) / sum(w for _, w, _ in views) for c, _, p in views}
+        assert abs(cost[r["camera_id"]] - min(cost.values())) < 1e-9 and abs(cost[r["camera_id"]] - r["cost"]) < 1e-6
 
 
 def test_sensor_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("2\nframe,x\n1,0.5\n2,bad\n")
     (tmp_path / "b.csv").write_text("frame,x\n1,0.5\n")
-    assert [tuple(r) for r in records.read_sensor_csv(spark, str(tmp_path / "a.csv")).orderBy("frame").collect()] == [(1.0, 0.5), (2.0, None)]
-    assert [tuple(r) for r in records.read_sensor_csv(spark, str(tmp_path / "b.csv")).collect()] == [(1.0, 0.5)]
+    (tmp_path / "c.csv").write_text("2\nframe\n2\n2\n")  # rows that look like the count line
+    (tmp_path / "d.csv").write_text("3\nframe\n1\n2\n")
+    read = lambda *names: records.read_sensor_csv(spark, [str(tmp_path / f"{n}.csv") for n in names])
+    assert [tuple(r) for r in read("a").orderBy("frame").collect()] == [(1.0, 0.5), (2.0, None)]
+    assert [tuple(r) for r in read("b").collect()] == [(1.0, 0.5)]
+    assert [tuple(r) for r in read("c").collect()] == [(2.0,), (2.0,)]
+    assert sorted(tuple(r) for r in read("a", "c").select("frame").collect()) == [(1.0,), (2.0,), (2.0,), (2.0,)]
+    with pytest.raises(ValueError, match="declared"):
+        read("d")
+
+
+def test_malformed_line_names_its_file(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"group_id":0}\nnot json\n')
+    with pytest.raises(Exception, match=r"x\.jsonl at line not json"):
+        records.read_jsonl(spark, str(tmp_path / "x.jsonl"), records.HANDS).collect()
 
 
 def test_csv_sink(spark, tmp_path):
@@ -168,8 +185,15 @@ def test_triangulate_subsets(spark):
         d = point - o + (np.array([0.5, 0, 0]) if i == 3 else 0)
         rows.append((1, f"C{i}", *map(float, o), *map(float, d / np.linalg.norm(d))))
     rays = spark.createDataFrame(rows, "k int, camera_id string, ox double, oy double, oz double, dx double, dy double, dz double")
-    best = fit.triangulate_best(rays, ["k"], ["C0", "C1", "C2", "C3"], "C0").first()
+    best = fit.triangulate_best(rays, ["k"], ["C0", "C1", "C2", "C3"], F.lit("C0")).first()
     assert best["views"] == 3 and best["valid"] and np.allclose([best["x"], best["y"], best["z"]], point)
+    assert fit.triangulate_best(rays, ["k"], ["C0", "C1", "C2", "C3"], F.lit("C9")).count() == 0  # without the primary camera nothing
+    far = fit.triangulate_best(rays, ["k"], ["C0", "C1", "C2", "C3"], F.lit("C3"), far=0.1).first()
+    assert not far["valid"] and far["reason"] == "depth"
+    same = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0, 0.0, 2.0), (1, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0)], "k int, ox double, oy double, oz double, dx double, dy double, dz double")
+    r = fit.triangulate(same, ["k"]).first()
+    a = 2 * np.diag([1, 1, 0])
+    assert np.allclose([r["x"], r["y"], r["z"]], np.linalg.lstsq(a, np.array([1.0, 0, 0]), rcond=None)[0]) and np.isclose(r["error"], 0.5)
 
 
 def test_aligned_error(spark):
@@ -252,8 +276,6 @@ def test_online_labels(spark, tmp_path):
 
 
 def test_knuckles_and_corrections(spark):
-    from pyspark.sql import functions as F
-
     from kinespark.functions import scores
     from kinespark.functions import vectors as V
 
