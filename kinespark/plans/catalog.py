@@ -561,7 +561,7 @@ def primary_fusion(s, d):
     h = fuse.root_relative(R.hands(s, d)).withColumn("joints", F.transform("joints", lambda p: V.scaled(p, F.lit(0.1))))
     c = F.col
     rows = h.select(*SERIES, "group_id", "camera_id", "pos", "quality", F.when(c("pos") % 3 != 0, c("quality")).alias("mask_score"), (c("pos") % 5 != 0).alias("known"), "joints")
-    found = primary.fuse_hands(rows, primary.Rules(consistency=0.013))
+    found = primary.fuse_hands(rows, primary.Rules(consistency=0.0225))
     return found.select(*KEYS, "anchor", "role", "mode", "reason", F.coalesce("gate", F.lit("")).alias("gate"), "used", "rejected", *r6("score"), F.round(F.get(F.get("joints", F.lit(8)), F.lit(0)), 6).alias("x"))
 
 

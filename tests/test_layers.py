@@ -155,7 +155,7 @@ def _fusion_rows(spark):
 
 def test_primary_fusion(spark, tmp_path):
     df = _fusion_rows(spark)
-    rules = primary.Rules(consistency=0.013)
+    rules = primary.Rules(consistency=0.0225)
     got = {(r["sequence_id"], r["hand"], r["group_id"]): r for r in primary.fuse_hands(df, rules).collect()}
     rows = sorted((r.asDict() | {"joints": np.array(r["joints"])} for r in df.collect()), key=lambda r: (r["sequence_id"], r["hand"], r["group_id"], r["camera_id"], r["pos"]))
     n = 0
