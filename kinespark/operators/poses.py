@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinespark.functions import vectors as V
+from kinespark.sources.scratch import cut
 
 from . import quantiles
 
@@ -47,7 +48,7 @@ def robust_delta(df: DataFrame, keys: list[str], most_degrees: float, most_shift
     r = rotation_vector(F.col("rotation"))
     names = [*(f"r{a}" for a in "xyz"), *(f"t{a}" for a in "xyz")]
     rows = df.select(*keys, "rotation", "shift", *[V.at(r, i).alias(f"r{a}") for i, a in enumerate("xyz")], *[V.at(F.col("shift"), i).alias(f"t{a}") for i, a in enumerate("xyz")])
-    middle = _medians(rows, keys, names)
+    middle = cut(_medians(rows, keys, names))  # one row a key
     joined = rows.join(middle, keys)
     turn = V.rotation_degrees(F.col("rotation"), rotation_matrix(V.vec(*[F.col(f"m_r{a}") for a in "xyz"])))
     away = V.norm(V.vec(*[F.col(f"t{a}") - F.col(f"m_t{a}") for a in "xyz"]))

@@ -1,8 +1,9 @@
 """Exact quantiles of groups of any size.
 
-F.percentile keeps all distinct values of a group in one buffer. Here each group's range is cut
-into cells, a first aggregation counts the cells, and only the values of the cells in which the
-wanted ranks lie are counted one by one. A task holds one cell, not one group.
+F.percentile keeps all distinct values of a group in one buffer, which is right while groups are
+bounded. Where one has more than BUFFER values, each group's range is cut into cells, a first
+aggregation counts the cells, and only the values of the cells in which the wanted ranks lie are
+counted one by one: a task holds one cell, not one group. Both ways give the same quantiles.
 """
 
 from __future__ import annotations
@@ -14,15 +15,22 @@ from kinespark.sources.scratch import cut
 
 #: Cells of a group between its outer edges, and where these lie (the rest is in two cells more).
 CELLS, EDGES = 4096, (0.001, 0.999)
+#: Values of a group that one buffer may hold.
+BUFFER = 1_000_000
 
 
-def exact(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+def exact(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], buffer: int = BUFFER) -> DataFrame:
     """(keys, one column for each of `wanted`): linear quantiles of `value` by group, as of the
     sorted values at rank p * (n - 1). Nulls don't count; a group without values has no row.
-    Null keys are groups. Reads df three times; the small tables between are cut, and so is the
-    result."""
+    Null keys are groups. Reads df twice, or four times where a group is larger than `buffer`;
+    the small tables between are cut."""
+    values = df.select(*keys, F.col(value).cast("double").alias("q_v")).where("q_v is not null")
+    largest = values.groupBy(*keys).agg(F.count("*").alias("q_n")).agg(F.max("q_n")).first()[0] or 0
+    if largest <= buffer:
+        every = values.groupBy(*keys).agg(F.percentile("q_v", F.array(*[F.lit(float(p)) for p in wanted.values()])).alias("q_p"))
+        return every.where("q_p is not null").select(*keys, *[F.get("q_p", F.lit(i)).alias(n) for i, n in enumerate(wanted)])
     name = F.struct(*[F.struct(F.col(k).isNull(), F.col(k)).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.lit(0)
-    v = df.select(*keys, F.col(value).cast("double").alias("q_v")).where("q_v is not null").withColumn("q_k", name)
+    v = values.withColumn("q_k", name)
     groups = cut(v.groupBy("q_k").agg(F.count("*").alias("q_n"), F.percentile_approx("q_v", list(EDGES), 1000).alias("q_e"), *[F.first(k).alias(k) for k in keys]))
     low, high = F.get("q_e", F.lit(0)), F.get("q_e", F.lit(1))
     cell = F.when(low < high, F.width_bucket("q_v", low, high, F.lit(CELLS))).otherwise(F.when(F.col("q_v") < low, 0).when(F.col("q_v") > low, 2).otherwise(1))
@@ -45,4 +53,4 @@ def exact(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float])
     wide = found.groupBy("q_k").agg(*[F.max(F.when((F.col("name") == n) & (F.col("up") == up), F.col("q_v"))).alias(f"q_{n}{up}") for n in wanted for up in (0, 1)])
     part = lambda p: at(p) - F.floor(at(p))
     blend = {n: F.col(f"q_{n}0") + part(p) * (F.col(f"q_{n}1") - F.col(f"q_{n}0")) for n, p in wanted.items()}
-    return cut(groups.join(wide, "q_k").select(*keys, *[c.alias(n) for n, c in blend.items()]))
+    return groups.join(wide, "q_k").select(*keys, *[c.alias(n) for n, c in blend.items()])

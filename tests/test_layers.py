@@ -19,19 +19,19 @@ from kinespark.plans import catalog
 from kinespark.sources import glove, records
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_quantiles(spark, seed):
+@pytest.mark.parametrize(("seed", "buffer"), [(0, 0), (1, 0), (2, 100), (3, quantiles.BUFFER)])
+def test_quantiles(spark, seed, buffer):
     r = np.random.default_rng(seed)
     groups = {"a": r.normal(size=3000), "b": np.round(r.random(500), 1), "c": np.array([7.0]), "d": np.r_[np.zeros(900), 1e9, -1e9], None: r.exponential(size=50) * 1e-9}
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("empty", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     wanted = {"low": 0.0, "p10": 0.1, "median": 0.5, "p99": 0.99, "high": 1.0}
-    got = {x["k"]: x for x in quantiles.exact(df, ["k"], "v", wanted).collect()}
+    got = {x["k"]: x for x in quantiles.exact(df, ["k"], "v", wanted, buffer).collect()}
     assert set(got) == set(groups)
     for k, vs in groups.items():
         assert all(np.isclose(got[k][n], np.quantile(vs, p), rtol=1e-12, atol=0) or got[k][n] == np.quantile(vs, p) for n, p in wanted.items())
     every = np.concatenate(list(groups.values()))
-    assert quantiles.exact(df, [], "v", {"m": 0.25}).first()["m"] == pytest.approx(np.quantile(every, 0.25))
+    assert quantiles.exact(df, [], "v", {"m": 0.25}, buffer).first()["m"] == pytest.approx(np.quantile(every, 0.25))
 
 
 def test_params():
