@@ -207,3 +207,43 @@ def byte_account(lines: DataFrame, type_: str, heavy: list[str]) -> DataFrame:
     lines: the record's columns with n_bytes."""
     rows = lines.where(F.col("type") == type_)
     return rows.agg(F.count("*").alias("records"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes"), *[F.count_if(F.col(c).isNotNull()).alias(f"with_{c}") for c in heavy])
+
+
+def refined_candidates(rows: DataFrame, level1: DataFrame, keys: list[str], level1_weight: float, cap: float, temporal_weight: float = 0.25) -> DataFrame:
+    """rows (keys, camera_id, quality, joints in the palm frame) with `error` and `score`: quality,
+    plus `level1_weight` times the camera's score of the stage before, less `temporal_weight`
+    times the mean distance to the hand before (as a share of `cap`, 1 at most). level1: keys,
+    scores (map of camera to score), previous (palm points of the frame before, or null)."""
+    joined = rows.join(level1, keys, "left")
+    apart = F.transform(F.arrays_zip("joints", "previous"), lambda e: V.norm(V.sub(e["joints"], e["previous"])))
+    error = F.when(F.col("previous").isNotNull(), F.aggregate(apart, F.lit(0.0), lambda s, v: s + v) / F.size("joints"))
+    bonus = F.coalesce(F.try_element_at("scores", F.col("camera_id")), F.lit(0.0))
+    joined = joined.withColumn("error", error)
+    penalty = F.when(F.col("error").isNotNull(), F.least("error", F.lit(cap)) / max(cap, 1e-8)).otherwise(0.0)
+    return joined.withColumn("score", F.col("quality") + level1_weight * F.when(V.finite(F.array(bonus)), bonus).otherwise(0.0) - temporal_weight * penalty).drop("scores", "previous")
+
+
+def attached(rows: DataFrame, landmarks: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the 21 pixels and their score of landmarks_2d(), null where there are none."""
+    return rows.join(landmarks.select(*keys, F.col("points").alias("landmarks"), F.col("score").alias("landmark_score")), keys, "left")
+
+
+def greatest_error(errors: Column) -> Column:
+    """The greatest value of a map of errors that isn't null or NaN; null without one."""
+    return F.array_max(F.filter(F.map_values(errors), lambda v: v.isNotNull() & ~F.isnan(v)))
+
+
+def displayed(position: Column, own: Column, hand: Column, space: str, apart: float = 0.09) -> Column:
+    """A joint's point to show in a space: its own field there, else its position; palm-local hands
+    are moved apart by side. Null where that isn't a point."""
+    p = F.coalesce(own, position)
+    shift = F.when(hand == "Left", -apart).otherwise(apart) if space == "palm-local" else F.lit(0.0)
+    return F.when((F.size(p) == 3) & V.finite(p), V.vec(V.at(p, 0) + shift, V.at(p, 1), V.at(p, 2)))
+
+
+def online_jobs(boxed: DataFrame, pad: float, width: float, height: float) -> DataFrame:
+    """boxed_hands() as jobs of a live run: the box grown, an unknown side named so."""
+    return boxed.select(
+        "group_id", "camera_id", F.col("at").alias("job"), V.expand_box(F.col("box"), pad, width, height).alias("box"), F.coalesce("label", F.lit("unknown")).alias("label"),
+        F.coalesce("label_source", F.lit("sam3_only_unknown")).alias("label_source"), "confidence", sides.is_right(F.col("label")).alias("is_right"), F.lit("sam3").alias("origin"), F.lit(False).alias("debug_only"),
+    )

@@ -17,7 +17,7 @@ from kinespark.operators import candidates as C
 from kinespark.plans import oracles
 from kinespark.sources import glove
 from kinespark.sources import records as R
-from kinespark.streaming import labels, online
+from kinespark.streaming import fusion, labels, online
 
 KEYS = fuse.KEYS
 SERIES = ["sequence_id", "hand"]
@@ -736,6 +736,40 @@ def build_targets(s, d):
     return R.joint_rows(found.withColumnRenamed("target", "joints")).select(*KEYS, "anchor", "used", "joint", *r6("x", "y", "z"))
 
 
+def live_fusion(s, d):
+    """Hands fused frame by frame, every fifth of unknown side."""
+    found = fusion.fused(_live_rows(s, d))
+    return found.select(*KEYS, "views", "cameras", "tracks", "metric_valid", "resolved", *r6("mean_error", "p95_error"), F.round(F.get(F.get("joints", F.lit(8)), F.lit(0)), 6).alias("x"))
+
+
+def _live_rows(s, d) -> DataFrame:
+    h = R.hands(s, d).withColumn("joints", V.palm_local(F.col("joints"))).where("joints is not null")
+    mirrored = F.transform("joints", lambda p: V.vec(V.at(p, 0), V.at(p, 1), -V.at(p, 2)))
+    columns = [*SERIES, "group_id", "camera_id", (F.col("pos") % 3).alias("track_id"), "quality"]
+    none = F.lit(None).cast("string")
+    known = h.where("pos % 5 <> 0").select(*columns, none.alias("hypothesis"), "joints")
+    open_ = h.where("pos % 5 = 0").withColumn("hypothesis", F.concat_ws(":", "camera_id", "pos"))
+    both = [open_.withColumn("hand", F.lit(side)).withColumn("joints", j).select(*columns, "hypothesis", "joints") for side, j in (("Left", F.col("joints")), ("Right", mirrored))]
+    return known.unionByName(both[0]).unionByName(both[1])
+
+
+def refined_candidates(s, d):
+    """Candidates scored with the stage before: its camera scores and C0's palm of the frame before."""
+    h = R.hands(s, d).withColumn("joints", V.palm_local(F.col("joints"))).where("joints is not null")
+    scored = h.groupBy("group_id", "hand").agg(F.map_from_entries(F.collect_list(F.struct("camera_id", (1 - F.col("quality")).alias("v")))).alias("scores"))
+    before = h.where("camera_id = 'C0'").select((F.col("group_id") + 1).alias("group_id"), "hand", F.col("joints").alias("previous"))
+    found = C.refined_candidates(h, scored.join(before, ["group_id", "hand"], "left"), ["group_id", "hand"], 0.2, 1.5)
+    return found.select("pos", F.coalesce(F.round("error", 6), F.lit(-1.0)).alias("error"), *r6("score"))
+
+
+def replay_metrics(s, d):
+    """How well one detector's boxes recall the other's, on and off every fifth image."""
+    key = (F.col("group_id") % 5 == 0).alias("is_keyframe")
+    b = R.detections(s, d)
+    found = B.replay_metrics(B.optimal(b).select("iou", key), b.where("origin = 'sam3'").select(key), 0.5)
+    return found.select("reference", "matched", "nonkey_reference", "nonkey_matched", *r6("recall", "mean", "nonkey_recall", "nonkey_mean"))
+
+
 ALL = (
     static_bones_applied, consensus_choice, backup_gate, camera_report, reprojection, rotation_step, rotation_smooth, knuckle_frame, keyframe_decay, box_transforms, crop_keypoints,
     fingertip_summary, online_labels, ambiguous_hands, frame_bounds,
@@ -747,6 +781,7 @@ ALL = (
     triangulate_rays, one_euro, one_euro_bones, view_pivot, view_quality, axis_affine, triangulate_subsets, chunk_overlap,
     palm_candidates, candidate_choice, job_hypotheses, label_precedence, joint_spaces, last_hands, primary_fusion, calibration, pose_residual, pixel_correction, glove_hands,
     dense_frames, seed_hands, linked_tracks, stable_tracks, rig_rays, ray_states, pose_delta, pose_consistency, first_groups, box_shapes, byte_account, detection_ratios, build_targets,
+    live_fusion, refined_candidates, replay_metrics,
 )
 
 

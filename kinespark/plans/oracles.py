@@ -549,6 +549,25 @@ def _shapes() -> str:
   SELECT pos, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM p GROUP BY pos HAVING count(*) >= 4)) {each}"""
 
 
+def _refined() -> str:
+    palm = ", ".join(f"(r.x - wx) * {n}1 + (r.y - wy) * {n}2 + (r.z - wz) * {n}3 AS {n}" for n in "xyz")
+    return f"""WITH {_RAW}, {_AXES}, o AS (SELECT r.pos, r.group_id, r.hand, r.camera_id, r.quality, r.joint, {palm} FROM raw r JOIN g USING (pos)),
+e AS (SELECT o.pos, avg(sqrt((o.x - b.x) ** 2 + (o.y - b.y) ** 2 + (o.z - b.z) ** 2)) AS error FROM o JOIN o b ON b.camera_id = 'C0' AND b.group_id = o.group_id - 1 AND b.hand = o.hand AND b.joint = o.joint GROUP BY o.pos)
+SELECT pos, coalesce(round(error, 6), -1) AS error, round(quality + 0.2 * (1 - quality) - CASE WHEN error IS NULL THEN 0 ELSE 0.25 * least(error, 1.5) / 1.5 END, 6) + 0.0 AS score FROM (SELECT DISTINCT pos, quality FROM o) LEFT JOIN e USING (pos)"""
+
+
+def _replay() -> str:
+    """Sums over the best matchings, whose overlaps differ between equal ones only in order."""
+    best = _optimal()
+    chain, _, _ = best.rpartition("SELECT group_id, camera_id, m AS pairs")
+    chain = chain.replace("t(group_id, camera_id, m, i, used, total)", "t(group_id, camera_id, m, i, used, total, ious)").replace("[]::BIGINT[], 0.0::DOUBLE FROM o", "[]::BIGINT[], 0.0::DOUBLE, []::DOUBLE[] FROM o")
+    chain = chain.replace("max(total + o.iou) FROM t", "max(total + o.iou), arg_max(list_append(ious, o.iou), total + o.iou) FROM t")
+    return f"""{chain.rstrip()}, best AS (SELECT group_id, arg_max(ious, total) AS ious FROM t WHERE i = m GROUP BY group_id), v AS (SELECT group_id % 5 = 0 AS k, unnest(ious) AS iou FROM best),
+r AS (SELECT count(*) AS n, count(*) FILTER (WHERE group_id % 5 <> 0) AS o FROM boxes WHERE origin = 'sam3')
+SELECT any_value(r.n) AS reference, count(*) AS matched, any_value(r.o) AS nonkey_reference, count(*) FILTER (WHERE NOT k) AS nonkey_matched, round(count(*) FILTER (WHERE iou >= 0.5) / any_value(r.n), 6) + 0.0 AS recall,
+  round(avg(iou), 6) + 0.0 AS mean, round(count(*) FILTER (WHERE iou >= 0.5 AND NOT k) / any_value(r.o), 6) + 0.0 AS nonkey_recall, round(avg(iou) FILTER (WHERE NOT k), 6) + 0.0 AS nonkey_mean FROM v, r"""
+
+
 def oracle_sql() -> dict[str, str]:
     stats = "count(error) AS n, avg(error) AS mean, median(error) AS median, sqrt(avg(error * error)) AS rmse, quantile_cont(error, 0.9) AS p90, quantile_cont(error, 0.95) AS p95, max(error) AS max"
     errors = _FUSED.format(where="WHERE camera_id <> 'C3'") + f""", errors AS (
@@ -630,6 +649,8 @@ SELECT group_id, camera_id, n, round(0.55 * CASE WHEN n % 3 IN (0, 1) THEN least
         "box_transforms": _transforms(),
         "crop_keypoints": _crop(),
         "fingertip_summary": f"WITH {_ROOT} SELECT pos, joint, CASE WHEN joint % 4 = 0 THEN 'tip' ELSE 'base' END AS part, round(sqrt(x ** 2 + y ** 2 + z ** 2), 6) AS length FROM root WHERE joint IN (2, 4, 5, 8, 9, 12, 13, 16, 17, 20)",
+        "refined_candidates": _refined(),
+        "replay_metrics": _replay(),
         "axis_affine": _affine(),
         "one_euro": _one_euro(),
         "rotation_smooth": _rotations(),

@@ -154,6 +154,59 @@ def last_wins(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def frame_map(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array of frames (group_id, video_frame_index, rectified_image_path) as a table."""
+    schema = "group_id long, video_frame_index long, rectified_image_path string"
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def strided_records(records: DataFrame, type_: str, position: str, stride: int = 1, most: int | None = None) -> DataFrame:
+    """The records of a type at every stride-th position of the file, the first `most` of them."""
+    rows = records.where((F.col("type") == type_) & (F.col(position) % stride == 0))
+    return rows.orderBy(position).limit(most) if most else rows
+
+
+def image_path(camera: Column, path: Column) -> Column:
+    """A frame's path within the rectified images: camera and file name."""
+    return F.concat_ws("/", camera, F.element_at(F.split(path, "/"), -1))
+
+
+def relocated(path: Column, folder: str, base: str | None = None) -> list[Column]:
+    """Where a stale asset path may be now, best first: its part from "masks" on under `folder`,
+    and its part from "chunks" on among the boxes of `base`; null where it lacks these."""
+    tail = lambda mark: F.nullif(F.regexp_extract(path, rf"(?:^|/)({mark}/.*)$", 1), F.lit(""))
+    found = [F.concat(F.lit(f"{folder}/"), tail("masks"))]
+    return found + ([F.concat(F.lit(f"{base}/sam3_bboxes/"), tail("chunks"))] if base else [])
+
+
+def existing(df: DataFrame, options: list[Column], files: DataFrame, name: str = "asset") -> DataFrame:
+    """df with the first of the options that is among the listed files (column `path`), null
+    without one; files are joined, never looked up row by row."""
+    out = df.withColumn("__id", F.monotonically_increasing_id())
+    each = out.select("__id", F.posexplode(F.array(*options)).alias("at", "path")).where("path is not null")
+    found = each.join(files.select("path").distinct(), "path").groupBy("__id").agg(F.min_by("path", "at").alias(name))
+    return out.join(found, "__id", "left").drop("__id")
+
+
+def listed_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, length) of the files that match a pattern, by Spark's own listing."""
+    return spark.read.format("binaryFile").load(pattern).select("path", "length").distinct().orderBy("path")
+
+
+def synced_name(stem: str, glove: float, camera: float, cut: tuple[int, int] | None = None) -> str:
+    """File name of a glove's records on a camera's clock, of a cut of groups if given."""
+    from kinespark.functions.params import number_tag
+
+    name = f"{stem}_camera_sync_g{number_tag(glove)}_c{number_tag(camera)}"
+    return f"{name}_cut_{cut[0]:06d}_{cut[1]:06d}.jsonl" if cut else f"{name}.jsonl"
+
+
+def keyframes_stream(spark: SparkSession, folder: str, schema: str = HANDS, files: int = 1) -> DataFrame:
+    """Keyframe records as they come: whole files that appear in a folder. A line counts once its
+    file is complete, so writers move finished files in."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,7 +16,8 @@ from kinespark.operators import calibrate, evaluate, fuse, poses, primary, quant
 from kinespark.operators import boxes as B
 from kinespark.operators import candidates as C
 from kinespark.plans import catalog
-from kinespark.sources import glove, records
+from kinespark.sources import cameras, glove, records
+from kinespark.streaming import fusion
 
 
 @pytest.mark.parametrize(("seed", "buffer"), [(0, 0), (1, 0), (2, 100), (3, quantiles.BUFFER)])
@@ -549,3 +550,99 @@ def test_replay_metrics(spark):
     r = B.replay_metrics(pairs, reference).first()
     assert (r["matched"], r["reference"], r["recall"], r["median"]) == (3, 5, 0.4, 0.6) and r["mean"] == pytest.approx(1.9 / 3)
     assert (r["nonkey_matched"], r["nonkey_reference"], r["nonkey_median"]) == (2, 3, 0.5) and r["nonkey_recall"] == pytest.approx(1 / 3) and r["nonkey_p10"] == pytest.approx(0.42)
+
+
+def test_live_fusion(spark, tmp_path):
+    df = catalog._live_rows(spark, SF)
+    got = {(r["group_id"], r["hand"]): r for r in fusion.fused(df).collect()}
+    rows = sorted((r.asDict() for r in df.collect()), key=lambda r: (r["sequence_id"], r["group_id"], r["camera_id"], r["hand"], r["hypothesis"] is not None, r["hypothesis"] or "", r["quality"]))
+    shapes, sides_, sequence, n = {}, {}, None, 0
+    for (s, g), own in itertools.groupby(rows, key=lambda r: (r["sequence_id"], r["group_id"])):
+        if s != sequence:
+            sequence, shapes, sides_ = s, {}, {}
+        own = [r | {"joints": np.array(r["joints"])} for r in own]
+        names = sorted({r["hypothesis"] for r in own if r["hypothesis"]})
+        best = {}
+        for r in own:
+            if r["hypothesis"] is None:
+                k = (r["hand"], r["camera_id"])
+                best[k] = r if k not in best or r["quality"] > best[k]["quality"] else best[k]
+        options = []
+        for pick in itertools.product(("Right", "Left"), repeat=len(names)):
+            more = [next(r for r in own if r["hypothesis"] == h and r["hand"] == p) for h, p in zip(names, pick)]
+            places = [*best, *((r["hand"], r["camera_id"]) for r in more)]
+            if len(set(places)) == len(places):
+                cost = 0.0
+                views = {h: [r["joints"] for r in [*best.values(), *more] if r["hand"] == h] for h in ("Left", "Right")}
+                for h, v in views.items():
+                    if v:
+                        m = np.mean(v, axis=0)
+                        cost += float(np.linalg.norm(np.stack(v) - m, axis=2).mean()) if len(v) > 1 else 0
+                        cost += 0.35 * float(np.linalg.norm(m[[0, 5, 9, 13, 17]] - shapes[h][[0, 5, 9, 13, 17]], axis=1).mean()) if h in shapes else 0
+                options.append((cost + 0.02 * (sum(bool(v) for v in views.values()) - 1), more))
+        chosen = min(options, key=lambda o: o[0])[1] if options and names else []
+        final = best | {(r["hand"], r["camera_id"]): r for r in chosen}
+        for hand in ("Left", "Right"):
+            v = [final[k] for k in sorted(final) if k[0] == hand]
+            if v:
+                mean = np.mean([r["joints"] for r in v], axis=0)
+                r = got[g, hand]
+                assert (r["views"], r["cameras"], r["resolved"]) == (len(v), ",".join(x["camera_id"] for x in v), len(chosen)) and np.allclose(np.array(r["joints"]), mean)
+                shapes[hand] = mean
+                n += 1
+    assert n == len(got) and any(r["resolved"] for r in got.values())
+    streamed = _streamed(spark, tmp_path, df, "group_id % 64 div 22 = {i}", fusion.fused_stream, "live")
+    for r in streamed.collect():
+        assert np.allclose(np.array(r["joints"]), np.array(got[r["group_id"], r["hand"]]["joints"]))
+    assert streamed.count() == len(got)
+
+
+def test_camera_files(spark, tmp_path):
+    k, m = [[1.0, 0, 2], [0, 1, 3], [0, 0, 1]], [[1.0, 0, 0, 4], [0, 1, 0, 5], [0, 0, 1, 6], [0, 0, 0, 1]]
+    import json
+
+    def written(name, value):
+        (tmp_path / name).write_text(json.dumps(value, indent=1))
+        return str(tmp_path / name)
+
+    i = cameras.intrinsics(spark, written("i.json", {"new_intrinsics": {"C0": k, "C1": [[1.0]], "C2": k}}))
+    p = cameras.poses(spark, written("p.json", {"cameras": {"C0": {"T_H_C": m}, "C9": {"T_H_C": m}, "C2": {"T_H_C": m[:3]}}}))
+    assert sorted(r[0] for r in i.collect()) == ["C0", "C2"] and [tuple(r) for r in cameras.geometry(p, i).collect()] == [("C0", k, [4.0, 5.0, 6.0], [r[:3] for r in m[:3]])]
+    a = cameras.projection_corrections(spark, written("a.json", {"camera_projection_corrections": {"C0": {"affine_projected_to_rectified_px": k[:2]}, "C1": {"affine_projected_to_rectified_px": k}, "C2": None}}))
+    assert [tuple(r) for r in a.collect()] == [("C0", k[:2])]
+    assert [r[0] for r in cameras.pose_corrections(spark, written("d.json", {"camera_corrections": {"C0": {"delta_T_H": m}, "C1": {}}})).collect()] == ["C0"]
+    assert cameras.intrinsics(spark, written("none.json", {"other": 1})).count() == 0
+
+
+def test_files_and_paths(spark, tmp_path):
+    (tmp_path / "m.json").write_text('[{"group_id": 4, "video_frame_index": 1, "rectified_image_path": "a/b/c.png"},\n{"group_id": 3, "video_frame_index": 0, "rectified_image_path": null}]')
+    frames = records.frame_map(spark, str(tmp_path / "m.json")).orderBy("video_frame_index")
+    assert [r["group_id"] for r in frames.collect()] == [3, 4]
+    assert frames.select(records.image_path(F.lit("C1"), F.col("rectified_image_path"))).collect()[1][0] == "C1/c.png"
+    rows = spark.createDataFrame([(i, "t" if i % 3 else "u") for i in range(20)], "pos long, type string")
+    assert [r["pos"] for r in records.strided_records(rows, "t", "pos", 2, 3).collect()] == [2, 4, 8]
+    df = spark.createDataFrame([("x/chunks/1/masks/m.png",), ("y/masks/n.png",), ("z.png",), (None,)], "path string")
+    files = spark.createDataFrame([("old/masks/n.png",), ("b/sam3_bboxes/chunks/1/masks/m.png",)], "path string")
+    got = {r["path"]: r["asset"] for r in records.existing(df, records.relocated(F.col("path"), "old", "b"), files).collect()}
+    assert got == {"x/chunks/1/masks/m.png": "b/sam3_bboxes/chunks/1/masks/m.png", "y/masks/n.png": "old/masks/n.png", "z.png": None, None: None}
+    assert records.synced_name("g", 1.5, 2, (3, 40)) == "g_camera_sync_g1p500_c2p000_cut_000003_000040.jsonl"
+    assert [r["path"].rsplit("/", 1)[-1] for r in records.listed_files(spark, str(tmp_path / "*.json")).collect()] == ["m.json"]
+    (tmp_path / "keys").mkdir()
+    q = records.keyframes_stream(spark, str(tmp_path / "keys"))
+    (tmp_path / "keys" / "1.jsonl").write_text('{"type":"k","group_id":1,"camera_id":"C0","hands":[{"bbox":[0,0,1,1]}]}\n')
+    s = q.writeStream.format("memory").queryName("keys").option("checkpointLocation", str(tmp_path / "cp")).start()
+    s.processAllAvailable()
+    s.stop()
+    assert [(r["group_id"], r["camera_id"]) for r in spark.table("keys").collect()] == [(1, "C0")]
+
+
+def test_small_candidate_parts(spark):
+    df = spark.createDataFrame([({"a": 1.0, "b": float("nan"), "c": 3.0},), ({},), (None,)], "m map<string,double>")
+    assert [r[0] for r in df.select(C.greatest_error(F.col("m"))).collect()] == [3.0, None, None]
+    p = spark.createDataFrame([([1.0, 2.0, 3.0], None, "Left"), ([1.0], [0.0, 0.0, 0.0], "Right"), ([1.0], None, "Right")], "position array<double>, own array<double>, hand string")
+    assert [r[0] for r in p.select(C.displayed(F.col("position"), F.col("own"), F.col("hand"), "palm-local")).collect()] == [[0.91, 2.0, 3.0], [0.09, 0.0, 0.0], None]
+    boxed = spark.createDataFrame([(1, "C0", 0, [10.0, 10.0, 20.0, 20.0], None, None, None)], "group_id long, camera_id string, at int, box array<double>, label string, label_source string, confidence double")
+    job = C.online_jobs(boxed, 2.0, 100, 100).first()
+    assert job["box"] == [5.0, 5.0, 25.0, 25.0] and job["label"] == "unknown" and job["label_source"] == "sam3_only_unknown" and job["is_right"] is None
+    marks = spark.createDataFrame([(1, [[0.0, 1.0]], 0.9)], "k int, points array<array<double>>, score double")
+    assert [r["landmark_score"] for r in C.attached(spark.createDataFrame([(1,), (2,)], "k int"), marks, ["k"]).orderBy("k").collect()] == [0.9, None]
