@@ -18,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import row_keys, stored
 from .components import connected_components
 
 #: Classes and shingles in one block of a bucket.
@@ -201,10 +201,9 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), "k1", "k2")
 
 
-def _verdicts(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = 20, rows: int = 5) -> DataFrame:
-    """near_duplicates() with `first`: whether the row is the first of its component."""
-    from .common import row_keys
-
+def _components(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(signed, final): each row of `docs` with its keys and its class (null for an empty set), and
+    each class with its component's smallest id and first row by _order()."""
     signed = stored(
         docs.select("doc_id", *row_keys("doc_id", "text"), "text").mapInArrow(
             _sign(width, bands, rows), "doc_id long, k1 long, k2 long, n_shingles long, class binary, keys array<long>"
@@ -241,6 +240,12 @@ def _verdicts(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = 2
     final = least.join(moved, "class", "left").select(
         "class", F.when(F.col("linked"), F.col("root_id")).otherwise(F.col("least_id")).alias("root_id"), F.coalesce("root_first", "first").alias("first")
     )
+    return signed, final
+
+
+def _verdicts(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = 20, rows: int = 5) -> DataFrame:
+    """near_duplicates() with `first`: whether the row is the first of its component."""
+    signed, final = _components(docs, width, percent, bands, rows)
     # an empty set is the first of its own component
     is_first = F.coalesce(_order() == F.col("first"), F.lit(True))
     alone = F.col("doc_id").isNull() & F.col("root_id").isNull() & F.col("first")
@@ -275,11 +280,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, ban
     """The rows of `docs` with one document left of each group of near duplicates, that with
     the smallest doc_id (null last, then by content). Rows alike in doc_id and text count as one group and leave one row.
     All columns are returned as they came, whatever their names."""
-    from pyspark.sql import Window
-
-    from .common import row_keys
-
-    verdict = _verdicts(docs, width, percent, bands, rows).where("first").groupBy("k1", "k2").agg(F.lit(1).alias("one"))
+    # a component names its first row, so documents need not meet their classes
+    signed, final = _components(docs, width, percent, bands, rows)
+    verdict = final.select("first.k1", "first.k2").unionByName(signed.where("class is null").select("k1", "k2")).distinct()
     keys = dict(zip(("__k1", "__k2"), row_keys("doc_id", "text"), strict=True))
     rank = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy("__k1"))
     kept = docs.withColumns(keys).join(verdict.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), ["__k1", "__k2"])
