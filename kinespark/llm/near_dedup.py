@@ -246,6 +246,8 @@ def _components(docs: DataFrame, width: int, percent: int, bands: int, rows: int
 def _verdicts(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = 20, rows: int = 5) -> DataFrame:
     """near_duplicates() with `first`: whether the row is the first of its component."""
     signed, final = _components(docs, width, percent, bands, rows)
+    # written, so that both sides of the join are plain shuffles, of which AQE splits a hot class
+    final = stored(final)
     # an empty set is the first of its own component
     is_first = F.coalesce(_order() == F.col("first"), F.lit(True))
     alone = F.col("doc_id").isNull() & F.col("root_id").isNull() & F.col("first")
