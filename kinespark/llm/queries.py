@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, token_counts
+from . import ann, bpe, chat, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, token_counts, whitening
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -78,6 +78,22 @@ def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85, bands=20, rows=5).drop("k1", "k2")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of `documents` as tokens of a rank file and back; see bpe.encode() and bpe.decode()."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    there = bpe.decode(bpe.encode(texts, path, public_tokenizers.PATTERN).drop("text"), path)
+    return bpe.digest(there).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op13_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `embeddings` on the eight first components of their integer vectors, whitened;
+    see whitening.whiten()."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -92,6 +108,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_quality_rules,
             op9_license_scan,
             op10_minmax_near_dedup,
+            op11_byte_bpe,
+            op13_polarised_whitening,
         )
     }
 
