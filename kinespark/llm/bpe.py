@@ -6,7 +6,9 @@ nondeterministic transducer that reads bytes along the vocabulary's trie and may
 wherever it agrees with the one before. Its states are made deterministic while texts are read:
 a state holds every reading that is still open, a step drops those that die and emits the tokens
 on which all that are left agree. A reading lives no longer than its open token, so what waits
-is bounded by the longest token. States are kept up to a bound.
+is bounded by the longest token. A step becomes deterministic when it is met a second time; the
+rest of a text that meets a step for the first time is read from the nondeterministic transducer,
+one reading after another. So words that occur once make no states, which are kept up to a bound.
 
 Decoding. Tokens pass a UTF-8 automaton whose state is the start of an unfinished character; its
 steps by token are kept too. A byte that can't go on gives U+FFFD for the longest start of a
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: States, steps of the decoder, distinct chunks and distinct pre-tokens that a worker keeps.
-STATES, STEPS, CHUNKS, PIECES = 250_000, 400_000, 400_000, 400_000
-#: Chunks longer than this are encoded anew each time.
+#: States, steps of the decoder, and distinct pre-tokens with their ids that a worker keeps.
+STATES, STEPS, PIECES = 60_000, 200_000, 600_000
+#: A step met once.
+_ONCE = 1 << 40
+#: Pre-tokens longer than this are encoded anew each time.
 LONG = 200
 #: The end of a text's part before a space; a space after white space starts no part.
 _AFTER_SPACE = re.compile(r"\s ")
@@ -59,6 +63,29 @@ def parts(text: str) -> list[str]:
     return [text[:first], *(x[1:] for x in _PARTS.findall(text, first))]
 
 
+def _spelled(pattern: str) -> str:
+    """The pattern with its classes of letters, numbers and white space spelled out below U+10000,
+    which the standard library reads, and reads fastest."""
+    kind = unicodedata.category
+    sets = {
+        r"\p{L}": lambda c: kind(c)[0] == "L",
+        r"\p{N}": lambda c: kind(c)[0] == "N",
+        r"\s": lambda c: c.isspace() and c not in "\x1c\x1d\x1e\x1f",
+    }
+    found = {}
+    for name, ok in sets.items():
+        good = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and ok(chr(c))]
+        starts = [c for c, before in zip(good, [-2, *good], strict=False) if c != before + 1]
+        ends = [c for c, after in zip(good, [*good[1:], -2], strict=True) if after != c + 1]
+        found[name] = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+    found[r"\S"] = "^" + found[r"\s"]
+    out, inside = [], False
+    for part in re.findall(r"\\[pP]\{\w+\}|\\.|.", pattern, re.S):
+        inside = (inside or part == "[") and part != "]"
+        out.append(part if part not in found else found[part] if inside else f"[{found[part]}]")
+    return "".join(out)
+
+
 class Splitter:
     """Pre-tokens of a text by a pattern over letters, numbers and white space. A character that
     Python's table doesn't know is classed by the library itself and stands in as one it knows."""
@@ -67,7 +94,9 @@ class Splitter:
 
     def __init__(self, pattern: str):
         self.pattern = pattern
+        self.fast = re.compile(_spelled(pattern)).findall
         self.find = regex.compile(pattern).findall
+        self.odd = re.compile(f"[{''.join(re.escape(chr(c)) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == 'Cn')}\U00010000-\U0010ffff]").search
         self.known: dict[str, str] = {}
 
     def _stand_in(self, char: str) -> str:
@@ -77,11 +106,11 @@ class Splitter:
             vocabulary = {bytes([i]): i for i in range(256)} | {(probe + char).encode(): 256}
             if len(tiktoken.Encoding("probe", pat_str=self.pattern, mergeable_ranks=vocabulary, special_tokens={}).encode_ordinary(probe + char)) == 1:
                 return other
-        return " "
+        return "\u2003"
 
     def __call__(self, text: str) -> list[str]:
-        if text.isascii():
-            return self.find(text)
+        if text.isascii() or not self.odd(text):
+            return self.fast(text)
         odd = {c for c in set(text) if unicodedata.category(c) == "Cn"}
         if not odd:
             return self.find(text)
@@ -103,7 +132,9 @@ class Encoder:
             raise ValueError(f"bytes without a token: {missing}")
         self.vocabulary = vocabulary
         self.bytes_of = {i: t for t, i in vocabulary.items()}
+        self.size = {i: len(t) for t, i in vocabulary.items()}
         # the trie: node and byte to the next node, with two bits that say whether it goes on and ends a token
+        # longest: the longest token on the way to a node
         child: dict[int, int] = {}
         self.token_at: dict[int, int] = {}
         inner: set[int] = set()
@@ -113,6 +144,10 @@ class Encoder:
                 inner.add(node)
                 node = child.setdefault(node << 8 | b, len(child) + 1)
             self.token_at[node] = rank
+        self.longest = [-1] * (len(child) + 1)
+        for key, node in child.items():  # a node comes after those on the way to it
+            self.longest[node] = self.token_at.get(node, self.longest[key >> 8])
+        self.next_shorter: dict[int, int] = {}
         self.child = {key: node << 2 | (node in inner) << 1 | (node in self.token_at) for key, node in child.items()}
         self.split: dict[int, tuple[int, int] | None] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
@@ -183,20 +218,53 @@ class Encoder:
         key = before << 32 | token
         good = self.agrees.get(key)
         if good is None:
-            if len(self.agrees) > STATES:
+            if len(self.agrees) > 4 * STATES:
                 self.agrees.clear()
             good = self.agrees[key] = self.agree(before, token)
         return good
 
-    def _last(self, state: int, byte: int) -> tuple[int, ...]:
-        """What waits in a state and is due if this is the last byte. Of the readings one ends a
-        token here, as the bytes so far have one encoding."""
-        last, readings = self.states[state]
-        for node, waiting in readings:
-            step = self.child.get(node << 8 | byte, 0)
-            if step & 1 and self._agree(waiting[-1] if waiting else last, token := self.token_at[step >> 2]):
-                return (*waiting, token)
-        raise AssertionError("bytes without an encoding")
+    def _shorter(self, token: int) -> int:
+        """The next shorter token that this one starts with, or -1."""
+        if token not in self.next_shorter:
+            data = self.bytes_of[token]
+            self.next_shorter[token] = next((self.vocabulary[data[:n]] for n in range(len(data) - 1, 0, -1) if data[:n] in self.vocabulary), -1)
+        return self.next_shorter[token]
+
+    def _rest(self, last: int | None, data: bytes, at: int) -> list[int]:
+        """The tokens of data[at:] after the token `last`: readings one by one, the longest token
+        first. As bytes have one encoding, a place reached in vain isn't tried again."""
+        child, agrees, longest, size = self.child, self.agrees, self.longest, self.size
+        out: list[int] = []
+        dead: set[int] = set()
+        end, before = len(data), last
+        while at < end:
+            node = 0
+            for i in range(at, end):
+                step = child.get(node << 8 | data[i])
+                if step is None:
+                    break
+                node = step >> 2
+                if not step & 2:
+                    break
+            token = longest[node]
+            while True:
+                while token >= 0:
+                    if not dead or at + size[token] not in dead:
+                        good = agrees.get(before << 32 | token) if before is not None else None
+                        if good or (good is None and self._agree(before, token)):
+                            break
+                    token = self._shorter(token)
+                if token >= 0:
+                    break
+                dead.add(at)
+                token = out.pop()
+                at -= size[token]
+                before = out[-1] if out else last
+                token = self._shorter(token)
+            out.append(token)
+            before = token
+            at += size[token]
+        return out
 
     def _step(self, state: int, byte: int) -> int:
         """The step of a state at a byte, kept for the next time."""
@@ -236,19 +304,28 @@ class Encoder:
         whole = self.vocabulary.get(data)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATES:
+        if len(self.states) > STATES or len(self.go) > 4 * STATES:
             self._clear()
-        state, out, go = 0, [], self.go
-        for byte in data[:-1]:
-            step = go.get(state << 8 | byte)
+        state, out, go, at = 0, [], self.go, 0
+        for byte in data:
+            key = state << 8 | byte
+            step = go.get(key)
             if step is None:
+                go[key] = _ONCE
+                break
+            if step == _ONCE:
                 step = self._step(state, byte)
             if step < 0:
                 state, emitted = self.emits[~step]
                 out += emitted
             else:
                 state = step
-        return out + [*self._last(state, data[-1])] if data else out
+        else:
+            return out + [*self.states[state][1][-1][1]]
+        size = self.size
+        for token in out:
+            at += size[token]
+        return out + self._rest(out[-1] if out else None, data, at)
 
 
 class Decoder:
@@ -313,72 +390,57 @@ class Decoder:
 
 
 class Texts:
-    """Ids of whole texts, with those of the chunks seen before kept up to CHUNKS."""
+    """Ids of whole texts, with those of the pre-tokens seen before kept up to PIECES."""
 
     def __init__(self, path: str, pattern: str):
         self.encoder = Encoder(ranks(path))
         self.split = Splitter(pattern)
-        self.pieces: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.int32)
-        self.start = np.zeros(CHUNKS + 2, np.int64)
-
-    def encoded(self, text: str) -> list[int]:
-        pieces, out = self.pieces, []
-        for p in self.split(text):
-            ids = pieces.get(p)
-            if ids is None:
-                ids = self.encoder.piece(p.encode())
-                if len(p) <= LONG:
-                    if len(pieces) >= PIECES:
-                        pieces.clear()
-                    pieces[p] = ids
-            out += ids
-        return out
+        self.start = np.zeros(PIECES + 2, np.int64)
 
-    def _add(self, chunk: str) -> None:
-        ids = self.encoded(" " + chunk)
+    def _add(self, pieces: list[str]) -> None:
         n = len(self.number)
-        end = self.start[n] + len(ids)
-        if end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty(max(len(ids), len(self.ids)), np.int32)])
-        self.ids[self.start[n] : end] = ids
-        self.start[n + 1] = end
-        self.number[chunk] = n
+        found = [self.encoder.piece(p.encode()) for p in pieces]
+        ends = self.start[n] + np.cumsum([len(x) for x in found])
+        if ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(ends[-1] - len(self.ids), len(self.ids)), np.int32)])
+        self.ids[self.start[n] : ends[-1]] = [i for x in found for i in x]
+        self.start[n + 1 : n + 1 + len(pieces)] = ends
+        self.number.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def __call__(self, text: str) -> np.ndarray:
-        first, *rest = parts(text)
-        head = np.array(self.encoded(first), np.int32)
-        if not rest:
-            return head
-        found: list[np.ndarray] = [head]
-        for lo in range(0, len(rest), CHUNKS // 2):
-            some = rest[lo : lo + CHUNKS // 2]
+        pieces = self.split(text)
+        found: list[np.ndarray] = [np.empty(0, np.int32)]
+        lo = 0
+        while lo < len(pieces):
+            some = pieces[lo : lo + PIECES // 2]
+            lo += len(some)
             fresh = set(some).difference(self.number)
-            if len(self.number) + len(fresh) > CHUNKS:
+            if len(self.number) + len(fresh) > PIECES:
                 self._clear()
                 fresh = set(some)
-            long = {c for c in fresh if len(c) > LONG}
-            for c in fresh - long:
-                self._add(c)
+            long = {p for p in fresh if len(p) > LONG}
+            if fresh - long:
+                self._add(list(fresh - long))
             if not long:
                 found.append(self._gathered(some))
                 continue
             run: list[str] = []
-            for c in some:
-                if c in long:
-                    found += [self._gathered(run), np.array(self.encoded(" " + c), np.int32)]
+            for p in some:
+                if p in long:
+                    found += [self._gathered(run), np.array(self.encoder.piece(p.encode()), np.int32)]
                     run = []
                 else:
-                    run.append(c)
+                    run.append(p)
             found.append(self._gathered(run))
         return np.concatenate(found)
 
-    def _gathered(self, chunks: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+    def _gathered(self, pieces: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         n = self.start[at + 1] - self.start[at]
         ends = np.cumsum(n)
         where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + n, n)

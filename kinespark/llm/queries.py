@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, token_counts, whitening
+from . import align, ann, bpe, chat, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, token_counts, whitening
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -88,6 +88,15 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(there).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers of every text of `documents`, aligned and counted; see
+    align.link_counts()."""
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.link_counts(_table(spark, sf_dir, "documents"), a, b)
+
+
 def op13_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of `embeddings` on the eight first components of their integer vectors, whitened;
     see whitening.whiten()."""
@@ -109,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_license_scan,
             op10_minmax_near_dedup,
             op11_byte_bpe,
+            op12_tokenizer_alignment,
             op13_polarised_whitening,
         )
     }
