@@ -6,9 +6,9 @@ nondeterministic transducer that reads bytes along the vocabulary's trie and may
 wherever it agrees with the one before. Its states are made deterministic while texts are read:
 a state holds every reading that is still open, a step drops those that die and emits the tokens
 on which all that are left agree. A reading lives no longer than its open token, so what waits
-is bounded by the longest token. A step becomes deterministic when it is met a second time; the
-rest of a text that meets a step for the first time is read from the nondeterministic transducer,
-one reading after another. So words that occur once make no states, which are kept up to a bound.
+is bounded by the longest token. A step becomes deterministic once it has been met OFTEN times;
+until then the rest of a text is read from the nondeterministic transducer, one reading after
+another. So rare words make no states, which are kept up to a bound.
 
 Decoding. Tokens pass a UTF-8 automaton whose state is the start of an unfinished character; its
 steps by token are kept too. A byte that can't go on gives U+FFFD for the longest start of a
@@ -21,7 +21,9 @@ import base64
 import functools
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,10 @@ from pyspark.sql import types as T
 
 #: States, steps of the decoder, and distinct pre-tokens with their ids that a worker keeps.
 STATES, STEPS, PIECES = 60_000, 200_000, 600_000
-#: A step met once.
-_ONCE = 1 << 40
+#: Meetings after which a step is made deterministic; until then they are counted from _MET on.
+OFTEN, _MET = 4, 1 << 40
+#: Rows that are encoded or decoded at once, and pre-tokens that are looked up at once.
+ROWS, BLOCK = 256, 100_000
 #: Pre-tokens longer than this are encoded anew each time.
 LONG = 200
 #: The end of a text's part before a space; a space after white space starts no part.
@@ -133,6 +137,7 @@ class Encoder:
         self.vocabulary = vocabulary
         self.bytes_of = {i: t for t, i in vocabulary.items()}
         self.size = {i: len(t) for t, i in vocabulary.items()}
+        self.alone = [vocabulary[bytes([b])] for b in range(256)]
         # the trie: node and byte to the next node, with two bits that say whether it goes on and ends a token
         # longest: the longest token on the way to a node
         child: dict[int, int] = {}
@@ -149,6 +154,8 @@ class Encoder:
             self.longest[node] = self.token_at.get(node, self.longest[key >> 8])
         self.next_shorter: dict[int, int] = {}
         self.child = {key: node << 2 | (node in inner) << 1 | (node in self.token_at) for key, node in child.items()}
+        # nodes that two bytes lead to, with the bits
+        self.two = {bytes([key & 255, b]): self.child[node << 8 | b] for key, node in child.items() if key < 256 for b in range(256) if node << 8 | b in child}
         self.split: dict[int, tuple[int, int] | None] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self.agrees: dict[int, bool] = {}
@@ -233,20 +240,25 @@ class Encoder:
     def _rest(self, last: int | None, data: bytes, at: int) -> list[int]:
         """The tokens of data[at:] after the token `last`: readings one by one, the longest token
         first. As bytes have one encoding, a place reached in vain isn't tried again."""
-        child, agrees, longest, size = self.child, self.agrees, self.longest, self.size
+        child, agrees, longest, size, two, alone = self.child, self.agrees, self.longest, self.size, self.two, self.alone
         out: list[int] = []
         dead: set[int] = set()
         end, before = len(data), last
         while at < end:
-            node = 0
-            for i in range(at, end):
-                step = child.get(node << 8 | data[i])
-                if step is None:
-                    break
+            step = two.get(data[at : at + 2])
+            if step is None:
+                token = alone[data[at]]
+            else:
                 node = step >> 2
-                if not step & 2:
-                    break
-            token = longest[node]
+                if step & 2:
+                    for i in range(at + 2, end):
+                        step = child.get(node << 8 | data[i])
+                        if step is None:
+                            break
+                        node = step >> 2
+                        if not step & 2:
+                            break
+                token = longest[node]
             while True:
                 while token >= 0:
                     if not dead or at + size[token] not in dead:
@@ -311,9 +323,12 @@ class Encoder:
             key = state << 8 | byte
             step = go.get(key)
             if step is None:
-                go[key] = _ONCE
+                go[key] = _MET
                 break
-            if step == _ONCE:
+            if step >= _MET:
+                if step < _MET + OFTEN:
+                    go[key] = step + 1
+                    break
                 step = self._step(state, byte)
             if step < 0:
                 state, emitted = self.emits[~step]
@@ -398,49 +413,46 @@ class Texts:
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
         self.ids = np.empty(1 << 16, np.int32)
-        self.start = np.zeros(PIECES + 2, np.int64)
+        self.start = np.zeros(PIECES + BLOCK + 1, np.int64)
 
-    def _add(self, pieces: list[str]) -> None:
-        n = len(self.number)
-        found = [self.encoder.piece(p.encode()) for p in pieces]
+    def _add(self, n: int) -> None:
+        """Encode the pre-tokens that were numbered from n on."""
+        found = [self.encoder.piece(p.encode()) for p in list(islice(reversed(self.number), len(self.number) - n))[::-1]]
         ends = self.start[n] + np.cumsum([len(x) for x in found])
         if ends[-1] > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(max(ends[-1] - len(self.ids), len(self.ids)), np.int32)])
         self.ids[self.start[n] : ends[-1]] = [i for x in found for i in x]
-        self.start[n + 1 : n + 1 + len(pieces)] = ends
-        self.number.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.start[n + 1 : len(self.number) + 1] = ends
 
     def __call__(self, text: str) -> np.ndarray:
         pieces = self.split(text)
         found: list[np.ndarray] = [np.empty(0, np.int32)]
-        lo = 0
-        while lo < len(pieces):
-            some = pieces[lo : lo + PIECES // 2]
-            lo += len(some)
-            fresh = set(some).difference(self.number)
-            if len(self.number) + len(fresh) > PIECES:
-                self._clear()
-                fresh = set(some)
-            long = {p for p in fresh if len(p) > LONG}
-            if fresh - long:
-                self._add(list(fresh - long))
-            if not long:
+        run: list[str] = []
+        for lo in range(0, len(pieces), BLOCK):
+            some = pieces[lo : lo + BLOCK]
+            if len(max(some, key=len)) <= LONG:
                 found.append(self._gathered(some))
                 continue
-            run: list[str] = []
             for p in some:
-                if p in long:
+                if len(p) > LONG:
                     found += [self._gathered(run), np.array(self.encoder.piece(p.encode()), np.int32)]
                     run = []
                 else:
                     run.append(p)
             found.append(self._gathered(run))
-        return np.concatenate(found)
+            run = []
+        return np.concatenate(found) if len(found) > 2 else found[-1]
 
     def _gathered(self, pieces: list[str]) -> np.ndarray:
+        if len(self.number) > PIECES:
+            self._clear()
+        known = len(self.number)
         at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        if len(self.number) > known:
+            self._add(known)
         n = self.start[at + 1] - self.start[at]
         ends = np.cumsum(n)
         where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + n, n)
@@ -464,7 +476,9 @@ def _with(df: DataFrame, column: str, kind: T.DataType, over: str, made) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], made(batch.column(over))], [*rest, column])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], made(part.column(over))], [*rest, column])
 
     return df.select(*rest).mapInArrow(run, schema)
 

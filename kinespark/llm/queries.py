@@ -139,22 +139,13 @@ WITH sized AS (
       / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
 ), targets AS (
   SELECT *, CASE WHEN cap <= level * w THEN cap ELSE w * (SELECT first(level ORDER BY cap / w, source NULLS LAST) FROM rising WHERE cap > level * w) END AS target FROM rising
-), bounds AS (
-  SELECT *, coalesce(sum(target) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low_sum, sum(target) OVER () AS all_targets,
-    max(id) OVER () AS last_id, CAST(ceil(source_size / 64.0) AS BIGINT) AS blocks FROM targets
-), slots AS (
-  SELECT b.id, b.blocks, b.source_size, count(*) AS n
-  FROM (SELECT (t + 1) * 0.6180339887498949::DOUBLE - floor((t + 1) * 0.6180339887498949::DOUBLE) AS u
-        FROM range((SELECT CAST(ceil(round(max(all_targets)) / 64.0) AS BIGINT) FROM bounds)) AS x(t)) AS p
-  JOIN bounds b ON p.u >= b.low_sum / b.all_targets AND p.u < CASE WHEN b.id = b.last_id THEN 2.0 ELSE (b.low_sum + b.target) / b.all_targets END
-  GROUP BY ALL
 ), placed AS (
-  SELECT s.doc_id, s.size, b.source_size, b.target, least(coalesce(k.n, 0), 3 * b.blocks) AS n, b.blocks,
-    coalesce(sum(s.size) OVER (PARTITION BY b.id ORDER BY s.digest, s.doc_id, s.size, s.r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sized s JOIN bounds b ON s.source IS NOT DISTINCT FROM b.source LEFT JOIN slots k ON k.id = b.id
+  SELECT s.doc_id, s.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words,
+    coalesce(sum(s.size) OVER (PARTITION BY t.id ORDER BY s.digest, s.doc_id, s.size, s.r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0
-  ELSE CAST((n // blocks) * size + greatest(0, least(size, (n % blocks) * 64 - start)) AS BIGINT) END AS taken FROM placed
+  ELSE CAST((words // source_size) * size + greatest(0, least(size, words % source_size - start)) AS BIGINT) END AS taken FROM placed
 """
 
 _OP5 = r"""
