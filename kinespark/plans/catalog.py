@@ -12,12 +12,13 @@ from kinespark.functions import params, scores, sides
 from kinespark.functions import vectors as V
 from kinespark.operators import boxes as B
 from kinespark.operators import evaluate as E
-from kinespark.operators import calibrate, fit, fuse, hypotheses, poses, primary, rays, select, temporal, tracks
+from kinespark.operators import calibrate, fit, fuse, hypotheses, motion, poses, primary, rays, refine, select, temporal, tracks
 from kinespark.operators import candidates as C
 from kinespark.plans import oracles
 from kinespark.sources import glove
 from kinespark.sources import records as R
-from kinespark.streaming import fusion, labels, online
+from kinespark.sources.scratch import cut
+from kinespark.streaming import fusion, labels, online, tracker
 
 KEYS = fuse.KEYS
 SERIES = ["sequence_id", "hand"]
@@ -646,6 +647,59 @@ def stable_tracks(s, d):
     return tracks.stabilised(rows.withColumn("n", F.col("n").cast("long")).withColumn("video_frame_index", F.col("video_frame_index").cast("long"))).withColumn("confidence", F.round("confidence", 6))
 
 
+def _tracker_frames(s, d) -> DataFrame:
+    """Frames of a camera with one detector's boxes; points of each box of a frame went where the
+    box of the same number is on the next."""
+    c = F.col
+    f = _frames(s, d).where("origin = 'sam3'")
+    keys = ["camera_id", "video_frame_index"]
+    boxes = f.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(c("n").cast("long").alias("n"), "box", "score"))).alias("detections"))
+    frames = _frames(s, d).select(*keys, F.timestamp_seconds(c("group_id") / 2).alias("t")).distinct().join(boxes, keys, "left")
+    before = F.lag("detections").over(Window.partitionBy("camera_id").orderBy("video_frame_index"))
+    went = F.flatten(F.zip_with("before", "detections", lambda a, b: F.zip_with(motion.points_of_box(a["box"]), motion.points_of_box(b["box"]), lambda p, q: F.concat(p, q))))
+    rows = frames.withColumn("before", before).withColumn("pairs", F.filter(went, lambda p: p.isNotNull()))
+    return rows.select("camera_id", "t", c("video_frame_index").cast("long").alias("frame"), "detections", "pairs")
+
+
+TRACK_RULES = tracker.Rules(most=None, silence=8.0)
+
+
+def keyframe_tracks(s, d):
+    """Tracks of every frame: boxes of the keyframes, carried between, and where tracks end."""
+    found = tracker.tracked(_tracker_frames(s, d), TRACK_RULES)
+    return found.select("camera_id", "frame", "track", "n", "age", "is_keyframe", "how", F.round("score", 6).alias("score"), *[F.round(F.get("box", F.lit(i)), 4).alias(f"v{i}") for i in range(4)])
+
+
+def tracker_replay(s, d):
+    """How well the tracks recall the detections of all frames, on and off the keyframes."""
+    c = F.col
+    own = tracker.live(tracker.tracked(_tracker_frames(s, d), TRACK_RULES)).select("camera_id", c("frame").alias("group_id"), c("track").alias("n"), "box", F.lit("mediapipe").alias("origin"), "is_keyframe")
+    own = cut(own)  # read by the match and for the keyframes
+    key = own.where("is_keyframe").select("camera_id", "group_id").distinct().withColumn("is_keyframe", F.lit(True))
+    f = _frames(s, d).where("origin = 'sam3'").select("camera_id", c("video_frame_index").cast("long").alias("group_id"), c("n").cast("long").alias("n"), "box", "origin")
+    keyed = lambda df: df.join(key, ["camera_id", "group_id"], "left").withColumn("is_keyframe", F.coalesce("is_keyframe", F.lit(False)))
+    pairs = B.optimal(own.drop("is_keyframe").unionByName(f))
+    found = B.replay_metrics(keyed(pairs).select("iou", "is_keyframe"), keyed(f).select("is_keyframe"), 0.5)
+    return found.select("reference", "matched", "nonkey_reference", "nonkey_matched", *r6("recall", "mean", "nonkey_recall", "nonkey_mean"))
+
+
+def moved_boxes(s, d):
+    """Boxes moved by nine of their points, of which two in seven went astray."""
+    c = F.col
+    b = R.detections(s, d)
+    turn, grow = (c("n") % 7 - 3) * 0.02, 0.9 + (c("n") % 5) * 0.05
+    x, y = F.get("box", F.lit(0)), F.get("box", F.lit(1))
+
+    def went(p: Column, i: Column) -> Column:
+        u, v = V.at(p, 0) - x, V.at(p, 1) - y
+        astray = F.when(F.pmod(i * 5 + c("group_id"), F.lit(7)) < 2, 40.0 + i * 11).otherwise(0.0)
+        return F.array(V.at(p, 0), V.at(p, 1), x + 6 + grow * (F.cos(turn) * u - F.sin(turn) * v) + astray, y - 4 + grow * (F.sin(turn) * u + F.cos(turn) * v) - astray)
+
+    rows = b.withColumn("pairs", F.transform(motion.points_of_box(c("box")), went))
+    found = motion.moved_boxes(rows.select("group_id", "camera_id", "n", "box", "pairs"), 1200, 900)
+    return found.select("group_id", "camera_id", "n", "how", *[F.coalesce(F.round(F.get("moved", F.lit(i)), 4), F.lit(-1.0)).alias(f"v{i}") for i in range(4)])
+
+
 def _poses(s) -> DataFrame:
     """The rig of four cameras: origins, and quarter turns about z."""
     turns = {0: [[1.0, 0, 0], [0, 1, 0], [0, 0, 1]], 1: [[0.0, -1, 0], [1, 0, 0], [0, 0, 1]], 2: [[-1.0, 0, 0], [0, -1, 0], [0, 0, 1]], 3: [[0.0, 1, 0], [-1, 0, 0], [0, 0, 1]]}
@@ -678,6 +732,27 @@ def ray_states(s, d):
     return states.select(*by, "mode", "valid", "metric_valid", "views", "rejected", *[F.coalesce(F.round(v, 5), F.lit(-1.0)).alias(v) for v in ("mean_error", "max_error")])
 
 
+def _refine_rows(s, d) -> DataFrame:
+    """Rays of every camera, and seeds of every third joint from C3's hands."""
+    c = F.col
+    rig = _rig(s, d).select(*KEYS, "camera_id", "joint", c("ox").alias("x"), c("oy").alias("y"), c("oz").alias("z"), "dx", "dy", "dz")
+    seeds = R.joint_rows(R.hands(s, d)).where("camera_id = 'C3' and joint % 3 = 0")
+    none = F.lit(None).cast("double")
+    return rig.unionByName(seeds.select(*KEYS, F.lit(None).cast("string").alias("camera_id"), "joint", "x", "y", (F.abs("z") + 1.0).alias("z"), none.alias("dx"), none.alias("dy"), none.alias("dz")))
+
+
+#: Limits for hands whose points are about one unit apart.
+REFINE = refine.Rules(gate=0.9, mean_error=0.5, max_error=0.8, scale=0.4)
+
+
+def refined_points(s, d):
+    """Points of every frame's hands by rays, bones, palm and the hand before."""
+    found = refine.refined(_refine_rows(s, d), REFINE)
+    each = found.select(*KEYS, "cost", F.explode("joints").alias("j")).select(*KEYS, "cost", "j.*")
+    at = [F.coalesce(F.round(F.get("position", F.lit(i)), 5), F.lit(0.0)).alias(a) for i, a in enumerate("xyz")]
+    return each.select(*KEYS, "joint", "mode", "valid", "metric_valid", "used", "rejected", F.round("cost", 6).alias("cost"), *at)
+
+
 def _palm_poses(s, d) -> DataFrame:
     return R.hands(s, d).withColumn("rotation", V.palm_axes(F.col("joints"))).where("rotation is not null").withColumn("shift", F.get("joints", F.lit(0)))
 
@@ -781,7 +856,7 @@ ALL = (
     triangulate_rays, one_euro, one_euro_bones, view_pivot, view_quality, axis_affine, triangulate_subsets, chunk_overlap,
     palm_candidates, candidate_choice, job_hypotheses, label_precedence, joint_spaces, last_hands, primary_fusion, calibration, pose_residual, pixel_correction, glove_hands,
     dense_frames, seed_hands, linked_tracks, stable_tracks, rig_rays, ray_states, pose_delta, pose_consistency, first_groups, box_shapes, byte_account, detection_ratios, build_targets,
-    live_fusion, refined_candidates, replay_metrics,
+    live_fusion, refined_candidates, replay_metrics, refined_points, keyframe_tracks, tracker_replay, moved_boxes,
 )
 
 
