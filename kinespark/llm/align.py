@@ -5,10 +5,11 @@ A is a byte-level tokenizer (tokenizers library) of " " + text, B a piece model
 they name characters, so tokens that share one (a multibyte character in A, byte pieces in B) are
 cut further by their own bytes.
 
-Both tokenizers work on short stretches of a text by themselves. A stretch ends where A's pattern
-ends a pre-token and no piece of B has the two characters at the cut side by side, so neither can
-join over it. Each distinct stretch is encoded and aligned once, and texts are put together from
-stretches.
+Both tokenizers work on short stretches of a text by themselves: A's pre-tokens, joined where a
+piece of B has the two characters at the cut side by side and so may join over it. Each distinct
+stretch is encoded and aligned once, many together, and texts are put together from stretches. In
+a run of bytes both tokenizers' ends together cut it into segments; each lies in one token of A
+and one of B, and these are the links.
 
 How many documents hold a pair of ids linked is counted like words: a pass over the texts turns a
 block of documents into one row for each distinct pair, with packed (document, number); these rows
@@ -20,9 +21,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
-import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import parts
+from .token_counts import _splitter
 
-#: Chunks and stretches that a worker keeps, and the longest it keeps.
-CHUNKS, STRETCHES, LONG = 250_000, 200_000, 200
+#: Stretches that a worker keeps, the longest it keeps, and how many are looked up or learnt at once.
+STRETCHES, LONG, BLOCK = 300_000, 200, 20_000
+#: Rows that are aligned at once.
+ROWS = 256
 #: Text bytes and documents of one block.
 BLOCK_BYTES, BLOCK_DOCS = 48_000_000, 60_000
 #: A pair that more documents of a block hold is dealt over SALTS tasks.
@@ -45,9 +48,6 @@ HELD = 4_000_000
 HEAD, EACH = 8, 6
 BASE = [("id", "<i8"), ("null", "u1"), ("n_a", "<i8"), ("n_b", "<i8"), ("n_groups", "<i8"), ("n_links", "<i8"), ("sha", "V32")]
 SUMS = [("doc", "<u2"), ("n_best", "<i8"), ("count_sum", "<i8")]
-#: Cuts of a chunk: a letter before ASCII punctuation, and both sides of a single line feed (of
-#: several, the pattern's lookahead sets the last apart).
-_CUT = re.compile(r"(?<=[^\W\d_])(?=[!-/:-@\[-`{-~])|(?<=\S\n)(?=\S)|(?<=\S)(?=\n)")
 
 
 def _byte_characters() -> dict[str, int]:
@@ -58,6 +58,10 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def _none() -> tuple[None, np.ndarray, np.ndarray]:
+    return None, np.zeros(3, np.int64), np.empty(0, np.uint64)
+
+
 class Aligner:
     """Both tokenizers, and what was aligned before. The piece model must leave texts as they are."""
 
@@ -83,181 +87,223 @@ class Aligner:
         self.b = SentencePieceProcessor(model_proto=model.SerializeToString())
         byte, whole = proto.ModelProto.SentencePiece.BYTE, [p.piece.replace("▁", " ") for p in model.pieces]
         self.b_bytes = [bytes([int(p.piece[1:-1], 16)]) if p.type == byte else w.encode() for p, w in zip(model.pieces, whole, strict=True)]
-        self.side_by_side = {w[i : i + 2] for w in whole for i in range(len(w) - 1)}
-        self.at_spaces = not any(pair[1] == " " and not pair[0].isspace() for pair in self.side_by_side)
-        self.known: dict[str, tuple | None] = {}
+        pairs = {w[i : i + 2] for w in whole for i in range(len(w) - 1)}
+        self.side_by_side = np.sort(np.array([ord(p[0]) << 21 | ord(p[1]) for p in pairs], np.int64))
+        self.split = _splitter(a_path)
+        # each id as text, with what follows it: within its side, and at its side's end in a group
+        self.a_text = [[f"{i}{end}" for i in range(max(self.a_bytes) + 1)] for end in ",|"]
+        self.b_text = [[f"{i}{end}" for i in range(len(self.b_bytes))] for end in ",;"]
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: defaultdict[str | tuple[str, ...], int] = defaultdict()
+        self.number.default_factory = self.number.__len__
         self.texts: list[str | None] = []
-        self.sizes = np.zeros((CHUNKS + 1, 3), np.int64)
-        self.start = np.zeros(CHUNKS + 2, np.int64)
+        room = STRETCHES + BLOCK + 1
+        self.ends_in = np.zeros((2, room), np.int64)  # first and last character
+        self.sizes = np.zeros((room, 3), np.int64)
+        self.start = np.zeros(room + 1, np.int64)
         self.codes = np.empty(1 << 18, np.uint64)
 
-    def chunks(self, text: str) -> list[str]:
-        """The chunks of " " + text. Each starts with a space, which is left out."""
-        if not self.at_spaces:
-            return [text]
-        first, *rest = parts(" " + text)
-        return [first[1:], *rest] if first else rest
-
-    def stretches(self, chunk: str) -> list[str]:
-        """" " + chunk cut where neither tokenizer joins."""
-        chunk = " " + chunk
-        found = [0]
-        for m in _CUT.finditer(chunk):
-            at = m.start()
-            if chunk[at - 1 : at + 1] not in self.side_by_side:
-                found.append(at)
-        found.append(len(chunk))
-        return [chunk[i:j] for i, j in zip(found, found[1:], strict=False)]
-
-    def _tokens_a(self, text: str, data: bytes, encoding) -> tuple[list[int], list[int]] | None:
-        ids, spans = encoding.ids, encoding.offsets
-        pieces = [self.a_bytes[i] for i in ids]
-        if b"".join(pieces) != data:
+    def _tokens_a(self, pieces: tuple[str, ...], encodings) -> tuple[list[int], list[int]] | None:
+        ids, ends, base = [], [], 0
+        for text, e in zip(pieces, encodings, strict=True):
+            data, own, spans = text.encode(), e.ids, e.offsets
+            parts = [self.a_bytes[i] for i in own]
+            if b"".join(parts) != data:
+                return None
+            ids += own
+            if len(text) == len(data):
+                ends += [base + hi for _, hi in spans]
+            else:
+                end = 0
+                for k, (lo, hi) in enumerate(spans):
+                    shared = (k and spans[k - 1][1] > lo) or (k + 1 < len(spans) and spans[k + 1][0] < hi)
+                    end = end + len(parts[k]) if shared else len(text[:hi].encode())
+                    ends.append(base + end)
+            base += len(data)
+        return ids, ends
+
+    def _tokens_b(self, data: bytes, found: dict) -> tuple[list[int], list[int]] | None:
+        ids, spans = found["ids"], found["offsets"]
+        parts = [self.b_bytes[i] for i in ids]
+        if b"".join(parts) != data:
             return None
-        if len(text) == len(data):
-            return ids, [end for _, end in spans]
-        at = np.cumsum([0, *(len(c.encode()) for c in text)]).tolist()
         ends, end = [], 0
-        for k, (lo, hi) in enumerate(spans):
-            shared = (k and spans[k - 1][1] > lo) or (k + 1 < len(spans) and spans[k + 1][0] < hi)
-            end = end + len(pieces[k]) if shared else at[hi]
+        for part, (lo, hi) in zip(parts, spans, strict=True):
+            # a byte piece has no span of its own, the last of a character has that of all
+            end = hi if hi - lo == len(part) else end + len(part)
             ends.append(end)
         return ids, ends
 
-    def _tokens_b(self, data: bytes, encoded) -> tuple[list[int], list[int]] | None:
-        ids, ends, end, joined = [], [], 0, []
-        for p in encoded.pieces:
-            piece = self.b_bytes[p.id]
-            # a byte piece has no span of its own, the last of a character has that of all
-            end = p.end if p.end - p.begin == len(piece) else end + len(piece)
-            ids.append(p.id)
-            ends.append(end)
-            joined.append(piece)
-        return (ids, ends) if b"".join(joined) == data else None
-
-    @staticmethod
-    def _met(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[str, int, list[int]]:
-        """(groups as text, number of groups, linked pairs)."""
-        if len(a) == 1 or len(b) == 1:
-            return f"{','.join(map(str, a))}|{','.join(map(str, b))}", 1, [x << 24 | y for x in a for y in b]
-        groups, pairs, i, j, first = [], [], 0, 0, (0, 0)
-        while i < len(a):
-            pairs.append(a[i] << 24 | b[j])
-            over = a_ends[i] - b_ends[j]
-            i, j = i + (over <= 0), j + (over >= 0)
-            if not over:
-                groups.append(f"{','.join(map(str, a[first[0] : i]))}|{','.join(map(str, b[first[1] : j]))}")
-                first = (i, j)
-        return ";".join(groups), len(groups), pairs
-
-    def _learn(self, fresh: list[str]) -> dict[str, tuple | None]:
-        """(ids and ends of A and B, groups, number of groups, pairs) of stretches, None where a
-        tokenizer's bytes aren't the stretch's."""
-        found = {}
-        for lo in range(0, len(fresh), 4096):
-            some = fresh[lo : lo + 4096]
-            of_a = self.a.encode_batch(some, add_special_tokens=False)
-            of_b = self.b.encode(some, return_type="proto", num_threads=1)
-            for text, ea, eb in zip(some, of_a, of_b, strict=True):
-                data = text.encode()
-                a = self._tokens_a(text, data, ea)
-                b = a and self._tokens_b(data, eb)
-                found[text] = (*a, *b, *self._met(*a, *b)) if b else None
-        return found
-
-    def _stretches_of(self, chunks: list[str]) -> tuple[list[list[str]], dict[str, tuple | None]]:
-        """The stretches of each chunk, and all of them aligned."""
-        cut = [self.stretches(c) for c in chunks]
-        every = {s for x in cut for s in x}
-        fresh = every.difference(self.known)
-        if len(self.known) + len(fresh) > STRETCHES:
-            self.known.clear()
-            fresh = every
-        found = self._learn(list(fresh))
-        if len(fresh) <= STRETCHES:
-            self.known.update((s, x) for s, x in found.items() if len(s) <= LONG)
-        return cut, {s: found[s] if s in found else self.known[s] for s in every}
-
-    def _built(self, aligned: list[tuple | None]) -> tuple[str | None, tuple[int, int, int], list[int]]:
-        if None in aligned:
-            return None, (0, 0, 0), []
-        sizes = (sum(len(x[0]) for x in aligned), sum(len(x[2]) for x in aligned), sum(x[5] for x in aligned))
-        return ";".join(x[4] for x in aligned), sizes, [p for x in aligned for p in x[6]]
-
-    def _add(self, chunks: list[str]) -> None:
-        cut, known = self._stretches_of(chunks)
-        for chunk, stretches in zip(chunks, cut, strict=True):
-            text, sizes, pairs = self._built([known[s] for s in stretches])
-            n = len(self.texts)
-            end = self.start[n] + len(pairs)
-            if end > len(self.codes):
-                self.codes = np.concatenate([self.codes, np.empty(max(len(pairs), len(self.codes)), np.uint64)])
-            self.codes[self.start[n] : end] = pairs
-            self.start[n + 1], self.sizes[n] = end, sizes
-            self.texts.append(text)
-            self.number[chunk] = n
-
-    def _short(self, chunks: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
-        fresh = set(chunks).difference(self.number)
-        if len(self.number) + len(fresh) > CHUNKS:
-            self._clear()
-            fresh = set(chunks)
-        if fresh:
-            self._add(list(fresh))
-        at = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
-        n = self.start[at + 1] - self.start[at]
-        ends = np.cumsum(n)
-        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + n, n)
-        return [self.texts[i] for i in at.tolist()], self.sizes[at].sum(axis=0), self.codes[where]
+    def tokens(self, keys: list[str | tuple[str, ...]]) -> list[tuple[list[int], ...] | None]:
+        """(ids and byte ends of A, ids and byte ends of B) of stretches, each a pre-token or a
+        tuple of joined ones; None where a tokenizer's bytes aren't the stretch's."""
+        pieces = [(k,) if isinstance(k, str) else k for k in keys]
+        texts = ["".join(p) for p in pieces]
+        of_a = iter(self.a.encode_batch([x for p in pieces for x in p], add_special_tokens=False))
+        of_b = self.b.encode(texts, return_type="offset_mapping", return_bytes=True, num_threads=1)
+        out = []
+        for own, text, found in zip(pieces, texts, of_b, strict=True):
+            a = self._tokens_a(own, list(islice(of_a, len(own))))
+            b = a and self._tokens_b(text.encode(), found)
+            out.append((*a, *b) if b else None)
+        return out
 
-    def __call__(self, text: str | None) -> tuple[bytes | None, np.ndarray, np.ndarray]:
+    def _learn(self, keys: list[str | tuple[str, ...]]) -> tuple[list[str | None], np.ndarray, np.ndarray, np.ndarray]:
+        """(groups as text or None, numbers of A tokens, B tokens and groups, numbers of links,
+        pairs of all links) of stretches."""
+        found = self.tokens(keys)
+        good = [x for x in found if x]
+        if not good:
+            return [None] * len(keys), np.zeros((len(keys), 3), np.int64), np.zeros(len(keys), np.int64), np.empty(0, np.uint64)
+        n_a, n_b = (np.array([len(x[i]) for x in good]) for i in (0, 2))
+        last = np.cumsum([x[1][-1] for x in good])
+        base = np.r_[0, last[:-1]]
+        ids = [np.array([v for x in good for v in x[i]], np.int64) for i in (0, 2)]
+        ends = [np.array([v for x in good for v in x[i]], np.int64) + np.repeat(base, n) for i, n in ((1, n_a), (3, n_b))]
+        cuts, common = np.union1d(*ends), np.intersect1d(*ends, assume_unique=True)
+        a, b = (of[np.searchsorted(e, cuts)] for of, e in zip(ids, ends, strict=True))
+        codes = (a.astype(np.uint64) << np.uint64(24)) | b.astype(np.uint64)
+        links, groups = (np.diff(np.r_[0, np.searchsorted(x, last, "right")]) for x in (cuts, common))
+        # all tokens by group, those of A first; the last of its side in a group has another end
+        group = [np.searchsorted(common, e) for e in ends]
+        order = np.argsort(np.concatenate([group[0] * 2, group[1] * 2 + 1]), kind="stable")
+        texts = []
+        for of, names, e in zip(ids, (self.a_text, self.b_text), ends, strict=True):
+            texts += [names[end][i] for i, end in zip(of.tolist(), np.isin(e, common, assume_unique=True).tolist(), strict=True)]
+        texts = [texts[i] for i in order.tolist()]
+        at = np.r_[0, np.cumsum(n_a + n_b)].tolist()
+        made = iter(["".join(texts[i:j])[:-1] for i, j in zip(at, at[1:], strict=False)])
+        there = np.array([x is not None for x in found])
+        sizes, many = np.zeros((len(keys), 3), np.int64), np.zeros(len(keys), np.int64)
+        sizes[there], many[there] = np.stack([n_a, n_b, groups], axis=1), links
+        return [next(made) if x else None for x in found], sizes, many, codes
+
+    def _add(self, n: int) -> None:
+        """Learn the stretches that were numbered from n on."""
+        keys = list(islice(reversed(self.number), len(self.number) - n))[::-1]
+        for lo in range(0, len(keys), BLOCK):
+            some = keys[lo : lo + BLOCK]
+            texts, sizes, many, codes = self._learn(some)
+            to = n + len(some)
+            end = self.start[n] + len(codes)
+            if end > len(self.codes):
+                self.codes = np.concatenate([self.codes, np.empty(max(end - len(self.codes), len(self.codes)), np.uint64)])
+            self.codes[self.start[n] : end] = codes
+            self.start[n + 1 : to + 1] = self.start[n] + np.cumsum(many)
+            self.sizes[n:to] = sizes
+            self.texts += texts
+            self.ends_in[:, n:to] = [[ord(k[0][0]) for k in some], [ord(k[-1][-1]) for k in some]]
+            n = to
+
+    def _numbers(self, keys: list[str | tuple[str, ...]]) -> np.ndarray:
+        known = len(self.number)
+        at = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        if len(self.number) > known:
+            self._add(known)
+        return at
+
+    def _joined(self, pieces: list[str]) -> list[str | tuple[str, ...]]:
+        """Pre-tokens as stretches: those that B may join over are put into one tuple."""
+        first, last = ([ord(p[i]) for p in pieces] for i in (0, -1))
+        pair = np.array(last[:-1], np.int64) << 21 | np.array(first[1:], np.int64)
+        over = self._over(pair)
+        if not over.any():
+            return pieces
+        starts = [0, *(np.flatnonzero(~over) + 1).tolist(), len(pieces)]
+        return [pieces[i] if j - i == 1 else tuple(pieces[i:j]) for i, j in zip(starts, starts[1:], strict=False)]
+
+    def _over(self, pair: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.side_by_side, pair), len(self.side_by_side) - 1)
+        return self.side_by_side[at] == pair
+
+    def batch(self, texts: list[str | None]) -> list[tuple[bytes | None, np.ndarray, np.ndarray]]:
         """(digest of the groups, numbers of A tokens, B tokens and groups, pairs of all links)
-        of a whole text; None, zeros and no pairs without tokens."""
-        none = (None, np.zeros(3, np.int64), np.empty(0, np.uint64))
-        if not text:
-            return none
-        chunks = self.chunks(text)
+        of whole texts; None, zeros and no pairs without tokens. Texts are put together here from
+        pre-tokens; the few that have joined or very long ones go by themselves."""
+        out: list[tuple | None] = [_none() for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        n = 0
+
+        def flush() -> None:
+            nonlocal n
+            if len(self.number) > STRETCHES:
+                self._clear()
+            at = self._numbers([p for _, own in held for p in own])
+            over = np.zeros(len(at), bool)
+            over[:-1] = self._over(self.ends_in[1, at[:-1]] << 21 | self.ends_in[0, at[1:]])
+            lo, alone = 0, []
+            for i, own in held:
+                hi = lo + len(own)
+                if over[lo : hi - 1].any():
+                    alone.append((i, own))
+                else:
+                    texts_of, sizes, codes = self._parts(at[lo:hi])
+                    if None not in texts_of:
+                        out[i] = (hashlib.sha256(";".join(texts_of).encode()).digest(), sizes, codes)
+                lo = hi
+            for i, own in alone:
+                out[i] = self._alone(own)
+            held.clear()
+            n = 0
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            pieces = self.split(" " + text)
+            if len(pieces) > BLOCK or len(max(pieces, key=len)) > LONG:
+                out[i] = self._alone(pieces)
+                continue
+            held.append((i, pieces))
+            n += len(pieces)
+            if n > BLOCK:
+                flush()
+        if held:
+            flush()
+        return out
+
+    def _alone(self, pieces: list[str]) -> tuple[bytes | None, np.ndarray, np.ndarray]:
         digest, sizes, pairs, first = hashlib.sha256(), np.zeros(3, np.int64), [], True
+        keys = self._joined(pieces)
         lo = 0
-        while lo < len(chunks):
-            hi = lo
-            while hi < len(chunks) and hi - lo < CHUNKS // 2 and len(chunks[hi]) <= LONG:
-                hi += 1
-            if hi > lo:
-                texts, n, codes = self._short(chunks[lo:hi])
+        while lo < len(keys):
+            long = sum(map(len, keys[lo])) > LONG if isinstance(keys[lo], tuple) else len(keys[lo]) > LONG
+            hi = lo + 1
+            if long:  # aligned anew each time
+                texts, size, _, codes = self._learn([keys[lo]])
+                size = size[0]
             else:
-                cut, known = self._stretches_of([chunks[lo]])
-                built, n, codes = self._built([known[s] for s in cut[0]])
-                texts, codes, hi = [built], np.array(codes, np.uint64), lo + 1
+                while hi < len(keys) and hi - lo < BLOCK and sum(map(len, keys[hi])) <= LONG:
+                    hi += 1
+                if len(self.number) > STRETCHES:
+                    self._clear()
+                texts, size, codes = self._parts(self._numbers(keys[lo:hi]))
             if None in texts:
-                return none
+                return _none()
             digest.update((b"" if first else b";") + ";".join(texts).encode())
-            sizes, first, lo = sizes + n, False, hi
+            sizes, first, lo = sizes + size, False, hi
             pairs.append(codes)
         return digest.digest(), sizes, np.concatenate(pairs)
 
+    def _parts(self, at: np.ndarray) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+        n = self.start[at + 1] - self.start[at]
+        ends = np.cumsum(n)
+        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + n, n)
+        return [self.texts[i] for i in at.tolist()], self.sizes[at].sum(axis=0), self.codes[where]
+
     def spans(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
         """(ids and byte ends of A, ids and byte ends of B) of a whole text, empty without tokens."""
         out: tuple[list[int], ...] = ([], [], [], [])
         if not text:
             return out
-        chunks = self.chunks(text)
-        cut, known = self._stretches_of(chunks)
         at = 0
-        for stretch in (s for x in cut for s in x):
-            found = known[stretch]
+        for found in self.tokens(self._joined(self.split(" " + text))):
             if found is None:
                 return [], [], [], []
-            a, a_ends, b, b_ends = found[:4]
-            out[0].extend(a)
-            out[1].extend(at + e for e in a_ends)
-            out[2].extend(b)
-            out[3].extend(at + e for e in b_ends)
-            at += a_ends[-1]
+            for k in range(4):
+                out[k].extend(found[k] if k % 2 == 0 else [at + e for e in found[k]])
+            at += found[1][-1]
         return out
 
 
@@ -281,10 +327,12 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(a_path, b_path)
         for batch in batches:
-            found = [aligner.spans(t) for t in batch.column("text").to_pylist()]
-            found = [(*x, sorted(set(x[1]).intersection(x[3]))) for x in found]
-            made = [pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*rest, *names])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                found = [aligner.spans(t) for t in part.column("text").to_pylist()]
+                found = [(*x, sorted(set(x[1]).intersection(x[3]))) for x in found]
+                made = [pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in range(5)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*rest, *names])
 
     return kept.mapInArrow(run, schema)
 
@@ -323,15 +371,16 @@ def _blocks(a_path: str, b_path: str):
 
         total = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py() or ""
-                sha, sizes, pairs = aligner(text)
-                base.append((doc_id or 0, doc_id is None, *sizes.tolist(), len(pairs), sha or b"\0" * 32))
-                links.append(pairs)
-                total += len(text)
-                if total >= BLOCK_BYTES or len(base) >= BLOCK_DOCS:
-                    yield block()
-                    total, base, links = 0, [], []
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                texts = part.column("text").to_pylist()
+                for doc_id, text, (sha, sizes, pairs) in zip(part.column("doc_id").to_pylist(), texts, aligner.batch(texts), strict=True):
+                    base.append((doc_id or 0, doc_id is None, *sizes.tolist(), len(pairs), sha or b"\0" * 32))
+                    links.append(pairs)
+                    total += len(text or "")
+                    if total >= BLOCK_BYTES or len(base) >= BLOCK_DOCS:
+                        yield block()
+                        total, base, links = 0, [], []
         if base:
             yield block()
 

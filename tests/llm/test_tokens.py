@@ -159,7 +159,7 @@ def test_aligned_stretches_equal_whole_texts(both):
     for text in [*ODD[:-1], *random_texts]:
         assert list(aligner.spans(text)) == list(aligned_directly(text, both)), text
         groups, links = links_directly(text, both)
-        digest, sizes, pairs = aligner(text)
+        digest, sizes, pairs = aligner.batch([text])[0]
         assert sizes.tolist() == [len(x) for x in aligned_directly(text, both)[::2]] + [len(groups)]
         assert Counter(pairs.tolist()) == Counter(a << 24 | b for a, b in links)
         assert digest == (hashlib.sha256(";".join(groups).encode()).digest() if groups else None)
@@ -167,7 +167,7 @@ def test_aligned_stretches_equal_whole_texts(both):
 
 @pytest.mark.parametrize("few", [False, True])
 def test_link_counts(spark, both, documents, hard, empty, monkeypatch, few):  # noqa: F811
-    for name, value in (("COMMON", 20), ("BLOCK_DOCS", 30), ("CHUNKS", 3000), ("STRETCHES", 2000), ("HELD", 3000)) if few else ():
+    for name, value in (("COMMON", 20), ("BLOCK_DOCS", 30), ("BLOCK", 500), ("STRETCHES", 2000), ("HELD", 3000)) if few else ():
         monkeypatch.setattr(align, name, value)
     docs = documents.select("doc_id", "text").unionByName(hard.select("doc_id", "text"))
     table = [tuple(r) for r in docs.collect()]
