@@ -12,7 +12,7 @@ from kinespark.functions import params, scores, sides
 from kinespark.functions import vectors as V
 from kinespark.operators import boxes as B
 from kinespark.operators import evaluate as E
-from kinespark.operators import calibrate, fit, fuse, hypotheses, motion, poses, primary, rays, refine, select, temporal, tracks
+from kinespark.operators import calibrate, fit, fuse, hypotheses, motion, pnp, poses, primary, rays, refine, select, temporal, tracks
 from kinespark.operators import candidates as C
 from kinespark.plans import oracles
 from kinespark.sources import glove
@@ -757,6 +757,51 @@ def _palm_poses(s, d) -> DataFrame:
     return R.hands(s, d).withColumn("rotation", V.palm_axes(F.col("joints"))).where("rotation is not null").withColumn("shift", F.get("joints", F.lit(0)))
 
 
+def _body(s, d) -> DataFrame:
+    """Hands from the wrist with a turn and a place before a camera."""
+    h = R.hands(s, d).withColumn("turn", V.palm_axes(F.col("joints"))).where("turn is not null")
+    place = V.vec(F.col("quality") - 0.5, (F.col("pos") % 7) * 0.05, F.lit(9.0) + F.col("pos") % 5)
+    return fuse.root_relative(h).withColumn("place", place)
+
+
+def pose_from_points(s, d):
+    """Poses of hands from their pixels: some joints unsure, some hands with too few, some with
+    pixels of other joints."""
+    c = F.col
+    pixel = F.transform("joints", lambda p: V.project(F.zip_with(V.rotated(c("turn"), p), "place", lambda a, b: a + b), *CAMERA))
+    h = _body(s, d).withColumn("pixels", pixel).withColumn("pixels", F.when(c("pos") % 13 == 5, F.reverse("pixels")).otherwise(c("pixels")))
+    sure = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda j: F.when((c("pos") % 9 == 4) & (j > 4), 0.0).when((j + c("pos")) % 6 == 0, 0.0).otherwise(1.0))
+    rows = h.select("pos", c("joints").alias("body"), "pixels", sure.alias("confidence"), F.array(*[F.lit(v) for v in CAMERA]).alias("camera"), "turn")
+    found = pnp.pose_from_points(rows, pnp.Gates(0.5, 1.0))
+    off = F.when(c("rotation").isNotNull(), V.rotation_degrees(c("rotation"), c("turn")))
+    status = F.when(c("status").isin("behind", "far_off"), "rejected").otherwise(c("status"))
+    return found.select("pos", status.alias("status"), F.coalesce(F.round(off, 2), F.lit(0.0)).alias("off"), *[(F.coalesce(F.round(F.get("shift", F.lit(i)), 4), F.lit(0.0)) + 0.0).alias(f"t{a}") for i, a in enumerate("xyz")])
+
+
+def camera_correction(s, d):
+    """Cameras a little out of place, corrected by the hands of even groups: how far the hands of
+    odd groups are apart before and after."""
+    c = F.col
+    rig = _poses(s)
+    k = F.substring("camera_id", 2, 1).cast("double")
+    turn = F.array(V.vec(F.cos(k * 0.02), -F.sin(k * 0.02), F.lit(0.0)), V.vec(F.sin(k * 0.02), F.cos(k * 0.02), F.lit(0.0)), V.vec(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    true = rig.select("camera_id", pnp.product(turn, c("rotation")).alias("rotation"), F.zip_with(V.rotated(turn, c("origin")), V.vec(k * 0.03, k * -0.02, k * 0.01), lambda a, b: a + b).alias("origin"))
+    hands = _body(s, d).where("camera_id = 'C0'").select("group_id", "hand", "joints", "turn", "place")
+    seen = hands.withColumn("camera_id", F.explode(F.array(*[F.lit(f"C{i}") for i in range(4)]))).join(F.broadcast(true), "camera_id")
+    in_rig = F.transform("joints", lambda p: F.zip_with(V.rotated(c("turn"), p), "place", lambda a, b: a + b))
+    noise = lambda j, i: (F.pmod(F.xxhash64("group_id", "hand", "camera_id", j, F.lit(i)), F.lit(1000)) / 1000.0 - 0.5) * 0.4
+
+    def pixel(p: Column, j: Column) -> Column:
+        q = V.project(V.rotated(pnp.transposed(c("rotation")), V.sub(p, c("origin"))), *CAMERA)
+        return V.vec(V.at(q, 0) + noise(j, 0), V.at(q, 1) + noise(j, 1))
+
+    rows = seen.withColumn("in_rig", in_rig).select("group_id", "hand", "camera_id", c("joints").alias("body"), F.transform("in_rig", pixel).alias("pixels"), F.lit(None).cast("array<double>").alias("confidence"), F.array(*[F.lit(v) for v in CAMERA]).alias("camera"))
+    deltas = cut(pnp.camera_deltas(pnp.pose_from_points(rows), rig, {"Left": "C0", "Right": "C0"}, ["group_id"]))
+    fixes = pnp.camera_corrections(deltas.where("group_id % 2 = 0"), 10.0, 0.2, 10)
+    found = pnp.held_out(deltas.where("group_id % 2 = 1"), rig, fixes)
+    return found.select("camera_id", "measure", "stage", "count", *r6("mean", "median", "p95"))
+
+
 def pose_delta(s, d):
     """The robust mean of each camera's palm poses."""
     found = poses.robust_delta(_palm_poses(s, d), ["camera_id"], 120.0, 0.5, 3)
@@ -856,7 +901,7 @@ ALL = (
     triangulate_rays, one_euro, one_euro_bones, view_pivot, view_quality, axis_affine, triangulate_subsets, chunk_overlap,
     palm_candidates, candidate_choice, job_hypotheses, label_precedence, joint_spaces, last_hands, primary_fusion, calibration, pose_residual, pixel_correction, glove_hands,
     dense_frames, seed_hands, linked_tracks, stable_tracks, rig_rays, ray_states, pose_delta, pose_consistency, first_groups, box_shapes, byte_account, detection_ratios, build_targets,
-    live_fusion, refined_candidates, replay_metrics, refined_points, keyframe_tracks, tracker_replay, moved_boxes,
+    live_fusion, refined_candidates, replay_metrics, refined_points, keyframe_tracks, tracker_replay, moved_boxes, pose_from_points, camera_correction,
 )
 
 

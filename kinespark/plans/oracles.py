@@ -596,6 +596,11 @@ SELECT {_K}, camera_id, {_r('cost')} FROM (SELECT *, row_number() OVER (PARTITIO
         "fuse_mean_smoothed": _gaussian(),
         "bone_median_of_medians": f"WITH {_BONES}, m AS (SELECT hand, camera_id, bone, median(length) AS m FROM lengths GROUP BY ALL HAVING count(*) >= 3) SELECT hand, bone, round(median(m), 6) + 0.0 AS length, count(*) AS cameras FROM m GROUP BY hand, bone",
         "palm_local": _palm(),
+        # the poses that made the pixels: the solver has to find them again
+        "pose_from_points": f"""WITH {_HANDS}, judged AS (
+  SELECT *, CASE WHEN pos % 9 = 4 THEN 'few_points' WHEN pos % 13 = 5 THEN 'rejected' ELSE 'estimated' END AS status FROM hands
+) SELECT pos, status, 0.0::DOUBLE AS off, CASE WHEN status = 'estimated' THEN round(quality - 0.5, 4) ELSE 0.0 END AS tx,
+  CASE WHEN status = 'estimated' THEN round(pos % 7 * 0.05, 4) ELSE 0.0 END AS ty, CASE WHEN status = 'estimated' THEN (9 + pos % 5)::DOUBLE ELSE 0.0 END AS tz FROM judged""",
         "eval_grouping_sets": f"WITH {errors}, o AS (SELECT concat_ws('_', CASE WHEN grouping(hand) = 0 THEN 'hand' END, CASE WHEN grouping(finger) = 0 THEN 'finger' END, CASE WHEN grouping(joint) = 0 THEN 'joint' END) AS level, hand, finger, joint, {stats} FROM errors GROUP BY GROUPING SETS ((), (hand), (finger), (joint), (hand, finger))) SELECT CASE WHEN level = '' THEN 'overall' ELSE level END AS level, hand, finger, coalesce(joint, -1) AS joint, n, {_r('mean', 'median', 'rmse', 'p90', 'p95', 'max')} FROM o",
         "gate_diagnostics_3way": f"WITH {_GATE}, g AS (SELECT bucket, base.error - gated.error AS gain FROM base JOIN gated USING ({_K})) SELECT bucket, count(*) AS n, round(avg(gain), 6) + 0.0 AS mean, round(median(gain), 6) + 0.0 AS median, round(avg((gain > 1e-9)::DOUBLE), 6) + 0.0 AS positive FROM g GROUP BY bucket",
         "prefer_gated": f"WITH {_GATE}, g AS (SELECT * FROM gated WHERE group_id % 3 <> 1), o AS (SELECT {_K}, coalesce(g.error < 1.2, false) AS replaced, CASE WHEN g.error < 1.2 THEN g.error ELSE base.error END AS error FROM base LEFT JOIN g USING ({_K})) SELECT {_K}, {_r('error')}, replaced FROM o",
