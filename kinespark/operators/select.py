@@ -25,16 +25,30 @@ def stride_by_group(df: DataFrame, n: int) -> DataFrame:
     return df.where(F.col("group_id") % n == 0)
 
 
+#: Ids of a range that one task ranks.
+RANGE = 4096
+
+
+def ranked(df: DataFrame, keys: list[str], order: str, name: str, ties: list[str] = []) -> DataFrame:
+    """df with each row's rank from 0 within its keys (null is none) by `order`, an integer, then
+    `ties`. Ranges of ids are counted first and ranked by themselves, so that few keys make as
+    many tasks as many."""
+    ranged = df.withColumn("__range", F.floor(F.col(order) / RANGE))
+    counts = ranged.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(order, *ties))
+    return ranged.withColumn("__own", own).join(counts, [*keys, "__range"]).withColumn(name, F.col("__before") + F.col("__own") - 1).drop("__range", "__before", "__own")
+
+
 def stride_by_rank(df: DataFrame, keys: list[str], order: list[str], n: int, offset: int = 0) -> DataFrame:
-    """Every n-th row of each key in order, from `offset` on."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return df.withColumn("__rank", rank).where(F.col("__rank") % n == offset).drop("__rank")
+    """Every n-th row of each key in order (an integer first), from `offset` on."""
+    return ranked(df, keys, order[0], "__rank", order[1:]).where(F.col("__rank") % n == offset).drop("__rank")
 
 
 def chunks(groups: DataFrame, keys: list[str], size: int) -> DataFrame:
     """(keys, chunk, low, high, n): ordered distinct group ids in chunks of `size`."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("group_id")) - 1
-    dealt = groups.select(*keys, "group_id").distinct().withColumn("chunk", F.floor(rank / size))
+    dealt = ranked(groups.select(*keys, "group_id").distinct(), keys, "group_id", "__rank").withColumn("chunk", F.floor(F.col("__rank") / size))
     return dealt.groupBy(*keys, "chunk").agg(F.min("group_id").alias("low"), F.max("group_id").alias("high"), F.count("*").alias("n"))
 
 

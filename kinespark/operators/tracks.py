@@ -15,7 +15,7 @@ from kinespark.functions import vectors as V
 from kinespark.streaming import labels
 
 from .boxes import _iou
-from .select import first_by
+from .select import first_by, ranked
 
 #: Frames over which a track is remembered, and the overlap that continues it.
 MEMORY, CONTINUES = 8, 0.20
@@ -24,8 +24,8 @@ WEAK, STRONG, STRONG_SCORE = 1.0, 2.0, 0.85
 
 
 def dense_index(df: DataFrame, keys: list[str], order: list[str], name: str = "video_frame_index") -> DataFrame:
-    """df with the rows of each key numbered from 0."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    """df with the rows of each key numbered from 0 in order, an integer first."""
+    return ranked(df, keys, order[0], name, order[1:])
 
 
 def seeds(boxes: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
@@ -80,14 +80,14 @@ def linked(boxes: DataFrame, exclusive: bool = True) -> DataFrame:
     return rows.mapInPandas(run, "camera_id string, video_frame_index long, n long, box array<double>, track long")
 
 
-def frame_tracks(frames: DataFrame, tracked: DataFrame, most: int = 2) -> DataFrame:
-    """Every frame (camera_id, video_frame_index) with up to `most` of its tracks as an array, in
+def frame_tracks(frames: DataFrame, tracked: DataFrame, most: int | None = 2) -> DataFrame:
+    """Every frame (camera_id, video_frame_index) with up to `most` (None: all) of its tracks as an array, in
     order of their names, each with its largest box; frames without tracks have an empty one."""
     keys = ["camera_id", "video_frame_index"]
     one = first_by(tracked.withColumn("__area", V.area(F.col("box"))), [*keys, "track"], [F.desc("__area"), F.asc("n")])
     name = F.concat("camera_id", F.lit("_p"), F.lpad(F.col("track").cast("string"), 2, "0"))
     named = one.withColumn("name", F.when(F.length(F.col("track").cast("string")) > 2, F.concat("camera_id", F.lit("_p"), F.col("track").cast("string"))).otherwise(name))
-    kept = first_by(named, keys, [F.asc("name")], most).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("name", "n"))).alias("hands"))
+    kept = (named if most is None else first_by(named, keys, [F.asc("name")], most)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("name", "n"))).alias("hands"))
     return frames.select(*keys).join(kept, keys, "left").withColumn("hands", F.coalesce("hands", F.array().cast("array<struct<name:string,n:bigint>>")))
 
 
@@ -95,30 +95,30 @@ def vote_weight(score: Column, strong: float = STRONG_SCORE) -> Column:
     return F.when(score >= strong, STRONG).otherwise(WEAK)
 
 
-def exclusive_labels(rows: list[dict]) -> None:
-    """Two hands of a frame exclude each other: an unknown one takes the other side of a known
-    one, and of two with one label the weaker (confidence, and a hundredth for each time its
-    track was seen) changes. Frames with another number of hands stay as they are."""
-    other = {"Left": "Right", "Right": "Left"}
-    if len(rows) != 2:
-        return
-    a, b = (r["label"] for r in rows)
-    if a in other and b == "unknown":
-        rows[1] |= {"label": other[a], "source": "mutual_exclusion"}
-    elif b in other and a == "unknown":
-        rows[0] |= {"label": other[b], "source": "mutual_exclusion"}
-    elif a == b and a in other:
-        weak = 0 if rows[0]["confidence"] + 0.01 * rows[0]["seen"] < rows[1]["confidence"] + 0.01 * rows[1]["seen"] else 1
-        rows[weak] |= {"label": other[a], "source": "mutual_exclusion_duplicate_repair"}
+def exclusive_labels(rows: DataFrame) -> DataFrame:
+    """rows (camera_id, video_frame_index, n, label, source, confidence, seen) where two hands of a
+    frame exclude each other: an unknown one takes the other side of a known one, and of two with
+    one label the weaker (confidence, and a hundredth for each time its track was seen; the second
+    of equals) changes. Frames with another number of hands stay as they are."""
+    frame = Window.partitionBy("camera_id", "video_frame_index")
+    mine = F.struct("label", (F.col("confidence") + 0.01 * F.col("seen")).alias("strength"))
+    before, after = (f(mine).over(frame.orderBy("n")) for f in (F.lag, F.lead))
+    pair = rows.withColumns({"__mine": mine, "__before": before, "__other": F.coalesce(before, after), "__two": F.count("*").over(frame) == 2})
+    opposite = F.when(F.col("__other.label") == "Left", "Right").when(F.col("__other.label") == "Right", "Left")
+    fills = F.col("__two") & (F.col("label") == "unknown") & opposite.isNotNull()
+    weaker = F.when(F.col("__before").isNull(), F.col("__mine.strength") < F.col("__other.strength")).otherwise(F.col("__mine.strength") <= F.col("__other.strength"))
+    repairs = F.col("__two") & (F.col("label") == F.col("__other.label")) & opposite.isNotNull() & weaker
+    source = F.when(fills, "mutual_exclusion").when(repairs, "mutual_exclusion_duplicate_repair").otherwise(F.col("source"))
+    return pair.withColumns({"label": F.when(fills | repairs, opposite).otherwise(F.col("label")), "source": source}).drop("__mine", "__before", "__other", "__two")
 
 
 STABLE = "camera_id string, video_frame_index long, n long, track string, label string, source string, confidence double, seen long"
 
 
-def stabilised(df: DataFrame, most: int = 2) -> DataFrame:
+def stabilised(df: DataFrame, most: int | None = 2) -> DataFrame:
     """Stable labels of tracked hands. df: camera_id, video_frame_index, n, box, track_id (null:
     linked by overlap), vote and weight (a detector's label and its weight, or null). Of a frame
-    the first `most` hands by n count. A track's votes lock its label, see labels.step(); then the
+    the first `most` hands by n count (None: all). A track's votes lock its label, see labels.step(); then the
     hands of a frame exclude each other. Streams in frame order within a camera, whose tracks are
     remembered for MEMORY frames, their labels for good."""
 
@@ -146,7 +146,6 @@ def stabilised(df: DataFrame, most: int = 2) -> DataFrame:
                     source = kind if state[0] == "unknown" else f"flipped_by_{kind}"
                 states[track] = (after, source, seen + 1)
                 found.append({"n": n, "track": track, "label": after[0], "source": source, "confidence": after[4], "seen": seen + 1})
-            exclusive_labels(found)
             out += [(c, f, *r.values()) for r in found]
             if len(out) > 10_000:
                 yield pd.DataFrame(out, columns=[x.split()[0] for x in STABLE.split(", ")])
@@ -155,4 +154,5 @@ def stabilised(df: DataFrame, most: int = 2) -> DataFrame:
             yield pd.DataFrame(out, columns=[x.split()[0] for x in STABLE.split(", ")])
 
     columns = ["camera_id", "video_frame_index", "n", "box", F.col("track_id").cast("string").alias("track_id"), "vote", F.coalesce("weight", F.lit(0.0)).alias("weight")]
-    return df.select(*columns).repartition("camera_id").sortWithinPartitions("camera_id", "video_frame_index", "n").mapInPandas(run, STABLE)
+    found = df.select(*columns).repartition("camera_id").sortWithinPartitions("camera_id", "video_frame_index", "n").mapInPandas(run, STABLE)
+    return exclusive_labels(found)

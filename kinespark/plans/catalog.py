@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinespark.functions import params, scores, sides
+from kinespark.functions import masks, params, scores, sides
 from kinespark.functions import vectors as V
 from kinespark.operators import boxes as B
 from kinespark.operators import evaluate as E
-from kinespark.operators import calibrate, fit, fuse, hypotheses, motion, pnp, poses, primary, rays, refine, select, temporal, tracks
+from kinespark.operators import calibrate, fit, fuse, hypotheses, motion, pnp, poses, primary, rays, refine, select, shapes, temporal, tracks
 from kinespark.operators import candidates as C
 from kinespark.plans import oracles
 from kinespark.sources import glove
@@ -243,6 +243,24 @@ def weighted_median(s, d):
     return fuse.weighted_median(h, ["group_id", "hand", "joint"], "x", "w").select("group_id", "hand", "joint", *r6("x"))
 
 
+def sequence_shape(s, d):
+    """The shape of each sequence's hands: weighted medians of the 40 best by quality."""
+    h = fuse.root_relative(R.hands(s, d)).withColumn("shape", F.flatten("joints"))
+    found = shapes.sequence_shape(h, SERIES, "shape", "quality", 40, ["pos"])
+    return found.select(*SERIES, F.col("count").alias("n"), F.posexplode("shape").alias("d", "v")).select(*SERIES, "n", "d", *r6("v"))
+
+
+def mask_overlap(s, d):
+    """Pixels of each box and of the one that overlaps it most: overlap, coverages and score."""
+    boxes = R.detections(s, d)
+    left, right = (boxes.where(F.col("origin") == o) for o in ("mediapipe", "sam3"))
+    best = B.best_overlap(left, right, 0.25).where("match is not null").select(*B.KEYS, "n", "match")
+    both = best.join(left.select(*B.KEYS, "n", F.col("box").alias("a")), [*B.KEYS, "n"]).join(right.select(*B.KEYS, F.col("n").alias("match"), F.col("box").alias("b")), [*B.KEYS, "match"])
+    a, b = (masks.of_box(F.col(c), 1200, 900) for c in "ab")
+    found = both.withColumn("s", masks.scores(a, b)).withColumn("within", masks.containment(a, b))
+    return found.select(*B.KEYS, "n", "match", *[(F.round(F.col(f"s.{c}"), 6) + 0.0).alias(c) for c in ("iou", "reference_coverage", "candidate_coverage", "score")], *r6("within"))
+
+
 def chunk_groups(s, d):
     return select.chunks(R.hands(s, d), ["camera_id"], 16)
 
@@ -373,8 +391,11 @@ def triangulate_subsets(s, d):
 def chunk_overlap(s, d):
     """Each chunk of 16 ids with up to two ids of the same camera on either side."""
     h = R.hands(s, d).select("camera_id", "group_id").distinct()
-    spans = select.chunks(h, ["camera_id"], 16)
-    near = h.join(spans, "camera_id").where(F.col("group_id").between(F.col("low") - 2, F.col("high") + 2))
+    dealt = cut(select.ranked(h, ["camera_id"], "group_id", "rank").withColumn("own", F.floor(F.col("rank") / 16)))
+    spans = dealt.groupBy("camera_id", F.col("own").alias("chunk")).agg(F.min("group_id").alias("low"), F.max("group_id").alias("high"))
+    # a chunk holds 16 ids, so only its neighbours' ids can be within two of it
+    asked = dealt.withColumn("chunk", F.explode(F.array(*[F.col("own") + i for i in (-1, 0, 1)])))
+    near = asked.join(spans, ["camera_id", "chunk"]).where(F.col("group_id").between(F.col("low") - 2, F.col("high") + 2))
     return near.groupBy("camera_id", "chunk").agg(F.min("group_id").alias("low"), F.max("group_id").alias("high"), F.count("*").alias("n"))
 
 
@@ -631,8 +652,8 @@ def seed_hands(s, d):
 def linked_tracks(s, d):
     """Every frame with the tracks that overlap links."""
     f = _frames(s, d)
-    best = tracks.seeds(f, ["camera_id", "group_id"], 3).withColumn("n", F.col("rank").cast("long"))
-    found = tracks.frame_tracks(f.select("camera_id", F.col("video_frame_index").cast("long")).distinct(), tracks.linked(best))
+    best = tracks.seeds(f, ["camera_id", "group_id"]).withColumn("n", F.col("rank").cast("long"))
+    found = tracks.frame_tracks(f.select("camera_id", F.col("video_frame_index").cast("long")).distinct(), tracks.linked(best), None)
     return found.select("camera_id", F.col("video_frame_index").cast("long"), F.size("hands").alias("hands"), F.array_join(F.col("hands.name"), ",").alias("tracks"))
 
 
@@ -644,7 +665,7 @@ def stable_tracks(s, d):
     keys = ["group_id", "camera_id"]
     best = B.best_overlap(own, voters, 0.05).where("match is not null").join(voters.select(*keys, F.col("n").alias("match"), F.col("label").alias("vote"), tracks.vote_weight(F.col("score")).alias("weight")), [*keys, "match"])
     rows = own.withColumn("track_id", F.when(F.col("n") % 4 == 0, F.concat(F.lit("given"), (F.col("n") % 3).cast("string")))).join(best.select(*keys, "n", "vote", "weight"), [*keys, "n"], "left")
-    return tracks.stabilised(rows.withColumn("n", F.col("n").cast("long")).withColumn("video_frame_index", F.col("video_frame_index").cast("long"))).withColumn("confidence", F.round("confidence", 6))
+    return tracks.stabilised(rows.withColumn("n", F.col("n").cast("long")).withColumn("video_frame_index", F.col("video_frame_index").cast("long")), None).withColumn("confidence", F.round("confidence", 6))
 
 
 def _tracker_frames(s, d) -> DataFrame:
@@ -901,7 +922,7 @@ ALL = (
     triangulate_rays, one_euro, one_euro_bones, view_pivot, view_quality, axis_affine, triangulate_subsets, chunk_overlap,
     palm_candidates, candidate_choice, job_hypotheses, label_precedence, joint_spaces, last_hands, primary_fusion, calibration, pose_residual, pixel_correction, glove_hands,
     dense_frames, seed_hands, linked_tracks, stable_tracks, rig_rays, ray_states, pose_delta, pose_consistency, first_groups, box_shapes, byte_account, detection_ratios, build_targets,
-    live_fusion, refined_candidates, replay_metrics, refined_points, keyframe_tracks, tracker_replay, moved_boxes, pose_from_points, camera_correction,
+    live_fusion, refined_candidates, replay_metrics, refined_points, keyframe_tracks, tracker_replay, moved_boxes, pose_from_points, camera_correction, sequence_shape, mask_overlap,
 )
 
 

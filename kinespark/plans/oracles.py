@@ -596,6 +596,24 @@ SELECT {_K}, camera_id, {_r('cost')} FROM (SELECT *, row_number() OVER (PARTITIO
         "fuse_mean_smoothed": _gaussian(),
         "bone_median_of_medians": f"WITH {_BONES}, m AS (SELECT hand, camera_id, bone, median(length) AS m FROM lengths GROUP BY ALL HAVING count(*) >= 3) SELECT hand, bone, round(median(m), 6) + 0.0 AS length, count(*) AS cameras FROM m GROUP BY hand, bone",
         "palm_local": _palm(),
+        "sequence_shape": f"""WITH {_ROOT}, best AS (
+  SELECT sequence_id, hand, pos FROM (SELECT sequence_id, hand, pos, row_number() OVER (PARTITION BY sequence_id, hand ORDER BY quality DESC, pos) AS r FROM hands) WHERE r <= 40
+), long AS (
+  SELECT r.sequence_id, r.hand, 3 * joint + axis AS d, [x, y, z][axis + 1] AS v, greatest(quality, 1e-3) AS w FROM root r JOIN best USING (sequence_id, hand, pos), range(3) AS t(axis)
+), running AS (
+  SELECT *, sum(w) OVER (PARTITION BY sequence_id, hand, d ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, sum(w) OVER (PARTITION BY sequence_id, hand, d) AS total,
+    count(*) OVER (PARTITION BY sequence_id, hand, d) AS n FROM long
+) SELECT sequence_id, hand, n, CAST(d AS INTEGER) AS d, round(greatest(-3, least(3, min(v))), 6) + 0.0 AS v FROM running WHERE run >= 0.5 * total - 1e-12 GROUP BY sequence_id, hand, n, d""",
+        "mask_overlap": f"""WITH {_OVERLAP.format(least=0.25)}, pixels AS (
+  SELECT group_id, camera_id, n, greatest(0, ceil(x1 - 0.5)) AS l, greatest(0, ceil(y1 - 0.5)) AS t, least(1200, ceil(x2 - 0.5)) AS r, least(900, ceil(y2 - 0.5)) AS b FROM boxes
+), counted AS (
+  SELECT f.group_id, f.camera_id, f.n, f.match, greatest(0, p.r - p.l) * greatest(0, p.b - p.t) AS a1, greatest(0, q.r - q.l) * greatest(0, q.b - q.t) AS a2,
+    greatest(0, least(p.r, q.r) - greatest(p.l, q.l)) * greatest(0, least(p.b, q.b) - greatest(p.t, q.t)) AS i
+  FROM found f JOIN pixels p USING (group_id, camera_id, n) JOIN pixels q ON q.group_id = f.group_id AND q.camera_id = f.camera_id AND q.n = f.match
+), shares AS (
+  SELECT *, coalesce(i / nullif(a1 + a2 - i, 0), 0) AS iou, coalesce(i / nullif(a1, 0), 0) AS reference_coverage, coalesce(i / nullif(a2, 0), 0) AS candidate_coverage FROM counted
+) SELECT group_id, camera_id, n, match, round(iou, 6) + 0.0 AS iou, round(reference_coverage, 6) + 0.0 AS reference_coverage, round(candidate_coverage, 6) + 0.0 AS candidate_coverage,
+  round(0.45 * iou + 0.45 * reference_coverage + 0.10 * candidate_coverage, 6) + 0.0 AS score, round(coalesce(i / nullif(least(a1, a2), 0), 0), 6) + 0.0 AS within FROM shares""",
         # the poses that made the pixels: the solver has to find them again
         "pose_from_points": f"""WITH {_HANDS}, judged AS (
   SELECT *, CASE WHEN pos % 9 = 4 THEN 'few_points' WHEN pos % 13 = 5 THEN 'rejected' ELSE 'estimated' END AS status FROM hands

@@ -364,9 +364,23 @@ def test_stable_tracks(spark):
     assert [got["C0", f, 2]["label"] for f in range(4)] == ["unknown", "unknown", "Right", "Right"] and got["C0", 2, 2]["source"] == "mutual_exclusion"
     assert got["C0", 20, 1]["track"] == "C0_s03" and got["C0", 20, 1]["label"] == "unknown"  # a track forgotten
     assert got["C1", 1, 1]["label"] == "Right" and got["C1", 1, 1]["source"] == "mediapipe_strong" and got["C1", 2, 1]["seen"] == 3
-    pair = [{"label": "Left", "confidence": 0.5, "seen": 9, "source": "a"}, {"label": "Left", "confidence": 0.55, "seen": 1, "source": "b"}]
-    tracks.exclusive_labels(pair)
-    assert [p["label"] for p in pair] == ["Left", "Right"] and pair[1]["source"] == "mutual_exclusion_duplicate_repair"
+    assert len(tracks.stabilised(df, None).where("camera_id = 'C0' and video_frame_index = 3").collect()) == 3
+
+
+def test_exclusive_labels(spark):
+    rows = [
+        (0, 1, "Left", 0.5, 9), (0, 2, "Left", 0.55, 1), (1, 1, "Left", 0.5, 1), (1, 2, "Left", 0.5, 1), (2, 1, "Right", 0.1, 1), (2, 2, "Right", 0.5, 1), (3, 1, "unknown", 0.1, 1), (3, 2, "Right", 0.5, 1),
+        (4, 1, "Right", 0.1, 1), (4, 2, "unknown", 0.5, 1), (5, 1, "unknown", 0.1, 1), (5, 2, "unknown", 0.5, 1), (6, 1, "Left", 0.1, 1), (6, 2, "Right", 0.5, 1), (7, 1, "Left", 0.1, 1), *((8, n, "Left", 0.1, 1) for n in range(3)),
+    ]
+    df = spark.createDataFrame([("C", f, n, label, "own", c, seen) for f, n, label, c, seen in rows], "camera_id string, video_frame_index long, n long, label string, source string, confidence double, seen long")
+    got = {}
+    for r in tracks.exclusive_labels(df).orderBy("video_frame_index", "n").collect():
+        got.setdefault(r.video_frame_index, []).append((r.label, r.source))
+    own, fill, fix = "own", "mutual_exclusion", "mutual_exclusion_duplicate_repair"
+    assert got == {
+        0: [("Left", own), ("Right", fix)], 1: [("Left", own), ("Right", fix)], 2: [("Left", fix), ("Right", own)], 3: [("Left", fill), ("Right", own)], 4: [("Right", own), ("Left", fill)],
+        5: [("unknown", own)] * 2, 6: [("Left", own), ("Right", own)], 7: [("Left", own)], 8: [("Left", own)] * 3,
+    }
 
 
 def test_seed_frames(spark):
