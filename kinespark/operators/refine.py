@@ -301,18 +301,20 @@ def _frames(hands: list[str], rows: list, rules: Rules) -> Frames:
     deep = max((int(np.bincount(j).max()) for j in joint if len(j)), default=1)
     frames = Frames(np.full((n, JOINTS, 3), np.nan), np.zeros((n, JOINTS, deep, 3)), np.zeros((n, JOINTS, deep, 3)), np.full((n, JOINTS, deep), -1), np.zeros((n, JOINTS, deep), bool), cameras)
     for h, own in enumerate(rows):
-        at = [0] * JOINTS
-        for r in own:
+        slots: dict[tuple, int] = {}
+        number_at = [0] * JOINTS
+        for r in sorted(own, key=lambda r: (r["joint"], r["camera_id"] or "", *(v if v is not None else -np.inf for v in (r[c] for c in ("x", "y", "z", "dx", "dy", "dz"))))):
             j, place = r["joint"], [r["x"], r["y"], r["z"]]
             if None in place:
                 continue
             if r["camera_id"] is None:
                 frames.seeds[h, j] = place
             elif None not in (r["dx"], r["dy"], r["dz"]):
-                frames.o[h, j, at[j]], frames.d[h, j, at[j]] = place, [r["dx"], r["dy"], r["dz"]]
-                frames.camera[h, j, at[j]] = number[r["camera_id"]]
-                frames.main[h, j, at[j]] = r["camera_id"] == rules.primary.get(hands[h])
-                at[j] += 1
+                k = slots.setdefault((j, r["camera_id"]), number_at[j])
+                number_at[j] += k == number_at[j]
+                frames.o[h, j, k], frames.d[h, j, k] = place, [r["dx"], r["dy"], r["dz"]]
+                frames.camera[h, j, k] = number[r["camera_id"]]
+                frames.main[h, j, k] = r["camera_id"] == rules.primary.get(hands[h])
     frames.d = _unit(frames.d)
     return frames
 
@@ -326,7 +328,8 @@ def refined(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     A row is a ray of a camera (origin and direction in the rig) or, without a camera, the seed of
     a joint. Frames go by group_id within (sequence_id, hand); a sequence starts without a hand
-    before. Rows with a null place or direction, or a joint that a hand hasn't, don't count.
+    before. Rows with a null place or direction, or a joint that a hand hasn't, don't count; of
+    several rays of a camera at a joint, or seeds of one, the greatest by its numbers counts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

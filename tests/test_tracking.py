@@ -251,7 +251,7 @@ def test_keyframe_tracks(spark, most):
     df = spark.createDataFrame(rows, FRAMES).repartition(7)
     found = tracker.tracked(df, rules)
     got = sorted((r.camera_id, r.frame, r.track, r.age, round(r.score, 9)) for r in tracker.live(found).collect())
-    assert got == _tracked_directly(rows, rules) and len(got) > 100
+    assert got == _tracked_directly(rows, rules) and len(got) > 80
     # a number that has ended never comes back
     every = found.toPandas()
     for (_, track), own in every.groupby(["camera_id", "track"]):
