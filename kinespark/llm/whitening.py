@@ -29,8 +29,8 @@ _TOTALS = "at int, high decimal(38,0), low decimal(38,0)"
 
 def _integers(column: pa.Array, scale: int, shift: int, size: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(rows, x): which vectors take part, and their entries floor(scale * c) + shift as longs.
-    Out are null vectors, those with null or non-finite entries or entries beyond a long, empty
-    ones, and those that aren't of this size."""
+    Out are null vectors, those with null or non-finite entries or integers of 2^61 or more in
+    size, empty ones, and those that aren't of this length."""
     n = len(column)
     lengths = np.asarray(column.value_lengths().fill_null(0))
     if size is None:
@@ -172,7 +172,7 @@ def whiten(vectors: DataFrame, components: int = 8, column: str = "embedding", k
     usable vector and each of the first `components` components.
 
     An entry c becomes x = floor(scale * c) + shift. Null vectors, empty ones, those with null or
-    non-finite entries (or entries beyond a long), and those of another length than the table's
+    non-finite entries (or integers of 2^61 or more in size), and those of another length than the table's
     commonest take no part. deviation is the sum over dimensions of (n x - S)^2, exact, and null
     beyond a long; whitened is x - S / n on the component over the root of its eigenvalue;
     explained the eigenvalue's share of the trace; identity_error the largest absolute entry of
