@@ -1,14 +1,14 @@
 """Two tokenizers' tokens of the same text, aligned by bytes, and how often they meet.
 
 A is a byte-level tokenizer (tokenizers library) of " " + text, B a piece model with byte fallback
-(sentencepiece) of the text, to which it adds that space. The libraries' spans are coarse cuts:
-they name characters, so tokens that share one (a multibyte character in A, byte pieces in B) are
-cut further by their own bytes.
+(sentencepiece) of the text, to which it adds that space. A token ends where the bytes of the
+tokens up to it do, once these bytes are found to be the text's; the libraries' spans name
+characters, and several tokens may share one.
 
 Both tokenizers work on short stretches of a text by themselves: A's pre-tokens, joined where a
 piece of B has the two characters at the cut side by side and so may join over it. Each distinct
-stretch is encoded and aligned once, many together, and texts are put together from stretches. In
-a run of bytes both tokenizers' ends together cut it into segments; each lies in one token of A
+stretch is encoded and aligned once, many together, and texts are put together from stretches;
+those met often are kept. In a run of bytes both tokenizers' ends together cut it into segments; each lies in one token of A
 and one of B, and these are the links.
 
 How many documents hold a pair of ids linked is counted like words: a pass over the texts turns a
@@ -23,7 +23,7 @@ import hashlib
 import os
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -90,95 +90,91 @@ class Aligner:
         pairs = {w[i : i + 2] for w in whole for i in range(len(w) - 1)}
         self.side_by_side = np.sort(np.array([ord(p[0]) << 21 | ord(p[1]) for p in pairs], np.int64))
         self.split = _splitter(a_path)
+        self.a_size = np.array([len(self.a_bytes.get(i, b"")) for i in range(max(self.a_bytes) + 1)])
+        self.b_size = np.array([len(x) for x in self.b_bytes])
         # each id as text, with what follows it: within its side, and at its side's end in a group
-        self.a_text = [[f"{i}{end}" for i in range(max(self.a_bytes) + 1)] for end in ",|"]
-        self.b_text = [[f"{i}{end}" for i in range(len(self.b_bytes))] for end in ",;"]
+        sides = [(len(self.a_size), ",|"), (len(self.b_size), ",;")]
+        self.names = np.array([f"{i}{end}" for n, ends in sides for end in ends for i in range(n)], object)
         self._clear()
 
     def _clear(self) -> None:
-        self.number: defaultdict[str | tuple[str, ...], int] = defaultdict()
-        self.number.default_factory = self.number.__len__
+        self._number([])
         self.texts: list[str | None] = []
-        room = STRETCHES + BLOCK + 1
+        room = STRETCHES + 2 * BLOCK + 1  # a block is looked up once it is passed, by a text of its size at most
         self.ends_in = np.zeros((2, room), np.int64)  # first and last character
         self.sizes = np.zeros((room, 3), np.int64)
+        self.uses = np.zeros(room, np.int64)
         self.start = np.zeros(room + 1, np.int64)
         self.codes = np.empty(1 << 18, np.uint64)
 
-    def _tokens_a(self, pieces: tuple[str, ...], encodings) -> tuple[list[int], list[int]] | None:
-        ids, ends, base = [], [], 0
-        for text, e in zip(pieces, encodings, strict=True):
-            data, own, spans = text.encode(), e.ids, e.offsets
-            parts = [self.a_bytes[i] for i in own]
-            if b"".join(parts) != data:
-                return None
-            ids += own
-            if len(text) == len(data):
-                ends += [base + hi for _, hi in spans]
-            else:
-                end = 0
-                for k, (lo, hi) in enumerate(spans):
-                    shared = (k and spans[k - 1][1] > lo) or (k + 1 < len(spans) and spans[k + 1][0] < hi)
-                    end = end + len(parts[k]) if shared else len(text[:hi].encode())
-                    ends.append(base + end)
-            base += len(data)
-        return ids, ends
-
-    def _tokens_b(self, data: bytes, found: dict) -> tuple[list[int], list[int]] | None:
-        ids, spans = found["ids"], found["offsets"]
-        parts = [self.b_bytes[i] for i in ids]
-        if b"".join(parts) != data:
-            return None
-        ends, end = [], 0
-        for part, (lo, hi) in zip(parts, spans, strict=True):
-            # a byte piece has no span of its own, the last of a character has that of all
-            end = hi if hi - lo == len(part) else end + len(part)
-            ends.append(end)
-        return ids, ends
-
-    def tokens(self, keys: list[str | tuple[str, ...]]) -> list[tuple[list[int], ...] | None]:
-        """(ids and byte ends of A, ids and byte ends of B) of stretches, each a pre-token or a
-        tuple of joined ones; None where a tokenizer's bytes aren't the stretch's."""
-        pieces = [(k,) if isinstance(k, str) else k for k in keys]
-        texts = ["".join(p) for p in pieces]
-        of_a = iter(self.a.encode_batch([x for p in pieces for x in p], add_special_tokens=False))
-        of_b = self.b.encode(texts, return_type="offset_mapping", return_bytes=True, num_threads=1)
-        out = []
-        for own, text, found in zip(pieces, texts, of_b, strict=True):
-            a = self._tokens_a(own, list(islice(of_a, len(own))))
-            b = a and self._tokens_b(text.encode(), found)
-            out.append((*a, *b) if b else None)
-        return out
+    def _number(self, keys: list[str | tuple[str, ...]]) -> None:
+        self.number: defaultdict[str | tuple[str, ...], int] = defaultdict(None, zip(keys, range(len(keys)), strict=True))
+        self.number.default_factory = self.number.__len__
+
+    def _make_room(self) -> None:
+        """Where too many stretches are known, keep two thirds at most: the most used, if used more
+        than once."""
+        n = len(self.number)
+        if n <= STRETCHES:
+            return
+        at = np.argsort(-self.uses[:n], kind="stable")[: 2 * STRETCHES // 3]
+        at = np.sort(at[self.uses[at] > 1])
+        keys, texts, k = list(self.number), self.texts, len(at)
+        self.codes, many = self._codes(at)
+        self.start[1 : k + 1] = np.cumsum(many)
+        self.ends_in[:, :k], self.sizes[:k], self.uses[:k] = self.ends_in[:, at], self.sizes[at], self.uses[at] // 2
+        self.uses[k:] = 0
+        self.texts = [texts[i] for i in at.tolist()]
+        self._number([keys[i] for i in at.tolist()])
+
+    def tokens(self, keys: list[str | tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Which stretches, each a pre-token or a tuple of joined ones, both tokenizers keep to the
+        byte; and of these, one behind another: the bytes where each ends, ids of A and of B, and
+        the bytes where these end."""
+        data = ["".join(k).encode() for k in keys]
+        of_a = self.a.encode([x for k in keys for x in ((k,) if isinstance(k, str) else k)], is_pretokenized=True, add_special_tokens=False).ids
+        of_b = self.b.encode(data, out_type=int, num_threads=1)
+        ids, there = (of_a, list(chain.from_iterable(of_b))), np.ones(len(keys), bool)
+        arrays, last, ends = self._ends(data, ids)
+        whole = b"".join(data)
+        if not all(b"".join(map(of.__getitem__, i)) == whole and np.isin(last, e).all() for of, i, e in zip((self.a_bytes, self.b_bytes), ids, ends, strict=True)):
+            pieces = [(k,) if isinstance(k, str) else k for k in keys]
+            each = iter(self.a.encode_batch([x for p in pieces for x in p], add_special_tokens=False))
+            own = [[i for e in islice(each, len(p)) for i in e.ids] for p in pieces]
+            same = [all(b"".join(of[i] for i in x) == d for of, x in ((self.a_bytes, a), (self.b_bytes, b))) for a, b, d in zip(own, of_b, data, strict=True)]
+            there = np.array(same, bool)
+            ids = tuple([i for x, ok in zip(of, same, strict=True) if ok for i in x] for of in (own, of_b))
+            arrays, last, ends = self._ends([d for d, ok in zip(data, same, strict=True) if ok], ids)
+        return there, last, arrays, ends
+
+    def _ends(self, data: list[bytes], ids: tuple[list[int], list[int]]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+        arrays = [np.array(i, np.int64) for i in ids]
+        last = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
+        return arrays, last, [np.cumsum(of[i]) for of, i in zip((self.a_size, self.b_size), arrays, strict=True)]
 
     def _learn(self, keys: list[str | tuple[str, ...]]) -> tuple[list[str | None], np.ndarray, np.ndarray, np.ndarray]:
         """(groups as text or None, numbers of A tokens, B tokens and groups, numbers of links,
         pairs of all links) of stretches."""
-        found = self.tokens(keys)
-        good = [x for x in found if x]
-        if not good:
-            return [None] * len(keys), np.zeros((len(keys), 3), np.int64), np.zeros(len(keys), np.int64), np.empty(0, np.uint64)
-        n_a, n_b = (np.array([len(x[i]) for x in good]) for i in (0, 2))
-        last = np.cumsum([x[1][-1] for x in good])
-        base = np.r_[0, last[:-1]]
-        ids = [np.array([v for x in good for v in x[i]], np.int64) for i in (0, 2)]
-        ends = [np.array([v for x in good for v in x[i]], np.int64) + np.repeat(base, n) for i, n in ((1, n_a), (3, n_b))]
-        cuts, common = np.union1d(*ends), np.intersect1d(*ends, assume_unique=True)
+        there, last, ids, ends = self.tokens(keys)
+        sizes, many = np.zeros((len(keys), 3), np.int64), np.zeros(len(keys), np.int64)
+        if not len(last):
+            return [None] * len(keys), sizes, many, np.empty(0, np.uint64)
+        both = np.sort(np.concatenate(ends), kind="stable")
+        twice = both[1:] == both[:-1]
+        cuts, common = both[np.r_[True, ~twice]], both[1:][twice]
         a, b = (of[np.searchsorted(e, cuts)] for of, e in zip(ids, ends, strict=True))
         codes = (a.astype(np.uint64) << np.uint64(24)) | b.astype(np.uint64)
-        links, groups = (np.diff(np.r_[0, np.searchsorted(x, last, "right")]) for x in (cuts, common))
+        n_a, n_b, links, groups = (np.diff(np.searchsorted(x, last, "right"), prepend=0) for x in (*ends, cuts, common))
         # all tokens by group, those of A first; the last of its side in a group has another end
         group = [np.searchsorted(common, e) for e in ends]
         order = np.argsort(np.concatenate([group[0] * 2, group[1] * 2 + 1]), kind="stable")
-        texts = []
-        for of, names, e in zip(ids, (self.a_text, self.b_text), ends, strict=True):
-            texts += [names[end][i] for i, end in zip(of.tolist(), np.isin(e, common, assume_unique=True).tolist(), strict=True)]
-        texts = [texts[i] for i in order.tolist()]
-        at = np.r_[0, np.cumsum(n_a + n_b)].tolist()
-        made = iter(["".join(texts[i:j])[:-1] for i, j in zip(at, at[1:], strict=False)])
-        there = np.array([x is not None for x in found])
-        sizes, many = np.zeros((len(keys), 3), np.int64), np.zeros(len(keys), np.int64)
+        closes = [common[g] == e for g, e in zip(group, ends, strict=True)]
+        n, m = len(self.a_size), len(self.b_size)
+        texts = self.names[np.concatenate([ids[0] + n * closes[0], 2 * n + ids[1] + m * closes[1]])[order]].tolist()
+        at = np.cumsum(n_a + n_b).tolist()
+        made = iter(["".join(texts[i:j])[:-1] for i, j in zip([0, *at], at, strict=False)])
         sizes[there], many[there] = np.stack([n_a, n_b, groups], axis=1), links
-        return [next(made) if x else None for x in found], sizes, many, codes
+        return [next(made) if x else None for x in there.tolist()], sizes, many, codes
 
     def _add(self, n: int) -> None:
         """Learn the stretches that were numbered from n on."""
@@ -202,6 +198,7 @@ class Aligner:
         at = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
         if len(self.number) > known:
             self._add(known)
+        np.add.at(self.uses, at, 1)
         return at
 
     def _joined(self, pieces: list[str]) -> list[str | tuple[str, ...]]:
@@ -228,8 +225,7 @@ class Aligner:
 
         def flush() -> None:
             nonlocal n
-            if len(self.number) > STRETCHES:
-                self._clear()
+            self._make_room()
             at = self._numbers([p for _, own in held for p in own])
             over = np.zeros(len(at), bool)
             over[:-1] = self._over(self.ends_in[1, at[:-1]] << 21 | self.ends_in[0, at[1:]])
@@ -252,7 +248,7 @@ class Aligner:
             if not text:
                 continue
             pieces = self.split(" " + text)
-            if len(pieces) > BLOCK or len(max(pieces, key=len)) > LONG:
+            if len(pieces) > BLOCK or max(map(len, pieces)) > LONG:
                 out[i] = self._alone(pieces)
                 continue
             held.append((i, pieces))
@@ -276,8 +272,7 @@ class Aligner:
             else:
                 while hi < len(keys) and hi - lo < BLOCK and sum(map(len, keys[hi])) <= LONG:
                     hi += 1
-                if len(self.number) > STRETCHES:
-                    self._clear()
+                self._make_room()
                 texts, size, codes = self._parts(self._numbers(keys[lo:hi]))
             if None in texts:
                 return _none()
@@ -287,24 +282,21 @@ class Aligner:
         return digest.digest(), sizes, np.concatenate(pairs)
 
     def _parts(self, at: np.ndarray) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+        return [self.texts[i] for i in at.tolist()], self.sizes[at].sum(axis=0), self._codes(at)[0]
+
+    def _codes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.start[at + 1] - self.start[at]
         ends = np.cumsum(n)
-        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + n, n)
-        return [self.texts[i] for i in at.tolist()], self.sizes[at].sum(axis=0), self.codes[where]
+        return self.codes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + n, n)], n
 
     def spans(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
         """(ids and byte ends of A, ids and byte ends of B) of a whole text, empty without tokens."""
-        out: tuple[list[int], ...] = ([], [], [], [])
         if not text:
-            return out
-        at = 0
-        for found in self.tokens(self._joined(self.split(" " + text))):
-            if found is None:
-                return [], [], [], []
-            for k in range(4):
-                out[k].extend(found[k] if k % 2 == 0 else [at + e for e in found[k]])
-            at += found[1][-1]
-        return out
+            return [], [], [], []
+        there, _, ids, ends = self.tokens(self._joined(self.split(" " + text)))
+        if not there.all():
+            return [], [], [], []
+        return ids[0].tolist(), ends[0].tolist(), ids[1].tolist(), ends[1].tolist()
 
 
 @functools.cache
@@ -348,10 +340,19 @@ def _blocks(a_path: str, b_path: str):
             nonlocal made
             key = (task << 24) + made
             made += 1
-            length = np.array([len(x) for x in links], np.int64)
-            doc = np.repeat(np.arange(len(links), dtype=np.uint64), length)
-            both, n = np.unique((np.concatenate(links) << np.uint64(16)) | doc, return_counts=True)
-            pair, doc, n = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype("<u2"), n.astype("<u4")
+            # in place: a block has millions of links
+            length = [len(x) for x in links]
+            both = np.concatenate(links)
+            links.clear()
+            both <<= np.uint64(16)
+            both |= np.repeat(np.arange(len(length), dtype=np.uint16), length)
+            both.sort()
+            first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.empty(0, np.int64)
+            n = np.diff(first, append=len(both)).astype("<u4")
+            both = both[first]
+            doc = both.astype("<u2")  # the last 16 bits
+            both >>= np.uint64(16)
+            pair = both
             starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.empty(0, np.int64)
             ends = np.r_[starts[1:], len(pair)][: len(starts)]
             head = key.to_bytes(8, "little")

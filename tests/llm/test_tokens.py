@@ -165,6 +165,30 @@ def test_aligned_stretches_equal_whole_texts(both):
         assert digest == (hashlib.sha256(";".join(groups).encode()).digest() if groups else None)
 
 
+def test_aligner_keeps_what_it_meets_often(both, monkeypatch):
+    monkeypatch.setattr(align, "STRETCHES", 60)
+    monkeypatch.setattr(align, "BLOCK", 20)
+    learnt, learn = Counter(), align.Aligner._learn
+    monkeypatch.setattr(align.Aligner, "_learn", lambda self, keys: learnt.update(keys) or learn(self, keys))
+    aligner, often = align.Aligner(A, B), ["the", "été", "of", "and", "日"]
+    texts = [" ".join([*often, *(f"x{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'kl'[j]}" for j in range(2)), *often, "▁" * (i % 7 == 0)]) for i in range(100)]
+    for text, (digest, _, _) in zip(texts, aligner.batch(texts), strict=True):
+        groups, _ = links_directly(text, both)
+        assert digest == (hashlib.sha256(";".join(groups).encode()).digest() if groups else None)
+    assert all(learnt[f" {w}"] == 1 for w in often) and len(learnt) > 200
+
+
+def test_aligner_takes_blocks_of_new_stretches(both, monkeypatch):
+    monkeypatch.setattr(align, "STRETCHES", 100)
+    monkeypatch.setattr(align, "BLOCK", 50)
+    aligner, letters = align.Aligner(A, B), "abcdefghij"
+    words = iter(f"{letters[i // 100]}{letters[i // 10 % 10]}{letters[i % 10]}" for i in range(1000))
+    texts = [" ".join(next(words) for _ in range(49)) for _ in range(8)]
+    for text, (digest, sizes, _) in zip(texts, aligner.batch(texts[:2]) + aligner.batch(texts[2:]), strict=True):
+        groups, _ = links_directly(text, both)
+        assert digest == hashlib.sha256(";".join(groups).encode()).digest() and sizes[2] == len(groups)
+
+
 @pytest.mark.parametrize("few", [False, True])
 def test_link_counts(spark, both, documents, hard, empty, monkeypatch, few):  # noqa: F811
     for name, value in (("COMMON", 20), ("BLOCK_DOCS", 30), ("BLOCK", 500), ("STRETCHES", 2000), ("HELD", 3000)) if few else ():
