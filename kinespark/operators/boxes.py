@@ -3,15 +3,18 @@ one image, so its work is small; keys are what Spark spreads."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinespark.functions import params, sides
 from kinespark.functions import vectors as V
+from kinespark.sources.scratch import cut
 
 from . import quantiles
 
@@ -125,53 +128,97 @@ def greedy_global(df: DataFrame, least: float = 0.05) -> DataFrame:
     return _by_key(df, found, "first long, second long, iou double")
 
 
-def _assigned(gain: np.ndarray) -> np.ndarray:
-    """For each row of `gain` (no more rows than columns) its column in a one-to-one choice of
-    the greatest sum: the Hungarian method by shortest augmenting paths."""
-    n, m = gain.shape
-    u, v, row_of = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)  # row, column 0 stand for none
-    cost = -gain
+def _assigned_all(gain: np.ndarray) -> np.ndarray:
+    """For each row of each matrix of `gain` (matrices, rows, no fewer columns) its column in a
+    one-to-one choice of the greatest sum: the Hungarian method by shortest augmenting paths, all
+    matrices at once."""
+    count, n, m = gain.shape
+    u, v, row_of = np.zeros((count, n + 1)), np.zeros((count, m + 1)), np.zeros((count, m + 1), int)  # row, column 0 stand for none
+    cost, every = -gain, np.arange(count)
     for i in range(1, n + 1):
-        row_of[0], at = i, 0
-        least, before, done = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while row_of[at]:
-            done[at] = True
-            r = row_of[at]
-            slack = cost[r - 1] - u[r] - v[1:]
-            better = ~done[1:] & (slack < least[1:])
-            least[1:][better], before[1:][better] = slack[better], at
-            to = 1 + int(np.argmin(np.where(done[1:], np.inf, least[1:])))
-            step = least[to]
-            u[row_of[done]] += step
-            v[done] -= step
-            least[~done] -= step
-            at = to
-        while at:
-            row_of[at] = row_of[before[at]]
-            at = before[at]
-    out = np.zeros(n, int)
-    for j in range(1, m + 1):
-        if row_of[j]:
-            out[row_of[j] - 1] = j - 1
+        row_of[:, 0] = i
+        at = np.zeros(count, int)
+        least, before, done = np.full((count, m + 1), np.inf), np.zeros((count, m + 1), int), np.zeros((count, m + 1), bool)
+        k = every  # matrices whose path isn't at a free column yet
+        while len(k):
+            done[k, at[k]] = True
+            r = row_of[k, at[k]]
+            slack = cost[k, r - 1] - u[k, r][:, None] - v[k, 1:]
+            l, d, f = least[k], done[k], before[k]
+            better = ~d[:, 1:] & (slack < l[:, 1:])
+            l[:, 1:] = np.where(better, slack, l[:, 1:])
+            before[k, 1:] = np.where(better, at[k][:, None], f[:, 1:])
+            to = 1 + np.argmin(np.where(d[:, 1:], np.inf, l[:, 1:]), axis=1)
+            step = l[np.arange(len(k)), to]
+            own, column = np.nonzero(d)
+            u[k[own], row_of[k[own], column]] += step[own]
+            v[k[own], column] -= step[own]
+            least[k] = np.where(d, l, l - step[:, None])
+            at[k] = to
+            k = k[row_of[k, to] != 0]
+        k = every
+        while len(k):
+            back = before[k, at[k]]
+            row_of[k, at[k]] = row_of[k, back]
+            at[k] = back
+            k = k[back != 0]
+    out = np.zeros((count, n), int)
+    own, column = np.nonzero(row_of[:, 1:])
+    out[own, row_of[own, column + 1] - 1] = column
     return out
 
 
+def _assigned(gain: np.ndarray) -> np.ndarray:
+    """_assigned_all() of one matrix."""
+    return _assigned_all(gain[None])[0]
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """_iou() of boxes in the last axes of two arrays that broadcast."""
+    side = lambda i, j: np.maximum(0.0, np.minimum(a[..., j], b[..., j]) - np.maximum(a[..., i], b[..., i]))
+    area = lambda x: np.maximum(0.0, x[..., 2] - x[..., 0]) * np.maximum(0.0, x[..., 3] - x[..., 1])
+    shared = side(0, 2) * side(1, 3)
+    union = area(a) + area(b) - shared
+    return np.where(union > 0, shared / np.where(union > 0, union, 1.0), 0.0)
+
+
 def optimal(df: DataFrame) -> DataFrame:
     """(keys, first, second, iou): the one-to-one matching of as many boxes of the two origins as
     the fewer have, with the greatest sum of overlaps; pairs that don't overlap are in it too.
-    Equal keys have equal matchings, ties too."""
-
-    def found(rows: list[dict]) -> list[tuple]:
-        left, right = ([r for r in rows if r["origin"] == o] for o in ("mediapipe", "sam3"))
-        flip = len(left) > len(right)
-        a, b = (right, left) if flip else (left, right)
-        if not a:
-            return []
-        gain = np.array([[_iou(x["box"], y["box"]) for y in b] for x in a])
-        pairs = [(a[i]["n"], b[j]["n"], float(gain[i, j])) for i, j in enumerate(_assigned(gain))]
-        return [(y, x, v) if flip else (x, y, v) for x, y, v in pairs]
-
-    return _by_key(df, found, "first long, second long, iou double")
+    Equal keys have equal matchings, ties too. Keys with as many boxes are matched together."""
+    schema = "group_id long, camera_id string, first long, second long, iou double"
+    packed = df.select(*KEYS, "n", "box", "origin").groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("n", "box", "origin"))).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(2)
+            sizes = pc.list_value_length(rows).to_numpy(zero_copy_only=False)
+            n, box, origin = rows.flatten().flatten()
+            key, n = np.repeat(np.arange(len(sizes)), sizes), n.to_numpy(zero_copy_only=False)
+            box = pc.cast(box.flatten(), pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, 4)
+            left, right = (np.flatnonzero(pc.fill_null(pc.equal(origin, o), False).to_numpy(zero_copy_only=False)) for o in ("mediapipe", "sam3"))
+            lefts, rights = (np.bincount(key[x], minlength=len(sizes)) for x in (left, right))
+            starts = np.cumsum(lefts) - lefts, np.cumsum(rights) - rights
+            keys, firsts, seconds, gains = [], [], [], []
+            for p, q in np.unique(np.stack([lefts, rights], axis=1)[(lefts > 0) & (rights > 0)], axis=0):
+                k = np.flatnonzero((lefts == p) & (rights == q))
+                a, b = left[starts[0][k][:, None] + np.arange(p)], right[starts[1][k][:, None] + np.arange(q)]
+                if p > q:
+                    a, b = b, a
+                gain = overlaps(box[a][:, :, None], box[b][:, None])
+                to = _assigned_all(gain)
+                b = np.take_along_axis(b, to, axis=1)
+                gains.append(np.take_along_axis(gain, to[:, :, None], axis=2).ravel())
+                keys.append(np.repeat(k, a.shape[1]))
+                firsts.append(n[b if p > q else a].ravel())
+                seconds.append(n[a if p > q else b].ravel())
+            if keys:
+                k, first, second, iou = (np.concatenate(x) for x in (keys, firsts, seconds, gains))
+                order = np.argsort(k, kind="stable")
+                found = [pc.cast(batch.column(i), kind).take(pa.array(k[order])) for i, kind in ((0, pa.int64()), (1, pa.string()))]
+                yield pa.RecordBatch.from_arrays([*found, *(pa.array(x[order], kind) for x, kind in ((first, pa.int64()), (second, pa.int64()), (iou, pa.float64())))], names=[*KEYS, "first", "second", "iou"])
+
+    return packed.mapInArrow(run, schema)
 
 
 def suppress(df: DataFrame, least: float = 0.6) -> DataFrame:
@@ -198,18 +245,24 @@ def _contained(a: list[float], b: list[float]) -> float:
     return shared / least if least > 0 else 0.0
 
 
-def replay_metrics(pairs: DataFrame, reference: DataFrame, threshold: float = 0.5) -> DataFrame:
+QUANTILES = {"median": 0.5, "p10": 0.1}
+
+
+def replay_metrics(pairs: DataFrame, reference: DataFrame, threshold: float = 0.5, wanted: dict[str, float] = QUANTILES) -> DataFrame:
     """One row of a replay's overlaps (from optimal(), with `is_keyframe`) against the reference's
-    boxes: their number, matches, share recalled at `threshold`, mean, median and 10 % quantile,
-    and the same off the keyframes."""
-    stats = quantiles.exact(pairs, [], "iou", {"median": 0.5, "p10": 0.1})
-    off = pairs.where("not is_keyframe")
-    both = [("", pairs, reference, stats), ("nonkey_", off, reference.where("not is_keyframe"), quantiles.exact(off, [], "iou", {"median": 0.5, "p10": 0.1}))]
-    out = None
-    for name, p, r, q in both:
-        one = p.agg(F.count("*").alias(f"{name}matched"), F.count_if(F.col("iou") >= threshold).alias("__recalled"), F.avg("iou").alias(f"{name}mean"))
-        total = r.agg(F.count("*").alias(f"{name}reference"))
-        row = one.withColumn("__one", F.lit(1)).join(total.withColumn("__one", F.lit(1)), "__one").join(q.select(F.lit(1).alias("__one"), F.col("median").alias(f"{name}median"), F.col("p10").alias(f"{name}p10")), "__one", "left")
-        row = row.withColumn(f"{name}recall", F.col("__recalled") / F.nullif(F.col(f"{name}reference"), F.lit(0))).drop("__recalled")
-        out = row if out is None else out.join(row, "__one")
+    boxes: their number, matches, share recalled at `threshold`, mean and the quantiles `wanted`,
+    and the same off the keyframes. Quantiles read the pairs more than once, so these are cut
+    then."""
+    parts = {"": F.lit(True), "nonkey_": ~F.col("is_keyframe")}
+    pairs = cut(pairs.select("iou", "is_keyframe")) if wanted else pairs
+    own, total = [], []
+    for name, part in parts.items():
+        own += [F.count_if(part).alias(f"{name}matched"), F.count_if(part & (F.col("iou") >= threshold)).alias(f"__{name}recalled"), F.avg(F.when(part, F.col("iou"))).alias(f"{name}mean")]
+        total.append(F.count_if(part).alias(f"{name}reference"))
+    out = pairs.agg(*own).withColumn("__one", F.lit(1)).join(reference.agg(*total).withColumn("__one", F.lit(1)), "__one")
+    for name, part in parts.items():
+        if wanted:
+            q = quantiles.exact(pairs.where(part), [], "iou", wanted)
+            out = out.join(q.select(F.lit(1).alias("__one"), *[F.col(w).alias(f"{name}{w}") for w in wanted]), "__one", "left")
+        out = out.withColumn(f"{name}recall", F.col(f"__{name}recalled") / F.nullif(F.col(f"{name}reference"), F.lit(0))).drop(f"__{name}recalled")
     return out.drop("__one")

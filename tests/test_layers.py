@@ -566,6 +566,25 @@ def test_replay_metrics(spark):
     assert (r["nonkey_matched"], r["nonkey_reference"], r["nonkey_median"]) == (2, 3, 0.5) and r["nonkey_recall"] == pytest.approx(1 / 3) and r["nonkey_p10"] == pytest.approx(0.42)
 
 
+def test_replay_reads_the_pairs_once(spark):
+    """The match behind the pairs is dear, so it isn't run for each figure."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    pairs = spark.createDataFrame([(i / 100.0, i % 5 == 0) for i in range(100)], "iou double, is_keyframe boolean").mapInPandas(counted, "iou double, is_keyframe boolean")
+    r = B.replay_metrics(pairs, pairs.sparkSession.createDataFrame([(True,)], "is_keyframe boolean")).first()
+    assert r["median"] == pytest.approx(0.495) and r["nonkey_matched"] == 80 and seen.value == 100
+    seen.value = 0
+    few = B.replay_metrics(pairs, spark.createDataFrame([(True,)], "is_keyframe boolean"), wanted={}).first()
+    assert few["mean"] == pytest.approx(r["mean"]) and few["nonkey_mean"] == pytest.approx(r["nonkey_mean"]) and seen.value == 100 and "median" not in few
+    none = B.replay_metrics(pairs.where("iou > 5"), spark.createDataFrame([], "is_keyframe boolean")).first()
+    assert none["matched"] == none["reference"] == 0 and none["recall"] is None and none["mean"] is None and none["median"] is None
+
+
 def test_live_fusion(spark, tmp_path):
     df = catalog._live_rows(spark, SF)
     got = {(r["group_id"], r["hand"]): r for r in fusion.fused(df).collect()}

@@ -119,3 +119,32 @@ def test_all_fits(spark):
     main = "camera_id = case hand when 'Left' then 'C1' else 'C2' end"
     n = sum(1 for r in records.hands(spark, SF).groupBy("group_id", "hand").agg(F.count("*").alias("n"), F.max(F.expr(main)).alias("main")).collect() if r["main"] and r["n"] > 1)
     assert catalog.triangulate_subsets(spark, SF).select("group_id", "hand", "joint").distinct().count() == n * 21
+
+
+def test_optimal_takes_keys_of_all_shapes_together(spark):
+    """Against all permutations; keys with boxes of one origin have no pairs, odd ones no row."""
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for g in range(150):
+        own = []
+        for n in range(int(rng.integers(1, 9))):
+            x, y = (rng.integers(0, 60, 2) * 1.0).tolist()
+            own.append((g, f"C{g % 3}", n, [x, y, x + 20 + n, y + 30], ("mediapipe", "sam3", "other")[int(rng.choice(3, p=[0.45, 0.45, 0.1]))]))
+        rows += own
+        a, b = ([r for r in own if r[4] == o] for o in ("mediapipe", "sam3"))
+        few, many = sorted((a, b), key=len)
+        best = max(sum(boxes._iou(x[3], y[3]) for x, y in zip(few, p, strict=True)) for p in itertools.permutations(many, len(few)))
+        if few:
+            want[g] = (len(few), round(best, 9))
+    df = spark.createDataFrame(rows, "group_id int, camera_id string, n int, box array<double>, origin string").repartition(3)
+    found = {}
+    kinds = {(r[0], r[2]): r for r in rows}
+    for r in boxes.optimal(df).collect():
+        a, b = kinds[r["group_id"], r["first"]], kinds[r["group_id"], r["second"]]
+        assert (a[4], b[4], a[1]) == ("mediapipe", "sam3", r["camera_id"]) and r["iou"] == boxes._iou(a[3], b[3])
+        found.setdefault(r["group_id"], []).append((r["first"], r["second"], r["iou"]))
+    assert {g: (len(v), round(sum(x[2] for x in v), 9)) for g, v in found.items()} == want and len(want) > 90
+    assert all(len({x[0] for x in v}) == len({x[1] for x in v}) == len(v) for v in found.values())
+    gain = rng.random((300, 3, 5)) * (rng.random((300, 3, 5)) < 0.5)
+    together = boxes._assigned_all(gain)
+    assert all((boxes._assigned(x) == y).all() for x, y in zip(gain, together, strict=True))
