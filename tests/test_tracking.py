@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from kinespark.operators import motion, refine
@@ -353,3 +354,38 @@ def test_tracker_on_hard_rows(spark):
     got = tracker.tracked(spark.createDataFrame(rows, FRAMES), tracker.Rules(stride=1)).toPandas()
     assert pd.isna(got["camera_id"]).sum() == 1 and len(got) == 2 and got["score"].tolist().count(1.0) == 1
     assert tracker.tracked(spark.createDataFrame([], FRAMES)).count() == 0
+
+
+@pytest.mark.parametrize("most", [2, None])
+def test_tracks_in_blocks_equal_steps(spark, monkeypatch, most):
+    """Recordings cut into blocks, cameras of different lengths side by side, against step()."""
+    monkeypatch.setattr(tracker, "BYTES", 1 << 40)
+    rules = tracker.Rules(most=most)
+    rows = [(f"{r[0]}{x}", *r[1:]) for x in range(5) for r in _tracker_frames(20 + x, 20 + 7 * x)]
+    df = spark.createDataFrame(rows, FRAMES)
+    want, state, camera = [], None, None
+    for r in df.orderBy("camera_id", "t", "frame").toPandas().itertuples(index=False):
+        camera, state = (camera, state) if r.camera_id == camera else (r.camera_id, tracker._start())
+        want += tracker.step(state, tracker._frame(r._replace(detections=[d.asDict() for d in r.detections])), rules)
+    table = df.orderBy("camera_id", "t", "frame").toArrow()
+    as_text = lambda r: str([round(v, 6) if isinstance(v, float) else [round(x, 4) for x in v] if isinstance(v, list) else v for v in r])
+    plain = sorted(as_text([x for i, x in enumerate(r) if i != 3]) for r in want)
+    for size in (1000, 31, 7):
+        got, state = [], None
+        for at in range(0, table.num_rows, size):
+            found, state = tracker._block(table.slice(at, size), state, rules)
+            got += [as_text(r.values()) for r in found.to_pylist()]
+        assert sorted(got) == plain
+    assert {r[10] for r in want} >= {"detected", "carried", "no_points", "silent"} and len(want) > 300
+
+
+def test_tracks_of_many_frames_take_seconds():
+    """60 cameras of 100 frames with three boxes of nine points: some 0.4 ms a box one by one."""
+    own = [(x, y, x + 3.0, y + 1.0) for i in range(3) for x in (9.0 + 99 * i, 20.0 + 99 * i, 31.0 + 99 * i) for y in (9.0, 20.0, 31.0)]
+    boxes = [{"n": i, "box": [5.0 + 99 * i, 5.0, 45.0 + 99 * i, 45.0], "score": 0.5} for i in range(3)]
+    rows = [{"camera_id": f"{c:03d}", "t": datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=f / 2), "frame": f, "detections": boxes if f == 0 else [], "pairs": own} for c in range(60) for f in range(100)]
+    kinds = pa.schema([("camera_id", pa.string()), ("t", pa.timestamp("us")), ("frame", pa.int64()), ("detections", pa.list_(pa.struct([("n", pa.int64()), ("box", pa.list_(pa.float64())), ("score", pa.float64())]))), ("pairs", pa.list_(pa.list_(pa.float64())))])
+    table = pa.Table.from_pylist(rows, schema=kinds)
+    start = time.process_time()
+    found, _ = tracker._block(table, None, tracker.Rules(most=None))
+    assert found.num_rows > 60 * 30 and time.process_time() - start < 3
