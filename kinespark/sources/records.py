@@ -320,6 +320,7 @@ def glove_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_groups(df: DataFrame, position: str, most: int) -> DataFrame:
-    """The rows of the first `most` groups, by where each group comes first in the file."""
-    first = df.groupBy("group_id").agg(F.min(position).alias("__first")).orderBy("__first").limit(most)
+    """The rows of the first `most` groups, by where each group comes first in the file; of groups
+    that come first at the same place those of the smaller ids."""
+    first = df.groupBy("group_id").agg(F.min(position).alias("__first")).orderBy("__first", "group_id").limit(most)
     return df.join(F.broadcast(first.select("group_id")), "group_id")  # at most `most` rows

@@ -558,6 +558,14 @@ def test_build_targets(spark):
         assert got[key]["anchor"] == anchor[1] and got[key]["used"] == len(used) and np.allclose(np.array(got[key]["target"]), want, atol=1e-9)
 
 
+@pytest.mark.parametrize("order", ["group_id", "-group_id", "hash(group_id)"])
+def test_first_groups_at_one_place(spark, order):
+    """Of groups that tie for the last places the smaller ids count, in whatever order rows come."""
+    rows = spark.range(400).selectExpr("id AS group_id", "if(id % 40 = 39, 0, 1 + id % 2) AS line").withColumn("__o", F.expr(order))
+    found = records.first_groups(rows.repartitionByRange(5, "__o").sortWithinPartitions("__o").drop("__o"), "line", 16).collect()
+    assert sorted(r["group_id"] for r in found) == sorted([*range(39, 400, 40), 0, 2, 4, 6, 8, 10])
+
+
 def test_replay_metrics(spark):
     pairs = spark.createDataFrame([(0.9, True), (0.4, False), (0.6, False)], "iou double, is_keyframe boolean")
     reference = spark.createDataFrame([(True,)] * 2 + [(False,)] * 3, "is_keyframe boolean")
